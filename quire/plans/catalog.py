@@ -30,4 +30,4 @@ def register(name: str, sql: str | None = None):
 
 def load_all() -> None:
     """Import every module that registers queries."""
-    from quire.plans import serve_queries, source_queries  # noqa: F401
+    from quire.plans import harvest_queries, serve_queries, source_queries  # noqa: F401

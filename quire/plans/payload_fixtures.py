@@ -250,8 +250,12 @@ def _body(source: str, records: Column) -> Column:
     raise KeyError(source)
 
 
-def source_payloads(docs: DataFrame, source: str) -> DataFrame:
-    """Payload rows (PAYLOADS schema) of one source over the given documents."""
+def source_payloads(docs: DataFrame, source: str, broken_index: int | None = None) -> DataFrame:
+    """Payload rows (PAYLOADS schema) of one source over the given documents.
+
+    With ``broken_index`` i, the responses whose ``(chunk + i) % 13 == 7`` are
+    cut to their first 10 characters (an unparsable body = a failed task).
+    """
     if source == "openalex":
         docs = docs.join(_inverted_index(docs), "doc_id", "left")
     rec = RECORD_BUILDERS[source](docs)
@@ -260,11 +264,14 @@ def source_payloads(docs: DataFrame, source: str) -> DataFrame:
                      lambda a, b: F.signum(a["doc_id"] - b["doc_id"]).cast("int")).alias("items"))
     records = F.transform("items", lambda x: x["rec"])
     idx = (F.col("chunk") % 20).cast("int")
+    body = _body(source, records)
+    if broken_index is not None:
+        body = F.when((F.col("chunk") + broken_index) % 13 == 7, F.left(body, F.lit(10))).otherwise(body)
     return grouped.select(
         F.lit(source).alias("source"),
         F.concat(F.lit("kw"), _s(idx)).alias("keyword"), idx.alias("keyword_idx"),
         F.timestamp_add("SECOND", F.col("chunk"), F.lit(BASE_TS).cast("timestamp_ntz")).alias("fetched_at"),
-        F.lit(200).alias("status_code"), _body(source, records).alias("body"),
+        F.lit(200).alias("status_code"), body.alias("body"),
         F.concat(F.lit(f"{source}/"), _s("chunk"), F.lit(".json")).alias("file_path"))
 
 
@@ -273,13 +280,18 @@ def payloads(spark: SparkSession, sf_dir: str, source: str) -> DataFrame:
     return source_payloads(base(spark, sf_dir), source)
 
 
-def mixed_payloads(spark: SparkSession, sf_dir: str, sources: list[str]) -> DataFrame:
+def mixed_payloads(spark: SparkSession, sf_dir: str, sources: list[str],
+                   lang: str | None = None, broken: bool = True) -> DataFrame:
     """Documents spread over the sources by their own ``source`` column
-    (``srcN`` goes to source N mod count); one harvest run's responses."""
+    (``srcN`` goes to source N mod count); one harvest run's responses.
+    ``lang`` keeps the documents of one language (an earlier, smaller run)."""
     d = base(spark, sf_dir).withColumn(
         "_k", F.regexp_extract("source", r"([0-9]+)$", 1).cast("int") % len(sources))
+    if lang is not None:
+        d = d.filter(F.col("lang") == lang)
     out = None
     for i, s in enumerate(sources):
-        part = source_payloads(d.filter(F.col("_k") == i).drop("_k"), s)
+        part = source_payloads(d.filter(F.col("_k") == i).drop("_k"), s,
+                               broken_index=i if broken else None)
         out = part if out is None else out.unionByName(part)
     return out
