@@ -17,7 +17,7 @@ def _c(c) -> Column:
 
 
 def _date(raw: Column, fmt: str) -> Column:
-    return F.try_to_date(raw, F.lit(fmt))
+    return F.try_to_date(raw, fmt)
 
 
 def parse_pub_date(c) -> Column:

@@ -20,10 +20,13 @@ def _overwrite_partitions(df: DataFrame):
 def write_drop(papers: DataFrame, drop_dir: str, batch_id: str,
                max_records_per_file: int = 0) -> str:
     """One run's new papers as CSV with a header, fixed column order, extra
-    columns ignored, NULL written as an empty field. Returns the batch folder."""
+    columns ignored, NULL written as an empty field. Every value is quoted, so
+    surrounding blanks survive the loader's trimming of unquoted fields.
+    Returns the batch folder."""
     path = f"{drop_dir.rstrip('/')}/batch={batch_id}"
     w = (papers.select(*PAPER_COLUMNS).write.mode("overwrite")
          .option("header", True).option("quote", '"').option("escape", '"')
+         .option("quoteAll", True)
          .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False))
     if max_records_per_file:
         w = w.option("maxRecordsPerFile", max_records_per_file)
