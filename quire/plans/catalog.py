@@ -30,5 +30,5 @@ def register(name: str, sql: str | None = None):
 
 def load_all() -> None:
     """Import every module that registers queries."""
-    from quire.plans import (harvest_queries, load_queries, serve_queries,  # noqa: F401
-                             source_queries)
+    from quire.plans import (expr_queries, harvest_queries, load_queries,  # noqa: F401
+                             serve_queries, source_queries, stream_queries)

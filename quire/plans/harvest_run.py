@@ -34,6 +34,7 @@ DEFAULT_CONFIG = {
 class HarvestResult:
     new_papers: DataFrame      # gated rows to write (PAPER_RAW + task columns)
     summary: DataFrame         # per source: tasks, errors, new_papers
+    candidates: DataFrame      # new rows before the gate
 
 
 def capped_rows(payloads: DataFrame, config: Mapping = DEFAULT_CONFIG) -> DataFrame:
@@ -58,7 +59,7 @@ def harvest(payloads: DataFrame, ledger: DataFrame, config: Mapping = DEFAULT_CO
     new = new_vs_ledger(first, ledger, PAPER_KEY, batch_rows=batch_rows)
     limits = source_limits(config, N.SOURCES)
     status = N.task_status(payloads, [s for s in N.SOURCES if s in limits])
-    return HarvestResult(gate(new, min_new), harvest_summary(new, status))
+    return HarvestResult(gate(new, min_new), harvest_summary(new, status), new)
 
 
 def run_harvest(payloads: DataFrame, ledger: DataFrame, ledger_path: str, drop_dir: str,

@@ -43,17 +43,11 @@ def pending_files(files: DataFrame, log: DataFrame) -> DataFrame:
     return files.join(done, "path", "left_anti")
 
 
-def run_load(spark: SparkSession, drop_dir: str, table_path: str, log_path: str,
-             load_id: str | None = None, now: dt.datetime | None = None,
-             archive_dir: str | None = None) -> LoadOutcome:
-    started = now or dt.datetime.now()
-    load_id = load_id or started.strftime("%Y%m%d%H%M%S%f")
+def load_files(spark: SparkSession, paths: list[str], table_path: str, log_path: str,
+               load_id: str, started: dt.datetime) -> DataFrame:
+    """Load the given drop files; returns the log rows written."""
     checkpoint_root(spark)
     log = read_load_log(spark, log_path)
-    files = pending_files(list_drops(spark, drop_dir), log)
-    paths = [r.path for r in files.select("path").collect()]  # file names only
-    if not paths:
-        return LoadOutcome(0, spark.createDataFrame([], read_load_log(spark, log_path).schema), 0)
     batch = clean_drops(spark, paths, len(paths)).checkpoint(eager=True)
     base = max_seq(read_papers(spark, table_path))
     numbered = assign_seq(batch, ["file_name", "_rid"], base)
@@ -68,11 +62,25 @@ def run_load(spark: SparkSession, drop_dir: str, table_path: str, log_path: str,
     log_rows = log_rows.select("log_id", "file_name", "total_rows", "loaded_rows", "failed_rows",
                                "status", "error_msg", "started_at", "finished_at")
     append_load_log(log_rows, log_path, load_id)
-    written = read_load_log(spark, log_path).where(F.col("log_id") > first_id)
+    return read_load_log(spark, log_path).where(F.col("log_id") > first_id)
+
+
+def run_load(spark: SparkSession, drop_dir: str, table_path: str, log_path: str,
+             load_id: str | None = None, now: dt.datetime | None = None,
+             archive_dir: str | None = None) -> LoadOutcome:
+    """List the drop folder, load every file not loaded yet, archive them."""
+    started = now or dt.datetime.now()
+    load_id = load_id or started.strftime("%Y%m%d%H%M%S%f")
+    log = read_load_log(spark, log_path)
+    files = pending_files(list_drops(spark, drop_dir), log)
+    paths = [r.path for r in files.select("path").collect()]  # file names only
+    if not paths:
+        return LoadOutcome(0, log.limit(0), 0)
+    written = load_files(spark, paths, table_path, log_path, load_id, started)
     loaded = written.agg(F.coalesce(F.sum("loaded_rows"), F.lit(0))).first()[0]
     if archive_dir:
         archive_files(spark, [r.file_name for r in written.where(F.col("status") != FAILED)
-                              .select("file_name").collect()], archive_dir, finished)
+                              .select("file_name").collect()], archive_dir, dt.datetime.now())
     return LoadOutcome(len(paths), written, int(loaded))
 
 
