@@ -14,7 +14,9 @@ from quire.plans.fixtures import PAPERS_FX_SQL, papers_fx, table, with_views
 from quire.plans.source_queries import AB_SQL, BASE_SQL, select_sql
 from quire.schemas import PAPER_COLUMNS
 from quire.sources import normalisers as N
+from quire.session import scratch_path
 from quire.sources.ledger import read_ledger
+from quire.sources.payloads import land_payloads, read_payloads
 
 EVENT_COLS = "event_id, ts, user_id, event_type, value, props"
 LEDGER_CUT = "2024-01-10 00:00:00"
@@ -164,11 +166,16 @@ tasks AS (SELECT src, count(*) AS tasks,
 
 
 def _run(spark, sf_dir):
+    """Two runs as they happen: responses land (J01); the earlier run writes
+    its drop and ledger (J06, J07); the later run reads the ledger (J04)."""
+    root = scratch_path(spark, "harvest")
     srcs = N.SOURCES
-    earlier = R.harvest(PF.mixed_payloads(spark, sf_dir, srcs, lang="en"),
-                        read_ledger(spark, None))
-    ledger = earlier.new_papers.select("site_name", "paper_number")
-    return R.harvest(PF.mixed_payloads(spark, sf_dir, srcs), ledger)
+    land_payloads(PF.mixed_payloads(spark, sf_dir, srcs, lang="en"), f"{root}/landing1")
+    land_payloads(PF.mixed_payloads(spark, sf_dir, srcs), f"{root}/landing2")
+    R.run_harvest(read_payloads(spark, f"{root}/landing1"), read_ledger(spark, f"{root}/ledger"),
+                  f"{root}/ledger", f"{root}/drops", "run1")
+    return R.harvest(read_payloads(spark, f"{root}/landing2"), read_ledger(spark, f"{root}/ledger"),
+                     materialize=True)
 
 
 @register("harvest_new_papers", HARVEST_SQL + "\nSELECT " + ", ".join(PAPER_COLUMNS) + " FROM r2_gated")

@@ -37,12 +37,15 @@ class HarvestResult:
     candidates: DataFrame      # new rows before the gate
 
 
-def capped_rows(payloads: DataFrame, config: Mapping = DEFAULT_CONFIG) -> DataFrame:
+def capped_rows(payloads: DataFrame, config: Mapping = DEFAULT_CONFIG,
+                parsed: DataFrame | None = None) -> DataFrame:
     """Normalised rows, at most the source's limit per (source, keyword),
     in the source's declared order (newest date first, else arrival)."""
     limits = source_limits(config, N.SOURCES)
     sources = [s for s in N.SOURCES if s in limits]
-    rows = N.normalise_all(payloads, sources)
+    parsed = parsed if parsed is not None else N.parse_payloads(
+        payloads.where(F.col("source").isin(*sources)), sources)
+    rows = N.rows_of(parsed)
     lim = F.element_at(F.create_map(*[x for s in sources for x in (F.lit(s), F.lit(limits[s]))]),
                        F.col("source"))
     order = [F.col("sort_date").desc_nulls_last(), F.col("extracted_at").asc(),
@@ -52,13 +55,21 @@ def capped_rows(payloads: DataFrame, config: Mapping = DEFAULT_CONFIG) -> DataFr
 
 
 def harvest(payloads: DataFrame, ledger: DataFrame, config: Mapping = DEFAULT_CONFIG,
-            batch_rows: int | None = None) -> HarvestResult:
+            batch_rows: int | None = None, materialize: bool = False) -> HarvestResult:
+    """The run as lazy DataFrames. Every response is parsed once; with
+    ``materialize`` the parsed responses are checkpointed first so the rows
+    and the per-task status come from one parse even across jobs."""
     min_new = int(config.get("min_new_papers", DEFAULT_MIN_NEW))
-    keyed = drop_blank_keys(capped_rows(payloads, config))
+    limits = source_limits(config, N.SOURCES)
+    sources = [s for s in N.SOURCES if s in limits]
+    parsed = N.parse_payloads(payloads.where(F.col("source").isin(*sources)), sources)
+    if materialize:
+        checkpoint_root(payloads.sparkSession)
+        parsed = parsed.checkpoint(eager=True)
+    keyed = drop_blank_keys(capped_rows(payloads, config, parsed))
     first = dedup_first(keyed, PAPER_KEY, ["keyword_idx", "item_pos"])
     new = new_vs_ledger(first, ledger, PAPER_KEY, batch_rows=batch_rows)
-    limits = source_limits(config, N.SOURCES)
-    status = N.task_status(payloads, [s for s in N.SOURCES if s in limits])
+    status = N.task_status(payloads, parsed=parsed)
     return HarvestResult(gate(new, min_new), harvest_summary(new, status), new)
 
 
@@ -68,7 +79,7 @@ def run_harvest(payloads: DataFrame, ledger: DataFrame, ledger_path: str, drop_d
     checkpoint folder so both writes see the same rows, then the drop and the
     ledger partition of ``batch_id`` are written (drop first)."""
     checkpoint_root(payloads.sparkSession)
-    result = harvest(payloads, ledger, config)
+    result = harvest(payloads, ledger, config, materialize=True)
     batch = result.new_papers.select(*PAPER_COLUMNS).checkpoint(eager=True)
     path = write_drop(batch, drop_dir, batch_id)
     append_ledger(batch, ledger_path, batch_id)

@@ -223,61 +223,73 @@ RECORD_BUILDERS = {
 }
 
 
-def _body(source: str, records: Column) -> Column:
-    keep_nulls = {"ignoreNullFields": "false"}
+# Response envelopes around the joined record texts: (prefix, separator, suffix).
+ENVELOPES = {
+    "arxiv": (ATOM_ROOT, "", "</feed>"),
+    "semantic_scholar": ('{"data":[', ",", "]}"),
+    "openalex": ('{"results":[', ",", "]}"),
+    "crossref": ('{"message":{"items":[', ",", "]}}"),
+    "europepmc": ('{"resultList":{"result":[', ",", "]}}"),
+    "core": ('{"results":[', ",", "]}"),
+    "base": ('{"response":{"docs":[', ",", "]}}"),
+    "ieee_xplore": ('{"articles":[', ",", "]}"),
+    "google_scholar": ("[", ",", "]"),
+    "plos": ('{"response":{"docs":[', ",", "]}}"),
+    "doaj": ('{"results":[', ",", "]}"),
+}
+
+
+def _record_text(source: str) -> Column:
+    """One document's record rendered in the source's wire format."""
+    rec = RECORD_BUILDERS[source](None)
     if source == "arxiv":
         # to_xml cannot write prefixed names: emit placeholders, then rename
-        # them and declare the Atom namespaces on the root element
-        xml = F.to_xml(F.struct(records.alias("entry")), {"rowTag": "feed"})
+        xml = F.to_xml(rec, {"rowTag": "entry"})
         for name in ("doi", "journal_ref"):
             xml = F.replace(xml, F.lit(f"<arxiv_{name}>"), F.lit(f"<arxiv:{name}>"))
             xml = F.replace(xml, F.lit(f"</arxiv_{name}>"), F.lit(f"</arxiv:{name}>"))
-        return F.replace(xml, F.lit("<feed>"), F.lit(ATOM_ROOT))
+        return xml
     if source == "semantic_scholar":
-        return F.to_json(F.struct(records.alias("data")), keep_nulls)
-    if source in ("openalex", "core", "doaj"):
-        return F.to_json(F.struct(records.alias("results")))
-    if source == "crossref":
-        return F.to_json(F.struct(F.struct(records.alias("items")).alias("message")))
-    if source == "europepmc":
-        return F.to_json(F.struct(F.struct(records.alias("result")).alias("resultList")))
-    if source in ("base", "plos"):
-        return F.to_json(F.struct(F.struct(records.alias("docs")).alias("response")))
-    if source == "ieee_xplore":
-        return F.to_json(F.struct(records.alias("articles")))
-    if source == "google_scholar":
-        return F.to_json(records)
-    raise KeyError(source)
-
-
-def source_payloads(docs: DataFrame, source: str, broken_index: int | None = None) -> DataFrame:
-    """Payload rows (PAYLOADS schema) of one source over the given documents.
-
-    With ``broken_index`` i, the responses whose ``(chunk + i) % 13 == 7`` are
-    cut to their first 10 characters (an unparsable body = a failed task).
-    """
-    if source == "openalex":
-        docs = docs.join(_inverted_index(docs), "doc_id", "left")
-    rec = RECORD_BUILDERS[source](docs)
-    grouped = docs.select("chunk", "doc_id", rec.alias("rec")).groupBy("chunk").agg(
-        F.array_sort(F.collect_list(F.struct("doc_id", "rec")),
-                     lambda a, b: F.signum(a["doc_id"] - b["doc_id"]).cast("int")).alias("items"))
-    records = F.transform("items", lambda x: x["rec"])
+        return F.to_json(rec, {"ignoreNullFields": "false"})
+    return F.to_json(rec)
+
+
+def build_payloads(docs: DataFrame, sources: list[str], broken: bool = False) -> DataFrame:
+    """Payload rows (PAYLOADS schema): the document with ``_k == i`` becomes
+    a record of ``sources[i]``; records are grouped 20 documents to a response
+    (by ``chunk``). With ``broken``, responses whose ``(chunk + i) % 13 == 7``
+    are cut to 10 characters (unparsable: a failed task)."""
+    if "openalex" in sources:
+        oa = sources.index("openalex")
+        inv = _inverted_index(docs.where(F.col("_k") == oa).select("doc_id", "text"))
+        docs = docs.join(inv, "doc_id", "left")
+    k = F.col("_k")
+    text = F.lit(None).cast("string")
+    for i, s in reversed(list(enumerate(sources))):
+        text = F.when(k == i, _record_text(s)).otherwise(text)
+    grouped = docs.select("_k", "chunk", "doc_id", text.alias("t")).groupBy("_k", "chunk").agg(
+        F.array_sort(F.collect_list(F.struct("doc_id", "t"))).alias("items"))
+    texts = F.transform("items", lambda x: x["t"])
+    body = F.lit(None).cast("string")
+    name = F.lit(None).cast("string")
+    for i, s in reversed(list(enumerate(sources))):
+        pre, sep, suf = ENVELOPES[s]
+        body = F.when(k == i, F.concat(F.lit(pre), F.array_join(texts, sep), F.lit(suf))).otherwise(body)
+        name = F.when(k == i, F.lit(s)).otherwise(name)
+    if broken:
+        body = F.when((F.col("chunk") + k) % 13 == 7, F.left(body, F.lit(10))).otherwise(body)
     idx = (F.col("chunk") % 20).cast("int")
-    body = _body(source, records)
-    if broken_index is not None:
-        body = F.when((F.col("chunk") + broken_index) % 13 == 7, F.left(body, F.lit(10))).otherwise(body)
     return grouped.select(
-        F.lit(source).alias("source"),
+        name.alias("source"),
         F.concat(F.lit("kw"), _s(idx)).alias("keyword"), idx.alias("keyword_idx"),
         F.timestamp_add("SECOND", F.col("chunk"), F.lit(BASE_TS).cast("timestamp_ntz")).alias("fetched_at"),
         F.lit(200).alias("status_code"), body.alias("body"),
-        F.concat(F.lit(f"{source}/"), _s("chunk"), F.lit(".json")).alias("file_path"))
+        F.concat(name, F.lit("/"), _s("chunk"), F.lit(".json")).alias("file_path"))
 
 
 def payloads(spark: SparkSession, sf_dir: str, source: str) -> DataFrame:
     """All documents as responses of ``source``."""
-    return source_payloads(base(spark, sf_dir), source)
+    return build_payloads(base(spark, sf_dir).withColumn("_k", F.lit(0)), [source])
 
 
 def mixed_payloads(spark: SparkSession, sf_dir: str, sources: list[str],
@@ -289,9 +301,4 @@ def mixed_payloads(spark: SparkSession, sf_dir: str, sources: list[str],
         "_k", F.regexp_extract("source", r"([0-9]+)$", 1).cast("int") % len(sources))
     if lang is not None:
         d = d.filter(F.col("lang") == lang)
-    out = None
-    for i, s in enumerate(sources):
-        part = source_payloads(d.filter(F.col("_k") == i).drop("_k"), s,
-                               broken_index=i if broken else None)
-        out = part if out is None else out.unionByName(part)
-    return out
+    return build_payloads(d, sources, broken)

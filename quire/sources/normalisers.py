@@ -254,84 +254,135 @@ RULES: dict[str, Callable[[Column], dict]] = {
 }
 
 
-def parse(payloads: DataFrame, source: str) -> DataFrame:
-    """Payload rows of one source with the parsed body in column ``p``."""
+def _parse_expr(source: str) -> Column:
     opts = {"columnNameOfCorruptRecord": "_corrupt_record", "mode": "PERMISSIVE"}
-    df = payloads.filter(F.col("source") == F.lit(source))
     if source == "arxiv":
         opts.update(rowTag="feed", ignoreSurroundingSpaces="false")
-        p = F.from_xml(F.col("body"), SCHEMAS[source], opts)
-    else:
-        p = F.from_json(F.col("body"), SCHEMAS[source], opts)
-    return df.withColumn("p", p)
+        return F.from_xml(F.col("body"), SCHEMAS[source], opts)
+    return F.from_json(F.col("body"), SCHEMAS[source], opts)
 
 
-def _records(source: str) -> Column:
+def _records(source: str, p: Column) -> Column:
     path = RECORD_PATHS[source]
     if path is None:
-        return F.col("p")
-    c = F.col("p")
+        return p
+    c = p
     for part in path.split("."):
         c = c[part]
     return c
 
 
-def _ok(source: str) -> Column:
+def _ok(source: str, p: Column) -> Column:
     """Task success: body parses; for some sources also an OK status, and one
     source treats a missing record list as an error."""
     if source == "google_scholar":  # the client's errors end the list, never the task
         return F.lit(True)
     ok = F.coalesce(F.col("body").rlike(r"\S"), F.lit(False))
-    ok = ok & F.col("p").isNotNull() & F.col("p")["_corrupt_record"].isNull()
+    ok = ok & p.isNotNull() & p["_corrupt_record"].isNull()
     if source in STATUS_CHECKED:
         ok = ok & (F.coalesce(F.col("status_code"), F.lit(200)) < 400)
     if source == "semantic_scholar":
-        ok = ok & F.col("p")["data"].isNotNull()
+        ok = ok & p["data"].isNotNull()
     return F.coalesce(ok, F.lit(False))
 
 
+def _paper_struct(source: str, r: Column, i: Column) -> Column:
+    """One record -> the uniform paper struct (same type for every source)."""
+    spec = RULES[source](r)
+    fields = []
+    for c in PAPER_COLUMNS:
+        if c in ("site_name", "keyword", "extracted_at"):
+            continue
+        e = spec[c]
+        fields.append((e.cast("int") if c == "citation_count" else e.cast("string")).alias(c))
+    key = spec.get("key")
+    sort_date = spec.get("sort_date") if source in DATE_ORDERED else None
+    fields += [
+        i.cast("int").alias("item_pos"),
+        (F.lit(None) if sort_date is None else sort_date).cast("string").alias("sort_date"),
+        # records of sources that skip a blank id carry keep = false
+        (F.lit(True) if key is None else F.length(key) > 0).alias("keep"),
+    ]
+    return F.struct(*fields)
+
+
+def _record_fn(source: str):
+    return lambda r, i: _paper_struct(source, r, i)
+
+
+def parse_payloads(payloads: DataFrame, sources: list[str] | None = None) -> DataFrame:
+    """One row per response, parsed once: ``source, keyword, keyword_idx,
+    fetched_at, ok, papers`` where ``papers`` is the array of normalised
+    records. Responses of all sources go through one projection; each row
+    only evaluates its own source's parser (CASE on ``source``)."""
+    parse_cols, ok, papers = _expressions(payloads.sparkSession, tuple(sources or SOURCES))
+    parsed = payloads.select(
+        "source", "keyword", "keyword_idx", "fetched_at", "status_code", "body", *parse_cols)
+    return parsed.select(
+        "source", "keyword", F.col("keyword_idx").cast("int").alias("keyword_idx"), "fetched_at",
+        ok.alias("ok"), papers.alias("papers"))
+
+
+_EXPR_CACHE: dict = {}
+
+
+def _expressions(spark, sources: tuple[str, ...]):
+    """The parse / ok / papers expressions for a source set. They do not
+    depend on the DataFrame, so they are built once per session (building
+    them costs thousands of JVM calls)."""
+    key = (id(spark.sparkContext), sources)
+    if key not in _EXPR_CACHE:
+        src = F.col("source")
+        parse_cols = [F.when(src == F.lit(s), _parse_expr(s)).alias(f"_p_{s}") for s in sources]
+        ok = F.lit(False)
+        papers = F.lit(None)
+        for s in reversed(sources):
+            p = F.col(f"_p_{s}")
+            arr = F.transform(_records(s, p), _record_fn(s))
+            ok = F.when(src == F.lit(s), _ok(s, p)).otherwise(ok)
+            papers = F.when(src == F.lit(s), arr).otherwise(papers)
+        _EXPR_CACHE[key] = (parse_cols, ok, papers)
+    return _EXPR_CACHE[key]
+
+
+def rows_of(parsed: DataFrame) -> DataFrame:
+    """Paper rows (PAPER_RAW + ``source, keyword_idx, item_pos, sort_date``)
+    of the successful responses; records without a required id are skipped."""
+    site = F.element_at(F.create_map(*[x for k, v in SITE_NAMES.items()
+                                       for x in (F.lit(k), F.lit(v))]), F.col("source"))
+    rows = (parsed.where(F.col("ok"))
+            .select("source", "keyword", "keyword_idx", "fetched_at", F.explode("papers").alias("r"))
+            .where(F.col("r.keep")))
+    cols = []
+    for c in PAPER_COLUMNS:
+        if c == "site_name":
+            cols.append(site.alias(c))
+        elif c == "keyword":
+            cols.append(F.col("keyword").cast("string").alias(c))
+        elif c == "extracted_at":
+            cols.append(F.date_format("fetched_at", "yyyy-MM-dd HH:mm:ss").alias(c))
+        else:
+            cols.append(F.col(f"r.{c}").alias(c))
+    return rows.select(*cols, "source", "keyword_idx", F.col("r.item_pos").alias("item_pos"),
+                       F.col("r.sort_date").alias("sort_date"))
+
+
+def task_status(payloads: DataFrame, sources: list[str] | None = None,
+                parsed: DataFrame | None = None) -> DataFrame:
+    """One row per landed response: ``source, keyword, keyword_idx, ok``."""
+    parsed = parsed if parsed is not None else parse_payloads(payloads, sources)
+    return parsed.select("source", "keyword", "keyword_idx", "ok")
+
+
 def normalise(payloads: DataFrame, source: str) -> DataFrame:
     """PAPER_RAW rows of one source plus task columns ``source, keyword_idx,
     item_pos, sort_date``. Records of a failed task are dropped (task error)."""
     if source not in RULES:
         raise KeyError(f"unknown source {source}")
-    parsed = parse(payloads, source).filter(_ok(source))
-    rows = parsed.select(
-        "source", "keyword", "keyword_idx", "fetched_at",
-        F.posexplode(_records(source)).alias("item_pos", "r"))
-    spec = RULES[source](F.col("r"))
-    if spec.get("key") is not None:  # the source skips records without an id
-        rows = rows.filter(F.length(spec["key"]) > 0)
-    cols = {
-        "site_name": F.lit(SITE_NAMES[source]),
-        "keyword": F.col("keyword"),
-        "extracted_at": F.date_format("fetched_at", "yyyy-MM-dd HH:mm:ss"),
-    }
-    out = []
-    for c in PAPER_COLUMNS:
-        e = cols.get(c, spec.get(c))
-        e = e.cast("int") if c == "citation_count" else e.cast("string")
-        out.append(e.alias(c))
-    sort_date = spec.get("sort_date") if source in DATE_ORDERED else None
-    sort_col = (F.lit(None) if sort_date is None else sort_date).cast("string").alias("sort_date")
-    return rows.select(*out, "source", F.col("keyword_idx").cast("int").alias("keyword_idx"),
-                       F.col("item_pos").cast("int").alias("item_pos"), sort_col)
-
-
-def task_status(payloads: DataFrame, sources: list[str] | None = None) -> DataFrame:
-    """One row per landed response: ``source, keyword, keyword_idx, ok``."""
-    parts = [parse(payloads, s).select("source", "keyword", "keyword_idx", _ok(s).alias("ok"))
-             for s in (sources or SOURCES)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return rows_of(parse_payloads(payloads.where(F.col("source") == F.lit(source)), [source]))
 
 
 def normalise_all(payloads: DataFrame, sources: list[str] | None = None) -> DataFrame:
-    """Bag union of every source's rows (no dedup here)."""
-    parts = [normalise(payloads, s) for s in (sources or SOURCES)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    """Rows of every source in one pass (bag union, no dedup here)."""
+    sources = sources or SOURCES
+    return rows_of(parse_payloads(payloads.where(F.col("source").isin(*sources)), sources))

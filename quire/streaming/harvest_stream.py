@@ -41,7 +41,7 @@ def harvest_stream(spark: SparkSession, landing_dir: str, ledger_path: str, drop
         batch_id = f"e{epoch_id:08d}"
         payloads = batch.select(*PAYLOADS.fieldNames()).unionByName(_read_pending(spark, pending_path))
         payloads = payloads.checkpoint(eager=True)  # this batch's input, fixed
-        res = harvest(payloads, read_ledger(spark, ledger_path), config)
+        res = harvest(payloads, read_ledger(spark, ledger_path), config, materialize=True)
         new = res.candidates.select(*PAPER_COLUMNS).checkpoint(eager=True)
         n = new.count()
         if n < min_new:
