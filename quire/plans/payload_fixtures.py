@@ -71,12 +71,33 @@ def _rec_semantic_scholar(d):
         .alias("journal"))
 
 
+def with_inverted_index(df: DataFrame, text: str = "text", out: str = "inv",
+                        when: Column | None = None) -> DataFrame:
+    """Adds map(word -> ascending positions) of ``text`` split on single
+    spaces, built inside the row: sort (word, position) pairs, find where each
+    word's run starts, slice the runs. O(n log n) per document, no shuffle.
+    Intermediate arrays are real columns (a lambda re-evaluates any
+    expression it references)."""
+    cond = F.lit(True) if when is None else when
+    words = F.split(F.col(text), " ")
+    df = df.withColumn("_pairs", F.when(cond, F.array_sort(
+        F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("p"))))))
+    n = F.size("_pairs")
+    pairs = F.col("_pairs")
+    df = df.withColumn("_starts", F.filter(
+        F.sequence(F.lit(1), n),
+        lambda i: (i == 1) | (F.element_at(pairs, i)["w"] != F.element_at(pairs, i - 1)["w"])))
+    starts = F.col("_starts")
+    df = df.withColumn("_ends", F.concat(F.slice(starts, 2, n), F.array(n + 1)))
+    keys = F.transform(starts, lambda st: F.element_at(pairs, st)["w"])
+    vals = F.transform(F.arrays_zip(starts.alias("s"), F.col("_ends").alias("e")),
+                       lambda z: F.transform(F.slice(pairs, z["s"], z["e"] - z["s"]), lambda x: x["p"]))
+    return df.withColumn(out, F.when(cond, F.map_from_arrays(keys, vals))).drop("_pairs", "_starts", "_ends")
+
+
 def _inverted_index(docs: DataFrame) -> DataFrame:
-    """doc_id -> map(word -> positions) from the text split on single spaces."""
-    words = docs.select("doc_id", F.posexplode(F.split("text", " ")).alias("pos", "word"))
-    per_word = words.groupBy("doc_id", "word").agg(F.sort_array(F.collect_list("pos")).alias("ps"))
-    return per_word.groupBy("doc_id").agg(
-        F.map_from_entries(F.collect_list(F.struct("word", "ps"))).alias("inv"))
+    """doc_id -> map(word -> positions) of every document's text."""
+    return with_inverted_index(docs.select("doc_id", "text")).select("doc_id", "inv")
 
 
 def _rec_openalex(d):
@@ -260,9 +281,7 @@ def build_payloads(docs: DataFrame, sources: list[str], broken: bool = False) ->
     (by ``chunk``). With ``broken``, responses whose ``(chunk + i) % 13 == 7``
     are cut to 10 characters (unparsable: a failed task)."""
     if "openalex" in sources:
-        oa = sources.index("openalex")
-        inv = _inverted_index(docs.where(F.col("_k") == oa).select("doc_id", "text"))
-        docs = docs.join(inv, "doc_id", "left")
+        docs = with_inverted_index(docs, when=F.col("_k") == sources.index("openalex"))
     k = F.col("_k")
     text = F.lit(None).cast("string")
     for i, s in reversed(list(enumerate(sources))):

@@ -52,11 +52,14 @@ def read_raw(spark: SparkSession, paths: list[str] | str) -> DataFrame:
 
 
 def file_headers(raw: DataFrame) -> DataFrame:
-    """One row per file: its header names (normalised) and the header row id."""
+    """One row per file: the header row id and, per canonical column, its
+    1-based position in that file's header (0 when the header lacks it)."""
     first = raw.groupBy("file_name").agg(
         F.min_by(F.struct(*POS), F.col("_rid")).alias("h"), F.min("_rid").alias("_hrid"))
     names = F.array(*[_norm_header(F.col("h")[c]) for c in POS])
-    return first.select("file_name", "_hrid", names.alias("header"))
+    return first.select(
+        "file_name", "_hrid",
+        *[F.array_position(names, F.lit(c)).cast("int").alias(f"_i_{c}") for c in PAPER_COLUMNS])
 
 
 def read_drops(spark: SparkSession, paths: list[str] | str, n_files: int | None = None) -> DataFrame:
@@ -71,9 +74,8 @@ def read_drops(spark: SparkSession, paths: list[str] | str, n_files: int | None
     if n_files is not None and n_files <= BROADCAST_MAX_FILES:
         heads = F.broadcast(heads)
     rows = raw.join(heads, "file_name").where(F.col("_rid") > F.col("_hrid"))
-    cols = []
-    for name in PAPER_COLUMNS:
-        picks = [F.when(F.col("header")[i] == F.lit(name), F.col(c)) for i, c in enumerate(POS)]
-        cols.append(F.coalesce(*picks).alias(name))
-    present = F.filter(F.col("header"), lambda h: h.isin(*PAPER_COLUMNS))
-    return rows.select("file_name", "_rid", *cols, F.array_distinct(present).alias("present"))
+    vals = F.array(*POS)
+    cols = [F.when(F.col(f"_i_{c}") > 0, F.element_at(vals, F.col(f"_i_{c}"))).alias(c)
+            for c in PAPER_COLUMNS]
+    present = F.array_compact(F.array(*[F.when(F.col(f"_i_{c}") > 0, F.lit(c)) for c in PAPER_COLUMNS]))
+    return rows.select("file_name", "_rid", *cols, present.alias("present"))
