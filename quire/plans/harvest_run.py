@@ -74,13 +74,17 @@ def harvest(payloads: DataFrame, ledger: DataFrame, config: Mapping = DEFAULT_CO
 
 
 def run_harvest(payloads: DataFrame, ledger: DataFrame, ledger_path: str, drop_dir: str,
-                batch_id: str, config: Mapping = DEFAULT_CONFIG) -> tuple[str, DataFrame]:
-    """Execute a run: the gated batch is checkpointed to the shared
-    checkpoint folder so both writes see the same rows, then the drop and the
-    ledger partition of ``batch_id`` are written (drop first)."""
+                batch_id: str, config: Mapping = DEFAULT_CONFIG) -> tuple[str | None, DataFrame]:
+    """Execute a run: the new rows are checkpointed to the shared checkpoint
+    folder so the gate and both writes see the same rows; below the gate
+    nothing is written (path None), else the drop and the ledger partition of
+    ``batch_id`` are written (drop first)."""
     checkpoint_root(payloads.sparkSession)
     result = harvest(payloads, ledger, config, materialize=True)
-    batch = result.new_papers.select(*PAPER_COLUMNS).checkpoint(eager=True)
+    # the new rows are computed once; the gate is their count
+    batch = result.candidates.select(*PAPER_COLUMNS).checkpoint(eager=True)
+    if batch.count() < int(config.get("min_new_papers", DEFAULT_MIN_NEW)):
+        return None, result.summary
     path = write_drop(batch, drop_dir, batch_id)
     append_ledger(batch, ledger_path, batch_id)
     return path, result.summary

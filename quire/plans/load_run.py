@@ -14,10 +14,10 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quire.operators.clean import cap_widths, conform, load_results, type_columns
-from quire.operators.seq import assign_seq
+from quire.operators.seq import assign_seq, assign_seq_in_file_order
 from quire.schemas import FAILED, PAPER_TYPED, PARTIAL, SUCCESS
 from quire.session import checkpoint_root
-from quire.sources.drops import list_drops, read_drops
+from quire.sources.drops import BROADCAST_MAX_FILES, list_drops, read_drops
 from quire.sources.sinks import append_load_log, append_papers
 from quire.sources.tables import max_log_id, max_seq, read_load_log, read_papers
 
@@ -50,7 +50,8 @@ def load_files(spark: SparkSession, paths: list[str], table_path: str, log_path:
     log = read_load_log(spark, log_path)
     batch = clean_drops(spark, paths, len(paths)).checkpoint(eager=True)
     base = max_seq(read_papers(spark, table_path))
-    numbered = assign_seq(batch, ["file_name", "_rid"], base)
+    numbered = assign_seq_in_file_order(batch, base,
+                                        broadcast_files=len(paths) <= BROADCAST_MAX_FILES)
     stored = numbered.select(
         "seq", *PAPER_TYPED.fieldNames(),
         F.lit(started).cast("timestamp_ntz").alias("loaded_at"))

@@ -64,7 +64,8 @@ def file_headers(raw: DataFrame) -> DataFrame:
 
 def read_drops(spark: SparkSession, paths: list[str] | str, n_files: int | None = None) -> DataFrame:
     """Data rows of the drops with the canonical paper columns (text), plus
-    ``file_name``, ``_rid`` (file order) and ``present`` (header columns).
+    ``file_name``, ``_rid`` (file order), ``_hrid`` (the header's row id) and
+    ``present`` (header columns).
 
     A column missing from a file's header is NULL (``present`` lacks it);
     header-only files give no rows.
@@ -78,4 +79,4 @@ def read_drops(spark: SparkSession, paths: list[str] | str, n_files: int | None
     cols = [F.when(F.col(f"_i_{c}") > 0, F.element_at(vals, F.col(f"_i_{c}"))).alias(c)
             for c in PAPER_COLUMNS]
     present = F.array_compact(F.array(*[F.when(F.col(f"_i_{c}") > 0, F.lit(c)) for c in PAPER_COLUMNS]))
-    return rows.select("file_name", "_rid", *cols, present.alias("present"))
+    return rows.select("file_name", "_rid", "_hrid", *cols, present.alias("present"))
