@@ -22,6 +22,10 @@ from quire.sources.sinks import append_load_log, append_papers
 from quire.sources.tables import max_log_id, max_seq, read_load_log, read_papers
 
 
+# Fixed value: error text logged for a drop without a header record.
+NO_HEADER = "No header record was found."
+
+
 @dataclass
 class LoadOutcome:
     files: int
@@ -43,21 +47,58 @@ def pending_files(files: DataFrame, log: DataFrame) -> DataFrame:
     return files.join(done, "path", "left_anti")
 
 
+def _clean_checked(spark: SparkSession, paths: list[str]):
+    """Cleaned rows of the files, checkpointed; when the joint read fails,
+    each file is tried alone and the ones that fail are returned with their
+    error (one bad file never stops the others)."""
+    try:
+        return clean_drops(spark, paths, len(paths)).checkpoint(eager=True), []
+    except Exception:  # noqa: BLE001 - any read failure: isolate the culprit
+        if len(paths) == 1:
+            good, failed = [], [(paths[0], None)]
+        else:
+            good, failed = [], []
+            for p in paths:
+                try:
+                    clean_drops(spark, [p], 1).limit(1).collect()
+                    good.append(p)
+                except Exception as e:  # noqa: BLE001
+                    failed.append((p, str(e).splitlines()[0][:2000] if str(e) else type(e).__name__))
+        if failed and failed[0][1] is None:
+            try:
+                clean_drops(spark, paths, 1).limit(1).collect()
+                msg = "load failed"
+            except Exception as e:  # noqa: BLE001
+                msg = str(e).splitlines()[0][:2000] if str(e) else type(e).__name__
+            failed = [(paths[0], msg)]
+        batch = clean_drops(spark, good, len(good)).checkpoint(eager=True) if good else None
+        return batch, failed
+
+
 def load_files(spark: SparkSession, paths: list[str], table_path: str, log_path: str,
-               load_id: str, started: dt.datetime) -> DataFrame:
-    """Load the given drop files; returns the log rows written."""
+               load_id: str, started: dt.datetime,
+               failed_files: list[tuple[str, str]] | None = None) -> DataFrame:
+    """Load the given drop files; returns the log rows written. Files that
+    cannot be read are logged FAILED with zero counts and the error."""
     checkpoint_root(spark)
     log = read_load_log(spark, log_path)
-    batch = clean_drops(spark, paths, len(paths)).checkpoint(eager=True)
-    base = max_seq(read_papers(spark, table_path))
-    numbered = assign_seq_in_file_order(batch, base,
-                                        broadcast_files=len(paths) <= BROADCAST_MAX_FILES)
-    stored = numbered.select(
-        "seq", *PAPER_TYPED.fieldNames(),
-        F.lit(started).cast("timestamp_ntz").alias("loaded_at"))
-    append_papers(stored, table_path, load_id)
+    batch, failed = _clean_checked(spark, paths) if paths else (None, [])
+    failed = failed + list(failed_files or [])
+    if batch is not None:
+        base = max_seq(read_papers(spark, table_path))
+        numbered = assign_seq_in_file_order(batch, base,
+                                            broadcast_files=len(paths) <= BROADCAST_MAX_FILES)
+        stored = numbered.select(
+            "seq", *PAPER_TYPED.fieldNames(),
+            F.lit(started).cast("timestamp_ntz").alias("loaded_at"))
+        append_papers(stored, table_path, load_id)
+        rows = batch
+    else:
+        rows = spark.createDataFrame([], "file_name string")
     finished = dt.datetime.now()
-    results = load_results(batch, started, finished)
+    failed_df = (spark.createDataFrame(failed, "file_name string, error_msg string")
+                 if failed else None)
+    results = load_results(rows, started, finished, failed_files=failed_df)
     first_id = max_log_id(log)
     log_rows = assign_seq(results, ["file_name"], first_id, seq_col="log_id")
     log_rows = log_rows.select("log_id", "file_name", "total_rows", "loaded_rows", "failed_rows",
@@ -66,23 +107,40 @@ def load_files(spark: SparkSession, paths: list[str], table_path: str, log_path:
     return read_load_log(spark, log_path).where(F.col("log_id") > first_id)
 
 
+def empty_drops(spark: SparkSession, drop_dir: str, glob: str = "*.csv") -> list[str]:
+    """Zero-byte drop files (Spark's file sources never list them), found
+    through Hadoop FileSystem metadata; they have no header and are FAILED."""
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    root = jvm.org.apache.hadoop.fs.Path(drop_dir)
+    fs = root.getFileSystem(conf)
+    out = []
+    for pattern in (f"{drop_dir.rstrip('/')}/{glob}", f"{drop_dir.rstrip('/')}/*/{glob}"):
+        for st in fs.globStatus(jvm.org.apache.hadoop.fs.Path(pattern)) or []:
+            if st.isFile() and st.getLen() == 0:
+                out.append(st.getPath().toString())
+    return sorted(out)
+
+
 def run_load(spark: SparkSession, drop_dir: str, table_path: str, log_path: str,
              load_id: str | None = None, now: dt.datetime | None = None,
-             archive_dir: str | None = None) -> LoadOutcome:
-    """List the drop folder, load every file not loaded yet, archive them."""
+             archive_dir: str | None = None, log_empty_files: bool = True) -> LoadOutcome:
+    """List the drop folder, load every file not loaded yet, archive the
+    loaded ones; FAILED files stay in place and are tried again next time."""
     started = now or dt.datetime.now()
     load_id = load_id or started.strftime("%Y%m%d%H%M%S%f")
     log = read_load_log(spark, log_path)
     files = pending_files(list_drops(spark, drop_dir), log)
     paths = [r.path for r in files.select("path").collect()]  # file names only
-    if not paths:
+    empty = [(p, NO_HEADER) for p in empty_drops(spark, drop_dir)] if log_empty_files else []
+    if not paths and not empty:
         return LoadOutcome(0, log.limit(0), 0)
-    written = load_files(spark, paths, table_path, log_path, load_id, started)
+    written = load_files(spark, paths, table_path, log_path, load_id, started, empty)
     loaded = written.agg(F.coalesce(F.sum("loaded_rows"), F.lit(0))).first()[0]
     if archive_dir:
         archive_files(spark, [r.file_name for r in written.where(F.col("status") != FAILED)
                               .select("file_name").collect()], archive_dir, dt.datetime.now())
-    return LoadOutcome(len(paths), written, int(loaded))
+    return LoadOutcome(len(paths) + len(empty), written, int(loaded))
 
 
 def archive_files(spark: SparkSession, paths: list[str], archive_dir: str,

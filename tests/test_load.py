@@ -64,3 +64,22 @@ def test_load_cycle_numbering_log_and_rerun(spark, scratch):
     assert read_load_log(spark, lg).agg(F.max("log_id")).first()[0] == 4
     archived = [f for _, _, fs in os.walk(ar) for f in fs if f.endswith(".csv")]
     assert archived == ["z_more.csv"]
+
+
+def test_failed_files_are_logged_and_kept(spark, scratch):
+    from quire.plans.load_run import load_files
+    drops = _drops(scratch)
+    open(os.path.join(drops, "zero.csv"), "w").close()
+    t, lg = os.path.join(scratch, "papers"), os.path.join(scratch, "log")
+    out = run_load(spark, drops, t, lg, archive_dir=os.path.join(scratch, "archive"))
+    log = {os.path.basename(r.file_name): r for r in out.log.collect()}
+    z = log["zero.csv"]
+    assert (z.status, z.total_rows, z.loaded_rows, z.failed_rows) == ("FAILED", 0, 0, 0)
+    assert z.error_msg and os.path.exists(os.path.join(drops, "zero.csv"))  # stays for a retry
+    assert out.loaded_rows == 7
+    # a file that vanished between listing and reading fails alone
+    good = os.path.join(HERE, "old_header.csv")
+    gone = os.path.join(drops, "vanished.csv")
+    w = load_files(spark, ["file:" + good, "file:" + gone], t + "2", lg + "2", "x", dt.datetime.now())
+    st = {os.path.basename(r.file_name): r.status for r in w.collect()}
+    assert st == {"old_header.csv": "SUCCESS", "vanished.csv": "FAILED"}
