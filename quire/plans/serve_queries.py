@@ -140,3 +140,24 @@ def load_duration(spark, sf_dir):
     """Per-run duration in seconds and as display text."""
     return Q.with_duration(load_log_fx(spark, sf_dir)).select(
         "log_id", "status", "duration_sec", "duration_text")
+
+
+@register("load_stats_empty", LG + """
+SELECT count(*) AS total,
+       cast(coalesce(sum(CASE WHEN status IN ('SUCCESS', 'PARTIAL') THEN 1 ELSE 0 END), 0) AS bigint) AS success,
+       cast(coalesce(sum(CASE WHEN status = 'FAILED' THEN 1 ELSE 0 END), 0) AS bigint) AS failed,
+       cast(coalesce(sum(cast(loaded_rows AS bigint)), 0) AS bigint) AS loaded_rows
+FROM load_log_fx WHERE status = 'RUNNING'""")
+def load_stats_empty(spark, sf_dir):
+    """Statistics of an empty selection: one row of zeros."""
+    return Q.load_stats(load_log_fx(spark, sf_dir).where(F.col("status") == "RUNNING"))
+
+
+@register("paper_listing_past_end", P + f"""
+SELECT count(*) OVER () AS total_count, {_LIST}
+FROM papers_fx WHERE site_name ILIKE '%src2%' ORDER BY journal ASC NULLS FIRST, seq ASC
+LIMIT 20 OFFSET 1000000""")
+def paper_listing_past_end(spark, sf_dir):
+    """A page past the last row: no rows (the total is then reported as 0)."""
+    return Q.list_papers(papers_fx(spark, sf_dir), skip=1_000_000, take=20, site="src2",
+                         sort="journal", order="asc")

@@ -7,7 +7,7 @@ own output instead of duplicating it.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Observation, functions as F
 
 from quire.schemas import PAPER_COLUMNS
 

@@ -38,3 +38,13 @@ def max_seq(papers: DataFrame) -> int:
 def max_log_id(log: DataFrame) -> int:
     v = log.agg(F.max("log_id")).first()[0]
     return int(v or 0)
+
+
+def ensure_tables(spark: SparkSession, table_path: str, log_path: str) -> None:
+    """Create the paper table and the load log empty when missing
+    (idempotent; existing tables are left as they are)."""
+    for path, schema in ((table_path, PAPER_STORED), (log_path, LOAD_LOG)):
+        try:
+            spark.read.parquet(path).limit(0).collect()
+        except AnalysisException:
+            spark.createDataFrame([], schema).write.mode("ignore").parquet(path)
