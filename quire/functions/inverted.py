@@ -16,5 +16,6 @@ def text_from_inverted_index(m) -> Column:
         F.map_entries(m),
         lambda e: F.struct(F.array_min(e["value"]).alias("p"), e["key"].alias("w")),
     )
-    ordered = F.array_sort(pairs)
+    # sort_array's natural ordering is cheaper than array_sort's comparator
+    ordered = F.sort_array(pairs)
     return F.coalesce(F.array_join(F.transform(ordered, lambda x: x["w"]), " "), F.lit(""))

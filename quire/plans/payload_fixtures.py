@@ -80,7 +80,7 @@ def with_inverted_index(df: DataFrame, text: str = "text", out: str = "inv",
     expression it references)."""
     cond = F.lit(True) if when is None else when
     words = F.split(F.col(text), " ")
-    df = df.withColumn("_pairs", F.when(cond, F.array_sort(
+    df = df.withColumn("_pairs", F.when(cond, F.sort_array(
         F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("p"))))))
     n = F.size("_pairs")
     pairs = F.col("_pairs")
