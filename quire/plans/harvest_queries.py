@@ -95,13 +95,16 @@ def harvest_summary(spark, sf_dir):
 
 
 _GRID_VALUES = ", ".join(
-    f"('{n}', {R.DEFAULT_CONFIG['sources'].get(n, {}).get('max_results', 20) if n != 'google_scholar' else 5})"
+    "('{}', {})".format(n, R.DEFAULT_CONFIG["sources"][n].get("max_results", "NULL"))
     for n in N.SOURCES)
 
 
 @register("task_grid", f"""
-SELECT s.source, n.n_name AS keyword, n.n_nationkey AS keyword_idx, s.lim AS "limit"
-FROM nation n CROSS JOIN (VALUES {_GRID_VALUES}) AS s(source, lim)""")
+SELECT s.source, n.n_name AS keyword, n.n_nationkey AS keyword_idx,
+       least(coalesce(s.max_results, 20),
+             CASE s.source WHEN 'semantic_scholar' THEN 100 WHEN 'google_scholar' THEN 10
+                           ELSE 2147483647 END) AS "limit"
+FROM nation n CROSS JOIN (VALUES {_GRID_VALUES}) AS s(source, max_results)""")
 def task_grid(spark, sf_dir):
     """Keyword x enabled-source grid with row limits (J11, J12); keywords
     from ``nation``, sources from the shipped configuration."""

@@ -20,13 +20,24 @@ from quire.session import checkpoint_root
 from quire.sources import normalisers as N
 from quire.sources.sinks import append_ledger, write_drop
 
-# The shipped harvest configuration (all sources on, 20 rows per
-# task, 5 for the scraping source, at least 3 new rows to write).
+# The shipped harvest configuration (keywords are supplied by
+# the run): rows per task, minimum new rows to write, and the sources.
 DEFAULT_CONFIG = {
     "max_results_per_source": 20,
     "min_new_papers": 3,
-    "sources": {name: {"enabled": True} for name in N.SOURCES}
-    | {"google_scholar": {"enabled": True, "max_results": 5}},
+    "sources": {
+        "arxiv": {"enabled": True},
+        "semantic_scholar": {"enabled": True},
+        "openalex": {"enabled": True},
+        "crossref": {"enabled": True},
+        "europepmc": {"enabled": True},
+        "core": {"enabled": True},
+        "base": {"enabled": True},
+        "google_scholar": {"enabled": True, "max_results": 5},
+        "ieee_xplore": {"enabled": True},
+        "plos": {"enabled": True},
+        "doaj": {"enabled": True},
+    },
 }
 
 
