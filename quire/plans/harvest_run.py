@@ -77,6 +77,8 @@ def harvest(payloads: DataFrame, ledger: DataFrame, config: Mapping = DEFAULT_CO
     if materialize:
         checkpoint_root(payloads.sparkSession)
         parsed = parsed.checkpoint(eager=True)
+        if batch_rows is None:  # upper bound of the run's rows, no explode needed
+            batch_rows = int(parsed.agg(F.coalesce(F.sum(F.size("papers")), F.lit(0))).first()[0])
     keyed = drop_blank_keys(capped_rows(payloads, config, parsed))
     first = dedup_first(keyed, PAPER_KEY, ["keyword_idx", "item_pos"])
     new = new_vs_ledger(first, ledger, PAPER_KEY, batch_rows=batch_rows)
