@@ -185,7 +185,7 @@ def _run(spark, sf_dir):
 def harvest_new_papers(spark, sf_dir):
     """Flagship harvest: every source's responses -> caps -> dedup -> minus
     the keys of an earlier run (English documents) -> gate."""
-    return _run(spark, sf_dir).new_papers.select(*PAPER_COLUMNS)
+    return R.gated_batch(_run(spark, sf_dir)).select(*PAPER_COLUMNS)
 
 
 @register("harvest_run_summary", HARVEST_SQL + _SUMMARY_TASKS + """

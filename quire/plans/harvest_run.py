@@ -86,6 +86,15 @@ def harvest(payloads: DataFrame, ledger: DataFrame, config: Mapping = DEFAULT_CO
     return HarvestResult(gate(new, min_new), harvest_summary(new, status), new)
 
 
+def gated_batch(result: HarvestResult, config: Mapping = DEFAULT_CONFIG) -> DataFrame:
+    """The run's new rows, computed once (checkpointed) and gated by their
+    count: all of them, or none below ``min_new_papers``."""
+    batch = result.candidates.checkpoint(eager=True)
+    if batch.count() < int(config.get("min_new_papers", DEFAULT_MIN_NEW)):
+        return batch.limit(0)
+    return batch
+
+
 def run_harvest(payloads: DataFrame, ledger: DataFrame, ledger_path: str, drop_dir: str,
                 batch_id: str, config: Mapping = DEFAULT_CONFIG) -> tuple[str | None, DataFrame]:
     """Execute a run: the new rows are checkpointed to the shared checkpoint
@@ -95,8 +104,8 @@ def run_harvest(payloads: DataFrame, ledger: DataFrame, ledger_path: str, drop_d
     checkpoint_root(payloads.sparkSession)
     result = harvest(payloads, ledger, config, materialize=True)
     # the new rows are computed once; the gate is their count
-    batch = result.candidates.select(*PAPER_COLUMNS).checkpoint(eager=True)
-    if batch.count() < int(config.get("min_new_papers", DEFAULT_MIN_NEW)):
+    batch = gated_batch(result, config).select(*PAPER_COLUMNS)
+    if batch.isEmpty():
         return None, result.summary
     path = write_drop(batch, drop_dir, batch_id)
     append_ledger(batch, ledger_path, batch_id)
