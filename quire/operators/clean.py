@@ -82,3 +82,16 @@ def load_results(rows: DataFrame, started_at, finished_at, bad_col: str | None =
             F.col("error_msg").cast("string")))
     return res.withColumn("started_at", F.lit(started_at).cast("timestamp_ntz")) \
               .withColumn("finished_at", F.lit(finished_at).cast("timestamp_ntz"))
+
+
+def unparsed_dates_by_site(raw: DataFrame, date_col: str = "published_date",
+                           site_col: str = "site_name") -> DataFrame:
+    """Per site: rows with date text, and how many of them no rule could
+    type (J41 report). ``raw`` holds the date as text."""
+    from quire.functions.dates import parse_pub_date
+    from quire.functions.text import py_strip
+    has_text = F.length(py_strip(F.coalesce(F.col(date_col), F.lit("")))) > 0
+    typed = parse_pub_date(F.col(date_col))
+    return raw.groupBy(site_col).agg(
+        F.count_if(has_text).alias("dated_rows"),
+        F.count_if(has_text & typed.isNull()).alias("unparsed_dates"))

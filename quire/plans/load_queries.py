@@ -232,3 +232,33 @@ def assign_seq_query(spark, sf_dir):
     """Contiguous surrogate keys in (source, doc_id) order."""
     d = table(spark, sf_dir, "documents").select("source", "doc_id")
     return assign_seq(d, ["source", "doc_id"], 0)
+
+
+_SITE_DATE_SQL = """CASE doc_id % 6
+  WHEN 0 THEN '2021-0' || cast(1 + doc_id % 9 AS varchar) || '-1' || cast(doc_id % 10 AS varchar)
+  WHEN 1 THEN 'Spring ' || cast(2000 + doc_id % 25 AS varchar)
+  WHEN 2 THEN cast(1890 + doc_id % 20 AS varchar)
+  WHEN 3 THEN ''
+  WHEN 4 THEN cast(doc_id % 28 + 1 AS varchar) || ' March 2020'
+  ELSE '2020-13-01' END"""
+
+
+@register("unparsed_dates", f"""
+SELECT source AS site_name,
+       count(*) FILTER (WHERE length({_strip_sql('raw')}) > 0) AS dated_rows,
+       count(*) FILTER (WHERE length({_strip_sql('raw')}) > 0 AND ({pub_date_sql('raw')}) IS NULL) AS unparsed_dates
+FROM (SELECT source, {_SITE_DATE_SQL} AS raw FROM documents) GROUP BY source""")
+def unparsed_dates(spark, sf_dir):
+    """Per-site count of date text no rule can type (J41 report)."""
+    doc = F.col("doc_id")
+    k = doc % 6
+    raw = (F.when(k == 0, F.concat(F.lit("2021-0"), (1 + doc % 9).cast("string"), F.lit("-1"),
+                                   (doc % 10).cast("string")))
+           .when(k == 1, F.concat(F.lit("Spring "), (2000 + doc % 25).cast("string")))
+           .when(k == 2, (1890 + doc % 20).cast("string"))
+           .when(k == 3, F.lit(""))
+           .when(k == 4, F.concat((doc % 28 + 1).cast("string"), F.lit(" March 2020")))
+           .otherwise(F.lit("2020-13-01")))
+    d = table(spark, sf_dir, "documents").select(F.col("source").alias("site_name"),
+                                                raw.alias("published_date"))
+    return C.unparsed_dates_by_site(d)

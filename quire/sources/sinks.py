@@ -54,3 +54,15 @@ def append_load_log(log_rows: DataFrame, log_path: str, load_id: str) -> None:
     """Append the per-file log rows of one load (separate write after the data)."""
     _overwrite_partitions(log_rows.withColumn("load_id", F.lit(load_id))) \
         .partitionBy("load_id").parquet(log_path)
+
+
+def append_papers_jdbc(typed: DataFrame, url: str, table: str, properties: dict | None = None,
+                       batch_size: int = 2000) -> None:
+    """Optional target: append typed rows to a database table over JDBC in
+    batches of ``batch_size`` rows (the database assigns its own surrogate
+    key). Not idempotent: callers skip files already in the load log."""
+    w = typed.write.format("jdbc").mode("append").option("url", url) \
+        .option("dbtable", table).option("batchsize", int(batch_size))
+    for k, v in (properties or {}).items():
+        w = w.option(k, v)
+    w.save()

@@ -10,7 +10,7 @@ from quire.plans.load_run import clean_drops, run_load
 from quire.sources.tables import read_load_log, read_papers
 
 HERE = os.path.join(os.path.dirname(__file__), "drops")
-FILES = ["full_bom_crlf.csv", "old_header.csv", "reordered.csv", "header_only.csv"]
+FILES = ["full_bom_crlf.csv", "old_header.csv", "reordered.csv", "header_only.csv"]  # upper_header.csv: own test
 
 
 def _drops(scratch):
@@ -83,3 +83,9 @@ def test_failed_files_are_logged_and_kept(spark, scratch):
     w = load_files(spark, ["file:" + good, "file:" + gone], t + "2", lg + "2", "x", dt.datetime.now())
     st = {os.path.basename(r.file_name): r.status for r in w.collect()}
     assert st == {"old_header.csv": "SUCCESS", "vanished.csv": "FAILED"}
+
+
+def test_header_names_resolve_case_insensitively(spark):
+    r = clean_drops(spark, os.path.join(HERE, "upper_header.csv")).first()
+    assert (r.site_name, r.paper_number, r.doi, r.citation_count, r.journal) == \
+        ("PLOS", "U1", "10.9/u", 3, "JU")
