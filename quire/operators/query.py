@@ -1,8 +1,8 @@
 """Questions asked of the paper table and the load log.
 
 All are lazy DataFrames. Paging uses TakeOrderedAndProject (each partition
-keeps only skip+take rows); totals are a partial/final aggregate joined to
-the page as a one-row broadcast, never a window over all rows.
+keeps only skip+take rows); totals are a partial/final aggregate evaluated
+once as a scalar subquery, never a window over all rows.
 """
 
 from __future__ import annotations
@@ -80,8 +80,10 @@ def list_papers(papers: DataFrame, skip: int = DEFAULT_SKIP, take: int = DEFAULT
             for c in cols]
     # sort keys may be outside the projection; Catalyst prunes the rest
     page = df.orderBy(*keys).select(*proj).offset(skip).limit(take)
-    total = df.agg(F.count(F.lit(1)).alias("total_count"))
-    return page.crossJoin(F.broadcast(total)).select("total_count", *cols)
+    # the total is an uncorrelated scalar subquery: one partial/final count,
+    # evaluated once, no join and no window over the rows
+    total = df.agg(F.count(F.lit(1))).scalar()
+    return page.select(total.alias("total_count"), *cols)
 
 
 def fetch_page(papers: DataFrame, **kw) -> dict:
