@@ -193,4 +193,5 @@ SELECT t.src AS source, t.tasks, t.errors, coalesce(n.c, 0) AS new_papers
 FROM tasks t LEFT JOIN (SELECT src, count(*) AS c FROM r2_new GROUP BY src) n USING (src)""")
 def harvest_run_summary(spark, sf_dir):
     """Per-source summary of the flagship run."""
-    return _run(spark, sf_dir).summary
+    res = _run(spark, sf_dir)
+    return H.harvest_summary(res.candidates.checkpoint(eager=True), res.status)

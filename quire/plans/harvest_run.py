@@ -46,6 +46,7 @@ class HarvestResult:
     new_papers: DataFrame      # gated rows to write (PAPER_RAW + task columns)
     summary: DataFrame         # per source: tasks, errors, new_papers
     candidates: DataFrame      # new rows before the gate
+    status: DataFrame          # one row per response: source, keyword, keyword_idx, ok
 
 
 def capped_rows(payloads: DataFrame, config: Mapping = DEFAULT_CONFIG,
@@ -83,7 +84,7 @@ def harvest(payloads: DataFrame, ledger: DataFrame, config: Mapping = DEFAULT_CO
     first = dedup_first(keyed, PAPER_KEY, ["keyword_idx", "item_pos"])
     new = new_vs_ledger(first, ledger, PAPER_KEY, batch_rows=batch_rows)
     status = N.task_status(payloads, parsed=parsed)
-    return HarvestResult(gate(new, min_new), harvest_summary(new, status), new)
+    return HarvestResult(gate(new, min_new), harvest_summary(new, status), new, status)
 
 
 def gated_batch(result: HarvestResult, config: Mapping = DEFAULT_CONFIG) -> DataFrame:
@@ -103,10 +104,13 @@ def run_harvest(payloads: DataFrame, ledger: DataFrame, ledger_path: str, drop_d
     ``batch_id`` are written (drop first)."""
     checkpoint_root(payloads.sparkSession)
     result = harvest(payloads, ledger, config, materialize=True)
-    # the new rows are computed once; the gate is their count
-    batch = gated_batch(result, config).select(*PAPER_COLUMNS)
-    if batch.isEmpty():
-        return None, result.summary
+    # the new rows are computed once; the gate is their count, the summary
+    # counts them per source
+    cand = result.candidates.checkpoint(eager=True)
+    summary = harvest_summary(cand, result.status)
+    if cand.count() < int(config.get("min_new_papers", DEFAULT_MIN_NEW)):
+        return None, summary
+    batch = cand.select(*PAPER_COLUMNS)
     path = write_drop(batch, drop_dir, batch_id)
     append_ledger(batch, ledger_path, batch_id)
-    return path, result.summary
+    return path, summary

@@ -330,7 +330,7 @@ def _expressions(spark, sources: tuple[str, ...]):
     """The parse / ok / papers expressions for a source set. They do not
     depend on the DataFrame, so they are built once per session (building
     them costs thousands of JVM calls)."""
-    key = (id(spark.sparkContext), sources)
+    key = (spark.sparkContext.applicationId, sources)
     if key not in _EXPR_CACHE:
         src = F.col("source")
         parse_cols = [F.when(src == F.lit(s), _parse_expr(s)).alias(f"_p_{s}") for s in sources]
