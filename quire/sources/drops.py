@@ -18,6 +18,8 @@ from quire.schemas import PAPER_COLUMNS
 MAX_FIELDS = 40
 POS = [f"_c{i}" for i in range(MAX_FIELDS)]
 POSITIONAL = T.StructType([T.StructField(c, T.StringType()) for c in POS])
+# Characters of a cell kept for header matching (column names are short).
+HEADER_CHARS = 64
 # Per-file tables up to this many files are broadcast; above, a shuffle join.
 BROADCAST_MAX_FILES = 200_000
 
@@ -54,8 +56,11 @@ def read_raw(spark: SparkSession, paths: list[str] | str) -> DataFrame:
 def file_headers(raw: DataFrame) -> DataFrame:
     """One row per file: the header row id and, per canonical column, its
     1-based position in that file's header (0 when the header lacks it)."""
+    # a header cell longer than HEADER_CHARS can never name a paper column, so
+    # values are cut first: the (sort-based) aggregate moves short rows only
+    cut = F.struct(*[F.left(F.col(c), F.lit(HEADER_CHARS)).alias(c) for c in POS])
     first = raw.groupBy("file_name").agg(
-        F.min_by(F.struct(*POS), F.col("_rid")).alias("h"), F.min("_rid").alias("_hrid"))
+        F.min_by(cut, F.col("_rid")).alias("h"), F.min("_rid").alias("_hrid"))
     names = F.array(*[_norm_header(F.col("h")[c]) for c in POS])
     return first.select(
         "file_name", "_hrid",
