@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from quire.functions.dates import parse_int, parse_pub_date, parse_timestamp
-from quire.schemas import (FAILED, OPTIONAL_COLUMNS, PAPER_COLUMNS, PARTIAL, REQUIRED_TEXT_COLUMNS,
+from quire.schemas import (FAILED, PAPER_COLUMNS, PARTIAL, REQUIRED_TEXT_COLUMNS,
                            SUCCESS, WIDTHS)
 
 

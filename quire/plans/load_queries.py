@@ -3,7 +3,6 @@ column back-fill, CSV round trip, per-file load results, numbering."""
 
 from __future__ import annotations
 
-import uuid
 
 from pyspark.sql import functions as F
 

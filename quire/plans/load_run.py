@@ -91,7 +91,9 @@ def load_files(spark: SparkSession, paths: list[str], table_path: str, log_path:
         stored = numbered.select(
             "seq", *PAPER_TYPED.fieldNames(),
             F.lit(started).cast("timestamp_ntz").alias("loaded_at"))
-        append_papers(stored, table_path, load_id)
+        written = append_papers(stored, table_path, load_id)
+        if written != batch.count():  # both come from the same checkpoint
+            raise RuntimeError(f"load {load_id}: wrote {written} rows of {batch.count()}")
         rows = batch
     else:
         rows = spark.createDataFrame([], "file_name string")

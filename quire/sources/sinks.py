@@ -42,12 +42,17 @@ def append_ledger(papers: DataFrame, ledger_path: str, batch_id: str) -> None:
 
 
 def append_papers(typed: DataFrame, table_path: str, load_id: str,
-                  max_records_per_file: int = 0) -> None:
-    """Append loaded rows under their ``load_id`` partition (idempotent)."""
-    w = _overwrite_partitions(typed.withColumn("load_id", F.lit(load_id)))
+                  max_records_per_file: int = 0) -> int:
+    """Append loaded rows under their ``load_id`` partition (idempotent).
+    Returns the number of rows written, observed during the write itself
+    (no second job); ``max_records_per_file`` plays the bulk-copy batch size."""
+    obs = Observation(f"append_{load_id}")
+    observed = typed.observe(obs, F.count(F.lit(1)).alias("rows"))
+    w = _overwrite_partitions(observed.withColumn("load_id", F.lit(load_id)))
     if max_records_per_file:
         w = w.option("maxRecordsPerFile", max_records_per_file)
     w.partitionBy("load_id").parquet(table_path)
+    return int(obs.get.get("rows", 0))
 
 
 def append_load_log(log_rows: DataFrame, log_path: str, load_id: str) -> None:

@@ -5,6 +5,7 @@ import os
 
 import pytest
 
+from quire.schemas import PAYLOADS
 from quire.sources import normalisers as N
 
 HERE = os.path.join(os.path.dirname(__file__), "payloads")
@@ -17,9 +18,7 @@ def payloads(spark, source, name=None, status=200):
               encoding="utf-8") as f:
         body = f.read()
     ts = dt.datetime(2024, 1, 2, 3, 4, 5)
-    return spark.createDataFrame([(source, "kw", 0, ts, status, body, name)], N.PAYLOADS if False
-                                 else "source string, keyword string, keyword_idx int, "
-                                      "fetched_at timestamp_ntz, status_code int, body string, file_path string")
+    return spark.createDataFrame([(source, "kw", 0, ts, status, body, name)], PAYLOADS)
 
 
 def rows(spark, source, **kw):
