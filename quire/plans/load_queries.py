@@ -152,8 +152,9 @@ SELECT seq, url, site_name, paper_number, title, authors,
   CASE WHEN site_name IN ('src1', 'src5') THEN NULL ELSE coalesce(journal, '') END AS journal
 FROM papers_fx""")
 def conform_columns(spark, sf_dir):
-    """Back-fill and empty-versus-NULL (J40, J43): files of two sites have
-    the old header without the optional columns; read empty fields are NULL."""
+    """Back-fill and empty-versus-NULL (J40, J43) on parsed rows: the rows of
+    two sites carry an old header (their header list lacks the optional
+    columns), and empty fields arrive as NULL, as the CSV reader gives them."""
     p = papers_fx(spark, sf_dir)
     old = F.col("site_name").isin("src1", "src5")
     full = F.array(*[F.lit(c) for c in PAPER_COLUMNS])
@@ -195,14 +196,16 @@ SELECT site_name AS drop_key, cast(count(*) AS int) AS total_rows, cast(count(*)
 FROM papers_fx GROUP BY site_name""")
 def load_results(spark, sf_dir):
     """A full load cycle (J02-J10, J40-J47) over drops written one folder per
-    site; the log rows are reported by drop folder."""
+    site, loaded files archived afterwards; the log rows are reported by drop
+    folder."""
     root = scratch_path(spark, "load")
     p = papers_fx(spark, sf_dir).withColumn("drop", F.col("site_name"))
     (p.select(*[F.col(c).cast("string") for c in PAPER_COLUMNS if c != "extracted_at"],
               F.lit("2024-01-01 00:00:00").alias("extracted_at"), "drop")
      .repartition("drop").write.partitionBy("drop").option("header", True)
      .option("quoteAll", True).option("escape", '"').csv(f"{root}/drops"))
-    out = run_load(spark, f"{root}/drops", f"{root}/papers", f"{root}/log")
+    out = run_load(spark, f"{root}/drops", f"{root}/papers", f"{root}/log",
+                   archive_dir=f"{root}/archive")
     return out.log.select(
         F.regexp_extract("file_name", r"drop=([^/]+)/", 1).alias("drop_key"),
         "total_rows", "loaded_rows", "failed_rows", "status")
