@@ -40,3 +40,17 @@ def test_caps_per_task(spark):
     per = capped_rows(pay).groupBy("source", "keyword").count()
     lim = per.groupBy("source").agg(F.max("count").alias("m")).collect()
     assert all(r.m <= (5 if r.source == "google_scholar" else 20) for r in lim)
+
+
+def test_source_limits_and_grid(spark):
+    from quire.operators.harvest import source_limits, task_grid
+    cfg = {"max_results_per_source": 150, "sources": {
+        "arxiv": {"enabled": True}, "semantic_scholar": {"enabled": True},
+        "google_scholar": {"enabled": True, "max_results": 50}, "plos": {"enabled": False},
+        "nowhere": {"enabled": True}}}
+    lim = source_limits(cfg, N.SOURCES)
+    assert lim == {"arxiv": 150, "semantic_scholar": 100, "google_scholar": 10}
+    kw = spark.createDataFrame([("a", 0), ("b", 1)], "keyword string, keyword_idx int")
+    grid = task_grid(kw, cfg, N.SOURCES).collect()
+    assert len(grid) == 6 and {r.source for r in grid} == set(lim)
+    assert {(r.source, r.limit) for r in grid} == set(lim.items())

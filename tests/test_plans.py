@@ -42,3 +42,11 @@ def test_seq_has_no_single_partition_window_over_rows(spark):
     assert "rangepartitioning" in p
     # the only window runs on the per-partition counts behind a broadcast
     assert p.count("Window") <= 1 and "BroadcastExchange" in p
+
+
+def test_small_batch_ledger_join_is_broadcast(spark):
+    df = E.queries()["new_vs_ledger_broadcast"](spark, SMOKE)
+    df.collect()
+    p = plan(df)
+    assert "BroadcastHashJoin" in p and "LeftAnti" in p and "LeftSemi" in p
+    assert "SortMergeJoin" not in p
