@@ -9,6 +9,8 @@ archive loaded files.
 from __future__ import annotations
 
 import datetime as dt
+import hashlib
+import warnings
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -75,6 +77,13 @@ def _clean_checked(spark: SparkSession, paths: list[str]):
         return batch, failed
 
 
+def files_load_id(paths: list[str]) -> str:
+    """A load id derived from the file set: loading the same files again
+    (after a failure before their log rows were written) overwrites the same
+    paper partition instead of appending the rows twice."""
+    return "f" + hashlib.sha1("\n".join(sorted(paths)).encode("utf-8")).hexdigest()[:20]
+
+
 def load_files(spark: SparkSession, paths: list[str], table_path: str, log_path: str,
                load_id: str, started: dt.datetime,
                failed_files: list[tuple[str, str]] | None = None) -> DataFrame:
@@ -105,7 +114,11 @@ def load_files(spark: SparkSession, paths: list[str], table_path: str, log_path:
     log_rows = assign_seq(results, ["file_name"], first_id, seq_col="log_id")
     log_rows = log_rows.select("log_id", "file_name", "total_rows", "loaded_rows", "failed_rows",
                                "status", "error_msg", "started_at", "finished_at")
-    append_load_log(log_rows, log_path, load_id)
+    try:
+        append_load_log(log_rows, log_path, load_id)
+    except Exception as e:  # noqa: BLE001 - a log failure never undoes the load
+        warnings.warn(f"load {load_id}: log write failed, files stay for a retry: {e}")
+        return log_rows.limit(0)
     return read_load_log(spark, log_path).where(F.col("log_id") > first_id)
 
 
@@ -130,13 +143,13 @@ def run_load(spark: SparkSession, drop_dir: str, table_path: str, log_path: str,
     """List the drop folder, load every file not loaded yet, archive the
     loaded ones; FAILED files stay in place and are tried again next time."""
     started = now or dt.datetime.now()
-    load_id = load_id or started.strftime("%Y%m%d%H%M%S%f")
     log = read_load_log(spark, log_path)
     files = pending_files(list_drops(spark, drop_dir), log)
     paths = [r.path for r in files.select("path").collect()]  # file names only
     empty = [(p, NO_HEADER) for p in empty_drops(spark, drop_dir)] if log_empty_files else []
     if not paths and not empty:
         return LoadOutcome(0, log.limit(0), 0)
+    load_id = load_id or files_load_id(paths)
     written = load_files(spark, paths, table_path, log_path, load_id, started, empty)
     loaded = written.agg(F.coalesce(F.sum("loaded_rows"), F.lit(0))).first()[0]
     if archive_dir:

@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 
-from quire.plans.load_run import archive_files, load_files, pending_files
+from quire.plans.load_run import archive_files, files_load_id, load_files, pending_files
 from quire.schemas import FAILED
 from quire.sources.tables import read_load_log
 from quire.streaming.common import run_available
@@ -42,7 +42,7 @@ def load_stream(spark: SparkSession, drop_dir: str, table_path: str, log_path: s
         if not names:
             return
         started = dt.datetime.now()
-        written = load_files(spark, names, table_path, log_path, f"e{epoch_id:08d}", started)
+        written = load_files(spark, names, table_path, log_path, files_load_id(names), started)
         if archive_dir:
             archive_files(spark, [r.file_name for r in written.where(F.col("status") != FAILED)
                                   .select("file_name").collect()], archive_dir, dt.datetime.now())

@@ -89,3 +89,20 @@ def test_header_names_resolve_case_insensitively(spark):
     r = clean_drops(spark, os.path.join(HERE, "upper_header.csv")).first()
     assert (r.site_name, r.paper_number, r.doi, r.citation_count, r.journal) == \
         ("PLOS", "U1", "10.9/u", 3, "JU")
+
+
+def test_retry_after_log_failure_does_not_duplicate(spark, scratch, monkeypatch):
+    import quire.plans.load_run as LR
+    drops = _drops(scratch)
+    t, lg = os.path.join(scratch, "papers"), os.path.join(scratch, "log")
+
+    def broken(*a, **k):
+        raise OSError("log store unavailable")
+    monkeypatch.setattr(LR, "append_load_log", broken)
+    first = run_load(spark, drops, t, lg)
+    assert first.log.count() == 0 and read_papers(spark, t).count() == 7   # data kept
+    monkeypatch.undo()
+    second = run_load(spark, drops, t, lg)
+    assert second.loaded_rows == 7
+    assert read_papers(spark, t).count() == 7      # same files -> same partition, replaced
+    assert read_papers(spark, t).select("seq").distinct().count() == 7
