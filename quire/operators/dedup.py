@@ -28,7 +28,7 @@ def dedup_first(df: DataFrame, keys: list[str] = PAPER_KEY,
 
 
 def new_vs_ledger(df: DataFrame, ledger: DataFrame, keys: list[str] = PAPER_KEY,
-                  batch_rows: int | None = None, broadcast_max_rows: int = 2_000_000) -> DataFrame:
+                  batch_rows: int | None = None, broadcast_max_rows: int = 500_000) -> DataFrame:
     """Rows of ``df`` whose key is not in ``ledger`` (exact, case-sensitive).
 
     Default plan: shuffle anti join on the key (AQE may turn it into a

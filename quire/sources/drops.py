@@ -21,7 +21,7 @@ POSITIONAL = T.StructType([T.StructField(c, T.StringType()) for c in POS])
 # Characters of a cell kept for header matching (column names are short).
 HEADER_CHARS = 64
 # Per-file tables up to this many files are broadcast; above, a shuffle join.
-BROADCAST_MAX_FILES = 200_000
+BROADCAST_MAX_FILES = 100_000
 
 
 def list_drops(spark: SparkSession, drop_dir: str, glob: str = "*.csv",
