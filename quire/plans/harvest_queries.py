@@ -100,16 +100,17 @@ _GRID_VALUES = ", ".join(
 
 
 @register("task_grid", f"""
-SELECT s.source, n.n_name AS keyword, n.n_nationkey AS keyword_idx,
+SELECT s.source, p.p_name AS keyword, cast(p.p_partkey AS int) AS keyword_idx,
        least(coalesce(s.max_results, 20),
              CASE s.source WHEN 'semantic_scholar' THEN 100 WHEN 'google_scholar' THEN 10
                            ELSE 2147483647 END) AS "limit"
-FROM nation n CROSS JOIN (VALUES {_GRID_VALUES}) AS s(source, max_results)""")
+FROM part p CROSS JOIN (VALUES {_GRID_VALUES}) AS s(source, max_results)""")
 def task_grid(spark, sf_dir):
-    """Keyword x enabled-source grid with row limits (J11, J12); keywords
-    from ``nation``, sources from the shipped configuration."""
-    kw = table(spark, sf_dir, "nation").select(F.col("n_name").alias("keyword"),
-                                               F.col("n_nationkey").alias("keyword_idx"))
+    """Keyword x enabled-source grid with row limits (J11, J12); one keyword
+    entry per ``part`` row (so the grid grows with the data), sources from
+    the shipped configuration."""
+    kw = table(spark, sf_dir, "part").select(F.col("p_name").alias("keyword"),
+                                             F.col("p_partkey").alias("keyword_idx"))
     return H.task_grid(kw, R.DEFAULT_CONFIG, N.SOURCES)
 
 
