@@ -50,3 +50,12 @@ def test_small_batch_ledger_join_is_broadcast(spark):
     p = plan(df)
     assert "BroadcastHashJoin" in p and "LeftAnti" in p and "LeftSemi" in p
     assert "SortMergeJoin" not in p
+
+
+def test_hot_group_spreads_over_range_partitions(spark):
+    from pyspark.sql import functions as F
+    from quire.operators.seq import assign_seq
+    d = table(spark, "/root/testdata/sf0.01", "documents").select("lang", "doc_id")
+    out = assign_seq(d, ["lang", "doc_id"], 0, partitions=8)
+    parts = out.where(F.col("lang") == "en").select(F.spark_partition_id().alias("p")).distinct().count()
+    assert parts >= 3   # the 60% group is not in one task
