@@ -26,8 +26,10 @@ def parse_pub_date(c) -> Column:
     1. strict ``yyyy-MM-dd``;
     2. seven characters ``yyyy-MM`` -> first of the month;
     3. four digits with 1900 <= year <= 2100 -> 1 January;
-    4. general fallback, closed list: ``yyyy-M-d``, ``yyyy-M``,
-       ``d MMMM yyyy``, ``MMMM yyyy`` and ISO timestamps (date as written);
+    4. general fallback, closed list: ``yyyy-M-d``, ``yyyy-M``, ``yyyy/M/d``,
+       ``M/d/yyyy`` (month first, as the invariant culture reads it),
+       ``d MMMM yyyy``, ``MMMM yyyy``, ``MMMM d, yyyy`` (full or three-letter
+       month names) and ISO timestamps (date as written);
     5. anything else (blank, ``None``, other years) -> NULL.
     """
     raw = py_strip(_c(c))
@@ -41,8 +43,14 @@ def parse_pub_date(c) -> Column:
               F.make_date(year4, F.lit(1), F.lit(1)))
         .when(raw.rlike(r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}$"), _date(raw, "yyyy-M-d"))
         .when(raw.rlike(r"^[0-9]{4}-[0-9]{1,2}$"), _date(raw, "yyyy-M"))
-        .when(raw.rlike(r"^[0-9]{1,2} [A-Za-z]+ [0-9]{4}$"), _date(raw, "d MMMM yyyy"))
-        .when(raw.rlike(r"^[A-Za-z]+ [0-9]{4}$"), _date(raw, "MMMM yyyy"))
+        .when(raw.rlike(r"^[0-9]{4}/[0-9]{1,2}/[0-9]{1,2}$"), _date(raw, "yyyy/M/d"))
+        .when(raw.rlike(r"^[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}$"), _date(raw, "M/d/yyyy"))
+        .when(raw.rlike(r"^[0-9]{1,2} [A-Za-z]+ [0-9]{4}$"),
+              F.coalesce(_date(raw, "d MMMM yyyy"), _date(raw, "d MMM yyyy")))
+        .when(raw.rlike(r"^[A-Za-z]+ [0-9]{4}$"),
+              F.coalesce(_date(raw, "MMMM yyyy"), _date(raw, "MMM yyyy")))
+        .when(raw.rlike(r"^[A-Za-z]+ [0-9]{1,2}, [0-9]{4}$"),
+              F.coalesce(_date(raw, "MMMM d, yyyy"), _date(raw, "MMM d, yyyy")))
         .when(raw.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}[T ][0-9]{2}:[0-9]{2}"),
               _date(F.substring(raw, 1, 10), "yyyy-MM-dd"))
     )

@@ -37,34 +37,46 @@ def pub_date_sql(col: str) -> str:
     THEN make_date(cast({r} AS int), 1, 1)
   WHEN regexp_full_match({r}, '[0-9]{{4}}-[0-9]{{1,2}}-[0-9]{{1,2}}') THEN cast(try_strptime({r}, '%Y-%m-%d') AS date)
   WHEN regexp_full_match({r}, '[0-9]{{4}}-[0-9]{{1,2}}') THEN cast(try_strptime({r} || '-1', '%Y-%m-%d') AS date)
-  WHEN regexp_full_match({r}, '[0-9]{{1,2}} [A-Za-z]+ [0-9]{{4}}') THEN cast(try_strptime({r}, '%d %B %Y') AS date)
-  WHEN regexp_full_match({r}, '[A-Za-z]+ [0-9]{{4}}') THEN cast(try_strptime('1 ' || {r}, '%d %B %Y') AS date)
+  WHEN regexp_full_match({r}, '[0-9]{{4}}/[0-9]{{1,2}}/[0-9]{{1,2}}') THEN cast(try_strptime({r}, '%Y/%m/%d') AS date)
+  WHEN regexp_full_match({r}, '[0-9]{{1,2}}/[0-9]{{1,2}}/[0-9]{{4}}') THEN cast(try_strptime({r}, '%m/%d/%Y') AS date)
+  WHEN regexp_full_match({r}, '[0-9]{{1,2}} [A-Za-z]+ [0-9]{{4}}')
+    THEN cast(coalesce(try_strptime({r}, '%d %B %Y'), try_strptime({r}, '%d %b %Y')) AS date)
+  WHEN regexp_full_match({r}, '[A-Za-z]+ [0-9]{{4}}')
+    THEN cast(coalesce(try_strptime('1 ' || {r}, '%d %B %Y'), try_strptime('1 ' || {r}, '%d %b %Y')) AS date)
+  WHEN regexp_full_match({r}, '[A-Za-z]+ [0-9]{{1,2}}, [0-9]{{4}}')
+    THEN cast(coalesce(try_strptime({r}, '%B %d, %Y'), try_strptime({r}, '%b %d, %Y')) AS date)
   WHEN regexp_matches({r}, '^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}[T ][0-9]{{2}}:[0-9]{{2}}')
     THEN cast(try_strptime(left({r}, 10), '%Y-%m-%d') AS date)
 END"""
 
 
-# Raw date text in seven shapes, chosen by o_orderkey % 7.
-_RAW_DATE_SQL = """CASE o_orderkey % 7
+# Raw date text in ten shapes, chosen by o_orderkey % 10.
+_RAW_DATE_SQL = """CASE o_orderkey % 10
   WHEN 0 THEN strftime(o_orderdate, '%Y-%m-%d')
   WHEN 1 THEN strftime(o_orderdate, '%Y-%m')
   WHEN 2 THEN strftime(o_orderdate, '%Y')
   WHEN 3 THEN strftime(o_orderdate, '%Y-%-m-%-d')
   WHEN 4 THEN strftime(o_orderdate, '%-d %B %Y')
   WHEN 5 THEN ' ' || strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') || 'Z '
+  WHEN 6 THEN strftime(o_orderdate, '%m/%d/%Y')
+  WHEN 7 THEN strftime(o_orderdate, '%b %Y')
+  WHEN 8 THEN strftime(o_orderdate, '%B %-d, %Y')
   ELSE CASE WHEN o_custkey % 2 = 0 THEN 'None' ELSE cast(1800 + o_custkey % 100 AS varchar) END
 END"""
 
 
 def _raw_date(o):
     d = F.col("o_orderdate")
-    k = F.col("o_orderkey") % 7
+    k = F.col("o_orderkey") % 10
     return (F.when(k == 0, F.date_format(d, "yyyy-MM-dd"))
             .when(k == 1, F.date_format(d, "yyyy-MM"))
             .when(k == 2, F.date_format(d, "yyyy"))
             .when(k == 3, F.date_format(d, "yyyy-M-d"))
             .when(k == 4, F.date_format(d, "d MMMM yyyy"))
             .when(k == 5, F.concat(F.lit(" "), F.date_format(d, "yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z ")))
+            .when(k == 6, F.date_format(d, "MM/dd/yyyy"))
+            .when(k == 7, F.date_format(d, "MMM yyyy"))
+            .when(k == 8, F.date_format(d, "MMMM d, yyyy"))
             .otherwise(F.when(F.col("o_custkey") % 2 == 0, F.lit("None"))
                        .otherwise((F.lit(1800) + F.col("o_custkey") % 100).cast("string"))))
 
@@ -73,7 +85,7 @@ def _raw_date(o):
 SELECT o_orderkey, raw, {pub_date_sql('raw')} AS published_date
 FROM (SELECT o_orderkey, {_RAW_DATE_SQL} AS raw FROM orders)""")
 def publication_dates(spark, sf_dir):
-    """Publication-date typing (J41) over date text in seven shapes."""
+    """Publication-date typing (J41) over date text in ten shapes."""
     o = table(spark, sf_dir, "orders").select("o_orderkey", _raw_date(None).alias("raw"))
     return o.select("o_orderkey", "raw", parse_pub_date(F.col("raw")).alias("published_date"))
 

@@ -24,6 +24,10 @@ def test_publication_dates(spark):
         "2025-02-30": None, "7 April 2025": dt.date(2025, 4, 7), "April 2025": dt.date(2025, 4, 1),
         "2021-05-06T10:00:00Z": dt.date(2021, 5, 6), "2100": dt.date(2100, 1, 1), "2101": None,
         "2025-4": dt.date(2025, 4, 1), "garbage": None,
+        "2025/04/07": dt.date(2025, 4, 7), "04/07/2025": dt.date(2025, 4, 7),
+        "4/7/2025": dt.date(2025, 4, 7), "13/01/2025": None, "Mar 2021": dt.date(2021, 3, 1),
+        "12 Mar 2021": dt.date(2021, 3, 12), "March 12, 2021": dt.date(2021, 3, 12),
+        "Mar 5, 2020": dt.date(2020, 3, 5), "Spring 2020": None,
     }
     df = spark.createDataFrame([(k,) for k in cases], "v string")
     got = {r.v: r.d for r in df.select("v", parse_pub_date(F.col("v")).alias("d")).collect()}
