@@ -18,8 +18,6 @@ from quire.schemas import PAPER_COLUMNS
 MAX_FIELDS = 40
 POS = [f"_c{i}" for i in range(MAX_FIELDS)]
 POSITIONAL = T.StructType([T.StructField(c, T.StringType()) for c in POS])
-# Characters of a cell kept for header matching (column names are short).
-HEADER_CHARS = 64
 # Per-file tables up to this many files are broadcast; above, a shuffle join.
 BROADCAST_MAX_FILES = 100_000
 
@@ -53,16 +51,23 @@ def read_raw(spark: SparkSession, paths: list[str] | str) -> DataFrame:
             .withColumn("_rid", F.monotonically_increasing_id()))
 
 
-def file_headers(raw: DataFrame) -> DataFrame:
+def file_headers(raw: DataFrame, n_files: int | None = None) -> DataFrame:
     """One row per file: the header row id and, per canonical column, its
-    1-based position in that file's header (0 when the header lacks it)."""
-    # a header cell longer than HEADER_CHARS can never name a paper column, so
-    # values are cut first: the (sort-based) aggregate moves short rows only
-    cut = F.struct(*[F.left(F.col(c), F.lit(HEADER_CHARS)).alias(c) for c in POS])
-    first = raw.groupBy("file_name").agg(
-        F.min_by(cut, F.col("_rid")).alias("h"), F.min("_rid").alias("_hrid"))
-    names = F.array(*[_norm_header(F.col("h")[c]) for c in POS])
-    return first.select(
+    1-based position in that file's header (0 when the header lacks it).
+
+    The header is each file's first record: ``min(_rid)`` per file is a hash
+    aggregate that reads no columns; the header records are then picked out
+    of the scan by a join on ``(file_name, _rid)`` with that small table
+    (broadcast up to BROADCAST_MAX_FILES files). No row is sorted.
+    """
+    firsts = raw.groupBy("file_name").agg(F.min("_rid").alias("_hrid")) \
+        .withColumnRenamed("file_name", "_hfile")
+    if n_files is not None and n_files <= BROADCAST_MAX_FILES:
+        firsts = F.broadcast(firsts)
+    head_rows = raw.join(firsts, (F.col("file_name") == F.col("_hfile"))
+                         & (F.col("_rid") == F.col("_hrid"))).select("file_name", "_hrid", *POS)
+    names = F.array(*[_norm_header(F.col(c)) for c in POS])
+    return head_rows.select(
         "file_name", "_hrid",
         *[F.array_position(names, F.lit(c)).cast("int").alias(f"_i_{c}") for c in PAPER_COLUMNS])
 
@@ -76,7 +81,7 @@ def read_drops(spark: SparkSession, paths: list[str] | str, n_files: int | None
     header-only files give no rows.
     """
     raw = read_raw(spark, paths)
-    heads = file_headers(raw)
+    heads = file_headers(raw, n_files)
     if n_files is not None and n_files <= BROADCAST_MAX_FILES:
         heads = F.broadcast(heads)
     rows = raw.join(heads, "file_name").where(F.col("_rid") > F.col("_hrid"))
