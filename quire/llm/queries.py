@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quire.llm import sql
-from quire.llm.common import table
+from quire.llm.byte_cnn import score_quality, train
+from quire.llm.common import fold, table
 from quire.llm.decontaminate import mark_contaminated
 from quire.llm.line_quality import clean_lines
+from quire.llm.packing import pack
 from quire.llm.registry import register
 from quire.llm.simhash import near_groups
 
@@ -17,6 +19,12 @@ def op1_line_quality(spark, sf_dir):
     return clean_lines(table(spark, sf_dir, "documents"), keep=["doc_id"], clean_col=None)
 
 
+@register("op2_retrieval_packing")
+def op2_retrieval_packing(spark, sf_dir):
+    return pack(table(spark, sf_dir, "documents")).select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 @register("op5_decontaminate", sql.CONTAMINATION)
 def op5_decontaminate(spark, sf_dir):
     marked = mark_contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"),
@@ -30,3 +38,11 @@ def op8_simhash_groups(spark, sf_dir):
     groups = near_groups(table(spark, sf_dir, "documents"), keep=["doc_id"])
     return groups.select("doc_id", F.lpad(F.lower(F.hex("simhash")), 16, "0").alias("fingerprint"),
                          "component_id")
+
+
+@register("op9_byte_cnn")
+def op9_byte_cnn(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    net = train(docs, table(spark, sf_dir, "labels"))
+    return score_quality(docs, net, keep=["doc_id"]).select(
+        "doc_id", F.coalesce(fold("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "score", "predicted")
