@@ -8,10 +8,12 @@ from quire.llm import sql
 from quire.llm.byte_cnn import score_quality, train
 from quire.llm.common import fold, table
 from quire.llm.decontaminate import mark_contaminated
+from quire.llm.hyper_language import learn, predict_language, training_rows
 from quire.llm.line_quality import clean_lines
 from quire.llm.packing import pack
 from quire.llm.registry import register
 from quire.llm.simhash import near_groups
+from quire.llm.token_counts import count_tokens
 
 
 @register("op1_line_quality", sql.line_quality())
@@ -33,6 +35,19 @@ def op5_decontaminate(spark, sf_dir):
                          F.sha2(F.array_join("hit_items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+@register("op6_hyper_language")
+def op6_hyper_language(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    prototypes = learn(training_rows(docs))
+    return predict_language(docs, prototypes, keep=["doc_id"]).select(
+        "doc_id", F.coalesce(fold("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+@register("op7_token_counts")
+def op7_token_counts(spark, sf_dir):
+    return count_tokens(table(spark, sf_dir, "documents"), keep=["doc_id"])
+
+
 @register("op8_simhash_groups")
 def op8_simhash_groups(spark, sf_dir):
     groups = near_groups(table(spark, sf_dir, "documents"), keep=["doc_id"])
