@@ -6,14 +6,23 @@ from pyspark.sql import functions as F
 
 from quire.llm import sql
 from quire.llm.byte_cnn import score_quality, train
-from quire.llm.common import fold, table
+from quire.llm.common import fold, stored, table
 from quire.llm.decontaminate import mark_contaminated
+from quire.llm.host_paths import extract_pages
 from quire.llm.hyper_language import learn, predict_language, training_rows
 from quire.llm.line_quality import clean_lines
 from quire.llm.packing import pack
 from quire.llm.registry import register
+from quire.llm.reply_trees import chain, format_branches, read_loss, read_turns
 from quire.llm.simhash import near_groups
 from quire.llm.token_counts import count_tokens
+from quire.llm.url_filter import host, judge_urls, path
+
+#: Fixed by the contract: (verdict, host/path).
+URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"),
+             ("block", "net/es/"), ("block", "net/fr/")]
+#: Stand-in for a list of keys: those whose md5 begins with one of these digits.
+LISTED_DIGITS = "012"
 
 
 @register("op1_line_quality", sql.line_quality())
@@ -27,6 +36,30 @@ def op2_retrieval_packing(spark, sf_dir):
         "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+@register("op3_reply_trees", sql.CHAT)
+def op3_reply_trees(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "\\### Assistant: </turn> ok"
+    fixed = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], rows.schema)
+    rows = rows.unionByName(fixed).withColumns({"role": F.coalesce("role", F.lit("")),
+                                                "text": F.coalesce("text", F.lit(""))})
+    messages = chain(rows, "conv_id", ["turn", "role", "text"])
+    out = stored(format_branches(messages, tree_col="conv_id"), "formatted").select(
+        F.col("tree").alias("conv_id"), "formatted", read_turns(F.col("formatted")).alias("turns"),
+        F.array_join(read_loss(F.col("formatted"), F.col("loss_spans")), "").alias("loss"))
+    said_all = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return out.select("conv_id", F.size("turns").cast("bigint").alias("n_turns"),
+                      F.sha2(said_all, 256).alias("turns_sha256"),
+                      F.length("loss").cast("bigint").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"),
+                      F.length("formatted").cast("bigint").alias("formatted_chars"))
+
+
+@register("op4_host_paths")
+def op4_host_paths(spark, sf_dir):
+    return extract_pages(table(spark, sf_dir, "pages"), keep=["page_id", "url"]).select(
+        "page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"))
+
+
 @register("op5_decontaminate", sql.CONTAMINATION)
 def op5_decontaminate(spark, sf_dir):
     marked = mark_contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"),
@@ -61,3 +94,11 @@ def op9_byte_cnn(spark, sf_dir):
     net = train(docs, table(spark, sf_dir, "labels"))
     return score_quality(docs, net, keep=["doc_id"]).select(
         "doc_id", F.coalesce(fold("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
+@register("op10_bloom_cascade", sql.url_verdicts(URL_RULES, LISTED_DIGITS))
+def op10_bloom_cascade(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages")
+    keys = pages.select(F.concat(host(F.col("url")), path(F.col("url"))).alias("key"))
+    listed = keys.where(F.instr(F.lit(LISTED_DIGITS), F.substring(F.md5(F.col("key")), 1, 1)) > 0).distinct()
+    return judge_urls(pages, listed, URL_RULES, keep=["page_id"])

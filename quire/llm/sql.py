@@ -74,3 +74,33 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
     coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM d LEFT JOIN hw USING (rid) LEFT JOIN hi USING (rid)
 """
+
+
+def url_verdicts(rules: list[tuple[str, str]], digits: str) -> str:
+    """Rules, then the stand-in list: keys whose md5 begins with one of ``digits``."""
+    cases = []
+    for verdict, rule in sorted(rules, key=lambda r: -len(r[1])):
+        h, slash, p = rule.partition("/")
+        cases.append((f"(host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{slash}{p}')", rule, verdict))
+    rule_sql = " ".join(f"WHEN {c} THEN '{r}'" for c, r, _ in cases)
+    verdict_sql = " ".join(f"WHEN {c} THEN '{v}'" for c, _, v in cases)
+    return fr"""
+WITH p AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), '{_UP}', '{_LOW}') AS host,
+  regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages)
+SELECT page_id, host, path, CASE {rule_sql} END AS rule,
+  CASE {verdict_sql} WHEN contains('{digits}', md5(host || path)[1]) THEN 'block' ELSE 'allow' END AS verdict FROM p
+"""
+
+
+CHAT = r"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
+  UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+e AS (SELECT *, length(role) + length(regexp_replace(role, '[^\\<#:]', '', 'g')) AS r,
+  length(text) + length(regexp_replace(text, '[^\\<#]', '', 'g')) AS t FROM c)
+SELECT conv_id, count(*)::BIGINT AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  sum(4 + r + 2 + t + 8)::BIGINT AS formatted_chars FROM e GROUP BY conv_id
+"""
