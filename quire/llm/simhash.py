@@ -230,6 +230,6 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         "x", "low", F.coalesce("root", "x").alias("root"))
     lows = linked.groupBy("root").agg(F.min("low").alias("component_id"))
     by_value = linked.join(lows, "root").select("x", "component_id")
-    out = marked.join(by_value, marked["simhash"] == by_value["x"]).drop("x")
+    out = marked.join(by_value, marked["simhash"] == by_value["x"])
     cols = [c for c in (docs.columns if keep is None else keep) if c.lower() not in ("simhash", "component_id")]
-    return out.select(*map(quoted, cols), "simhash", "component_id")
+    return out.select(*[marked[quoted(c)] for c in cols], marked["simhash"], by_value["component_id"])
