@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from quire.functions.dates import parse_int, parse_pub_date, parse_timestamp
-from quire.schemas import (FAILED, PAPER_COLUMNS, PARTIAL, REQUIRED_TEXT_COLUMNS,
-                           SUCCESS, WIDTHS)
+from quire.schemas import PAPER_COLUMNS, PARTIAL, REQUIRED_TEXT_COLUMNS, SUCCESS, WIDTHS
 
 
 def _present(name: str, present_col: str) -> Column:
@@ -51,37 +50,26 @@ def truncation_counts(df: DataFrame, widths: dict[str, int] = WIDTHS) -> DataFra
                     if c in df.columns])
 
 
-def split_bad_rows(df: DataFrame, bad: Column | None = None) -> tuple[DataFrame, DataFrame]:
-    """(good, bad) by a row condition (J45f). The reference loads ragged rows,
-    so by default nothing is bad."""
-    if bad is None:
-        return df, df.limit(0)
+def split_bad_rows(df: DataFrame, bad: Column) -> tuple[DataFrame, DataFrame]:
+    """(good, bad) by a row condition (J45f); NULL counts as good."""
     flag = F.coalesce(bad, F.lit(False))
     return df.filter(~flag), df.filter(flag)
 
 
-def load_results(rows: DataFrame, started_at, finished_at, bad_col: str | None = None,
-                 failed_files: DataFrame | None = None) -> DataFrame:
-    """Per-file load result (J45): total = loaded + failed, SUCCESS when no
-    row failed else PARTIAL; files that could not be read at all come in
-    ``failed_files(file_name, error_msg)`` and are FAILED with zero counts.
-    Files with no data rows (header only) do not appear (J46)."""
-    bad = F.col(bad_col) if bad_col else F.lit(False)
-    per_file = rows.groupBy("file_name").agg(
-        F.count(F.lit(1)).cast("int").alias("total_rows"),
-        F.count_if(bad).cast("int").alias("failed_rows"))
-    res = per_file.select(
-        "file_name", "total_rows",
-        (F.col("total_rows") - F.col("failed_rows")).alias("loaded_rows"), "failed_rows",
-        F.when(F.col("failed_rows") == 0, F.lit(SUCCESS)).otherwise(F.lit(PARTIAL)).alias("status"),
-        F.lit(None).cast("string").alias("error_msg"))
-    if failed_files is not None:
-        res = res.unionByName(failed_files.select(
-            "file_name", F.lit(0).alias("total_rows"), F.lit(0).alias("loaded_rows"),
-            F.lit(0).alias("failed_rows"), F.lit(FAILED).alias("status"),
-            F.col("error_msg").cast("string")))
-    return res.withColumn("started_at", F.lit(started_at).cast("timestamp_ntz")) \
-              .withColumn("finished_at", F.lit(finished_at).cast("timestamp_ntz"))
+def load_results(rows: DataFrame) -> DataFrame:
+    """Per-file load result (J45) of scanned rows, header rows included:
+    total = loaded + failed, SUCCESS when no row failed else PARTIAL, and when
+    the file was first and last read. ``good_no`` is NULL for rejected rows."""
+    data = F.col("row_no") > 0
+    res = rows.groupBy("file_name").agg(
+        F.count_if(data).cast("int").alias("total_rows"),
+        F.count("good_no").cast("int").alias("loaded_rows"),
+        F.min("seen_at").alias("started_at"),
+        F.max("seen_at").alias("finished_at"))
+    failed = F.col("total_rows") - F.col("loaded_rows")
+    return res.select("file_name", "total_rows", "loaded_rows", failed.alias("failed_rows"),
+                      F.when(failed == 0, F.lit(SUCCESS)).otherwise(F.lit(PARTIAL)).alias("status"),
+                      F.lit(None).cast("string").alias("error_msg"), "started_at", "finished_at")
 
 
 def unparsed_dates_by_site(raw: DataFrame, date_col: str = "published_date",

@@ -30,23 +30,3 @@ def assign_seq(df: DataFrame, order: list[str | Column], base: int | Column = 0,
     seq = (b + F.col("_off") + (F.col("_pos") - F.col("_p0")) + 1).cast("long")
     return (ranged.join(F.broadcast(offsets), "_pid")
             .withColumn(seq_col, seq).drop("_pid", "_pos", "_p0", "_off"))
-
-
-def assign_seq_in_file_order(rows: DataFrame, base: int | Column = 0, seq_col: str = "seq",
-                             broadcast_files: bool = True) -> DataFrame:
-    """``seq`` for rows read by ``sources.drops.read_drops``: file-name order,
-    then row order inside each file, contiguous from ``base + 1``.
-
-    A multi-line CSV file is read by one task from start to end, so a row's
-    place in its file is ``_rid - _hrid`` (row id minus the header's row id).
-    Only a per-file row count (one row per file) is aggregated and turned into
-    file offsets; the rows themselves are neither shuffled nor sorted.
-    """
-    per_file = rows.groupBy("file_name").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.orderBy("file_name").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per_file.select("file_name", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
-    if broadcast_files:
-        offsets = F.broadcast(offsets)
-    b = base if isinstance(base, Column) else F.lit(int(base))
-    seq = (b + F.col("_off") + (F.col("_rid") - F.col("_hrid"))).cast("long")
-    return rows.join(offsets, "file_name").withColumn(seq_col, seq).drop("_off")

@@ -1,31 +1,35 @@
-"""One load cycle over a drop folder.
+"""One load cycle over a drop folder.
 
-list drops -> skip files already loaded -> one header-aware scan -> conform,
-type, cap -> checkpoint (both writes see the same rows) -> number rows after
-the stored maximum -> append papers -> append one log row per file ->
-archive loaded files.
+create the tables -> list drops -> skip files already loaded -> one
+header-aware scan, cleaned, typed, capped and staged -> reserve numbers ->
+store papers by file identity -> append one log row per file -> archive.
+
+A file's identity is its path, modification time and length. Its papers are
+one partition of the table, so a repeated load replaces them; log rows are
+only ever appended; archiving depends on the data alone, not on the log.
 """
 
 from __future__ import annotations
 
 import datetime as dt
-import hashlib
 import warnings
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quire.operators.clean import cap_widths, conform, load_results, type_columns
-from quire.operators.seq import assign_seq, assign_seq_in_file_order
-from quire.schemas import FAILED, PAPER_TYPED, PARTIAL, SUCCESS
-from quire.session import checkpoint_root
-from quire.sources.drops import BROADCAST_MAX_FILES, list_drops, read_drops
+from quire.operators.clean import cap_widths, conform, load_results, split_bad_rows, type_columns
+from quire.schemas import FAILED, LOAD_LOG_STORED, PAPER_TYPED, PARTIAL, SUCCESS
+from quire.session import drop_scratch, scratch_path
+from quire.sources.drops import DropFile, file_system, list_drops, read_drops
 from quire.sources.sinks import append_load_log, append_papers
-from quire.sources.tables import max_log_id, max_seq, read_load_log, read_papers
-
+from quire.sources.tables import ensure_tables, max_log_id, read_load_log, read_table, reserve_seq
 
 # Fixed value: error text logged for a drop without a header record.
 NO_HEADER = "No header record was found."
+# Files of one load: what the driver holds for a load (one result per file)
+# stays bounded; more pending files are further loads of the same cycle.
+FILES_PER_LOAD = 2_000
 
 
 @dataclass
@@ -35,148 +39,169 @@ class LoadOutcome:
     loaded_rows: int
 
 
-def clean_drops(spark: SparkSession, paths, n_files: int | None = None) -> DataFrame:
-    """Typed, capped paper rows with ``file_name`` and file order ``_rid``."""
-    rows = read_drops(spark, paths, n_files)
+def clean_drops(spark: SparkSession, paths, headers: bool = False, on_ragged: str = "load") -> DataFrame:
+    """Typed, capped paper rows with ``file_name`` and their place in it."""
+    rows = read_drops(spark, paths, headers, on_ragged == "reject")
     return cap_widths(type_columns(conform(rows)))
 
 
-def pending_files(files: DataFrame, log: DataFrame) -> DataFrame:
-    """Drop files not yet loaded (no SUCCESS/PARTIAL row in the log), so a
-    repeated cycle does not append a file twice."""
-    done = log.where(F.col("status").isin(SUCCESS, PARTIAL)).select(
-        F.col("file_name").alias("path")).distinct()
-    return files.join(done, "path", "left_anti")
-
-
-def _clean_checked(spark: SparkSession, paths: list[str]):
-    """Cleaned rows of the files, checkpointed; when the joint read fails,
-    each file is tried alone and the ones that fail are returned with their
-    error (one bad file never stops the others)."""
+def pending_files(spark: SparkSession, files: list[DropFile], log_path: str) -> list[DropFile]:
+    """Drop files without a SUCCESS or PARTIAL row of their identity in the
+    log. The listed files are broadcast into the log scan; only those of them
+    that were loaded come back."""
+    if not files:
+        return []
+    ids = spark.createDataFrame([(f.file_id,) for f in files], "file_id string")
+    log = read_table(spark, log_path, LOAD_LOG_STORED).where(F.col("status").isin(SUCCESS, PARTIAL))
+    done = {r.file_id for r in log.join(F.broadcast(ids), "file_id", "left_semi")
+            .select("file_id").distinct().collect()}
+    return [f for f in files if f.file_id not in done]
+
+
+def _stage(spark: SparkSession, files: list[DropFile], on_ragged: str):
+    """Scan, clean and write the files once: (scratch tables, failures). When
+    a joint read fails the files are halved until the bad ones are alone, so
+    one bad file costs a few more jobs and never stops the others."""
+    path = scratch_path(spark, "load")
     try:
-        return clean_drops(spark, paths, len(paths)).checkpoint(eager=True), []
-    except Exception:  # noqa: BLE001 - any read failure: isolate the culprit
-        if len(paths) == 1:
-            good, failed = [], [(paths[0], None)]
-        else:
-            good, failed = [], []
-            for p in paths:
-                try:
-                    clean_drops(spark, [p], 1).limit(1).collect()
-                    good.append(p)
-                except Exception as e:  # noqa: BLE001
-                    failed.append((p, str(e).splitlines()[0][:2000] if str(e) else type(e).__name__))
-        if failed and failed[0][1] is None:
-            try:
-                clean_drops(spark, paths, 1).limit(1).collect()
-                msg = "load failed"
-            except Exception as e:  # noqa: BLE001
-                msg = str(e).splitlines()[0][:2000] if str(e) else type(e).__name__
-            failed = [(paths[0], msg)]
-        batch = clean_drops(spark, good, len(good)).checkpoint(eager=True) if good else None
-        return batch, failed
-
-
-def files_load_id(paths: list[str]) -> str:
-    """A load id derived from the file set: loading the same files again
-    (after a failure before their log rows were written) overwrites the same
-    paper partition instead of appending the rows twice."""
-    return "f" + hashlib.sha1("\n".join(sorted(paths)).encode("utf-8")).hexdigest()[:20]
-
-
-def load_files(spark: SparkSession, paths: list[str], table_path: str, log_path: str,
-               load_id: str, started: dt.datetime,
-               failed_files: list[tuple[str, str]] | None = None) -> DataFrame:
-    """Load the given drop files; returns the log rows written. Files that
-    cannot be read are logged FAILED with zero counts and the error."""
-    checkpoint_root(spark)
-    log = read_load_log(spark, log_path)
-    batch, failed = _clean_checked(spark, paths) if paths else (None, [])
-    failed = failed + list(failed_files or [])
-    if batch is not None:
-        base = max_seq(read_papers(spark, table_path))
-        numbered = assign_seq_in_file_order(batch, base,
-                                            broadcast_files=len(paths) <= BROADCAST_MAX_FILES)
-        stored = numbered.select(
-            "seq", *PAPER_TYPED.fieldNames(),
-            F.lit(started).cast("timestamp_ntz").alias("loaded_at"))
-        written = append_papers(stored, table_path, load_id)
-        if written != batch.count():  # both come from the same checkpoint
-            raise RuntimeError(f"load {load_id}: wrote {written} rows of {batch.count()}")
-        rows = batch
-    else:
-        rows = spark.createDataFrame([], "file_name string")
-    finished = dt.datetime.now()
-    failed_df = (spark.createDataFrame(failed, "file_name string, error_msg string")
-                 if failed else None)
-    results = load_results(rows, started, finished, failed_files=failed_df)
-    first_id = max_log_id(log)
-    log_rows = assign_seq(results, ["file_name"], first_id, seq_col="log_id")
-    log_rows = log_rows.select("log_id", "file_name", "total_rows", "loaded_rows", "failed_rows",
-                               "status", "error_msg", "started_at", "finished_at")
+        clean_drops(spark, [f.path for f in files], True, on_ragged).write.parquet(path)
+        return [path], []
+    except Exception as e:  # noqa: BLE001 - any read failure: isolate the culprit
+        drop_scratch(spark, path)
+        if len(files) == 1:
+            return [], [(files[0], str(e) or type(e).__name__)]
+        half = len(files) // 2
+        a, b = _stage(spark, files[:half], on_ragged), _stage(spark, files[half:], on_ragged)
+        return a[0] + b[0], a[1] + b[1]
+
+
+def load_files(spark: SparkSession, files: list[DropFile], table_path: str, log_path: str,
+               on_ragged: str = "load") -> list[DropFile]:
+    """Load at most ``FILES_PER_LOAD`` files; returns those whose data is
+    stored. Files that cannot be read, or have no header, are logged FAILED
+    with zero counts and the whole error. Header-only files are not logged."""
+    started = dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
+    empty = [(f, NO_HEADER) for f in files if not f.length]
+    staged, failed = _stage(spark, [f for f in files if f.length], on_ragged) if len(empty) < len(files) else ([], [])
+    by_name = {f.path: f for f in files}
+    stored, log_rows = [], []
     try:
-        append_load_log(log_rows, log_path, load_id)
+        if staged:
+            rows = spark.read.parquet(*staged)
+            results = sorted(load_results(rows).collect(), key=lambda r: r.file_name)  # one per file of this load
+            seen = {_plain(r.file_name) for r in results}
+            empty += [(f, NO_HEADER) for f in files if f.length and _plain(f.path) not in seen
+                      and all(f is not g for g, _ in failed)]
+            names = {_plain(p): f for p, f in by_name.items()}
+            total = sum(r.loaded_rows for r in results)
+            places, at = [], reserve_seq(spark, table_path, total) if total else 0
+            for r in results:
+                places.append((r.file_name, at, names[_plain(r.file_name)].file_id))
+                at += r.loaded_rows
+            if total:
+                offsets = spark.createDataFrame(places, "file_name string, _before bigint, file_id string")
+                good, _ = split_bad_rows(rows.where("row_no > 0"), F.col("good_no").isNull())
+                papers = good.join(F.broadcast(offsets), "file_name").select(
+                    (F.col("_before") + F.col("good_no")).alias("seq"), *PAPER_TYPED.fieldNames(),
+                    F.lit(started).cast("timestamp_ntz").alias("loaded_at"), "file_id")
+                written = append_papers(papers, table_path)
+                if written != total:  # both come from the same staged rows
+                    raise RuntimeError(f"wrote {written} rows of {total}")
+            for r in results:
+                f = names[_plain(r.file_name)]
+                if r.total_rows:
+                    stored.append(f)
+                    log_rows.append((f, r.total_rows, r.loaded_rows, r.failed_rows, r.status, None,
+                                     r.started_at, r.finished_at))
+    finally:
+        for path in staged:
+            drop_scratch(spark, path)
+    finished = dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
+    log_rows += [(f, 0, 0, 0, FAILED, e, started, finished) for f, e in failed + empty]
+    if log_rows:
+        _write_log(spark, log_path, sorted(log_rows))
+    return stored
+
+
+def _plain(path: str) -> str:
+    """A file's name in one form: listings and scans differ in ``file:///``."""
+    scheme, sep, rest = path.partition(":/")
+    return f"{scheme}:/{rest.lstrip('/')}" if sep else path
+
+
+def _write_log(spark: SparkSession, log_path: str, rows: list[tuple]) -> None:
+    try:
+        base = max_log_id(spark, log_path)
+        data = [(base + i, f.path, *rest, f.file_id) for i, (f, *rest) in enumerate(rows, 1)]
+        append_load_log(spark.createDataFrame(data, LOAD_LOG_STORED).coalesce(1), log_path)
     except Exception as e:  # noqa: BLE001 - a log failure never undoes the load
-        warnings.warn(f"load {load_id}: log write failed, files stay for a retry: {e}")
-        return log_rows.limit(0)
-    return read_load_log(spark, log_path).where(F.col("log_id") > first_id)
-
-
-def empty_drops(spark: SparkSession, drop_dir: str, glob: str = "*.csv") -> list[str]:
-    """Zero-byte drop files (Spark's file sources never list them), found
-    through Hadoop FileSystem metadata; they have no header and are FAILED."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    root = jvm.org.apache.hadoop.fs.Path(drop_dir)
-    fs = root.getFileSystem(conf)
-    out = []
-    for pattern in (f"{drop_dir.rstrip('/')}/{glob}", f"{drop_dir.rstrip('/')}/*/{glob}"):
-        for st in fs.globStatus(jvm.org.apache.hadoop.fs.Path(pattern)) or []:
-            if st.isFile() and st.getLen() == 0:
-                out.append(st.getPath().toString())
-    return sorted(out)
+        warnings.warn(f"log write failed, the loaded data stays: {e}")
 
 
 def run_load(spark: SparkSession, drop_dir: str, table_path: str, log_path: str,
-             load_id: str | None = None, now: dt.datetime | None = None,
-             archive_dir: str | None = None, log_empty_files: bool = True) -> LoadOutcome:
-    """List the drop folder, load every file not loaded yet, archive the
-    loaded ones; FAILED files stay in place and are tried again next time."""
-    started = now or dt.datetime.now()
-    log = read_load_log(spark, log_path)
-    files = pending_files(list_drops(spark, drop_dir), log)
-    paths = [r.path for r in files.select("path").collect()]  # file names only
-    empty = [(p, NO_HEADER) for p in empty_drops(spark, drop_dir)] if log_empty_files else []
-    if not paths and not empty:
-        return LoadOutcome(0, log.limit(0), 0)
-    load_id = load_id or files_load_id(paths)
-    written = load_files(spark, paths, table_path, log_path, load_id, started, empty)
-    loaded = written.agg(F.coalesce(F.sum("loaded_rows"), F.lit(0))).first()[0]
-    if archive_dir:
-        archive_files(spark, [r.file_name for r in written.where(F.col("status") != FAILED)
-                              .select("file_name").collect()], archive_dir, dt.datetime.now())
-    return LoadOutcome(len(paths) + len(empty), written, int(loaded))
+             archive_dir: str | None = None, on_ragged: str = "load",
+             files_per_load: int = FILES_PER_LOAD) -> LoadOutcome:
+    """List the drop folder, load every file not loaded yet in path order and
+    archive the loaded ones; FAILED files stay in place and are tried, and
+    logged, again next time. ``on_ragged="reject"`` leaves out rows whose
+    number of fields is not their header's and counts them as failed."""
+    try:
+        ensure_tables(spark, table_path, log_path)
+    except Exception as e:  # noqa: BLE001 - without a log the data still loads
+        warnings.warn(f"tables could not be created: {e}")
+    first = _log_mark(spark, log_path)
+    files = pending_files(spark, list_drops(spark, drop_dir, archive_dir), log_path) if first is not None \
+        else list_drops(spark, drop_dir, archive_dir)
+    for i in range(0, len(files), files_per_load):
+        done = load_files(spark, files[i:i + files_per_load], table_path, log_path, on_ragged)
+        if archive_dir and done:
+            archive_files(spark, [f.path for f in done], archive_dir, dt.datetime.now())
+    if first is None:
+        return LoadOutcome(len(files), spark.createDataFrame([], LOAD_LOG_STORED), 0)
+    log = read_load_log(spark, log_path).where(F.col("log_id") > first)
+    loaded = log.agg(F.coalesce(F.sum("loaded_rows"), F.lit(0))).first()[0]
+    return LoadOutcome(len(files), log, int(loaded))
+
+
+def _log_mark(spark: SparkSession, log_path: str) -> int | None:
+    """The last log id, None when the log cannot be read at all."""
+    try:
+        return max_log_id(spark, log_path)
+    except Exception as e:  # noqa: BLE001 - then every listed file is loaded; its partition is replaced
+        warnings.warn(f"log cannot be read: {e}")
+        return None
 
 
 def archive_files(spark: SparkSession, paths: list[str], archive_dir: str,
                   when: dt.datetime) -> list[str]:
-    """Move loaded files under ``archive_dir/YYYY-MM-DD/``; on a name clash
-    the file gets a ``_HHMMSS`` suffix. File-system metadata calls through
-    Hadoop's FileSystem (works for any cluster file system)."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    """Move loaded files of one load under ``archive_dir/YYYY-MM-DD/``; on a
+    name clash the file gets a ``_HHMMSS`` suffix, and a number if that is
+    taken too. Renames are metadata calls, several at a time; one that fails
+    is reported and the file, already loaded, stays."""
     day = f"{archive_dir.rstrip('/')}/{when:%Y-%m-%d}"
-    moved = []
+    fs, folder = file_system(spark, day)
+    fs.mkdirs(folder)
+    new_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    taken: set[str] = set()
+    moves = []
     for p in paths:
-        src = jvm.org.apache.hadoop.fs.Path(p)
-        fs = src.getFileSystem(conf)
-        dest_dir = jvm.org.apache.hadoop.fs.Path(day)
-        fs.mkdirs(dest_dir)
-        name = src.getName()
-        dest = jvm.org.apache.hadoop.fs.Path(dest_dir, name)
-        if fs.exists(dest):
-            stem = name[:-4] if name.lower().endswith(".csv") else name
-            dest = jvm.org.apache.hadoop.fs.Path(dest_dir, f"{stem}_{when:%H%M%S}.csv")
-        if fs.rename(src, dest):
-            moved.append(dest.toString())
-    return moved
+        name = new_path(p).getName()
+        stem = name[:-4] if name.lower().endswith(".csv") else name
+        dest, k = name, 0
+        while dest in taken or fs.exists(new_path(folder, dest)):
+            dest = f"{stem}_{when:%H%M%S}{f'_{k}' if k else ''}.csv"
+            k += 1
+        taken.add(dest)
+        moves.append((p, dest))
+
+    def move(pair):
+        src, dest = new_path(pair[0]), new_path(folder, pair[1])
+        try:
+            ok = fs.rename(src, dest)
+        except Exception as e:  # noqa: BLE001
+            ok, pair = False, (f"{pair[0]} ({e})", "")
+        if not ok:
+            warnings.warn(f"could not archive {pair[0]}")
+        return dest.toString() if ok else None
+    with ThreadPoolExecutor(16) as pool:
+        return [d for d in pool.map(move, moves) if d]

@@ -7,7 +7,8 @@ from pyspark.sql import types as T
 S, I, L = T.StringType(), T.IntegerType(), T.LongType()
 TS = T.TimestampNTZType()
 
-# Column order of a paper row everywhere: CSV drops, typed rows, stored rows.
+# Column order of a paper row everywhere: CSV drops, typed rows,
+# stored rows.
 PAPER_COLUMNS = [
     "url", "site_name", "keyword", "paper_number", "title", "authors",
     "published_date", "doi", "abstract", "citation_count", "journal",
@@ -34,7 +35,7 @@ PAPER_STORED = T.StructType(
     + [T.StructField("loaded_at", TS, False)]
 )
 
-# Optional columns of a drop: absent from an old header -> NULL.
+# Optional columns of a drop; absent from an old header -> NULL.
 OPTIONAL_COLUMNS = ["keyword", "doi", "abstract", "citation_count", "journal"]
 # Required text columns: absent or empty -> "".
 REQUIRED_TEXT_COLUMNS = ["url", "site_name", "paper_number", "title", "authors"]
@@ -63,6 +64,10 @@ LOAD_LOG = T.StructType([
     T.StructField("finished_at", TS, False),
 ])
 
+# As stored: with the identity of the file (path, modification time, length).
+LOAD_LOG_STORED = T.StructType([*LOAD_LOG.fields, T.StructField("file_id", S)])
+# The last number that each load reserved.
+SEQ_MARKS = T.StructType([T.StructField("upto", L, False)])
 # Load status domain.
 SUCCESS, PARTIAL, FAILED = "SUCCESS", "PARTIAL", "FAILED"
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -31,6 +29,7 @@ def build_session(master: str | None = None, app: str = "quire",
         "spark.sql.timestampType": "TIMESTAMP_NTZ",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.sql.parquet.mergeSchema": "false",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     }
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
@@ -43,18 +42,13 @@ def build_session(master: str | None = None, app: str = "quire",
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``.
-
-    On a cluster this is set by the deployment and points at shared storage;
-    it is only created here when unset (local runs and tests), never
-    overridden.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = spark.sparkContext.getCheckpointDir()
+    """The shared folder named by ``spark.checkpoint.dir``, which the
+    deployment sets when the session starts; there is no fallback to a local
+    folder, since executors could not read it."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
-        root = tempfile.mkdtemp(prefix="quire-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        raise ValueError("spark.checkpoint.dir is not set: start the session with a folder that the driver "
+                         "and all executors share, e.g. --conf spark.checkpoint.dir=hdfs:///scratch")
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
@@ -65,10 +59,9 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_root(spark)}/quire/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def local_path(path: str) -> str:
-    """Strip a ``file:`` scheme for APIs that need an OS path (tests only)."""
-    if path.startswith("file:"):
-        path = path[5:]
-        while path.startswith("//"):
-            path = path[1:]
-    return os.path.abspath(path)
+def drop_scratch(spark: SparkSession, path: str) -> None:
+    """Delete a folder that ``scratch_path`` named."""
+    if not path.startswith(f"{checkpoint_root(spark)}/quire/"):
+        raise ValueError(f"not a scratch folder: {path}")
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)

@@ -1,92 +1,142 @@
 """CSV drops: listing (J03) and a header-aware scan.
 
 Drops come with changing headers (old files lack columns, columns may be
-reordered). Spark maps CSV columns by position, so every file is read
-positionally in ONE scan; each file's header row is found with an aggregate
-(first row id per file) and joined back as a small per-file table, and the
-canonical columns are resolved by header name with column expressions.
+reordered or many more than ours). One scan reads every record as raw text; a
+multi-line CSV file is read by one task from start to end, so the records of a
+file come in order and its first one is its header. An Arrow pass maps each
+record to the canonical columns by its own file's header. There is no second
+scan, no join on row ids and no limit on the number of columns.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-from pyspark.sql import types as T
+import hashlib
+import re
+from collections.abc import Iterator
+from datetime import datetime, timezone
+from typing import NamedTuple
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from quire.schemas import PAPER_COLUMNS
 
-# Positional columns read from every drop (extra fields beyond are ignored).
-MAX_FIELDS = 40
-POS = [f"_c{i}" for i in range(MAX_FIELDS)]
-POSITIONAL = T.StructType([T.StructField(c, T.StringType()) for c in POS])
-# Per-file tables up to this many files are broadcast; above, a shuffle join.
-BROADCAST_MAX_FILES = 100_000
-
-
-def list_drops(spark: SparkSession, drop_dir: str, glob: str = "*.csv",
-               recursive: bool = True) -> DataFrame:
-    """``path, length, modified`` of the drop files, ordered by path. Only
-    metadata is read (``content`` is pruned). Zero-byte files are not listed
-    by Spark's file sources."""
-    df = (spark.read.format("binaryFile").option("pathGlobFilter", glob)
-          .option("recursiveFileLookup", recursive).load(drop_dir))
-    return df.select("path", "length", F.col("modificationTime").alias("modified")).orderBy("path")
-
-
-def _norm_header(c: Column) -> Column:
-    # BOM removed, outer spaces trimmed, case folded (names resolve case-insensitively)
-    return F.lower(F.trim(F.regexp_replace(c, r"^\x{FEFF}", "")))
-
-
-def read_raw(spark: SparkSession, paths: list[str] | str) -> DataFrame:
-    """Every record of every file, positionally, with ``file_name`` and a row
-    id ``_rid`` that increases along each file (multi-line CSV files are not
-    split, so one file's rows are consecutive within one task)."""
-    return (spark.read.schema(POSITIONAL)
-            .option("header", False).option("multiLine", True)
-            .option("quote", '"').option("escape", '"')
-            .option("ignoreLeadingWhiteSpace", True).option("ignoreTrailingWhiteSpace", True)
-            .option("mode", "PERMISSIVE").option("encoding", "UTF-8")
-            .csv(paths)
-            .withColumn("file_name", F.col("_metadata.file_path"))
-            .withColumn("_rid", F.monotonically_increasing_id()))
-
-
-def file_headers(raw: DataFrame, n_files: int | None = None) -> DataFrame:
-    """One row per file: the header row id and, per canonical column, its
-    1-based position in that file's header (0 when the header lacks it).
-
-    The header is each file's first record: ``min(_rid)`` per file is a hash
-    aggregate that reads no columns; the header records are then picked out
-    of the scan by a join on ``(file_name, _rid)`` with that small table
-    (broadcast up to BROADCAST_MAX_FILES files). No row is sorted.
-    """
-    firsts = raw.groupBy("file_name").agg(F.min("_rid").alias("_hrid")) \
-        .withColumnRenamed("file_name", "_hfile")
-    if n_files is not None and n_files <= BROADCAST_MAX_FILES:
-        firsts = F.broadcast(firsts)
-    head_rows = raw.join(firsts, (F.col("file_name") == F.col("_hfile"))
-                         & (F.col("_rid") == F.col("_hrid"))).select("file_name", "_hrid", *POS)
-    names = F.array(*[_norm_header(F.col(c)) for c in POS])
-    return head_rows.select(
-        "file_name", "_hrid",
-        *[F.array_position(names, F.lit(c)).cast("int").alias(f"_i_{c}") for c in PAPER_COLUMNS])
-
-
-def read_drops(spark: SparkSession, paths: list[str] | str, n_files: int | None = None) -> DataFrame:
-    """Data rows of the drops with the canonical paper columns (text), plus
-    ``file_name``, ``_rid`` (file order), ``_hrid`` (the header's row id) and
-    ``present`` (header columns).
-
-    A column missing from a file's header is NULL (``present`` lacks it);
-    header-only files give no rows.
+
+class DropFile(NamedTuple):
+    path: str
+    length: int
+    modified_ms: int
+
+    @property
+    def file_id(self) -> str:
+        """The identity of one landed file: a new file under an old name is
+        another file, the same file seen again is the same."""
+        return hashlib.sha1(f"{self.path}|{self.modified_ms}|{self.length}".encode()).hexdigest()[:20]
+
+
+def file_system(spark: SparkSession, path: str):
+    """Hadoop's FileSystem for a path, and the path in its form."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def list_drops(spark: SparkSession, drop_dir: str, archive_dir: str | None = None,
+               glob: str = "*.csv") -> list[DropFile]:
+    """The drop files in path order, empty ones included: those of the folder
+    and of its direct subfolders (``batch=...``). The archive, and a subfolder
+    called ``archive``, are left out. Only metadata of what lies in the drop
+    folder is read; loaded files leave it for the archive."""
+    fs, root = file_system(spark, drop_dir)
+    out = []
+    away = {f"{drop_dir.rstrip('/')}/archive"} | ({archive_dir.rstrip("/")} if archive_dir else set())
+    away = {str(fs.makeQualified(file_system(spark, a)[1]).toString()).rstrip("/") + "/" for a in away}
+    for pattern in (glob, f"*/{glob}"):
+        new_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        for st in fs.globStatus(new_path(root, pattern)) or []:
+            path = st.getPath().toString()
+            if st.isFile() and not any(path.startswith(a) for a in away):
+                out.append(DropFile(path, st.getLen(), st.getModificationTime()))
+    return sorted(set(out))
+
+
+def read_records(spark: SparkSession, paths: list[str] | str) -> DataFrame:
+    """``file_name, one, raw``: every record of every file as text. A record
+    with several fields does not fit the one-column schema, so the reader
+    hands over its whole text (``raw``, over several lines where quoted); a
+    record of one field is ``one``."""
+    rows = (spark.read.schema("one string, raw string").option("columnNameOfCorruptRecord", "raw")
+            .option("header", False).option("multiLine", True).option("quote", '"').option("escape", '"')
+            .option("mode", "PERMISSIVE").option("encoding", "UTF-8").option("maxCharsPerColumn", -1)
+            .csv(paths))
+    return rows.select(F.col("_metadata.file_path").alias("file_name"), "one", "raw")
+
+
+_BLANK = "".join(map(chr, range(33)))
+_FIELD = re.compile(r'[\x00-\x20]*"([^"]*(?:""[^"]*)*)"[^,]*(,|\Z)|([^,]*)(,|\Z)')
+
+
+def split_record(raw: str) -> list[str | None]:
+    """The fields of one record: quoted ones as they are (a doubled quote is
+    one), others without outer blanks; an empty unquoted field is None."""
+    out, at = [], 0
+    while True:
+        m = _FIELD.match(raw, at)
+        quoted = m.group(1)
+        if quoted is not None:
+            out.append(quoted.replace('""', '"'))
+        else:
+            out.append(m.group(3).strip(_BLANK) or None)
+        at = m.end()
+        if not (m.group(2) or m.group(4)):
+            return out
+
+
+DROP_FIELDS = ("file_name string, row_no bigint, good_no bigint, ragged boolean, seen_at timestamp_ntz, "
+               "present array<string>, " + ", ".join(f"{c} string" for c in PAPER_COLUMNS))
+
+
+def read_drops(spark: SparkSession, paths: list[str] | str, headers: bool = False,
+               reject_ragged: bool = False) -> DataFrame:
+    """Data rows with the canonical paper columns (text) and ``file_name``,
+    ``row_no`` (1, 2, ... within the file), ``good_no`` (the same without
+    rejected rows; NULL for those), ``ragged`` (not as many fields as the
+    header), ``seen_at`` and ``present`` (canonical columns of the header).
+
+    A column missing from a file's header, and a field missing from a short
+    row, is NULL. With ``headers`` each file's header is a row too, with
+    ``row_no`` 0, so that files without data rows are seen.
     """
-    raw = read_raw(spark, paths)
-    heads = file_headers(raw, n_files)
-    if n_files is not None and n_files <= BROADCAST_MAX_FILES:
-        heads = F.broadcast(heads)
-    rows = raw.join(heads, "file_name").where(F.col("_rid") > F.col("_hrid"))
-    vals = F.array(*POS)
-    cols = [F.when(F.col(f"_i_{c}") > 0, F.element_at(vals, F.col(f"_i_{c}"))).alias(c)
-            for c in PAPER_COLUMNS]
-    present = F.array_compact(F.array(*[F.when(F.col(f"_i_{c}") > 0, F.lit(c)) for c in PAPER_COLUMNS]))
-    return rows.select("file_name", "_rid", "_hrid", *cols, present.alias("present"))
+    schema = to_arrow_schema(StructType.fromDDL(DROP_FIELDS))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, width, place, present, row_no, good_no = None, 0, {}, [], 0, 0
+        for b in batches:
+            now = datetime.now(timezone.utc).replace(tzinfo=None)
+            cols: list[list] = [[] for _ in range(6 + len(PAPER_COLUMNS))]
+            for file_name, one, raw in zip(*(c.to_pylist() for c in b.columns)):
+                fields = split_record(raw) if raw is not None else [one]
+                if file_name != name:
+                    names = [(f or "").removeprefix("﻿").strip().strip('"').lower() for f in fields]
+                    name, width, row_no, good_no = file_name, len(fields), 0, 0
+                    place = {c: names.index(c) for c in PAPER_COLUMNS if c in names}
+                    present = [c for c in PAPER_COLUMNS if c in place]
+                    if not headers:
+                        continue
+                    fields, ragged = [], False
+                else:
+                    row_no += 1
+                    ragged = len(fields) != width
+                    good_no += not (ragged and reject_ragged)
+                rejected = ragged and reject_ragged
+                for col, v in zip(cols, (name, row_no, None if rejected or not row_no else good_no, ragged, now,
+                                         present)):
+                    col.append(v)
+                n = len(fields)
+                for col, c in zip(cols[6:], PAPER_COLUMNS):
+                    i = place.get(c, n)
+                    col.append(fields[i] if i < n else None)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema)], schema=schema)
+
+    return read_records(spark, paths).mapInArrow(run, DROP_FIELDS)

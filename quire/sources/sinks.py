@@ -1,8 +1,8 @@
 """Sinks: CSV drops, the key ledger, the paper table and the load log.
 
-Every write names its own partition (``batch_id`` / ``load_id``) and uses
-dynamic partition overwrite, so repeating a run after a crash replaces its
-own output instead of duplicating it.
+Data writes name their own partition (``batch_id`` of a harvest, ``file_id``
+of a loaded file) and overwrite only that, so repeating a run after a crash
+replaces its own output instead of duplicating it. The load log only grows.
 """
 
 from __future__ import annotations
@@ -13,12 +13,16 @@ from quire.schemas import PAPER_COLUMNS
 
 
 def _overwrite_partitions(df: DataFrame):
-    df.sparkSession.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    return df.write.mode("overwrite")
+    return df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+
+
+# Records of one drop file: a multi-line CSV file cannot be split, so its size
+# bounds the work of one load task.
+DROP_RECORDS = 100_000
 
 
 def write_drop(papers: DataFrame, drop_dir: str, batch_id: str,
-               max_records_per_file: int = 0) -> str:
+               max_records_per_file: int = DROP_RECORDS) -> str:
     """One run's new papers as CSV with a header, fixed column order, extra
     columns ignored, NULL written as an empty field. Every value is quoted, so
     surrounding blanks survive the loader's trimming of unquoted fields.
@@ -41,24 +45,23 @@ def append_ledger(papers: DataFrame, ledger_path: str, batch_id: str) -> None:
     _overwrite_partitions(keys).partitionBy("batch_id").parquet(ledger_path)
 
 
-def append_papers(typed: DataFrame, table_path: str, load_id: str,
-                  max_records_per_file: int = 0) -> int:
-    """Append loaded rows under their ``load_id`` partition (idempotent).
-    Returns the number of rows written, observed during the write itself
-    (no second job); ``max_records_per_file`` plays the bulk-copy batch size."""
-    obs = Observation(f"append_{load_id}")
-    observed = typed.observe(obs, F.count(F.lit(1)).alias("rows"))
-    w = _overwrite_partitions(observed.withColumn("load_id", F.lit(load_id)))
+def append_papers(typed: DataFrame, table_path: str, max_records_per_file: int = 0) -> int:
+    """Store loaded rows under the partition of their ``file_id``. Loading the
+    same file again, in whatever company, replaces its rows. Returns the number
+    of rows written, observed during the write itself (no second job);
+    ``max_records_per_file`` plays the bulk-copy batch size."""
+    obs = Observation("append_papers")
+    w = _overwrite_partitions(typed.observe(obs, F.count(F.lit(1)).alias("rows")))
     if max_records_per_file:
         w = w.option("maxRecordsPerFile", max_records_per_file)
-    w.partitionBy("load_id").parquet(table_path)
+    w.partitionBy("file_id").parquet(table_path)
     return int(obs.get.get("rows", 0))
 
 
-def append_load_log(log_rows: DataFrame, log_path: str, load_id: str) -> None:
-    """Append the per-file log rows of one load (separate write after the data)."""
-    _overwrite_partitions(log_rows.withColumn("load_id", F.lit(load_id))) \
-        .partitionBy("load_id").parquet(log_path)
+def append_load_log(log_rows: DataFrame, log_path: str) -> None:
+    """Append the per-file log rows of one load (separate write after the
+    data); rows of earlier loads are never replaced."""
+    log_rows.write.mode("append").parquet(log_path)
 
 
 def append_papers_jdbc(typed: DataFrame, url: str, table: str, properties: dict | None = None,

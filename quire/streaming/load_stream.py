@@ -2,14 +2,10 @@
 
 from __future__ import annotations
 
-import datetime as dt
-
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from quire.plans.load_run import archive_files, files_load_id, load_files, pending_files
-from quire.schemas import FAILED
-from quire.sources.tables import read_load_log
+from quire.plans.load_run import run_load
 from quire.streaming.common import run_available
 
 # The binaryFile source's fixed schema (a stream needs it up front).
@@ -19,33 +15,31 @@ BINARY_FILE_SCHEMA = T.StructType([
     T.StructField("length", T.LongType(), False),
     T.StructField("content", T.BinaryType(), True),
 ])
+MAX_FILES = 2_000
 
 
 def load_stream(spark: SparkSession, drop_dir: str, table_path: str, log_path: str,
                 checkpoint: str, archive_dir: str | None = None,
-                max_files_per_trigger: int | None = None, available_now: bool = True,
-                processing_time: str | None = None):
-    """Watch ``drop_dir`` for ``*.csv`` files; every micro-batch loads its new
-    files in name order (the file source orders by modification time) and
-    appends one log row per file. Files already logged as loaded are skipped,
-    so a replayed batch appends nothing twice."""
-    files = (spark.readStream.format("binaryFile").schema(BINARY_FILE_SCHEMA)
-             .option("pathGlobFilter", "*.csv")
-             .option("recursiveFileLookup", True))
-    if max_files_per_trigger:
-        files = files.option("maxFilesPerTrigger", max_files_per_trigger)
-    paths = files.load(drop_dir).select("path")
+                max_files_per_trigger: int = MAX_FILES, available_now: bool = True,
+                processing_time: str | None = None, on_ragged: str = "load"):
+    """Watch ``drop_dir`` for ``*.csv`` files and run a load cycle when new
+    ones arrive, and once at the start.
+
+    The stream says when to load; what to load is the folder's listing minus
+    the log, as in the batch job. So FAILED and empty files are tried and
+    logged in every cycle, a replayed micro-batch finds its files loaded, and
+    a lost checkpoint or log row loads nothing twice (papers are stored by
+    file identity). A cycle takes ``max_files_per_trigger`` files at a time.
+    """
+    def cycle() -> None:
+        run_load(spark, drop_dir, table_path, log_path, archive_dir, on_ragged, max_files_per_trigger)
 
     def each_batch(batch: DataFrame, epoch_id: int) -> None:
-        todo = pending_files(batch, read_load_log(spark, log_path))
-        names = sorted(r.path for r in todo.collect())  # this batch's file names
-        if not names:
-            return
-        started = dt.datetime.now()
-        written = load_files(spark, names, table_path, log_path, files_load_id(names), started)
-        if archive_dir:
-            archive_files(spark, [r.file_name for r in written.where(F.col("status") != FAILED)
-                                  .select("file_name").collect()], archive_dir, dt.datetime.now())
-
-    return run_available(paths.writeStream.foreachBatch(each_batch), checkpoint,
-                         available_now, processing_time)
+        cycle()
+
+    cycle()
+    files = (spark.readStream.format("binaryFile").schema(BINARY_FILE_SCHEMA)
+             .option("pathGlobFilter", "*.csv").option("recursiveFileLookup", True)
+             .option("maxFilesPerTrigger", max_files_per_trigger))
+    return run_available(files.load(drop_dir).select("path").writeStream.foreachBatch(each_batch),
+                         checkpoint, available_now, processing_time)

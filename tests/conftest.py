@@ -13,8 +13,8 @@ def spark():
     from quire.session import build_session
     s = build_session("local[4]", app="quire-tests", shuffle_partitions=4,
                       extra={"spark.driver.memory": "4g"})
-    if not s.conf.get("spark.checkpoint.dir", None):
-        s.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="quire-test-ckpt-"))
+    if not s.conf.get("spark.checkpoint.dir", None) and not s.sparkContext.getCheckpointDir():
+        s.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quire-test-ckpt-"))
     yield s
 
 

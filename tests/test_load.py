@@ -6,7 +6,8 @@ import shutil
 
 from pyspark.sql import functions as F
 
-from quire.plans.load_run import clean_drops, run_load
+from quire.plans.load_run import clean_drops, load_files, run_load
+from quire.sources.drops import DropFile, list_drops, split_record
 from quire.sources.tables import read_load_log, read_papers
 
 HERE = os.path.join(os.path.dirname(__file__), "drops")
@@ -67,7 +68,6 @@ def test_load_cycle_numbering_log_and_rerun(spark, scratch):
 
 
 def test_failed_files_are_logged_and_kept(spark, scratch):
-    from quire.plans.load_run import load_files
     drops = _drops(scratch)
     open(os.path.join(drops, "zero.csv"), "w").close()
     t, lg = os.path.join(scratch, "papers"), os.path.join(scratch, "log")
@@ -78,11 +78,12 @@ def test_failed_files_are_logged_and_kept(spark, scratch):
     assert z.error_msg and os.path.exists(os.path.join(drops, "zero.csv"))  # stays for a retry
     assert out.loaded_rows == 7
     # a file that vanished between listing and reading fails alone
-    good = os.path.join(HERE, "old_header.csv")
-    gone = os.path.join(drops, "vanished.csv")
-    w = load_files(spark, ["file:" + good, "file:" + gone], t + "2", lg + "2", "x", dt.datetime.now())
-    st = {os.path.basename(r.file_name): r.status for r in w.collect()}
-    assert st == {"old_header.csv": "SUCCESS", "vanished.csv": "FAILED"}
+    good = DropFile("file:" + os.path.join(HERE, "old_header.csv"), 9, 1)
+    gone = DropFile("file:" + os.path.join(drops, "vanished.csv"), 9, 1)
+    done = load_files(spark, [good, gone], t + "2", lg + "2")
+    st = {os.path.basename(r.file_name): r for r in read_load_log(spark, lg + "2").collect()}
+    assert done == [good] and {k: r.status for k, r in st.items()} == {"old_header.csv": "SUCCESS", "vanished.csv": "FAILED"}
+    assert "vanished.csv" in st["vanished.csv"].error_msg
 
 
 def test_header_names_resolve_case_insensitively(spark):
@@ -101,8 +102,84 @@ def test_retry_after_log_failure_does_not_duplicate(spark, scratch, monkeypatch)
     monkeypatch.setattr(LR, "append_load_log", broken)
     first = run_load(spark, drops, t, lg)
     assert first.log.count() == 0 and read_papers(spark, t).count() == 7   # data kept
+    # the log write fails, a file arrives before the retry: nothing is stored twice
     monkeypatch.undo()
+    shutil.copy(os.path.join(HERE, "upper_header.csv"), os.path.join(drops, "a_new.csv"))
     second = run_load(spark, drops, t, lg)
-    assert second.loaded_rows == 7
-    assert read_papers(spark, t).count() == 7      # same files -> same partition, replaced
-    assert read_papers(spark, t).select("seq").distinct().count() == 7
+    assert second.loaded_rows == 8
+    assert read_papers(spark, t).count() == 8      # same file -> same partition, replaced
+    assert read_papers(spark, t).select("seq").distinct().count() == 8
+
+
+def test_log_failure_does_not_keep_files_from_the_archive(spark, scratch, monkeypatch):
+    import quire.plans.load_run as LR
+    drops, t, lg, ar = (os.path.join(scratch, x) for x in ("in", "papers", "log", "archive"))
+    _drops(scratch)
+    monkeypatch.setattr(LR, "append_load_log", lambda *a, **k: 1 / 0)
+    run_load(spark, drops, t, lg, archive_dir=ar)
+    assert os.listdir(drops) == ["header_only.csv"]
+    monkeypatch.undo()
+    assert run_load(spark, drops, t, lg, archive_dir=ar).loaded_rows == 0
+    assert read_papers(spark, t).count() == 7
+
+
+def test_new_file_under_an_old_name(spark, scratch):
+    drops, t, lg = (os.path.join(scratch, x) for x in ("in", "papers", "log"))
+    ar = os.path.join(drops, "archive")             # the default place, inside the drop folder
+    os.makedirs(drops)
+    for name, rows in (("old_header.csv", 2), ("reordered.csv", 5), ("old_header.csv", 7)):
+        shutil.copy(os.path.join(HERE, name), os.path.join(drops, "a.csv"))
+        run_load(spark, drops, t, lg, archive_dir=ar)
+        assert read_papers(spark, t).count() == rows
+    assert run_load(spark, drops, t, lg, archive_dir=ar).loaded_rows == 0
+    archived = sorted(f for _, _, fs in os.walk(ar) for f in fs if f.endswith(".csv"))
+    assert len(archived) == 3 and archived[0] == "a.csv" and list_drops(spark, drops, ar) == []
+
+
+def test_each_cycle_logs_its_failures(spark, scratch):
+    drops, t, lg = (os.path.join(scratch, x) for x in ("in", "papers", "log"))
+    os.makedirs(os.path.join(drops, "sub"))
+    for p in ("z.csv", "sub/y.csv"):
+        open(os.path.join(drops, p), "w").close()
+    with open(os.path.join(drops, "blank.csv"), "w") as f:
+        f.write("\n\n")
+    for n in (3, 6):
+        run_load(spark, drops, t, lg)
+        rows = read_load_log(spark, lg).collect()
+        assert len(rows) == n == len({r.log_id for r in rows}) and {r.status for r in rows} == {"FAILED"}
+
+
+def test_wide_drops_and_ragged_rows(spark, scratch):
+    drops, t, lg = (os.path.join(scratch, x) for x in ("in", "papers", "log"))
+    os.makedirs(drops)
+    with open(os.path.join(drops, "wide.csv"), "w") as f:
+        f.write(",".join([f"x{i}" for i in range(60)] + ["title", "paper_number"]) + "\n")
+        f.write(",".join([str(i) for i in range(60)] + ['"T, ""q"""', "P1"]) + "\n")
+        f.write("short,row\n" + ",".join(["v"] * 61 + ["P2"]) + "\n")
+    r = {x.paper_number: x for x in clean_drops(spark, drops).collect()}
+    assert r["P1"].title == 'T, "q"' and r["P2"].title == "v" and r[""].title == ""
+    out = run_load(spark, drops, t, lg, on_ragged="reject").log.first()
+    assert (out.total_rows, out.loaded_rows, out.failed_rows, out.status) == (3, 2, 1, "PARTIAL")
+    assert out.started_at <= out.finished_at
+    assert sorted((p.seq, p.paper_number) for p in read_papers(spark, t).collect()) == [(1, "P1"), (2, "P2")]
+
+
+def test_split_record():
+    assert split_record('a, b ," c ""d"" ",,""') == ["a", "b", ' c "d" ', None, ""]
+    assert split_record("") == [None] and split_record(",") == [None, None]
+    assert split_record('"x\ny" ,2') == ["x\ny", "2"]
+
+
+def test_scratch_needs_a_shared_folder(spark, monkeypatch):
+    import pytest
+
+    from quire import session
+
+    class Bare:
+        class conf:
+            get = staticmethod(lambda *a: None)
+
+        class sparkContext:
+            getCheckpointDir = staticmethod(lambda: None)
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        session.scratch_path(Bare, "x")
