@@ -1,8 +1,12 @@
-"""Command line: ``python -m quire <command> ...``.
+"""Command line: ``python -m quire [--scratch DIR] <command> ...``.
 
-  harvest  --landing DIR --ledger DIR --drops DIR [--batch-id ID] [--min-new N]
-  load     --drops DIR --table DIR --log DIR [--archive DIR]
-  cycle    --root DIR --landing DIR          (harvest stream, then load stream)
+``--scratch`` is a folder that the driver and all executors share (the
+``spark.checkpoint.dir`` of the session, if that is not set otherwise);
+``--config`` is a JSON file with the sources and their limits.
+
+  harvest  --landing DIR --ledger DIR --drops DIR [--batch-id ID] [--min-new N] [--config FILE]
+  load     --drops DIR --table DIR --log DIR [--archive DIR] [--on-ragged load|reject]
+  cycle    --root DIR --landing DIR [--config FILE]   (harvest stream, then load stream and archive)
   list     --table DIR [--skip N --take N --keyword K --site S --sort C --order asc|desc]
   history  --log DIR [--top N]
 """
@@ -10,14 +14,22 @@
 from __future__ import annotations
 
 import argparse
-import datetime as dt
 import json
 import sys
 
 
+def _config(path: str | None, default: dict) -> dict:
+    """The harvest configuration: a JSON file over the shipped values."""
+    if not path:
+        return dict(default)
+    with open(path, encoding="utf-8") as f:
+        return {**default, **json.load(f)}
+
+
 def main(argv: list[str] | None = None) -> int:
     ap = argparse.ArgumentParser(prog="quire")
     ap.add_argument("--master", default=None, help="Spark master (default: from spark-submit)")
+    ap.add_argument("--scratch", default=None, help="shared folder for staged data")
     sub = ap.add_subparsers(dest="cmd", required=True)
     h = sub.add_parser("harvest")
     h.add_argument("--landing", required=True)
@@ -25,14 +37,17 @@ def main(argv: list[str] | None = None) -> int:
     h.add_argument("--drops", required=True)
     h.add_argument("--batch-id", default=None)
     h.add_argument("--min-new", type=int, default=None)
+    h.add_argument("--config", default=None)
     lo = sub.add_parser("load")
     lo.add_argument("--drops", required=True)
     lo.add_argument("--table", required=True)
     lo.add_argument("--log", required=True)
     lo.add_argument("--archive", default=None)
+    lo.add_argument("--on-ragged", choices=["load", "reject"], default="load")
     cy = sub.add_parser("cycle")
     cy.add_argument("--root", required=True)
     cy.add_argument("--landing", required=True)
+    cy.add_argument("--config", default=None)
     li = sub.add_parser("list")
     li.add_argument("--table", required=True)
     for name, typ in (("--skip", int), ("--take", int)):
@@ -45,25 +60,25 @@ def main(argv: list[str] | None = None) -> int:
     a = ap.parse_args(argv)
 
     from quire.session import build_session
-    spark = build_session(a.master)
+    spark = build_session(a.master, extra={"spark.checkpoint.dir": a.scratch} if a.scratch else None)
     if a.cmd == "harvest":
         from quire.plans.harvest_run import DEFAULT_CONFIG, run_harvest
         from quire.sources.ledger import read_ledger
         from quire.sources.payloads import read_payloads
-        cfg = dict(DEFAULT_CONFIG)
+        cfg = _config(a.config, DEFAULT_CONFIG)
         if a.min_new is not None:
             cfg["min_new_papers"] = a.min_new
-        batch = a.batch_id or dt.datetime.now().strftime("%Y%m%d_%H%M%S")
         path, summary = run_harvest(read_payloads(spark, a.landing), read_ledger(spark, a.ledger),
-                                    a.ledger, a.drops, batch, cfg)
+                                    a.ledger, a.drops, a.batch_id, cfg)
         print(json.dumps({"drop": path, "summary": [r.asDict() for r in summary.collect()]}))
     elif a.cmd == "load":
         from quire.plans.load_run import run_load
-        out = run_load(spark, a.drops, a.table, a.log, archive_dir=a.archive)
+        out = run_load(spark, a.drops, a.table, a.log, archive_dir=a.archive, on_ragged=a.on_ragged)
         print(json.dumps({"files": out.files, "loaded_rows": out.loaded_rows}))
     elif a.cmd == "cycle":
+        from quire.plans.harvest_run import DEFAULT_CONFIG
         from quire.streaming.cycle import run_cycle
-        run_cycle(spark, a.root, a.landing)
+        run_cycle(spark, a.root, a.landing, config=_config(a.config, DEFAULT_CONFIG))
     elif a.cmd == "list":
         from quire.operators.query import fetch_page
         from quire.sources.tables import read_papers

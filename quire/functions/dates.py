@@ -66,11 +66,18 @@ TIMESTAMP_FORMATS = [
 ]
 
 
+EXACT_TIMESTAMP = (r"^[0-9]{4}-[0-9]{2}-[0-9]{2}[T ][0-9]{2}:[0-9]{2}:[0-9]{2}"
+                   r"(\.[0-9]{1,9})?(Z|[+-][0-9]{2}:[0-9]{2})?$")
+
+
 def parse_timestamp(c) -> Column:
-    """Timestamp text -> TIMESTAMP_NTZ (wall clock), bad text -> NULL."""
+    """Timestamp text -> TIMESTAMP_NTZ (wall clock), bad text -> NULL. Text
+    with a fraction of a second keeps it; text with ``Z`` or an offset is the
+    wall clock of the session's time zone."""
     raw = py_strip(_c(c))
     tries = [F.try_to_timestamp(raw, F.lit(f)) for f in TIMESTAMP_FORMATS]
-    return F.coalesce(*tries).cast("timestamp_ntz")
+    exact = F.when(raw.rlike(EXACT_TIMESTAMP), raw.try_cast("timestamp"))
+    return F.coalesce(*tries, exact).cast("timestamp_ntz")
 
 
 def parse_int(c) -> Column:

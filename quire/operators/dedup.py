@@ -18,11 +18,12 @@ def dedup_first(df: DataFrame, keys: list[str] = PAPER_KEY,
     order = order or ["keyword_idx", "item_pos"]
     order_cols = [F.col(c) if isinstance(c, str) else c for c in order]
     others = [c for c in df.columns if c not in keys]
-    # the rest of the row breaks ties of the order keys, so the winner is
-    # deterministic (columns without an ordering, maps and variants, are skipped)
-    orderable = [f.name for f in df.schema.fields if f.name in others
-                 and not any(t in f.dataType.simpleString() for t in ("map<", "variant"))]
-    rank = F.struct(*order_cols, *[F.col(c) for c in orderable])
+    # a hash of the rest of the row breaks ties of the order keys, so the winner
+    # is deterministic and the row crosses the shuffle once (maps and variants
+    # cannot be hashed and are left out)
+    hashable = [f.name for f in df.schema.fields if f.name in others
+                and not any(t in f.dataType.simpleString() for t in ("map<", "variant"))]
+    rank = F.struct(*order_cols, F.xxhash64(*hashable).alias("_tie")) if hashable else F.struct(*order_cols)
     winner = F.min_by(F.struct(*[F.col(c) for c in others]), rank).alias("_w")
     return df.groupBy(*keys).agg(winner).select(*keys, "_w.*").select(*df.columns)
 

@@ -92,7 +92,3 @@ def harvest_summary(new_papers: DataFrame, task_status: DataFrame,
     return (tasks.join(new, source_col, "left")
             .select(source_col, "tasks", "errors",
                     F.coalesce("new_papers", F.lit(0).cast("long")).alias("new_papers")))
-
-
-def failed_sources(summary: DataFrame, source_col: str = "source") -> DataFrame:
-    return summary.where(F.col("errors") > 0).select(source_col, "errors")

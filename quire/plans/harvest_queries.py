@@ -62,21 +62,29 @@ def new_vs_ledger_broadcast(spark, sf_dir):
 
 @register("gate_min_new", with_views(PAPERS_FX_SQL) + """
 SELECT seq, site_name, paper_number FROM papers_fx
-WHERE keyword = 'kw3' AND (SELECT count(*) FROM papers_fx WHERE keyword = 'kw3') >= 3""")
+WHERE (SELECT count(*) FROM papers_fx) >= 3""")
 def gate_min_new(spark, sf_dir):
-    """Minimum-batch gate (J34) on one keyword's rows: passes (enough rows)."""
-    run = papers_fx(spark, sf_dir).filter(F.col("keyword") == "kw3")
-    return H.gate(run, 3).select("seq", "site_name", "paper_number")
+    """Minimum-batch gate (J34) over all papers: passes (enough rows)."""
+    return H.gate(papers_fx(spark, sf_dir), 3).select("seq", "site_name", "paper_number")
 
 
 @register("gate_blocks_small_batch", with_views(PAPERS_FX_SQL) + """
-SELECT seq, site_name, paper_number FROM papers_fx
-WHERE site_name = 'src3' AND journal = 'J3'
-  AND (SELECT count(*) FROM papers_fx WHERE site_name = 'src3' AND journal = 'J3') >= 1000000""")
+SELECT b.site_name, b.n, CASE WHEN b.n >= a.n THEN b.n ELSE 0 END AS passed
+FROM (SELECT site_name, count(*) AS n FROM papers_fx GROUP BY site_name) b,
+     (SELECT avg(n) AS n FROM (SELECT count(*) AS n FROM papers_fx GROUP BY site_name)) a""")
 def gate_blocks_small_batch(spark, sf_dir):
-    """Gate with a threshold above the batch size: nothing is written."""
-    run = papers_fx(spark, sf_dir).filter((F.col("site_name") == "src3") & (F.col("journal") == "J3"))
-    return H.gate(run, 1_000_000).select("seq", "site_name", "paper_number")
+    """Gate (J34) on each site's batch with the mean batch size as threshold:
+    the smaller batches are held back whole, the larger ones pass whole."""
+    papers = papers_fx(spark, sf_dir).select("site_name", "seq")
+    sizes = papers.groupBy("site_name").agg(F.count(F.lit(1)).alias("n"))
+    need = -(-papers.count() // max(sizes.count(), 1))
+    batches = [r.site_name for r in sizes.select("site_name").collect()]  # the sites: a handful of sources
+    passed = None
+    for site in batches:
+        g = H.gate(papers.where(F.col("site_name").eqNullSafe(site)), need)
+        passed = g if passed is None else passed.unionByName(g)
+    got = passed.groupBy("site_name").agg(F.count(F.lit(1)).alias("passed"))
+    return sizes.join(got, "site_name", "left").select("site_name", "n", F.coalesce("passed", F.lit(0)).alias("passed"))
 
 
 @register("harvest_summary", """
@@ -137,18 +145,18 @@ def _harvest_ctes(tag: str, where: str, ledger: str | None) -> str:
             from quire.plans.source_queries import CROSSREF_DATE
             sd = CROSSREF_DATE
         extra = (f"'{s}' AS src, chunk % 20 AS keyword_idx, item_pos, "
-                 f"{sd or 'cast(NULL AS varchar)'} AS sort_date, ")
-        parts.append(select_sql(s, src=f"{tag}_d", where=f"k = {i} AND NOT broken", extra=extra))
+                 f"chunk, {sd or 'cast(NULL AS varchar)'} AS sort_date, ")
+        parts.append(select_sql(s, src=f"{tag}_d", where=f"k = {i}", extra=extra))
     rows = "\nUNION ALL\n".join(parts)
     anti = "TRUE" if ledger is None else (
         f"NOT EXISTS (SELECT 1 FROM {ledger} l WHERE l.site_name = f.site_name "
         f"AND l.paper_number = f.paper_number)")
     return f""",
-{tag}_d AS (SELECT dd.*, row_number() OVER (PARTITION BY k, chunk ORDER BY doc_id) - 1 AS item_pos,
-            (chunk + k) % 13 = 7 AS broken FROM dd WHERE {where}),
+{tag}_d AS (SELECT dd.*, row_number() OVER (PARTITION BY k, chunk ORDER BY doc_id) - 1 AS item_pos
+            FROM dd WHERE {where}),
 {tag}_rows AS ({rows}),
-{tag}_capped AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY src, keyword
-                 ORDER BY sort_date DESC NULLS LAST, extracted_at, item_pos) AS rn FROM {tag}_rows)
+{tag}_capped AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY src, chunk
+                 ORDER BY sort_date DESC NULLS LAST, item_pos) AS rn FROM {tag}_rows)
                  WHERE rn <= CASE WHEN src = 'google_scholar' THEN 5 ELSE 20 END),
 {tag}_first AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY site_name, paper_number
                 ORDER BY keyword_idx, item_pos) AS r2 FROM {tag}_capped WHERE length(paper_number) > 0)
@@ -160,7 +168,7 @@ def _harvest_ctes(tag: str, where: str, ledger: str | None) -> str:
 HARVEST_SQL = BASE_SQL + AB_SQL + _harvest_ctes("r1", "lang = 'en'", None) \
     + _harvest_ctes("r2", "TRUE", "r1_gated")
 _SUMMARY_TASKS = """,
-tasks AS (SELECT src, count(*) AS tasks,
+tasks AS (SELECT src, count(*) + count(*) FILTER (WHERE broken) AS tasks,
                  count(*) FILTER (WHERE broken AND src <> 'google_scholar') AS errors
           FROM (SELECT DISTINCT k, chunk, (chunk + k) % 13 = 7 AS broken FROM dd) t
           JOIN (SELECT * FROM (VALUES """ + ", ".join(
@@ -196,3 +204,33 @@ def harvest_run_summary(spark, sf_dir):
     """Per-source summary of the flagship run."""
     res = _run(spark, sf_dir)
     return H.harvest_summary(res.candidates.checkpoint(eager=True), res.status)
+
+
+CAP_SOURCES = ["crossref", "europepmc", "google_scholar"]
+CAP_CONFIG = {"max_results_per_source": 7, "sources": {
+    "crossref": {"enabled": True}, "europepmc": {"enabled": True}, "google_scholar": {"enabled": True, "max_results": 5}}}
+
+
+def _cap_sql() -> str:
+    parts = []
+    for s in CAP_SOURCES:
+        from quire.plans.source_queries import CROSSREF_DATE
+        sd = CROSSREF_DATE if s == "crossref" else "cast(NULL AS varchar)"
+        parts.append(select_sql(s, src="c_d", extra=f"'{s}' AS src, chunk, item_pos, {sd} AS sort_date, "))
+    return BASE_SQL + AB_SQL + """,
+c_d AS (SELECT dd.*, row_number() OVER (PARTITION BY chunk ORDER BY doc_id) - 1 AS item_pos FROM dd)
+SELECT """ + ", ".join(PAPER_COLUMNS) + """ FROM (SELECT *, row_number() OVER (PARTITION BY src, chunk
+  ORDER BY sort_date DESC NULLS LAST, item_pos) AS rn FROM (""" + "\nUNION ALL\n".join(parts) + """))
+WHERE rn <= CASE WHEN src = 'google_scholar' THEN 5 ELSE 7 END"""
+
+
+@register("cap_per_response", _cap_sql())
+def cap_per_response(spark, sf_dir):
+    """Limits per request (J13): responses of 20 records each, landed run after
+    run under 20 keywords, keep their own first 7 (5 of one source); a later
+    response of the same keyword has its own allowance."""
+    pay = None
+    for s in CAP_SOURCES:
+        p = PF.payloads(spark, sf_dir, s)
+        pay = p if pay is None else pay.unionByName(p)
+    return R.capped_rows(pay, CAP_CONFIG).select(*PAPER_COLUMNS)

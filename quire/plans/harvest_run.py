@@ -1,6 +1,6 @@
 """One harvest run as a single plan up to its two writes.
 
-payloads -> normalise every source -> cap rows per (source, keyword) ->
+payloads -> normalise every source -> cap the rows of each response ->
 drop blank keys -> first arrival per key -> anti join with the ledger ->
 minimum-batch gate -> CSV drop + ledger append; plus a per-source summary.
 """
@@ -13,8 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, functions as F
 
 from quire.operators.dedup import PAPER_KEY, dedup_first, drop_blank_keys, new_vs_ledger
-from quire.operators.harvest import (DEFAULT_MIN_NEW, gate, harvest_summary,
-                                     source_limits, top_n_per_group)
+from quire.operators.harvest import DEFAULT_MIN_NEW, gate, harvest_summary, source_limits
 from quire.schemas import PAPER_COLUMNS
 from quire.session import checkpoint_root
 from quire.sources import normalisers as N
@@ -51,19 +50,38 @@ class HarvestResult:
 
 def capped_rows(payloads: DataFrame, config: Mapping = DEFAULT_CONFIG,
                 parsed: DataFrame | None = None) -> DataFrame:
-    """Normalised rows, at most the source's limit per (source, keyword),
-    in the source's declared order (newest date first, else arrival)."""
+    """Normalised rows, at most the source's limit from each response (the
+    limit is what a request asks for), in the source's declared order (newest
+    date first, else as they came). A response is one row with its records, so
+    the cap is taken inside the row: nothing is shuffled or ranked, and
+    responses of other runs never share an allowance."""
     limits = source_limits(config, N.SOURCES)
     sources = [s for s in N.SOURCES if s in limits]
     parsed = parsed if parsed is not None else N.parse_payloads(
         payloads.where(F.col("source").isin(*sources)), sources)
-    rows = N.rows_of(parsed)
     lim = F.element_at(F.create_map(*[x for s in sources for x in (F.lit(s), F.lit(limits[s]))]),
                        F.col("source"))
-    order = [F.col("sort_date").desc_nulls_last(), F.col("extracted_at").asc(),
-             F.col("item_pos").asc()]
-    return top_n_per_group(rows, ["source", "keyword"], order, max(limits.values()),
-                           limit_col=lim)
+    usable = F.filter("papers", lambda r: r["keep"])
+    newest = F.array_sort(usable, _newest_first)
+    ordered = F.when(F.col("source").isin(*N.DATE_ORDERED), newest).otherwise(usable)
+    return N.rows_of(parsed.withColumn("papers", F.slice(ordered, F.lit(1), lim)))
+
+
+def _newest_first(a, b):
+    """Order of two records: date descending, no date last, then position."""
+    x, y = a["sort_date"], b["sort_date"]
+    by_date = F.when(x > y, -1).when(x < y, 1).when(x.isNotNull() & y.isNull(), -1) \
+        .when(x.isNull() & y.isNotNull(), 1)
+    return F.coalesce(by_date, a["item_pos"] - b["item_pos"])
+
+
+def responses_id(payloads: DataFrame) -> str:
+    """A batch id from what landed: the same responses give the same id, so a
+    repeat after a crash replaces the drop and ledger partition of the first
+    try, and other responses never do."""
+    r = payloads.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64(
+        "source", "keyword", "fetched_at", "file_path", "body")).alias("x")).first()
+    return f"r{r.n}-{(r.x or 0) & ((1 << 64) - 1):016x}"
 
 
 def harvest(payloads: DataFrame, ledger: DataFrame, config: Mapping = DEFAULT_CONFIG,
@@ -97,11 +115,12 @@ def gated_batch(result: HarvestResult, config: Mapping = DEFAULT_CONFIG) -> Data
 
 
 def run_harvest(payloads: DataFrame, ledger: DataFrame, ledger_path: str, drop_dir: str,
-                batch_id: str, config: Mapping = DEFAULT_CONFIG) -> tuple[str | None, DataFrame]:
+                batch_id: str | None = None,
+                config: Mapping = DEFAULT_CONFIG) -> tuple[str | None, DataFrame]:
     """Execute a run: the new rows are checkpointed to the shared checkpoint
     folder so the gate and both writes see the same rows; below the gate
     nothing is written (path None), else the drop and the ledger partition of
-    ``batch_id`` are written (drop first)."""
+    ``batch_id`` (by default from the responses) are written, drop first."""
     checkpoint_root(payloads.sparkSession)
     result = harvest(payloads, ledger, config, materialize=True)
     # the new rows are computed once; the gate is their count, the summary
@@ -111,6 +130,7 @@ def run_harvest(payloads: DataFrame, ledger: DataFrame, ledger_path: str, drop_d
     if cand.count() < int(config.get("min_new_papers", DEFAULT_MIN_NEW)):
         return None, summary
     batch = cand.select(*PAPER_COLUMNS)
+    batch_id = batch_id or responses_id(payloads)
     path = write_drop(batch, drop_dir, batch_id)
     append_ledger(batch, ledger_path, batch_id)
     return path, summary

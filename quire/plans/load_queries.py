@@ -16,7 +16,7 @@ from quire.plans.load_run import clean_drops, run_load
 from quire.schemas import PAPER_COLUMNS, WIDTHS
 from quire.session import scratch_path
 from quire.sources.sinks import write_drop
-from quire.sources.tables import read_papers
+from quire.sources.tables import read_load_log, read_papers
 
 WS = WHITESPACE_CLASS
 
@@ -97,13 +97,17 @@ _RAW_CITES_SQL = """CASE WHEN doc_id % 11 = 0 THEN 'n/a'
   ELSE cast(n_chars AS varchar) END"""
 _RAW_TS_SQL = """CASE WHEN doc_id % 5 = 0 THEN 'yesterday'
   WHEN doc_id % 5 = 1 THEN strftime(TIMESTAMP '2024-01-01 00:00:00' + to_seconds(doc_id * 37), '%Y-%m-%dT%H:%M:%S')
+  WHEN doc_id % 5 = 2 THEN strftime(TIMESTAMP '2024-01-01 00:00:00' + to_seconds(doc_id * 37), '%Y-%m-%d %H:%M:%S.250')
+  WHEN doc_id % 5 = 3 THEN strftime(TIMESTAMP '2024-01-01 00:00:00' + to_seconds(doc_id * 37), '%Y-%m-%dT%H:%M:%S+02:00')
   ELSE strftime(TIMESTAMP '2024-01-01 00:00:00' + to_seconds(doc_id * 37), '%Y-%m-%d %H:%M:%S') END"""
 
 
 def _ts_sql(r: str) -> str:
     s = _strip_sql(r)
     return f"""coalesce(try_strptime({s}, '%Y-%m-%d %H:%M:%S'), try_strptime({s}, '%Y-%m-%dT%H:%M:%S'),
-  try_strptime({s}, '%Y-%m-%d %H:%M'), try_strptime({s}, '%Y-%m-%d'), try_strptime({s}, '%Y/%m/%d %H:%M:%S'))"""
+  try_strptime({s}, '%Y-%m-%d %H:%M'), try_strptime({s}, '%Y-%m-%d'), try_strptime({s}, '%Y/%m/%d %H:%M:%S'),
+  try_strptime({s}, '%Y-%m-%d %H:%M:%S.%g'),
+  try_strptime(left({s}, 19), '%Y-%m-%dT%H:%M:%S') - to_hours(cast(substr({s}, 21, 2) AS bigint)))"""
 
 
 @register("type_columns", f"""
@@ -113,7 +117,8 @@ SELECT doc_id, raw_cites, raw_ts,
   {_ts_sql('raw_ts')} AS extracted_at
 FROM (SELECT doc_id, {_RAW_CITES_SQL} AS raw_cites, {_RAW_TS_SQL} AS raw_ts FROM documents)""")
 def type_columns(spark, sf_dir):
-    """Integer and timestamp typing (J42): bad text, overflow -> NULL."""
+    """Integer and timestamp typing (J42): bad text, overflow -> NULL; plain,
+    fractional and zoned timestamps."""
     doc = F.col("doc_id")
     n = F.col("n_chars")
     raw_cites = (F.when(doc % 11 == 0, F.lit("n/a"))
@@ -124,6 +129,8 @@ def type_columns(spark, sf_dir):
     ts = F.timestamp_add("SECOND", doc * 37, F.lit("2024-01-01 00:00:00").cast("timestamp_ntz"))
     raw_ts = (F.when(doc % 5 == 0, F.lit("yesterday"))
               .when(doc % 5 == 1, F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss"))
+              .when(doc % 5 == 2, F.date_format(ts, "yyyy-MM-dd HH:mm:ss'.250'"))
+              .when(doc % 5 == 3, F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'+02:00'"))
               .otherwise(F.date_format(ts, "yyyy-MM-dd HH:mm:ss")))
     d = table(spark, sf_dir, "documents").select("doc_id", raw_cites.alias("raw_cites"),
                                                 raw_ts.alias("raw_ts"))
@@ -208,36 +215,198 @@ SELECT site_name AS drop_key, cast(count(*) AS int) AS total_rows, cast(count(*)
 FROM papers_fx GROUP BY site_name""")
 def load_results(spark, sf_dir):
     """A full load cycle (J02-J10, J40-J47) over drops written one folder per
-    site, loaded files archived afterwards; the log rows are reported by drop
-    folder."""
+    site, loaded files archived afterwards; the log rows of a site's files are
+    summed."""
     root = scratch_path(spark, "load")
     p = papers_fx(spark, sf_dir).withColumn("drop", F.col("site_name"))
     (p.select(*[F.col(c).cast("string") for c in PAPER_COLUMNS if c != "extracted_at"],
               F.lit("2024-01-01 00:00:00").alias("extracted_at"), "drop")
-     .repartition("drop").write.partitionBy("drop").option("header", True)
+     .write.partitionBy("drop").option("header", True).option("maxRecordsPerFile", 20_000)
      .option("quoteAll", True).option("escape", '"').csv(f"{root}/drops"))
     out = run_load(spark, f"{root}/drops", f"{root}/papers", f"{root}/log",
                    archive_dir=f"{root}/archive")
-    return out.log.select(
-        F.regexp_extract("file_name", r"drop=([^/]+)/", 1).alias("drop_key"),
-        "total_rows", "loaded_rows", "failed_rows", "status")
+    return out.log.groupBy(F.regexp_extract("file_name", r"drop=([^/]+)/", 1).alias("drop_key")).agg(
+        *[F.sum(c).cast("int").alias(c) for c in ("total_rows", "loaded_rows", "failed_rows")],
+        F.max("status").alias("status"))
 
 
-@register("loaded_papers", with_views(PAPERS_FX_SQL) + """
+_STORED_SQL = with_views(PAPERS_FX_SQL) + """
 SELECT url, site_name, keyword, paper_number, title, authors, published_date,
-       coalesce(doi, '') AS doi, citation_count, coalesce(journal, '') AS journal
-FROM papers_fx""")
+       coalesce(doi, '') AS doi, coalesce(abstract, '') AS abstract, citation_count, coalesce(journal, '') AS journal,
+       TIMESTAMP '2024-01-01 00:00:00' AS extracted_at
+FROM papers_fx"""
+
+
+def _drop_rows(papers):
+    """Papers as the text of a drop."""
+    return papers.select(*[F.col(c).cast("string") for c in PAPER_COLUMNS if c != "extracted_at"],
+                         F.lit("2024-01-01 00:00:00").alias("extracted_at"))
+
+
+def _land(spark, papers, drops: str, columns=None) -> None:
+    """Drop files ``drop-00000.csv``, ... directly in the folder, under the
+    same names whenever something lands."""
+    from quire.sources.drops import file_system
+    tmp = scratch_path(spark, "landing")
+    rows = _drop_rows(papers)
+    (rows.select(*columns) if columns else rows).write.option("header", True).option("quoteAll", True) \
+        .option("escape", '"').option("maxRecordsPerFile", 20_000) \
+        .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(tmp)
+    fs, root = file_system(spark, drops)
+    fs.mkdirs(root)
+    new = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    parts = sorted(s.getPath().toString() for s in fs.globStatus(new(f"{tmp}/part-*")))
+    for i, part in enumerate(parts):
+        fs.rename(new(part), new(root, f"drop-{i:05d}.csv"))
+
+
+@register("loaded_papers", _STORED_SQL)
 def loaded_papers(spark, sf_dir):
     """The stored rows after a load cycle (J08), typed and read back."""
     root = scratch_path(spark, "load")
+    write_drop(_drop_rows(papers_fx(spark, sf_dir)), f"{root}/drops", "b1")
+    run_load(spark, f"{root}/drops", f"{root}/papers", f"{root}/log")
+    return read_papers(spark, f"{root}/papers").select(*PAPER_COLUMNS)
+
+
+@register("loaded_whole_titles", "SELECT doc_id AS n, left(text, 2000) AS title, text AS abstract FROM documents")
+def loaded_whole_titles(spark, sf_dir):
+    """Whole texts as titles through a load (J44): the stored width cuts them."""
+    root = scratch_path(spark, "load")
+    p = papers_fx(spark, sf_dir).withColumns({"title": F.col("abstract"), "citation_count": F.col("seq") - 1})
+    write_drop(_drop_rows(p), f"{root}/drops", "b1")
+    run_load(spark, f"{root}/drops", f"{root}/papers", f"{root}/log")
+    return read_papers(spark, f"{root}/papers").select(F.col("citation_count").cast("bigint").alias("n"),
+                                                       "title", "abstract")
+
+
+@register("load_redropped_names", _STORED_SQL)
+def load_redropped_names(spark, sf_dir):
+    """New files under names that were loaded before (J03, J08, J10): half of
+    the papers land, load and go to an archive inside the drop folder; the
+    other half lands under the same names. A last cycle finds nothing."""
+    root = scratch_path(spark, "load")
+    p = papers_fx(spark, sf_dir)
+    for half in (0, 1):
+        _land(spark, p.where(F.col("seq") % 2 == half), f"{root}/drops")
+        run_load(spark, f"{root}/drops", f"{root}/papers", f"{root}/log", archive_dir=f"{root}/drops/archive")
+    run_load(spark, f"{root}/drops", f"{root}/papers", f"{root}/log", archive_dir=f"{root}/drops/archive")
+    return read_papers(spark, f"{root}/papers").select(*PAPER_COLUMNS)
+
+
+@register("load_after_log_failure", _STORED_SQL)
+def load_after_log_failure(spark, sf_dir):
+    """A log that cannot be written in the first cycle (J09), more files before
+    the second: every paper is stored once, although the first files load
+    again, being in no log."""
+    root = scratch_path(spark, "load")
     p = papers_fx(spark, sf_dir)
-    write_drop(p.select(*[F.col(c).cast("string") for c in PAPER_COLUMNS if c != "extracted_at"],
-                        F.lit("2024-01-01 00:00:00").alias("extracted_at")),
-               f"{root}/drops", "b1", max_records_per_file=300)
+    write_drop(_drop_rows(p.where("seq % 3 = 0")), f"{root}/drops", "b1")
+    blocked = _blocked_path(spark, f"{root}/blocked")
+    run_load(spark, f"{root}/drops", f"{root}/papers", blocked)
+    write_drop(_drop_rows(p.where("seq % 3 <> 0")), f"{root}/drops", "a0")
     run_load(spark, f"{root}/drops", f"{root}/papers", f"{root}/log")
-    return read_papers(spark, f"{root}/papers").select(
-        "url", "site_name", "keyword", "paper_number", "title", "authors", "published_date",
-        "doi", "citation_count", "journal")
+    return read_papers(spark, f"{root}/papers").select(*PAPER_COLUMNS)
+
+
+def _blocked_path(spark, path: str) -> str:
+    """A path below a file, where no table can be written."""
+    from quire.sources.drops import file_system
+    fs, p = file_system(spark, path)
+    fs.mkdirs(p.getParent())
+    fs.createNewFile(p)
+    return f"{path}/log"
+
+
+@register("load_failing_cycles", with_views(PAPERS_FX_SQL) + """
+SELECT 'FAILED' AS status, cast(0 AS bigint) AS rows, cast(2 AS bigint) AS failures
+UNION ALL SELECT 'SUCCESS', count(*), 0 FROM papers_fx""")
+def load_failing_cycles(spark, sf_dir):
+    """An empty file beside good ones in two cycles (J09, J45): it is logged
+    FAILED in each of them, and no log row replaces another."""
+    from quire.sources.drops import file_system
+    root = scratch_path(spark, "load")
+    write_drop(_drop_rows(papers_fx(spark, sf_dir)), f"{root}/drops", "b1")
+    fs, p = file_system(spark, f"{root}/drops/empty.csv")
+    fs.createNewFile(p)
+    for _ in range(2):
+        run_load(spark, f"{root}/drops", f"{root}/papers", f"{root}/log")
+    return read_load_log(spark, f"{root}/log").groupBy("status").agg(
+        F.sum("loaded_rows").alias("rows"), F.count_if(F.col("error_msg").isNotNull()).alias("failures"))
+
+
+@register("load_wide_drops", _STORED_SQL)
+def load_wide_drops(spark, sf_dir):
+    """Drops with 60 unknown columns before ours."""
+    root = scratch_path(spark, "load")
+    _land(spark, papers_fx(spark, sf_dir), f"{root}/drops",
+          [*[F.lit(str(i)).alias(f"extra{i}") for i in range(60)], *PAPER_COLUMNS])
+    run_load(spark, f"{root}/drops", f"{root}/papers", f"{root}/log")
+    return read_papers(spark, f"{root}/papers").select(*PAPER_COLUMNS)
+
+
+def _ragged_lines(spark, sf_dir, drops: str) -> None:
+    """One file per site, a header and a line per paper in the order of seq;
+    every tenth paper lacks its last fields."""
+    p = papers_fx(spark, sf_dir)
+    names = ["site_name", "paper_number", "title", "url"]
+    line = F.concat_ws(",", "site_name", "paper_number", *[F.when(F.col("seq") % 10 != 0, F.lit(v)) for v in ("t", "u")])
+    rows = p.select("site_name", "seq", line.alias("value"))
+    heads = rows.select("site_name").distinct().select("site_name", F.lit(-1).cast("bigint").alias("seq"),
+                                                       F.lit(",".join(names)).alias("value"))
+    (rows.unionByName(heads).repartitionByRange("site_name").sortWithinPartitions("site_name", "seq")
+     .select("value", F.col("site_name").alias("drop")).write.partitionBy("drop").text(f"{drops}_txt"))
+    from quire.sources.drops import file_system
+    fs, root = file_system(spark, drops)
+    new = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs.mkdirs(root)
+    for s in fs.globStatus(new(f"{drops}_txt/drop=*/part-*")):  # one per site
+        fs.rename(s.getPath(), new(root, f"{s.getPath().getParent().getName()}.csv"))
+
+
+@register("load_partial_files", with_views(PAPERS_FX_SQL) + """
+SELECT site_name AS drop_key, cast(count(*) AS int) AS total_rows,
+       cast(count(*) FILTER (WHERE seq % 10 <> 0) AS int) AS loaded_rows,
+       cast(count(*) FILTER (WHERE seq % 10 = 0) AS int) AS failed_rows,
+       CASE WHEN count(*) FILTER (WHERE seq % 10 = 0) > 0 THEN 'PARTIAL' ELSE 'SUCCESS' END AS status,
+       TRUE AS in_order
+FROM papers_fx GROUP BY site_name""")
+def load_partial_files(spark, sf_dir):
+    """Short rows rejected (J45, J45f): PARTIAL files with their counts, each
+    with its own start and end."""
+    root = scratch_path(spark, "load")
+    _ragged_lines(spark, sf_dir, f"{root}/drops")
+    log = run_load(spark, f"{root}/drops", f"{root}/papers", f"{root}/log", on_ragged="reject").log
+    return log.select(F.regexp_extract("file_name", r"drop=([^/]+)[.]csv$", 1).alias("drop_key"),
+                      "total_rows", "loaded_rows", "failed_rows", "status",
+                      (F.col("started_at") <= F.col("finished_at")).alias("in_order"))
+
+
+@register("loaded_seq", with_views(PAPERS_FX_SQL) + """
+SELECT site_name, paper_number, row_number() OVER (ORDER BY site_name, seq) AS seq FROM papers_fx WHERE seq % 10 <> 0""")
+def loaded_seq(spark, sf_dir):
+    """Numbers given by a load (J47): file order, then the order of the rows
+    inside a file, without gaps for rejected rows."""
+    root = scratch_path(spark, "load")
+    _ragged_lines(spark, sf_dir, f"{root}/drops")
+    run_load(spark, f"{root}/drops", f"{root}/papers", f"{root}/log", on_ragged="reject")
+    return read_papers(spark, f"{root}/papers").select("site_name", "paper_number", "seq")
+
+
+@register("papers_before_later_columns", with_views(PAPERS_FX_SQL) + """
+SELECT seq, url, title, CASE WHEN seq % 2 = 0 THEN keyword END AS keyword, CASE WHEN seq % 2 = 0 THEN doi END AS doi,
+       CASE WHEN seq % 2 = 0 THEN abstract END AS abstract, CASE WHEN seq % 2 = 0 THEN citation_count END AS citation_count
+FROM papers_fx""")
+def papers_before_later_columns(spark, sf_dir):
+    """A table whose older partitions lack the four later columns (J05, J48):
+    they read as NULL there."""
+    path = f"{scratch_path(spark, 'load')}/papers"
+    p = papers_fx(spark, sf_dir).withColumns({"loaded_at": F.lit("2024-01-01").cast("timestamp_ntz"),
+                                              "extracted_at": F.lit(None).cast("timestamp_ntz")})
+    later = ["keyword", "doi", "abstract", "citation_count"]
+    p.where("seq % 2 = 1").drop(*later).write.parquet(f"{path}/file_id=a")
+    p.where("seq % 2 = 0").write.parquet(f"{path}/file_id=b")
+    return read_papers(spark, path).select("seq", "url", "title", *later)
 
 
 @register("assign_seq", """

@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from quire.plans.fixtures import table
+from quire.session import scratch_path
+from quire.sources.payloads import land_payloads, read_payloads
 
 RECORDS_PER_RESPONSE = 20
 BASE_TS = "2024-01-01 00:00:00"
@@ -35,7 +37,10 @@ def base(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(doc % 7 != 0, F.concat(F.lit("20"), F.lpad(_s(doc % 25), 2, "0"), F.lit("-0"),
                                       _s(1 + doc % 9), F.lit("-15"))).alias("date_raw"),
         F.when(doc % 4 != 0, F.concat(F.lit("10.1000/"), _s(doc))).alias("doi_raw"),
-        F.when(doc % 5 != 0, (F.col("n_chars") % 100).cast("int")).alias("cites"),
+        # counts come as numbers, as text, or longer than an integer
+        F.when(doc % 5 != 0, F.parse_json(
+            F.when(doc % 11 == 1, F.concat(F.lit('"'), _s(F.col("n_chars") % 100), F.lit('"')))
+            .when(doc % 11 == 2, F.lit("3000000000")).otherwise(_s(F.col("n_chars") % 100)))).alias("cites"),
         F.when(doc % 6 != 0, F.concat(F.lit("J"), _s(doc % 10))).alias("journal_raw"),
         chunk.alias("chunk"),
     )
@@ -279,7 +284,8 @@ def build_payloads(docs: DataFrame, sources: list[str], broken: bool = False) ->
     """Payload rows (PAYLOADS schema): the document with ``_k == i`` becomes
     a record of ``sources[i]``; records are grouped 20 documents to a response
     (by ``chunk``). With ``broken``, responses whose ``(chunk + i) % 13 == 7``
-    are cut to 10 characters (unparsable: a failed task)."""
+    land a second time cut to 10 characters (unparsable: a failed task), so
+    failed tasks cost no document."""
     if "openalex" in sources:
         docs = with_inverted_index(docs, when=F.col("_k") == sources.index("openalex"))
     k = F.col("_k")
@@ -295,20 +301,34 @@ def build_payloads(docs: DataFrame, sources: list[str], broken: bool = False) ->
         pre, sep, suf = ENVELOPES[s]
         body = F.when(k == i, F.concat(F.lit(pre), F.array_join(texts, sep), F.lit(suf))).otherwise(body)
         name = F.when(k == i, F.lit(s)).otherwise(name)
+    cut = F.lit(False)
     if broken:
-        body = F.when((F.col("chunk") + k) % 13 == 7, F.left(body, F.lit(10))).otherwise(body)
+        bad = (F.col("chunk") + k) % 13 == 7
+        grouped = grouped.withColumn("cut", F.explode(F.when(bad, F.array(F.lit(False), F.lit(True)))
+                                                      .otherwise(F.array(F.lit(False)))))
+        cut = F.col("cut")
+        body = F.when(cut, F.left(body, F.lit(10))).otherwise(body)
     idx = (F.col("chunk") % 20).cast("int")
     return grouped.select(
         name.alias("source"),
         F.concat(F.lit("kw"), _s(idx)).alias("keyword"), idx.alias("keyword_idx"),
         F.timestamp_add("SECOND", F.col("chunk"), F.lit(BASE_TS).cast("timestamp_ntz")).alias("fetched_at"),
         F.lit(200).alias("status_code"), body.alias("body"),
-        F.concat(name, F.lit("/"), _s("chunk"), F.lit(".json")).alias("file_path"))
+        F.concat(name, F.lit("/"), _s("chunk"), F.when(cut, ".cut.json").otherwise(".json")).alias("file_path"))
+
+
+_LANDED: dict[tuple[str, str, str], str] = {}
 
 
 def payloads(spark: SparkSession, sf_dir: str, source: str) -> DataFrame:
-    """All documents as responses of ``source``."""
-    return build_payloads(base(spark, sf_dir).withColumn("_k", F.lit(0)), [source])
+    """All documents as responses of ``source``, landed once per application:
+    rendering them is the stand-in's cost, not the operators'."""
+    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), source)
+    if key not in _LANDED:
+        path = f"{scratch_path(spark, 'landing')}"
+        land_payloads(build_payloads(base(spark, sf_dir).withColumn("_k", F.lit(0)), [source]), path)
+        _LANDED[key] = path
+    return read_payloads(spark, _LANDED[key])
 
 
 def mixed_payloads(spark: SparkSession, sf_dir: str, sources: list[str],

@@ -9,6 +9,7 @@ from quire.plans import payload_fixtures as PF
 from quire.plans.catalog import register
 from quire.plans.fixtures import PAPERS_FX_SQL, papers_fx, table, with_views
 from quire.plans.harvest_queries import _harvest_ctes
+from quire.plans.load_queries import _blocked_path, _land
 from quire.plans.source_queries import AB_SQL, BASE_SQL
 from quire.schemas import PAPER_COLUMNS
 from quire.session import scratch_path
@@ -25,10 +26,10 @@ from quire.streaming.load_stream import load_stream
 @register("stream_dedup", "SELECT DISTINCT event_type, user_id FROM events")
 def stream_dedup(spark, sf_dir):
     """Streaming dropDuplicates on (event_type, user_id) over events landed
-    as four files, one micro-batch each (J82); keys are compared."""
+    as several files, one micro-batch each (J82); keys are compared."""
     root = scratch_path(spark, "stream-dedup")
     ev = table(spark, sf_dir, "events")
-    ev.repartition(4).write.parquet(f"{root}/landing")
+    ev.repartition(max(4, spark.sparkContext.defaultParallelism)).write.parquet(f"{root}/landing")
     stream = spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/landing")
     out = dedup_stream(stream, ["event_type", "user_id"])
     run_available(out.writeStream.format("parquet").option("path", f"{root}/out"), f"{root}/ckpt")
@@ -40,13 +41,13 @@ SELECT url, site_name, keyword, paper_number, title, authors, published_date,
        coalesce(doi, '') AS doi, citation_count, coalesce(journal, '') AS journal
 FROM papers_fx""")
 def stream_load(spark, sf_dir):
-    """Drop-folder stream (J80): four drop files, two per micro-batch, loaded
+    """Drop-folder stream (J80): several drop files, two per load, loaded
     into the paper table; the stored rows are read back."""
     root = scratch_path(spark, "stream-load")
     p = papers_fx(spark, sf_dir).select(
         *[F.col(c).cast("string") for c in PAPER_COLUMNS if c != "extracted_at"],
         F.lit("2024-01-01 00:00:00").alias("extracted_at"))
-    write_drop(p.repartition(4), f"{root}/drops", "b1")
+    write_drop(p.repartition(max(4, spark.sparkContext.defaultParallelism)), f"{root}/drops", "b1")
     load_stream(spark, f"{root}/drops", f"{root}/papers", f"{root}/log", f"{root}/ckpt",
                 max_files_per_trigger=2)
     return read_papers(spark, f"{root}/papers").select(
@@ -57,7 +58,7 @@ def stream_load(spark, sf_dir):
 def _land_payloads(spark, sf_dir, root):
     pay = PF.mixed_payloads(spark, sf_dir, N.SOURCES)
     # whole tasks per file: a keyword's responses never span micro-batches
-    pay.repartition(8, "keyword_idx").write.parquet(f"{root}/landing")
+    pay.repartition(max(8, spark.sparkContext.defaultParallelism), "keyword_idx").write.parquet(f"{root}/landing")
     return f"{root}/landing"
 
 
@@ -67,7 +68,7 @@ SELECT DISTINCT site_name, paper_number FROM s_first"""
 
 @register("stream_harvest", _STREAM_KEYS_SQL)
 def stream_harvest(spark, sf_dir):
-    """Harvest stream (J81): responses land in eight files, two per
+    """Harvest stream (J81): responses land in several files, two per
     micro-batch; each batch is deduped against the ledger the earlier batches
     wrote. The keys written to the drops are compared with one batch run."""
     root = scratch_path(spark, "stream-harvest")
@@ -87,3 +88,23 @@ def stream_cycle(spark, sf_dir):
     landing = _land_payloads(spark, sf_dir, root)
     run_cycle(spark, root, landing, max_files_per_trigger=4)
     return read_papers(spark, f"{root}/papers").select("site_name", "paper_number")
+
+
+@register("stream_load_redropped", with_views(PAPERS_FX_SQL) + """
+SELECT url, site_name, keyword, paper_number, title, authors, published_date,
+       coalesce(doi, '') AS doi, citation_count, coalesce(journal, '') AS journal
+FROM papers_fx""")
+def stream_load_redropped(spark, sf_dir):
+    """Drop-folder stream (J80) over three starts: half of the papers under a
+    log that cannot be written, the other half under the same file names beside
+    an empty file, and a start without new files."""
+    root = scratch_path(spark, "stream-load")
+    p = papers_fx(spark, sf_dir)
+    logs = [_blocked_path(spark, f"{root}/blocked"), f"{root}/log", f"{root}/log"]
+    for half, log in enumerate(logs):
+        if half < 2:
+            _land(spark, p.where(F.col("seq") % 2 == half), f"{root}/drops")
+        load_stream(spark, f"{root}/drops", f"{root}/papers", log, f"{root}/ckpt", archive_dir=f"{root}/drops/archive")
+    return read_papers(spark, f"{root}/papers").select(
+        "url", "site_name", "keyword", "paper_number", "title", "authors", "published_date",
+        "doi", "citation_count", "journal")

@@ -3,20 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.utils import AnalysisException
 
 from quire.schemas import LEDGER
+from quire.sources.tables import read_table
 
 
 def read_ledger(spark: SparkSession, path: str | None) -> DataFrame:
     """Distinct non-blank ``(site_name, paper_number)`` keys; a missing
     ledger reads as empty."""
-    empty = spark.createDataFrame([], LEDGER)
-    if not path:
-        return empty.select("site_name", "paper_number")
-    try:
-        df = spark.read.parquet(path)
-    except AnalysisException:  # no ledger written yet
-        df = empty
+    df = read_table(spark, path, LEDGER) if path else spark.createDataFrame([], LEDGER)
     return (df.where((F.length("site_name") > 0) & (F.length("paper_number") > 0))
             .select("site_name", "paper_number").distinct())

@@ -2,8 +2,9 @@
 
 Each landed response is one row of the payload table. A source's body is
 parsed with ``from_json``/``from_xml`` against a declared schema (fields that
-are "string or list" or "absent versus null" are read as VARIANT), records
-are exploded with their position, and the paper columns are plain column
+are "string or list", "number or text" or "absent versus null" are read as
+VARIANT). A field of another kind than declared is NULL in its own record;
+the record and its response stay. Records are exploded with their position, and the paper columns are plain column
 expressions. No Python runs per row.
 """
 
@@ -13,6 +14,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from quire.functions.dates import parse_int
 from quire.functions.inverted import text_from_inverted_index
 from quire.functions.text import (
     first_doi, first_nonempty, join_names, last_segment, left_chars, nz, py_strip,
@@ -57,26 +59,26 @@ SCHEMAS = {
               "`arxiv:journal_ref`:string>>, _corrupt_record string"),
     "semantic_scholar": (
         "data array<struct<paperId:string, url:string, title:string, authors:" + _NAME + ", "
-        "year:variant, externalIds:struct<DOI:string>, abstract:string, citationCount:bigint, "
+        "year:variant, externalIds:struct<DOI:string>, abstract:string, citationCount:variant, "
         "publicationVenue:struct<name:string>, journal:struct<name:string>>>, "
         "_corrupt_record string"),
     "openalex": (
         "results array<struct<id:string, title:string, "
         "authorships:array<struct<author:struct<display_name:string>>>, "
         "publication_date:string, doi:string, "
-        "abstract_inverted_index:map<string,array<int>>, cited_by_count:bigint, "
+        "abstract_inverted_index:map<string,array<int>>, cited_by_count:variant, "
         "primary_location:struct<source:struct<display_name:string>>>>, "
         "_corrupt_record string"),
     "crossref": (
         "message struct<items:array<struct<DOI:string, URL:string, title:array<string>, "
         "author:array<struct<family:string>>, "
         "published:struct<`date-parts`:array<array<bigint>>>, abstract:string, "
-        "`is-referenced-by-count`:bigint, `container-title`:array<string>>>>, "
+        "`is-referenced-by-count`:variant, `container-title`:array<string>>>>, "
         "_corrupt_record string"),
     "europepmc": (
         "resultList struct<result:array<struct<id:string, source:string, title:string, "
         "authorString:string, firstPublicationDate:string, doi:string, abstractText:string, "
-        "citedByCount:bigint, journalTitle:string>>>, _corrupt_record string"),
+        "citedByCount:variant, journalTitle:string>>>, _corrupt_record string"),
     "core": (
         "results array<struct<id:variant, downloadUrl:string, title:string, authors:" + _NAME
         + ", publishedDate:string, doi:string, abstract:string, "
@@ -88,19 +90,19 @@ SCHEMAS = {
     "ieee_xplore": (
         "articles array<struct<article_number:variant, pdf_url:variant, document_link:string, "
         "title:string, authors:struct<authors:array<struct<full_name:string>>>, "
-        "publication_date:string, doi:string, abstract:string, citing_paper_count:bigint, "
+        "publication_date:string, doi:string, abstract:string, citing_paper_count:variant, "
         "publication_title:string>>, _corrupt_record string"),
     "google_scholar": (
-        "array<struct<pub_url:string, num_citations:bigint, bib:struct<title:string, "
+        "array<struct<pub_url:string, num_citations:variant, bib:struct<title:string, "
         "author:array<string>, pub_year:variant, doi:string, abstract:string, venue:string, "
         "journal:string>>>"),
     "plos": (
         "response struct<docs:array<struct<id:string, title_display:string, "
-        "author_display:array<string>, publication_date:string, abstract:variant, "
+        "author_display:variant, publication_date:string, abstract:variant, "
         "journal:string>>>, _corrupt_record string"),
     "doaj": (
         "results array<struct<id:string, bibjson:struct<title:string, author:" + _NAME + ", "
-        "year:variant, abstract:string, identifier:array<struct<type:string, id:string>>, "
+        "year:variant, abstract:string, identifier:array<variant>, "
         "link:array<struct<url:string>>, journal:struct<title:string>>>>, "
         "_corrupt_record string"),
 }
@@ -122,6 +124,20 @@ def py_str(v: Column) -> Column:
             .otherwise(nz(variant_text(v))))
 
 
+def _count(v: Column) -> Column:
+    """A count as an integer, also where it comes as text; NULL for anything
+    else and for one that does not fit."""
+    return parse_int(variant_text(v))
+
+
+def _names(v: Column) -> Column:
+    """Names as Python's ", ".join reads them: of a list its items, of a plain
+    text its characters."""
+    text = F.concat_ws(", ", F.split(nz(variant_text(v)), ""))
+    return F.when(F.coalesce(F.schema_of_variant(v).startswith("ARRAY"), F.lit(False)),
+                  join_names(variant_texts(v))).otherwise(text)
+
+
 def _one_line(c: Column) -> Column:
     return py_strip(F.replace(nz(c), F.lit("\n"), F.lit(" ")))
 
@@ -141,7 +157,7 @@ def _semantic_scholar(r):
         key=nz(r["paperId"]), url=nz(r["url"]), paper_number=nz(r["paperId"]),
         title=nz(r["title"]), authors=join_names(r["authors"], "name"),
         published_date=py_str(r["year"]), doi=nz(r["externalIds"]["DOI"]),
-        abstract=nz(r["abstract"]), citation_count=r["citationCount"],
+        abstract=nz(r["abstract"]), citation_count=_count(r["citationCount"]),
         journal=first_nonempty(r["publicationVenue"]["name"], r["journal"]["name"]))
 
 
@@ -152,7 +168,7 @@ def _openalex(r):
         authors=join_names(F.transform(r["authorships"], lambda a: a["author"]["display_name"])),
         published_date=nz(r["publication_date"]), doi=remove_all(r["doi"], DOI_PREFIX),
         abstract=text_from_inverted_index(r["abstract_inverted_index"]),
-        citation_count=r["cited_by_count"],
+        citation_count=_count(r["cited_by_count"]),
         journal=nz(r["primary_location"]["source"]["display_name"]),
         sort_date=r["publication_date"])
 
@@ -165,7 +181,7 @@ def _crossref(r):
         key=nz(r["DOI"]), url=nz(r["URL"]), paper_number=nz(r["DOI"]),
         title=nz(F.try_element_at(r["title"], F.lit(1))), authors=join_names(r["author"], "family"),
         published_date=date, doi=nz(r["DOI"]), abstract=strip_markup(r["abstract"]),
-        citation_count=r["is-referenced-by-count"],
+        citation_count=_count(r["is-referenced-by-count"]),
         journal=nz(F.try_element_at(r["container-title"], F.lit(1))), sort_date=date)
 
 
@@ -175,7 +191,7 @@ def _europepmc(r):
         key=pid, url=F.concat(F.lit(EUROPEPMC_URL), nz(r["source"]), F.lit("/"), pid),
         paper_number=pid, title=nz(r["title"]), authors=nz(r["authorString"]),
         published_date=nz(r["firstPublicationDate"]), doi=nz(r["doi"]),
-        abstract=nz(r["abstractText"]), citation_count=r["citedByCount"],
+        abstract=nz(r["abstractText"]), citation_count=_count(r["citedByCount"]),
         journal=nz(r["journalTitle"]))
 
 
@@ -211,7 +227,7 @@ def _ieee_xplore(r):
         key=an, url=url, paper_number=an, title=nz(r["title"]),
         authors=join_names(r["authors"]["authors"], "full_name"),
         published_date=nz(r["publication_date"]), doi=nz(r["doi"]), abstract=nz(r["abstract"]),
-        citation_count=r["citing_paper_count"], journal=nz(r["publication_title"]))
+        citation_count=_count(r["citing_paper_count"]), journal=nz(r["publication_title"]))
 
 
 def _google_scholar(r):
@@ -222,7 +238,7 @@ def _google_scholar(r):
     return dict(
         key=None, url=nz(r["pub_url"]), paper_number=number, title=nz(bib["title"]),
         authors=join_names(bib["author"], sep=" and "), published_date=py_str(bib["pub_year"]),
-        doi=nz(bib["doi"]), abstract=nz(bib["abstract"]), citation_count=r["num_citations"],
+        doi=nz(bib["doi"]), abstract=nz(bib["abstract"]), citation_count=_count(r["num_citations"]),
         journal=first_nonempty(bib["venue"], bib["journal"]))
 
 
@@ -230,7 +246,7 @@ def _plos(r):
     pid = nz(r["id"])
     return dict(
         key=pid, url=F.concat(F.lit(PLOS_URL), pid), paper_number=pid,
-        title=nz(r["title_display"]), authors=join_names(r["author_display"]),
+        title=nz(r["title_display"]), authors=_names(r["author_display"]),
         published_date=left_chars(nz(r["publication_date"]), 10), doi=pid,
         abstract=nz(variant_first_text(r["abstract"])), citation_count=F.lit(None),
         journal=nz(r["journal"]))
@@ -238,11 +254,14 @@ def _plos(r):
 
 def _doaj(r):
     bib = r["bibjson"]
-    doi_ids = F.filter(bib["identifier"], lambda x: F.lower(x["type"]) == F.lit("doi"))
+    # identifiers that are no objects are passed over
+    doi_ids = F.filter(bib["identifier"],
+                       lambda x: F.lower(F.try_variant_get(x, "$.type", "string")) == F.lit("doi"))
+    doi = F.try_variant_get(F.try_element_at(doi_ids, F.lit(1)), "$.id", "string")
     return dict(
         key=nz(r["id"]), url=nz(F.try_element_at(bib["link"], F.lit(1))["url"]),
         paper_number=nz(r["id"]), title=nz(bib["title"]), authors=join_names(bib["author"], "name"),
-        published_date=py_str(bib["year"]), doi=nz(F.try_element_at(doi_ids, F.lit(1))["id"]),
+        published_date=py_str(bib["year"]), doi=nz(doi),
         abstract=nz(bib["abstract"]), citation_count=F.lit(None), journal=nz(bib["journal"]["title"]))
 
 
@@ -278,7 +297,12 @@ def _ok(source: str, p: Column) -> Column:
     if source == "google_scholar":  # the client's errors end the list, never the task
         return F.lit(True)
     ok = F.coalesce(F.col("body").rlike(r"\S"), F.lit(False))
-    ok = ok & p.isNotNull() & p["_corrupt_record"].isNull()
+    # a field of an unexpected kind is NULL in its record and marks the body as
+    # corrupt too; only a body that is no JSON (or XML) at all fails the task
+    parsed = p["_corrupt_record"].isNull()
+    if source != "arxiv":
+        parsed = parsed | F.try_parse_json(F.col("body")).isNotNull()
+    ok = ok & p.isNotNull() & parsed
     if source in STATUS_CHECKED:
         ok = ok & (F.coalesce(F.col("status_code"), F.lit(200)) < 400)
     if source == "semantic_scholar":

@@ -30,7 +30,7 @@ def read_raw_responses(spark: SparkSession, root: str, keywords: list[str]) -> D
     """Raw response files -> PAYLOADS rows (status 200: only successful
     responses are landed as files)."""
     raw = spark.read.text(root, wholetext=True)
-    kw = F.element_at(F.array(*[F.lit(k) for k in keywords]), F.col("keyword_idx").cast("int") + 1)
+    kw = F.try_element_at(F.array(*[F.lit(k) for k in keywords]), F.col("keyword_idx").cast("int") + 1)
     return raw.select(
         F.col("source").cast("string").alias("source"), kw.alias("keyword"),
         F.col("keyword_idx").cast("int").alias("keyword_idx"),

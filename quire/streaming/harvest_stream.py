@@ -3,30 +3,23 @@
 Each micro-batch is one harvest over its responses plus any responses held
 back by the minimum-batch gate before (the ``pending`` table): normalise,
 cap, dedup, anti join with the ledger, gate; then the drop and the ledger
-partition named by the batch id are written (a replay overwrites them).
+partition named by the responses are written (a replay overwrites them).
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.utils import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 
-from quire.plans.harvest_run import DEFAULT_CONFIG, harvest
+from quire.plans.harvest_run import DEFAULT_CONFIG, harvest, responses_id
 from quire.schemas import PAPER_COLUMNS, PAYLOADS
 from quire.sources.ledger import read_ledger
 from quire.sources.sinks import append_ledger, write_drop
+from quire.sources.tables import read_table
 from quire.streaming.common import run_available
 
 
-def _read_pending(spark: SparkSession, path: str) -> DataFrame:
-    try:
-        return spark.read.schema(PAYLOADS).parquet(path)
-    except AnalysisException:
-        return spark.createDataFrame([], PAYLOADS)
-
-
 def harvest_stream(spark: SparkSession, landing_dir: str, ledger_path: str, drop_dir: str,
                    pending_path: str, checkpoint: str, config: Mapping = DEFAULT_CONFIG,
                    max_files_per_trigger: int | None = None, available_now: bool = True,
@@ -38,8 +31,7 @@ def harvest_stream(spark: SparkSession, landing_dir: str, ledger_path: str, drop
     min_new = int(config.get("min_new_papers", 1))
 
     def each_batch(batch: DataFrame, epoch_id: int) -> None:
-        batch_id = f"e{epoch_id:08d}"
-        payloads = batch.select(*PAYLOADS.fieldNames()).unionByName(_read_pending(spark, pending_path))
+        payloads = batch.select(*PAYLOADS.fieldNames()).unionByName(read_table(spark, pending_path, PAYLOADS))
         payloads = payloads.checkpoint(eager=True)  # this batch's input, fixed
         res = harvest(payloads, read_ledger(spark, ledger_path), config, materialize=True)
         new = res.candidates.select(*PAPER_COLUMNS).checkpoint(eager=True)
@@ -49,6 +41,9 @@ def harvest_stream(spark: SparkSession, landing_dir: str, ledger_path: str, drop
             # with the next batch; nothing new at all: nothing to hold
             (payloads if n else payloads.limit(0)).write.mode("overwrite").parquet(pending_path)
             return
+        # named by its responses: a replay overwrites its own output, and an
+        # epoch counted anew after a lost checkpoint overwrites no other batch
+        batch_id = responses_id(payloads)
         write_drop(new, drop_dir, batch_id)
         append_ledger(new, ledger_path, batch_id)
         payloads.limit(0).write.mode("overwrite").parquet(pending_path)

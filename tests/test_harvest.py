@@ -34,12 +34,24 @@ def test_gate_holds_small_batches(spark):
     assert res.new_papers.count() == 0 and res.candidates.count() > 0
 
 
-def test_caps_per_task(spark):
-    pay = PF.mixed_payloads(spark, "/root/testdata/sf0.01", N.SOURCES, broken=False)
+def test_caps_per_response(spark):
     from quire.plans.harvest_run import capped_rows
-    per = capped_rows(pay).groupBy("source", "keyword").count()
-    lim = per.groupBy("source").agg(F.max("count").alias("m")).collect()
-    assert all(r.m <= (5 if r.source == "google_scholar" else 20) for r in lim)
+    pay = PF.payloads(spark, "/root/testdata/sf0.01", "crossref")
+    cfg = {"max_results_per_source": 4, "sources": {"crossref": {"enabled": True}}}
+    rows = capped_rows(pay, cfg)
+    responses = pay.count()
+    per = [r["count"] for r in rows.groupBy("keyword", "extracted_at").count().collect()]
+    assert len(per) == responses and set(per) == {4}      # 20 keywords, each with several responses
+    # three responses of one task keep their own records
+    three = pay.orderBy("fetched_at").limit(3).withColumns({"keyword": F.lit("k"), "keyword_idx": F.lit(0)})
+    assert capped_rows(three).count() == N.normalise(three, "crossref").count()
+
+
+def test_batch_id_follows_the_responses(spark):
+    from quire.plans.harvest_run import responses_id
+    pay = PF.payloads(spark, SMOKE, "core")
+    assert responses_id(pay) == responses_id(pay.repartition(3)) != responses_id(pay.limit(1))
+    assert responses_id(pay.limit(0)) == responses_id(pay.limit(0))
 
 
 def test_source_limits_and_grid(spark):

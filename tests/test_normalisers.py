@@ -131,3 +131,35 @@ def test_unparsable_body_is_a_task_error(spark, source):
                                             "status_code", "left(body, 12) AS body", "file_path")
     assert N.normalise(df, source).count() == 0
     assert N.task_status(df, [source]).first().ok is False
+
+
+def body_rows(spark, source, body):
+    ts = dt.datetime(2024, 1, 2, 3, 4, 5)
+    pay = spark.createDataFrame([(source, "kw", 0, ts, 200, body, None)], PAYLOADS)
+    assert N.task_status(pay, [source]).first().ok
+    return N.normalise(pay, source).orderBy("item_pos").collect()
+
+
+@pytest.mark.parametrize("source, body, field", [
+    ("semantic_scholar", '{"data":[{"paperId":"a","citationCount":"7"},{"paperId":"b","citationCount":3}]}', [7, 3]),
+    ("openalex", '{"results":[{"id":"x/a","cited_by_count":3000000000},{"id":"x/b","cited_by_count":1}]}', [None, 1]),
+    ("crossref", '{"message":{"items":[{"DOI":"a","is-referenced-by-count":"7"},'
+                 '{"DOI":"b","is-referenced-by-count":{"n":1}}]}}', [7, None]),
+    ("europepmc", '{"resultList":{"result":[{"id":"a","citedByCount":"7"},{"id":"b","citedByCount":2}]}}', [7, 2]),
+    ("ieee_xplore", '{"articles":[{"article_number":"a","citing_paper_count":"7"},'
+                    '{"article_number":"b","citing_paper_count":null}]}', [7, None]),
+    ("google_scholar", '[{"pub_url":"a","num_citations":"7"},{"pub_url":"b","num_citations":1.5}]', [7, None])])
+def test_counts_of_any_kind_keep_their_record(spark, source, body, field):
+    assert [r.citation_count for r in body_rows(spark, source, body)] == field
+
+
+def test_a_mistyped_field_costs_only_itself(spark):
+    got = body_rows(spark, "crossref", '{"message":{"items":[{"DOI":"a","title":"plain","author":"x"},'
+                                       '{"DOI":"b","title":["T"],"author":[{"family":"F"}]}]}}')
+    assert [(r.paper_number, r.title, r.authors) for r in got] == [("a", "", ""), ("b", "T", "F")]
+    got = body_rows(spark, "doaj", '{"results":[{"id":"a","bibjson":{"title":"A","identifier":["x",'
+                                   '{"type":"DOI","id":"10.1/a"}]}},{"id":"b","bibjson":{"title":"B"}}]}')
+    assert [(r.paper_number, r.title, r.doi) for r in got] == [("a", "A", "10.1/a"), ("b", "B", "")]
+    got = body_rows(spark, "plos", '{"response":{"docs":[{"id":"a","author_display":"Al"},'
+                                   '{"id":"b","author_display":["X","Y"]}]}}')
+    assert [(r.paper_number, r.authors) for r in got] == [("a", "A, l"), ("b", "X, Y")]
