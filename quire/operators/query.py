@@ -61,12 +61,16 @@ def filter_papers(papers: DataFrame, keyword: str | None = None,
 def list_papers(papers: DataFrame, skip: int = DEFAULT_SKIP, take: int = DEFAULT_TAKE,
                 keyword: str | None = None, site: str | None = None,
                 sort: str | None = None, order: str | None = None,
-                columns: list[str] | None = None) -> DataFrame:
+                columns: list[str] | None = None, after: tuple | None = None) -> DataFrame:
     """One page of papers plus ``total_count`` of all matching rows.
 
     Sort column from the whitelist (else ``seq``), ascending only for exactly
     ``"asc"``; ``seq`` in the same direction breaks ties so pages are stable.
     NULLs sort lowest. ``authors`` is cut to 300 characters.
+
+    ``after`` pages by key instead of by offset: the (sort value, seq) of the
+    last row of the page before. A deep page then costs what the first one
+    does, where OFFSET makes every task keep and merge all rows before it.
     """
     skip, take = max(int(skip), 0), max(int(take), 0)
     df = filter_papers(papers, keyword, site)
@@ -79,13 +83,26 @@ def list_papers(papers: DataFrame, skip: int = DEFAULT_SKIP, take: int = DEFAULT
     proj = [F.left(F.col(c), F.lit(AUTHORS_CUT)).alias(c) if c == "authors" else F.col(c)
             for c in cols]
     # sort keys may be outside the projection; Catalyst prunes the rest
-    page = df.orderBy(*keys).select(*proj).offset(skip).limit(take)
+    rest = df if after is None else df.where(_behind(sort_col, asc, *after))
+    page = rest.orderBy(*keys).select(*proj).offset(skip).limit(take)
     # the total is an uncorrelated scalar subquery: one partial/final count,
     # evaluated once, no join and no window over the rows
     total = df.agg(F.count(F.lit(1))).scalar()
     return page.select(total.alias("total_count"), *cols)
 
 
+def _behind(sort_col: str, asc: bool, value, seq: int):
+    """Rows behind (value, seq) in the listing's order; NULLs sort lowest."""
+    c, v = F.col(sort_col), F.lit(value)
+    later = F.col("seq") > seq if asc else F.col("seq") < seq
+    if sort_col == "seq":
+        return later
+    if value is None:
+        return (c.isNull() & later) | c.isNotNull() if asc else c.isNull() & later
+    beyond = c > v if asc else (c < v) | c.isNull()
+    return F.coalesce(beyond, F.lit(False)) | F.coalesce((c == v) & later, F.lit(False))
+
+
 def fetch_page(papers: DataFrame, **kw) -> dict:
     """``{"data": [...], "totalCount": n}``; an empty page reports 0."""
     rows = [r.asDict() for r in list_papers(papers, **kw).collect()]

@@ -145,6 +145,29 @@ def load_stats_empty(spark, sf_dir):
     return Q.load_stats(load_log_fx(spark, sf_dir).where(F.col("status") == "RUNNING"))
 
 
+def _by_key(spark, sf_dir, order):
+    """The second page of a listing, found from the last row of the first."""
+    papers = papers_fx(spark, sf_dir)
+    last = Q.list_papers(papers, take=30, sort="journal", order=order).collect()[-1]
+    return Q.list_papers(papers, take=30, sort="journal", order=order, after=(last["journal"], last["seq"]))
+
+
+@register("paper_listing_by_key", P + f"""
+SELECT (SELECT count(*) FROM papers_fx) AS total_count, {_LIST}
+FROM papers_fx ORDER BY journal ASC NULLS FIRST, seq ASC LIMIT 30 OFFSET 30""")
+def paper_listing_by_key(spark, sf_dir):
+    """Keyset page through the rows without a sort value."""
+    return _by_key(spark, sf_dir, "asc")
+
+
+@register("paper_listing_by_key_desc", P + f"""
+SELECT (SELECT count(*) FROM papers_fx) AS total_count, {_LIST}
+FROM papers_fx ORDER BY journal DESC NULLS LAST, seq DESC LIMIT 30 OFFSET 30""")
+def paper_listing_by_key_desc(spark, sf_dir):
+    """Keyset page in descending order."""
+    return _by_key(spark, sf_dir, "desc")
+
+
 @register("paper_listing_past_end", P + f"""
 SELECT count(*) OVER () AS total_count, {_LIST}
 FROM papers_fx WHERE site_name ILIKE '%src2%' ORDER BY journal ASC NULLS FIRST, seq ASC
