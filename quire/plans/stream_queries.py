@@ -55,29 +55,31 @@ def stream_load(spark, sf_dir):
         "doi", "citation_count", "journal")
 
 
-def _land_payloads(spark, sf_dir, root):
+def _land_payloads(spark, sf_dir, root, part):
+    """Half of the responses, by keyword; each keyword's land together."""
     pay = PF.mixed_payloads(spark, sf_dir, N.SOURCES)
-    # whole tasks per file: a keyword's responses never span micro-batches
-    pay.repartition(max(8, spark.sparkContext.defaultParallelism), "keyword_idx").write.parquet(f"{root}/landing")
-    return f"{root}/landing"
+    half = pay.where(F.col("keyword_idx") < 10 if part == 0 else F.col("keyword_idx") >= 10)
+    half.write.parquet(f"{root}/landing/part{part}")
+    return f"{root}/landing/*"
 
 
 _STREAM_KEYS_SQL = BASE_SQL + AB_SQL + _harvest_ctes("s", "TRUE", None) + """
 SELECT DISTINCT site_name, paper_number FROM s_first"""
 
 
-@register("stream_harvest", _STREAM_KEYS_SQL)
+@register("stream_harvest", BASE_SQL + AB_SQL + _harvest_ctes("s", "TRUE", None) + "\nSELECT "
+          + ", ".join(f"coalesce(cast({c} AS varchar), '') AS {c}" for c in PAPER_COLUMNS) + " FROM s_first")
 def stream_harvest(spark, sf_dir):
-    """Harvest stream (J81): responses land in several files, two per
-    micro-batch; each batch is deduped against the ledger the earlier batches
-    wrote. The keys written to the drops are compared with one batch run."""
+    """Harvest stream (J81): two landings, a start of the stream after each;
+    the second batch is deduped against the ledger that the first one wrote.
+    The drops, all columns, are those of one batch run."""
     root = scratch_path(spark, "stream-harvest")
-    landing = _land_payloads(spark, sf_dir, root)
-    harvest_stream(spark, landing, f"{root}/ledger", f"{root}/drops", f"{root}/pending",
-                   f"{root}/ckpt", max_files_per_trigger=2)
+    for part in (0, 1):
+        landing = _land_payloads(spark, sf_dir, root, part)
+        harvest_stream(spark, landing, f"{root}/ledger", f"{root}/drops", f"{root}/pending", f"{root}/ckpt")
     drops = spark.read.option("header", True).option("multiLine", True).option("escape", '"') \
         .csv(f"{root}/drops")
-    return drops.select("site_name", "paper_number")
+    return drops.select(*[F.coalesce(c, F.lit("")).alias(c) for c in PAPER_COLUMNS])
 
 
 @register("stream_cycle", _STREAM_KEYS_SQL)
@@ -85,8 +87,8 @@ def stream_cycle(spark, sf_dir):
     """Full cycle (J83): harvest stream, then the load stream over its drops;
     the keys in the paper table are compared with one batch harvest."""
     root = scratch_path(spark, "stream-cycle")
-    landing = _land_payloads(spark, sf_dir, root)
-    run_cycle(spark, root, landing, max_files_per_trigger=4)
+    for part in (0, 1):
+        run_cycle(spark, root, _land_payloads(spark, sf_dir, root, part))
     return read_papers(spark, f"{root}/papers").select("site_name", "paper_number")
 
 
