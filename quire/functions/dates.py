@@ -76,8 +76,8 @@ def parse_timestamp(c) -> Column:
     wall clock of the session's time zone."""
     raw = py_strip(_c(c))
     tries = [F.try_to_timestamp(raw, F.lit(f)) for f in TIMESTAMP_FORMATS]
-    exact = F.when(raw.rlike(EXACT_TIMESTAMP), raw.try_cast("timestamp"))
-    return F.coalesce(*tries, exact).cast("timestamp_ntz")
+    exact = F.when(raw.rlike(EXACT_TIMESTAMP), raw.try_cast("timestamp_ltz").cast("timestamp_ntz"))
+    return F.coalesce(*[t.cast("timestamp_ntz") for t in tries], exact)
 
 
 def parse_int(c) -> Column:

@@ -107,7 +107,7 @@ def _ts_sql(r: str) -> str:
     return f"""coalesce(try_strptime({s}, '%Y-%m-%d %H:%M:%S'), try_strptime({s}, '%Y-%m-%dT%H:%M:%S'),
   try_strptime({s}, '%Y-%m-%d %H:%M'), try_strptime({s}, '%Y-%m-%d'), try_strptime({s}, '%Y/%m/%d %H:%M:%S'),
   try_strptime({s}, '%Y-%m-%d %H:%M:%S.%g'),
-  try_strptime(left({s}, 19), '%Y-%m-%dT%H:%M:%S') - to_hours(cast(substr({s}, 21, 2) AS bigint)))"""
+  try_strptime(left({s}, 19), '%Y-%m-%dT%H:%M:%S') - to_hours(try_cast(substr({s}, 21, 2) AS bigint)))"""
 
 
 @register("type_columns", f"""
