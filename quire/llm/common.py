@@ -28,7 +28,17 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     recompute it, and a lost executor costs one task, not the lineage."""
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the scratch table of a frame that ``stored`` gave and that
+    nothing reads any more (a later one was written from it)."""
+    spark = df.sparkSession
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df.scratch_path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def quoted(name: str) -> str:

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import quoted, stored, utf8, with_columns
+from quire.llm.common import discard, quoted, stored, utf8, with_columns
 
 RADIUS = 4
 SHINGLE = 4
@@ -203,6 +203,7 @@ def components(edges: DataFrame) -> DataFrame:
         small = (large.join(down, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
                  .unionByName(down.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
         new = stored(small, "star")
+        discard(e)
         # settled when no node is both below and above another
         if new.select(F.col("u").alias("n")).join(new.select(F.col("v").alias("n")), "n", "left_semi").isEmpty() and \
                 new.groupBy("u").count().where("count > 1").isEmpty():
