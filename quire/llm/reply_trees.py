@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.llm.common import quoted, stored
+from quire.llm.common import discard, quoted, stored
 
 END = "</turn>\n"
 #: The template's control characters and what stands for them.
@@ -45,12 +45,14 @@ def jumps(nodes: DataFrame) -> tuple[list[DataFrame], DataFrame]:
                               F.col("score").alias("s")), "jump")
     levels, reach = [step], 1
     while reach <= total and not step.where("up is not null").isEmpty():
+        # only messages that have not reached their root jump on
         b = step.select(F.col("tree").alias("bt"), F.col("node").alias("bn"), F.col("up").alias("bu"),
                         F.col("d").alias("bd"), F.col("s").alias("bs"))
-        step = step.join(b, F.col("tree").eqNullSafe(F.col("bt")) & (F.col("up") == F.col("bn")), "left")
-        step = stored(step.select("tree", "node", F.col("bu").alias("up"),
-                                  (F.col("d") + F.coalesce("bd", F.lit(0))).alias("d"),
-                                  (F.col("s") + F.coalesce("bs", F.lit(0.0))).alias("s")), "jump")
+        moved = step.where("up is not null").join(
+            b, F.col("tree").eqNullSafe(F.col("bt")) & (F.col("up") == F.col("bn")))
+        moved = moved.select("tree", "node", F.col("bu").alias("up"), (F.col("d") + F.col("bd")).alias("d"),
+                             (F.col("s") + F.col("bs")).alias("s"))
+        step = stored(step.where("up is null").unionByName(moved), "jump")
         levels.append(step)
         reach *= 2
     return levels, step.where("up is null").select("tree", "node", F.col("d").alias("depth"), F.col("s").alias("score"))
@@ -74,7 +76,9 @@ def best_branches(nodes: DataFrame, best: int = 1) -> DataFrame:
         more = path.join(j, F.col("tree").eqNullSafe(F.col("jt")) & (F.col("node") == F.col("jn")))
         more = more.select("tree", "leaf", "rank", "score", "n", F.col("up").alias("node"),
                            (F.col("above") + F.lit(1 << k)).alias("above"))
-        path = stored(path.unionByName(more), "paths")
+        longer = stored(path.unionByName(more), "paths")
+        discard(path)
+        path = longer
     return path.select("tree", "leaf", "rank", "score", (F.col("n") - 1 - F.col("above")).alias("depth"), "node")
 
 
