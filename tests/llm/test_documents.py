@@ -17,7 +17,7 @@ from quire.llm.common import table
 from quire.llm.decontaminate import Matcher, mark_contaminated
 from quire.llm.hyper_language import learn, predict_language, symbol_table, trigrams
 from quire.llm.line_quality import clean_lines, judge, line_fault
-from quire.llm.packing import SLACK, ByteBpe, cut_at_powers, default_files, pack
+from quire.llm.packing import SLACK, ByteBpe, Index, cut_at_powers, default_files, pack, pack_shard, signature
 from quire.llm.simhash import components, covering_masks, fingerprint, forest, near_edges, near_groups
 from quire.llm.token_counts import PrefixCounts, count_tokens, default_model, longest_prefix, prefix_counts
 
@@ -241,6 +241,32 @@ def test_digests_of_pieces(spark):
         assert r["ids_crc32"] == zlib.crc32(part.tobytes()) and r["doc_tokens"] == len(ids[r["doc_id"]])
 
 
+def test_bm25_scores_and_first_neighbour():
+    r = np.random.default_rng(4)
+    docs = [r.choice(np.arange(t * 40, t * 40 + 60), r.integers(20, 90)).astype("<u2") for t in range(4) for _ in range(12)]
+    df = np.bincount(np.concatenate([np.unique(d) for d in docs]), minlength=256)
+    idf = np.log(1 + (len(docs) - df + .5) / (df + .5)).astype(np.float32)
+    mean = float(np.mean([len(d) for d in docs]))
+    index = Index(docs, idf, mean)
+    for q in (0, 17, 40):
+        want = [sum(idf[t] * c * 2.2 / (c + 1.2 * (.25 + .75 * len(d) / mean))
+                    for t in set(docs[q].tolist()) for c in [int((d == t).sum())] if c) for d in docs]
+        assert np.allclose(index.scores(q), want, rtol=1e-4)
+    seqs = pack_shard(docs, idf, mean, window=200)
+    assert sorted((d, i) for s in seqs for d, a, n in s for i in range(a, a + n)) == \
+        [(d, i) for d, x in enumerate(docs) for i in range(len(x))]
+    seed, rest = seqs[0][0], seqs[0][1:]
+    free = 200 - seed[2]
+    fitting = [(index.scores(seed[0])[d], d) for d in range(len(docs)) if d != seed[0] and len(docs[d]) <= free]
+    assert rest[0][0] == max(fitting)[1]
+
+
+def test_signatures_of_copies_meet():
+    orders = [np.random.default_rng(i).permutation(100) for i in range(3)]
+    a = np.arange(30, dtype="<u2")
+    assert signature(a, orders) == signature(a[::-1].copy(), orders) != signature(a + 50, orders)
+
+
 def test_cut_at_powers():
     for n in (1, 700, 1000, 1023):
         cut = cut_at_powers([(0, 0, n // 2), (1, 5, n - n // 2)], 1024)
