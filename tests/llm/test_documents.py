@@ -17,7 +17,8 @@ from quire.llm.common import table
 from quire.llm.decontaminate import Matcher, mark_contaminated
 from quire.llm.hyper_language import learn, predict_language, symbol_table, trigrams
 from quire.llm.line_quality import clean_lines, judge, line_fault
-from quire.llm.packing import SLACK, ByteBpe, Index, cut_at_powers, default_files, pack, pack_shard, signature
+from quire.llm.packing import (SLACK, ByteBpe, Index, corpus_frequencies, corpus_search, cut_at_powers, default_files,
+                               fill, pack, pack_shard, row_lengths, signature, token_table)
 from quire.llm.simhash import components, covering_masks, fingerprint, forest, near_edges, near_groups
 from quire.llm.token_counts import PrefixCounts, count_tokens, default_model, longest_prefix, prefix_counts
 
@@ -267,6 +268,50 @@ def test_signatures_of_copies_meet():
     assert signature(a, orders) == signature(a[::-1].copy(), orders) != signature(a + 50, orders)
 
 
+def test_seeds_reach_documents_of_other_partitions(spark):
+    r = random.Random(7)
+    topics = [[f"{a}{b}" for a in r.sample("bcdfghjklmnpqrstvwxz", 6) for b in r.sample("aeiouy", 5)] for _ in range(24)]
+    rows = [(t, " ".join(r.choices(topics[t], k=300))) for t in range(24)]
+    rows += [(100 + t, " ".join(rows[t][1].split()[:240])) for t in range(24)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartitionByRange(2, "doc_id")
+    seqs = {}
+    for x in pack(df, shard=8).collect():
+        seqs.setdefault(x["sequence_id"], set()).add(x["doc_id"])
+    assert sum(any({t, 100 + t} <= s for s in seqs.values()) for t in range(24)) >= 18
+
+
+def test_search_over_the_table_against_brute_force(spark):
+    tokens, kind = token_table(table(spark, SMOKE, "documents").repartition(3), "doc_id", "text", *default_files())
+    idf, mean = corpus_frequencies(tokens, kind, 50_300)
+    rows, lengths = row_lengths(tokens, kind)
+    by = {r["row"]: np.frombuffer(r["ids"], kind) for r in tokens.collect()}
+    docs = [by[r] for r in rows.tolist()]
+    assert lengths.tolist() == [len(d) for d in docs] and len(set(rows >> 40)) == 3
+    left, index, top = lengths % 1024, Index(docs, idf, mean), 9
+    left[::7] = 0  # used
+    seeds, free = np.array([5, 0, len(docs) - 1]), np.array([1024, 300, 0])
+    fits, every = corpus_search(tokens, kind, rows, idf, mean, shard=16, top=top)(seeds, free, left)
+    for got, may in [(every, lambda f: left > 0), (fits, lambda f: (left > 0) & (left <= f))]:
+        for s, f, found in zip(seeds.tolist(), free.tolist(), got):
+            scores = np.where(may(f), index.scores(s), -1)
+            assert len(found) == min(top, may(f).sum()) and len(set(found.tolist())) == len(found)
+            assert np.allclose(scores[found], np.sort(scores)[::-1][:len(found)], rtol=1e-4)
+
+
+def test_seeds_ask_again_when_their_neighbours_are_used():
+    lengths = np.random.default_rng(3).integers(1, 2500, 300)
+    asked = []
+
+    def search(seeds, free, left):
+        asked.append(len(seeds))
+        at = np.flatnonzero(left)
+        return [at[left[at] <= f][:3] for f in free], [at[:3]] * len(seeds)  # the same three for all
+    seqs = [s for block in fill(lengths, search, block=40, top=3) for s in block]
+    assert sorted((d, i) for s in seqs for d, a, n in s for i in range(a, a + n)) == \
+        [(d, i) for d, n in enumerate(lengths.tolist()) for i in range(n - n % 1024, n)]
+    assert sum(sum(n for _, _, n in s) < 1024 - SLACK for s in seqs) <= 10 and max(asked) <= 40
+
+
 def test_cut_at_powers():
     for n in (1, 700, 1000, 1023):
         cut = cut_at_powers([(0, 0, n // 2), (1, 5, n - n // 2)], 1024)
