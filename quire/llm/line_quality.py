@@ -42,13 +42,16 @@ class Rules:
     navigation. ``symbol_pct``, ``shout_pct``: words that end in ``##``,
     ``**``, ``$$``, ``%%`` or ``&&`` (also before a mark), or in ``!!``, in
     100 from which a line fails. ``min_marked``: such words at least.
-    ``lost_pct``: word characters in 100 that a document may lose.
+    ``short_line``: words up to which a line, or a sentence of a longer line,
+    fails by a boilerplate phrase alone. ``lost_pct``: word characters in 100
+    that a document may lose.
     """
     long_line: int = 60
     separator_pct: int = 15
     symbol_pct: int = 20
     shout_pct: int = 20
     min_marked: int = 3
+    short_line: int = 20
     lost_pct: int = 50
     min_words: int = 50
     repeat_pct: int = 50
@@ -57,10 +60,29 @@ class Rules:
 _SEP = frozenset(s.encode() for s in SEPARATORS)
 _BOILER = re.compile("|".join(map(re.escape, BOILERPLATE)).encode())
 _MARK = re.compile("|".join(map(re.escape, SENTENCE)).encode())
+_SENTENCES = re.compile(r".+?(?:[.!?]+(?=[ \t\n\r\x0b\f]|\Z)|…|。|！|？|।|؟|\Z)".encode(), re.S)
 _SYMBOL_END = re.compile(rb"(?:##|\*\*|\$\$|%%|&&)(?=[ \t\n\r\x0b\f]|$)")
 _SHOUT_END = re.compile(rb"!!(?=[ \t\n\r\x0b\f]|$)")
 
 
+def is_boilerplate(line: bytes, rules: Rules = Rules()) -> bool:
+    """Whether boilerplate phrases frame a line: it holds one and is short, or
+    they make up most of it; a longer line, whether such sentences do. A text
+    that only mentions a phrase is none."""
+    low = line.lower()
+    if not _BOILER.search(low):
+        return False
+    if len(low.split()) <= rules.short_line:
+        return True
+    framed = 0
+    for sentence in _SENTENCES.findall(low):
+        size = len(sentence.translate(None, SPACE))
+        phrases = sum(len(x.translate(None, SPACE)) for x in _BOILER.findall(sentence))
+        if phrases and (len(sentence.split()) <= rules.short_line or 2 * phrases > size):
+            framed += size
+    return 2 * framed > len(low.translate(None, SPACE))
+
+
 def line_fault(line: bytes, rules: Rules = Rules()) -> str:
     """The rule that a line fails: ``punctuation``, ``navigation``,
     ``boilerplate``, or empty. A line without words fails none."""
@@ -77,7 +99,7 @@ def line_fault(line: bytes, rules: Rules = Rules()) -> str:
     separators = sum(map(_SEP.__contains__, words))
     if separators >= rules.min_marked and 100 * separators >= rules.separator_pct * n:
         return "navigation"
-    return "boilerplate" if _BOILER.search(line.lower()) else ""
+    return "boilerplate" if is_boilerplate(line, rules) else ""
 
 
 def repeated_words(words: list[bytes]) -> int:

@@ -16,7 +16,7 @@ from quire.llm.byte_cnn import CHUNK, ByteNet, Training, fit, in_fold, score_qua
 from quire.llm.common import table
 from quire.llm.decontaminate import Matcher, mark_contaminated
 from quire.llm.hyper_language import learn, predict_language, symbol_table, trigrams
-from quire.llm.line_quality import clean_lines, judge, line_fault
+from quire.llm.line_quality import BOILERPLATE, clean_lines, judge, line_fault
 from quire.llm.packing import (SLACK, ByteBpe, Index, corpus_frequencies, corpus_search, cut_at_powers, default_files,
                                fill, pack, pack_shard, row_lengths, signature, token_table)
 from quire.llm.simhash import components, covering_masks, fingerprint, forest, near_edges, near_groups
@@ -59,6 +59,22 @@ def test_line_rules():
     assert line_fault(b"A plain line, with marks.") == "" and line_fault(b" ") == ""
 
 
+def test_long_lines_may_mention_a_phrase():
+    words = iter(f"w{i}" for i in range(100_000))
+
+    def clean(n):
+        return " ".join(next(words) for _ in range(n)).capitalize() + ". "
+    for phrase in BOILERPLATE:
+        for mention in (f"They {phrase} there. ", clean(15)[:-2] + f" {phrase} " + clean(15)):
+            text = clean(20) + clean(12) + mention + clean(18)
+            assert line_fault(text.encode()) == "" and judge(text.encode())[6:8] == (0, True), text
+    every = "".join(clean(14)[:-2] + f" {p} " + clean(10) for p in BOILERPLATE)
+    assert judge(every.encode())[7] is True
+    notice = "We use cookies on this site. Read our cookie policy here. Sign up for news. Terms of use apply to all visitors."
+    assert len(notice.split()) > 20 and line_fault(notice.encode()) == "boilerplate"
+    assert line_fault(("w " * 21 + "privacy policy " * 60 + ".").encode()) == "boilerplate"
+
+
 def test_clean_lines_odd_rows(odd, none):
     got = clean_lines(odd).collect()
     assert len(got) == len(ODD)
