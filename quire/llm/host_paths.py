@@ -32,7 +32,9 @@ CLOSES_P = (BLOCKS | {"form", "nav", "aside", "header", "footer", "menu"}) - {
     "body"}
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"},
             "th": {"td", "th"}, "option": {"option"}}
-#: Words in class, id or role that name what is not the article.
+#: Elements of these that hold the article are read all the same.
+MAYBE = frozenset({"form"})
+#: Names in class, id or role of what is not the article.
 OUTSIDE = frozenset(
     "ad ads adsense advert advertisement advertising adverts aside banner breadcrumb breadcrumbs byline "
     "comment comments complementary consent contentinfo cookie cookies copyright dialog disqus discussion footer "
@@ -40,6 +42,11 @@ OUTSIDE = frozenset(
     "outbrain overlay pager pagination paywall popup promo promoted promotion recommended related replies reply "
     "respond share sharebar sharing sidebar signup skip social sponsor sponsored subscribe subscription taboola "
     "toast toolbar widget widgets".split())
+#: Words that make a known compound with those names, as in share-buttons.
+FRAME = frozenset(
+    "area articles bar block bottom box buttons col column container global google group icons inner item items left "
+    "links list main mobile outer panel placeholder posts primary right row secondary section site slot stories top "
+    "unit wrap wrapper".split())
 INSIDE = frozenset("article body content entry main post story text".split())
 
 #: Hosts up to which their paths go to every task; beyond it Spark joins by host.
@@ -73,24 +80,74 @@ class Node:
         return ">".join(self.steps)
 
 
-def _classes(attrs: str) -> tuple[list[str], set[str]]:
-    """Class names with digits made equal, and the words in class, id and role."""
-    classes, words = [], set()
+class Doubt:
+    """An element that its tag or name makes no article: the one around it, whether
+    an article or main element is around it or in it, and its characters outside
+    links, those inside an article or main element apart."""
+    __slots__ = ("parent", "in_main", "has_main", "plain", "plain_main")
+
+    def __init__(self, parent, in_main):
+        self.parent, self.in_main, self.has_main, self.plain, self.plain_main = parent, in_main, False, 0, 0
+
+
+def _outside(name: str, tag: str) -> bool:
+    """Whether a name, or a compound of such names and of frame words, stands
+    for what is not the article. A header may be called so."""
+    parts = {w.lower() for w in _WORD.findall(name) if len(w) > 1}
+    known = {name.lower()} & OUTSIDE or parts & OUTSIDE
+    return bool(known - {"header"} if tag == "header" else known) and (
+        name.lower() in OUTSIDE or parts <= OUTSIDE | FRAME)
+
+
+def _classes(attrs: str, tag: str) -> tuple[list[str], set[str], bool]:
+    """Class names with digits made equal, the words in class, id and role, and
+    whether one of these names what is not the article."""
+    classes, words, outside = [], set(), False
     for name, a, b, c in _NAMES.findall(attrs):
         value = a or b or c
         words.update(w.lower() for w in _WORD.findall(value))
+        outside = outside or any(_outside(v, tag) for v in value.split())
         if name.lower() == "class":
             classes += sorted({re.sub(r"\d+", "#", v.lower()) for v in value.split()})
-    return classes, words
+    return classes, words, outside
+
+
+def settled(containers: list[tuple[Node, Doubt | None]], blocks: list[tuple[Node, str, int, Doubt | None]]):
+    """Containers and blocks without the doubtful elements. One stays in if it
+    holds an article or main element and lies in none, or if it holds most of
+    the page's text outside links, unless it lies beside an article or main
+    element with text. All stay in when no text would be left."""
+    total, in_main = sum(b[2] for b in blocks), sum(b[2] for b in blocks if b[0].in_main)
+    for node, _, plain, doubt in blocks:
+        while doubt:
+            doubt.plain += plain
+            doubt.plain_main += plain if node.in_main else 0
+            doubt = doubt.parent
+    known: dict[Doubt | None, bool] = {None: True}
+
+    def stays(doubt):
+        around = []
+        while doubt not in known:
+            around.append(doubt)
+            doubt = doubt.parent
+        for d in reversed(around):
+            most = 2 * d.plain > total and (d.in_main or d.plain_main == in_main)
+            known[d] = known[d.parent] and (most or d.has_main and not d.in_main)
+        return known[around[0] if around else doubt]
+    kept = [b for b in blocks if stays(b[3])]
+    if sum(b[2] for b in kept) or not total:
+        containers, blocks = [c for c in containers if stays(c[1])], kept
+    return [c[0] for c in containers], [b[:3] for b in blocks]
 
 
 def parse(page: str) -> tuple[list[Node], list[tuple[Node, str, int]]]:
     """The page's containers and its blocks: (container, text, characters
     outside links) in page order. Blocks outside the article are left out."""
     root = Node(None, "", False)
-    containers, blocks = [root], []
-    stack: list[tuple[str, Node]] = []  # open elements with their container
+    containers, blocks = [(root, None)], []
+    stack: list[tuple[str, Node, bool, Doubt | None]] = []  # open elements with what is around them
     node, dropped, links = root, 0, 0  # dropped: open elements that are no article
+    doubt: Doubt | None = None  # the innermost open element that may be none
     opened: dict[str, int] = defaultdict(int)
     text: list[str] = []
     plain = 0
@@ -100,13 +157,13 @@ def parse(page: str) -> tuple[list[Node], list[tuple[Node, str, int]]]:
         if text:
             t = " ".join("".join(text).split())
             if t:
-                blocks.append((node, t, plain))
+                blocks.append((node, t, plain, doubt))
             text, plain = [], 0
 
     def close(k):
-        nonlocal node, dropped, links
+        nonlocal node, dropped, links, doubt
         while len(stack) > k:
-            tag, before, was_dropped = stack.pop()
+            tag, before, was_dropped, doubt = stack.pop()
             dropped -= was_dropped
             links -= tag == "a"
             opened[tag] -= 1
@@ -152,21 +209,27 @@ def parse(page: str) -> tuple[list[Node], list[tuple[Node, str, int]]]:
                 flush()
             continue
         attrs = m.group("attrs")
-        classes, words = _classes(attrs) if "=" in attrs else ([], set())
-        out = tag in DROPPED or tag == "header" and not node.in_main
-        if not out and tag not in ("html", "body", "main") and not (tag == "article" and not node.in_main):
-            out = bool(words & OUTSIDE)
-        out = out or bool(attrs) and _HIDDEN.search(attrs) is not None
-        if tag in BLOCKS or out:
+        classes, words, named = _classes(attrs, tag) if "=" in attrs else ([], set(), False)
+        out = tag in DROPPED - MAYBE or bool(attrs) and _HIDDEN.search(attrs) is not None
+        doubtful = tag in MAYBE or tag == "header" and not node.in_main
+        if not doubtful and tag not in ("html", "body", "main") and not (tag == "article" and not node.in_main):
+            doubtful = named
+        if tag in BLOCKS or out or doubtful:
             flush()
-        before = node
+        before, around = node, doubt
+        main = tag in ("article", "main")
+        if main and not out and not dropped:
+            d = doubt
+            while d and not d.has_main:
+                d.has_main, d = True, d.parent
+        if doubtful and not out and not dropped:
+            doubt = Doubt(doubt, node.in_main)
         if tag in CONTAINERS:
-            main = tag in ("article", "main")
             node = Node(node, ".".join([tag, *classes]), node.in_main or main,
                         1.25 if main else 1.15 if words & INSIDE else 1.0)
             if not out and not dropped:
-                containers.append(node)
-        stack.append((tag, before, out))
+                containers.append((node, doubt))
+        stack.append((tag, before, out, around))
         opened[tag] += 1
         dropped += out
         links += tag == "a"
@@ -175,7 +238,7 @@ def parse(page: str) -> tuple[list[Node], list[tuple[Node, str, int]]]:
         text.append(piece)
         plain += len(piece)
     flush()
-    return containers, blocks
+    return settled(containers, blocks)
 
 
 def best_container(containers: list[Node], blocks: list[tuple[Node, str, int]]) -> Node | None:

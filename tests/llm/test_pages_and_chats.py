@@ -44,6 +44,32 @@ def test_extract_main_text():
     assert extract("<div>" * 30_000 + "deep", None)[0] == "deep"
 
 
+def test_names_of_wrappers_do_not_empty_the_page():
+    art = "<p>" + "The article goes on. " * 20 + "</p>"
+    want = " ".join(("The article goes on. " * 20).split())
+    for name in ("layout has-sidebar", "no-sidebar", "long-form", "with-comments", "sidebar", "right-sidebar"):
+        for page in (f"<div class='{name}'><article>{art}</article></div>", f"<div class='{name}'>{art}</div>",
+                     f"<div class='{name}'><main>{art}</main></div><div class='footer'><p>foot</p></div>"):
+            assert extract(f"<body>{page}</body>", None)[0] == want, page
+    assert extract(f"<body><form id=aspnetForm><div>{art}</div></form></body>", None)[0] == want
+    for header in ("<header class='entry-header'>", "<header class=header>", "<header>"):
+        page = f"<body><article>{header}<h1>Title</h1></header>{art}<div class='share-buttons'>Share</div></article></body>"
+        assert extract(page, None)[0] == "Title\n" + want
+    assert extract("<body><p><a href=/>Skip</a></p><div class=widget><p>one</p></div><div class=promo><p>two</p></div></body>",
+                   None)[0] != ""
+
+
+def test_names_still_drop_what_is_no_article():
+    art = "<p>" + "The article goes on. " * 20 + "</p>"
+    want = " ".join(("The article goes on. " * 20).split())
+    comments = "<div class=comments>" + "<p>A long opinion of somebody else.</p>" * 50 + "</div>"
+    assert extract(f"<body><article>{art}</article>{comments}</body>", None)[0] == want
+    for name in ("cookie-notice", "related-posts", "ad", "sidebarLeft", "social_links", "comment-list", "widget-2"):
+        assert extract(f"<body><div>{art}<div class='{name}'><p>not this</p></div></div></body>", None)[0] == want, name
+    teasers = "<div class=related><article><p>teaser</p></article></div>"
+    assert extract(f"<body><article>{art}{teasers}</article></body>", None)[0] == want
+
+
 def test_votes_decide_by_host(spark):
     rows = [(i, f"http://h/{i}", "<body><div class=a><p>" + "long text " * 30 + "</div><div class=b><p>small</div>")
             for i in range(5)]
