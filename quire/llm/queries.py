@@ -14,9 +14,11 @@ from quire.llm.line_quality import clean_lines
 from quire.llm.packing import pack
 from quire.llm.registry import register
 from quire.llm.reply_trees import chain, format_branches, read_loss, read_turns
+from quire.llm.shared_search import rank_documents
 from quire.llm.simhash import near_groups
 from quire.llm.token_counts import count_tokens
 from quire.llm.url_filter import host, judge_urls, path
+from quire.llm.word_runs import find_runs
 
 #: Fixed by the contract: (verdict, host/path).
 URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"),
@@ -102,3 +104,39 @@ def op10_bloom_cascade(spark, sf_dir):
     keys = pages.select(F.concat(host(F.col("url")), path(F.col("url"))).alias("key"))
     listed = keys.where(F.instr(F.lit(LISTED_DIGITS), F.substring(F.md5(F.col("key")), 1, 1)) > 0).distinct()
     return judge_urls(pages, listed, URL_RULES, keep=["page_id"])
+
+
+def looped(docs):
+    """The documents with planted runs: of those whose id's crc32 ends in 0 the
+    words from a certain one on are the period there, repeated."""
+    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    picked = (docs.select("doc_id", "text", (F.floor(h / 10)).alias("g"), (h % 10 == 0).alias("hit"))
+              .withColumn("w", F.when(F.col("hit"), words)).withColumn("n", F.size("w"))
+              .withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")).cast("int"))
+              .withColumn("p", F.expr("cast(1 + (n - a) div (3 + g % 8) as int)")))
+    period = F.slice("w", F.col("a") + 1, F.col("p"))
+    copies = F.flatten(F.array_repeat(period, F.ceil((F.col("n") - F.col("a")) / F.col("p")).cast("int")))
+    made = F.concat(F.slice("w", F.lit(1), F.col("a")), F.slice(copies, F.lit(1), F.col("n") - F.col("a")))
+    return picked.select("doc_id", F.when(F.col("hit") & (F.col("n") > 0), F.array_join(made, " "))
+                         .otherwise(F.col("text")).alias("text"))
+
+
+@register("op11_word_runs")
+def op11_word_runs(spark, sf_dir):
+    found = find_runs(looped(table(spark, sf_dir, "documents")), keep=["doc_id"])
+    # greatest length, then smallest start and period
+    best = F.array_max(F.transform("runs", lambda r: F.struct(
+        r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    return found.withColumn("b", best).select(
+        "doc_id", F.size("runs").cast("bigint").alias("n_runs"), (-F.col("b.start")).alias("start"),
+        F.col("b.length").alias("length"), (-F.col("b.period")).alias("period"),
+        F.expr("1000 * b.length div -b.period").alias("exponent_milli"),
+        F.sha2(F.concat(F.array_join(lines, "\n"), F.when(F.size("runs") > 0, "\n").otherwise("")), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+@register("op13_shared_search", sql.RANKED)
+def op13_shared_search(spark, sf_dir):
+    return rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

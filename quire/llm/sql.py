@@ -104,3 +104,25 @@ SELECT conv_id, count(*)::BIGINT AS n_turns,
   sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
   sum(4 + r + 2 + t + 8)::BIGINT AS formatted_chars FROM e GROUP BY conv_id
 """
+
+
+RANKED = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+i AS (SELECT row_number() OVER () AS iid, item_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM benchmark),
+it AS (SELECT DISTINCT iid, item_id, term FROM (SELECT iid, item_id, unnest(w) AS term FROM i)),
+s AS (SELECT count(*) FILTER (WHERE len(w) > 0) AS n_docs, sum(len(w))::BIGINT AS total FROM d),
+tf AS (SELECT rid, doc_id, n, term, count(*) AS tf
+    FROM (SELECT rid, doc_id, len(w)::BIGINT AS n, unnest(w) AS term FROM d) GROUP BY rid, doc_id, n, term),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+wt AS (SELECT term, floor(1000 * ln((2 * n_docs + 2) / (2 * df + 1)))::BIGINT AS weight FROM df, s),
+sc AS (SELECT iid, item_id, rid, doc_id, sum(weight * ((1000000000 * tf) // (1000 * tf
+    + 8 * (10 + (90 * n * n_docs) // total))))::BIGINT AS score
+    FROM it JOIN wt USING (term) JOIN tf USING (term), s GROUP BY iid, item_id, rid, doc_id),
+r AS (SELECT item_id, row_number() OVER (PARTITION BY iid ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score
+    FROM sc WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 10
+"""
