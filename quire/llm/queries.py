@@ -14,6 +14,7 @@ from quire.llm.line_quality import clean_lines
 from quire.llm.packing import pack
 from quire.llm.registry import register
 from quire.llm.reply_trees import chain, format_branches, read_loss, read_turns
+from quire.llm.set_join import join_similar
 from quire.llm.shared_search import rank_documents
 from quire.llm.simhash import near_groups
 from quire.llm.token_counts import count_tokens
@@ -137,6 +138,11 @@ def op11_word_runs(spark, sf_dir):
         F.sha2("collapsed", 256).alias("collapsed_sha256"))
 
 
+@register("op12_partenum_join", sql.SIMILAR)
+def op12_partenum_join(spark, sf_dir):
+    return join_similar(table(spark, sf_dir, "documents"), keep=["doc_id"])
+
+
 @register("op13_shared_search", sql.RANKED)
 def op13_shared_search(spark, sf_dir):
     return rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

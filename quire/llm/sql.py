@@ -126,3 +126,19 @@ r AS (SELECT item_id, row_number() OVER (PARTITION BY iid ORDER BY score DESC, d
     FROM sc WHERE score > 0)
 SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 10
 """
+
+
+SIMILAR = r"""
+WITH RECURSIVE d AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x20\x09-\x0D]+') AS w FROM documents),
+sh AS MATERIALIZED (SELECT DISTINCT rid, array_to_string(w[i:i + 4], ' ') AS s
+    FROM (SELECT rid, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+n AS MATERIALIZED (SELECT rid, count(*) AS n FROM sh GROUP BY rid),
+link AS MATERIALIZED (SELECT x, y FROM (SELECT a.rid AS x, b.rid AS y, count(*) AS c
+    FROM sh a JOIN sh b ON a.s = b.s AND a.rid <> b.rid GROUP BY a.rid, b.rid)
+  JOIN n nx ON nx.rid = x JOIN n ny ON ny.rid = y WHERE 100 * c >= 80 * (nx.n + ny.n - c)),
+reach(rid, other) AS (SELECT rid, rid FROM d UNION SELECT r.rid, l.y FROM reach r JOIN link l ON l.x = r.other)
+SELECT d.doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, min(o.doc_id) AS component_id
+FROM d JOIN reach r ON r.rid = d.rid JOIN d o ON o.rid = r.other LEFT JOIN n ON n.rid = d.rid GROUP BY d.rid, d.doc_id
+"""
