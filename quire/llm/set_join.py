@@ -12,16 +12,16 @@ since then one that agrees is not empty.
 
 Sets that share a signature are linked by a star, not by all pairs. A pair is
 tested by a parity sketch, which never rejects a similar pair, and then by the
-whole sets. Signatures whose sets did not all end in one component are taken
-up again: pairs of their sets across components are tested by their sketches,
-large ones in blocks, so no link between different sets is lost.
+whole sets. Signatures whose sets did not all end in one component are taken up
+again, large ones in blocks: of the pairs across components that the sketches
+allow, first as many as would join the components are tested, then those that
+are still left. So no link between different sets is lost.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,53 +29,30 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import quoted, stored, utf8, with_columns
+from quire.llm.common import quoted, stored, with_columns
+from quire.llm.hashing import FACTOR, mixed, stretch_hashes, word_hashes
 from quire.llm.simhash import components
 
 WIDTH, PERCENT = 5, 80
-#: Bits of a parity sketch and the columns that hold them.
-SKETCH = 512
+#: Bits of a parity sketch and the columns that hold them; bits of the sharper one for single pairs.
+SKETCH, SHARP = 512, 4096
 SKETCH_COLS = [f"s{i}" for i in range(SKETCH // 64)]
 #: Bits of the bounded table that stands for a set of nodes; false hits cost time only.
 TABLE_BITS = 26
 #: Sets of one signature that are compared at once when it is taken up again.
 BLOCK = 2048
-#: Different words whose hashes a task keeps.
-WORDS = 600_000
-_FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
-def mixed(x: np.ndarray) -> np.ndarray:
-    """Numbers spread over 64 bits."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-class WordHashes(dict):
-    def __missing__(self, word):
-        h = xxhash.xxh64_intdigest(word)
-        if len(self) < WORDS:
-            self[word] = h
-        return h
-
-
-def shingle_sets(texts: list[bytes | None], hashes: WordHashes, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
+def shingle_sets(texts: pa.Array, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
     """(h, begin): the distinct 64-bit shingle hashes of each text in order,
     those of text i at h[begin[i]:begin[i + 1]]. A text with fewer words than a
     shingle, but not none, is one shingle."""
-    words = [t.lower().split() if t else [] for t in texts]
-    n = np.array([len(w) for w in words], np.int64)
-    at = np.concatenate([[0], np.cumsum(n)])
-    w = np.fromiter(map(hashes.__getitem__, chain.from_iterable(words)), np.uint64, at[-1])
+    words, at = word_hashes(texts)
+    n = np.diff(at)
     size = np.where(n >= width, n - width + 1, n > 0)
     begin = np.concatenate([[0], np.cumsum(size)])
-    first = np.repeat(at[:-1] - begin[:-1], size) + np.arange(begin[-1])  # a shingle's first word
-    length = np.repeat(np.minimum(n, width), size)
-    h = length.astype(np.uint64)
-    for k in range(width):
-        more = np.where(k < length, w[np.minimum(first + k, max(len(w) - 1, 0))] if len(w) else 0, 0).astype(np.uint64)
-        h = mixed(h * _FACTOR + more)
+    first = np.repeat(at[:-1] - begin[:-1], size) + np.arange(begin[-1])
+    h = stretch_hashes(words, first, np.repeat(np.minimum(n, width), size))
     for a, b in zip(begin[:-1].tolist(), begin[1:].tolist()):
         h[a:b].sort()
     new = np.ones(len(h), bool)
@@ -92,15 +69,15 @@ def _sums(x: np.ndarray, begin: np.ndarray) -> np.ndarray:
 
 def node_numbers(h: np.ndarray, begin: np.ndarray) -> np.ndarray:
     """A 64-bit number for each set; equal sets have equal ones."""
-    return mixed(_sums(mixed(h ^ _FACTOR), begin) + np.diff(begin).astype(np.uint64)).view(np.int64)
+    return mixed(_sums(mixed(h ^ FACTOR), begin) + np.diff(begin).astype(np.uint64)).view(np.int64)
 
 
-def sketches(h: np.ndarray, begin: np.ndarray) -> np.ndarray:
+def sketches(h: np.ndarray, begin: np.ndarray, bits: int = SKETCH) -> np.ndarray:
     """Parity sketches, one row of 64-bit words for each set: they differ in no
     more bits than the sets in elements."""
     n = len(begin) - 1
-    bit = (mixed(h + _FACTOR) >> np.uint64(64 - SKETCH.bit_length() + 1)).astype(np.int64)
-    odd = np.bincount(np.repeat(np.arange(n), np.diff(begin)) * SKETCH + bit, minlength=n * SKETCH) & 1
+    bit = (mixed(h + FACTOR) >> np.uint64(65 - bits.bit_length())).astype(np.int64)
+    odd = np.bincount(np.repeat(np.arange(n), np.diff(begin)) * bits + bit, minlength=n * bits) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64).reshape(n, -1)
 
 
@@ -130,7 +107,7 @@ class Bands:
         for j in (band, band + 1):
             takes = (size > 0) & (partner >= self.first[j])
             given = np.where(takes, self.differ(size, np.minimum(partner, self.last[j])) + 1 + self.spare[j], 0)
-            seed = mixed(j.astype(np.uint64) + _FACTOR)
+            seed = mixed(j.astype(np.uint64) + FACTOR)
             part = (mixed(h ^ seed[owner]) >> np.uint64(32)) * self.parts[j].astype(np.uint64)[owner]
             part = (part >> np.uint64(32)).astype(np.int64)
             offset = np.concatenate([[0], np.cumsum(given)])
@@ -167,6 +144,23 @@ def _in_table(table: np.ndarray, node: np.ndarray) -> np.ndarray:
     return table[(h >> np.uint64(6)).astype(np.int64)] >> (h & np.uint64(63)) & np.uint64(1) > 0
 
 
+def forest_of(group: np.ndarray, a: np.ndarray, b: np.ndarray) -> list[int]:
+    """The edges (a, b), by place, that join nodes of one group not joined yet."""
+    top: dict[tuple[int, int], tuple[int, int]] = {}
+
+    def root(v):
+        while (w := top.get(v, v)) != v:
+            top[v] = v = top.get(w, w)
+        return v
+    kept = []
+    for k, (g, x, y) in enumerate(zip(group.tolist(), a.tolist(), b.tolist())):
+        x, y = root((g, x)), root((g, y))
+        if x != y:
+            top[x] = y
+            kept.append(k)
+    return kept
+
+
 class Join:
     """The passes over one document table. Nodes are distinct sets."""
 
@@ -176,19 +170,20 @@ class Join:
         self.context = docs.sparkSession.sparkContext
 
     def marked(self, keep: list[str]) -> DataFrame:
-        """``keep``, n_shingles, node (null for an empty set) and the sketch."""
+        """``keep``, n_shingles, node (null for an empty set) and the sketches."""
         width = self.width
 
         def start():
-            hashes = WordHashes()
-
             def f(col):
-                h, begin = shingle_sets(utf8(col), hashes, width)
+                h, begin = shingle_sets(col, width)
                 size = np.diff(begin)
                 node = pa.array(node_numbers(h, begin), mask=size == 0)
-                return [pa.array(size), node, *(pa.array(np.ascontiguousarray(x)) for x in sketches(h, begin).T)]
+                sharp = [x.tobytes() for i in range(0, len(size), 500) for x in
+                         sketches(h[begin[i]:begin[min(i + 500, len(size))]], begin[i:i + 501] - begin[i], SHARP)]
+                return [pa.array(size), node, *(pa.array(np.ascontiguousarray(x)) for x in sketches(h, begin).T),
+                        pa.array(sharp, pa.binary())]
             return f
-        fields = "n_shingles bigint, node bigint, " + ", ".join(f"{c} bigint" for c in SKETCH_COLS)
+        fields = "n_shingles bigint, node bigint, " + ", ".join(f"{c} bigint" for c in SKETCH_COLS) + ", sharp binary"
         return with_columns(self.docs, [self.text_col], fields, start, keep)
 
     def _per_set(self, make, schema: str, only: np.ndarray | None = None) -> DataFrame:
@@ -198,10 +193,10 @@ class Join:
         given = None if only is None else self.context.broadcast(only)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            hashes, seen = WordHashes(), set()
+            seen = set()
             for batch in batches:
                 for i in range(0, batch.num_rows, 2000):
-                    h, begin = shingle_sets(utf8(batch.column(0).slice(i, 2000)), hashes, width)
+                    h, begin = shingle_sets(batch.column(0).slice(i, 2000), width)
                     node = node_numbers(h, begin)
                     fresh = np.zeros(len(node), bool)
                     ask = np.diff(begin) > 0
@@ -219,9 +214,10 @@ class Join:
         return self.texts.mapInArrow(run, schema)
 
     def signature_rows(self) -> DataFrame:
-        """(sig, node, other): sets by signature. Of the sets of one batch with
-        one signature only the first goes on, marked by ``other`` = itself; the
-        others come as pairs with it, dealt by their own key."""
+        """(key, node, other, sig): the sets by signature, which is the key. Of
+        the sets of one batch with one signature only the first goes on, marked
+        by ``other`` = itself if there are more; the others come as pairs with
+        it, dealt by a key of the pair, with their signature."""
         bands = self.bands
 
         def make(h, begin, node):
@@ -230,75 +226,79 @@ class Join:
             sig, node = sig[order], node[owner[order]]
             head = np.ones(len(sig), bool)
             head[1:] = sig[1:] != sig[:-1]
-            first = node[head][np.cumsum(head) - 1]
+            first = node[head][np.cumsum(head) - 1] if len(sig) else node
             leads = np.zeros(len(sig), bool)
-            leads[:-1] = ~head[1:]
-            other = np.where(head, node, first)
-            pair = np.unique(np.stack([node[~head], other[~head]], 1), axis=0)
-            key = mixed(pair[:, 0].view(np.uint64) * _FACTOR + pair[:, 1].view(np.uint64)).view(np.int64)
-            plain = ~(leads[head])
-            cols = [np.concatenate(x) for x in ((sig[head], key), (node[head], pair[:, 0]), (other[head], pair[:, 1]))]
-            return [pa.array(cols[0]), pa.array(cols[1]),
-                    pa.array(cols[2], mask=np.concatenate([plain, np.zeros(len(pair), bool)]))]
-        return self._per_set(make, "sig bigint, node bigint, other bigint")
-
-    def candidates(self) -> DataFrame:
-        """(a, b, n, wide): a star over the sets of each signature, with the
-        number of signatures, and whether one of them may hold three sets."""
+            leads[:-1] = head[:-1] & ~head[1:]
+            key = np.where(head, sig, mixed(node.view(np.uint64) * FACTOR + first.view(np.uint64)).view(np.int64))
+            return [pa.array(key), pa.array(node), pa.array(first, mask=head & ~leads), pa.array(sig, mask=head)]
+        return self._per_set(make, "key bigint, node bigint, other bigint, sig bigint")
+
+    def candidates(self) -> tuple[DataFrame, DataFrame]:
+        """Pairs (a, b) that make a star over the sets of each signature, and
+        (sig, node): the sets of the signatures that may have three or more."""
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            sig = first = None  # of the bucket that may go on in the next batch
+            sig = first = None  # of the signature that may go on in the next batch
             more = False
             for b in batches:
                 s, x = b.column(0).to_numpy(), b.column(1).to_numpy()
-                local = b.column(2).is_valid().to_numpy(zero_copy_only=False)
                 y = b.column(2).fill_null(0).to_numpy()
-                lead = local & (x == y)
-                local &= ~lead
-                pairs = [np.stack([y[local], x[local], np.ones(local.sum(), np.int64)], 1)]
+                known = b.column(2).is_valid().to_numpy(zero_copy_only=False)
+                local = b.column(3).is_valid().to_numpy(zero_copy_only=False)
+                lead = known & ~local
+                pairs, held = [np.stack([y[local], x[local]], 1)], [(b.column(3).fill_null(0).to_numpy()[local], x[local])]
                 s, x, lead = s[~local], x[~local], lead[~local]
                 if len(s):
-                    if sig is not None and s[0] == sig:  # as if the first had been in this batch
+                    goes_on = sig is not None and s[0] == sig
+                    if goes_on:  # as if the first had been in this batch
                         s, x, lead = np.r_[sig, s], np.r_[first, x], np.r_[more, lead]
-                        known = 1
-                    else:
-                        known = 0
-                    cut = np.flatnonzero(np.diff(s)) + 1
-                    begin = np.concatenate([[0], cut])
+                    begin = np.concatenate([[0], np.flatnonzero(np.diff(s)) + 1])
                     size = np.diff(np.concatenate([begin, [len(s)]]))
                     any_lead = np.add.reduceat(lead.astype(np.int64), begin) > 0
-                    # a bucket at either end of the batch may be larger than it looks
                     wide = (size > 2) | any_lead
-                    wide[-1] = True
-                    wide[0] = wide[0] or known > 0
-                    head = np.repeat(x[begin], size)
+                    wide[-1], wide[0] = True, wide[0] or goes_on  # may be larger than they look here
                     rest = np.ones(len(s), bool)
                     rest[begin] = False
-                    pairs.append(np.stack([head[rest], x[rest], np.repeat(wide, size)[rest].astype(np.int64)], 1))
+                    pairs.append(np.stack([np.repeat(x[begin], size)[rest], x[rest]], 1))
+                    inside = np.repeat(wide, size)
+                    held.append((s[inside], x[inside]))
                     sig, first, more = s[-1], x[begin[-1]], bool(any_lead[-1])
                 p = np.concatenate(pairs)
                 p = p[p[:, 0] != p[:, 1]]
-                p[:, :2].sort(axis=1)
-                p, n = np.unique(p, axis=0, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(p[:, 0].copy()), pa.array(p[:, 1].copy()), pa.array(n),
-                                                  pa.array(p[:, 2] > 0)], names=["a", "b", "n", "wide"])
-        rows = self.signature_rows().repartition("sig").sortWithinPartitions("sig", "node")
-        found = rows.mapInArrow(run, "a bigint, b bigint, n bigint, wide boolean")
-        return stored(found.groupBy("a", "b").agg(F.sum("n").alias("n"), F.max("wide").alias("wide")), "candidates")
+                p.sort(axis=1)
+                p = np.unique(p, axis=0)
+                sigs, members = (np.concatenate(c) for c in zip(*held))
+                none = pa.nulls
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate([p[:, 0], members])), pa.concat_arrays([pa.array(p[:, 1].copy()), none(len(sigs), pa.int64())]),
+                     pa.concat_arrays([none(len(p), pa.int64()), pa.array(sigs)])], names=["a", "b", "sig"])
+        rows = self.signature_rows().repartition("key").sortWithinPartitions("key", "node")
+        found = stored(rows.mapInArrow(run, "a bigint, b bigint, sig bigint"), "candidates")
+        return (found.where("sig is null").select("a", "b").distinct(),
+                found.where("sig is not null").select("sig", F.col("a").alias("node")).distinct())
 
     def near(self, pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-        """The pairs that sizes and sketches allow."""
+        """The pairs that sizes and both sketches allow."""
         side = lambda s: nodes.select(F.col("node").alias(s), *(
             F.col(c).alias(f"{s}_{c}") for c in ["size", *SKETCH_COLS]))
         both = pairs.join(side("a"), "a").join(side("b"), "b")
         far = reduce(lambda x, y: x + y, [F.bit_count(F.col(f"a_{c}").bitwiseXOR(F.col(f"b_{c}"))) for c in SKETCH_COLS])
         p = self.bands.percent
         total = F.col("a_size") + F.col("b_size")
-        return both.where((100 * F.least("a_size", "b_size") >= p * F.greatest("a_size", "b_size"))
-                          & (far * (100 + p) <= total * (100 - p))).select(*pairs.columns)
+        both = both.where((100 * F.least("a_size", "b_size") >= p * F.greatest("a_size", "b_size"))
+                          & (far * (100 + p) <= total * (100 - p))).select("a", "b", total.alias("total"))
+        sharp = lambda s: nodes.select(F.col("node").alias(s), F.col("sharp").alias(f"{s}_sharp"))
+        both = both.join(sharp("a"), "a").join(sharp("b"), "b").select("a", "b", "total", "a_sharp", "b_sharp")
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                x, y = (np.frombuffer(b"".join(b.column(k).to_pylist()), np.uint64).reshape(b.num_rows, -1) for k in (3, 4))
+                far = np.bitwise_count(x ^ y).sum(1, dtype=np.int64)
+                ok = pa.array(far * (100 + p) <= b.column(2).to_numpy() * (100 - p))
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(ok)
+        return both.mapInArrow(run, "a bigint, b bigint")
 
     def linked(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) whose whole sets reach the similarity."""
-        pairs = stored(pairs.select("a", "b"), "pairs")
         ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
 
         def make(h, begin, node):
@@ -322,37 +322,29 @@ class Join:
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
         return stored(both.select("a", "b", "sa", "sb").mapInArrow(run, "a bigint, b bigint"), "links")
 
-    def reopened(self, nodes: DataFrame, roots: DataFrame, again: DataFrame) -> DataFrame:
-        """Pairs (a, b) across components of sets that share a signature, among
-        the nodes of ``again``, that sizes and sketches allow."""
-        bands, percent = self.bands, self.bands.percent
-
-        def make(h, begin, node):
-            sig, owner = bands.signatures(h, begin)
-            order = np.argsort(owner, kind="stable")
-            at = np.searchsorted(owner[order], np.arange(len(node) + 1)).astype(np.int32)
-            return [pa.array(node), pa.ListArray.from_arrays(pa.array(at), pa.array(sig[order]))]
-        sigs = self._per_set(make, "node bigint, sigs array<bigint>", node_table(again)).dropDuplicates(["node"])
-        info = again.join(nodes, "node").join(roots, "node", "left").select(
-            "node", F.coalesce("root", "node").alias("root"), "size", *SKETCH_COLS)
-        info = stored(info, "again")
-        rows = stored(sigs.join(info.select("node", "root"), "node").select("node", "root", F.explode("sigs").alias("sig")),
-                      "signatures")
-        mixed_sigs = (rows.groupBy("sig").agg(F.count("*").alias("m"), F.min("root").alias("lo"), F.max("root").alias("hi"))
+    def reopened(self, members: DataFrame, nodes: DataFrame, roots: DataFrame, every: bool) -> DataFrame:
+        """Pairs (a, b) of sets that share a signature but lie in different
+        components, allowed by sizes and sketches: ``every`` one, or of each
+        signature (or each pair of its blocks) a forest that would join all the
+        components that such pairs connect."""
+        percent = self.bands.percent
+        root = members.join(roots, "node", "left").select("sig", "node", F.coalesce("root", "node").alias("root"))
+        mixed_sigs = (root.groupBy("sig").agg(F.count("*").alias("m"), F.min("root").alias("lo"), F.max("root").alias("hi"))
                       .where("lo <> hi and m > 2").select("sig", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")))
-        dealt = (rows.select("sig", "node").join(mixed_sigs, "sig").join(info, "node")
+        info = nodes.select("node", "size", *SKETCH_COLS)
+        dealt = (root.join(mixed_sigs, "sig").join(info, "node")
                  .withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
                  .withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
                  .select("sig", F.least("own", "with").alias("x"), F.greatest("own", "with").alias("y"), "own",
                          "node", "root", "size", *SKETCH_COLS))
 
         def compare(t: np.ndarray) -> np.ndarray:
-            """Rows (sig, x, y, own, node, root, size, sketch...), whole groups."""
+            """Pairs of rows (sig, x, y, own, node, root, size, sketch...), whole groups."""
             group = np.concatenate([[0], np.cumsum((np.diff(t[:3], axis=1) != 0).any(0))])
-            i, d, out = np.arange(t.shape[1]), 0, []
+            i, d, near = np.arange(t.shape[1]), 0, [np.zeros((0, 2), np.int64)]
             while True:
                 d += 1
-                i = i[i + d < t.shape[1]]
+                i = i[:np.searchsorted(i, t.shape[1] - d)]
                 i = i[group[i] == group[i + d]]
                 if not i.size:
                     break
@@ -364,13 +356,17 @@ class Join:
                 a, b, total = a[ok], b[ok], (small + large)[ok]
                 far = np.bitwise_count((t[7:, a] ^ t[7:, b]).view(np.uint64)).sum(0, dtype=np.int64)
                 ok = far * (100 + percent) <= total * (100 - percent)
-                out.append(np.stack([t[4][a[ok]], t[4][b[ok]]], 1))
-            found = np.concatenate(out) if out else np.zeros((0, 2), np.int64)
-            found.sort(axis=1)
-            return np.unique(found, axis=0)
+                near.append(np.stack([a[ok], b[ok]], 1))
+            near = np.concatenate(near)
+            if not every:
+                near = near[forest_of(group[near[:, 0]], t[5][near[:, 0]], t[5][near[:, 1]])]
+            pairs = t[4][near]
+            pairs.sort(axis=1)
+            return np.unique(pairs, axis=0)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rest = None
+
             def give(t):
                 p = compare(t)
                 return pa.RecordBatch.from_arrays([pa.array(p[:, 0].copy()), pa.array(p[:, 1].copy())], names=["a", "b"])
@@ -381,22 +377,15 @@ class Join:
                     continue
                 last = np.flatnonzero((t[:3] != t[:3, -1:]).any(0))
                 cut = int(last[-1]) + 1 if last.size else 0
-                rest = t[:, cut:]  # the last group may go on
                 if cut:
                     yield give(t[:, :cut])
+                rest = t[:, cut:]  # the last group may go on
             if rest is not None and rest.shape[1]:
                 yield give(rest)
         found = dealt.repartition("sig", "x", "y").sortWithinPartitions("sig", "x", "y").mapInArrow(run, "a bigint, b bigint")
         return found.distinct()
 
 
-def _across(pairs: DataFrame, roots: DataFrame) -> DataFrame:
-    """The pairs whose ends lie in different components."""
-    side = lambda s: roots.select(F.col("node").alias(s), F.col("root").alias(f"{s}_root"))
-    both = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left")
-    return both.where(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).select(*pairs.columns)
-
-
 def join_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH,
                  percent: int = PERCENT, keep: list[str] | None = None) -> DataFrame:
     """Add ``n_shingles`` (long) and ``component_id``: the smallest id that a
@@ -417,29 +406,17 @@ def join_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     join = Join(row, "text", width, percent)
     marked = stored(join.marked(["row", "id"]), "sets")
     nodes = stored(marked.where("node is not null").groupBy("node").agg(
-        F.min("id").alias("low"), F.first("n_shingles").alias("size"), *(F.first(c).alias(c) for c in SKETCH_COLS)), "nodes")
-    candidates = join.candidates()
-    near = stored(join.near(candidates, nodes), "near")
-    # first the partner with which a set shares most signatures, then what is still apart
-    best = near.groupBy("b").agg(F.max_by("a", F.struct("n", "a")).alias("a")).select("a", "b")
-    links = join.linked(best)
-    rest = _across(near.select("a", "b").join(best, ["a", "b"], "left_anti"), components(links))
-    links = links.unionByName(join.linked(rest))
+        F.min("id").alias("low"), F.first("n_shingles").alias("size"), *(F.first(c).alias(c) for c in [*SKETCH_COLS, "sharp"])), "nodes")
+    pairs, members = join.candidates()
+    tested = stored(join.near(pairs, nodes), "near")
+    links = join.linked(tested)
     roots = components(links)
-    # signatures that may hold further pairs: those near a star's pair that is still apart
-    wide = candidates.where("wide").select("a", "b")
-    both = wide.select(F.col("a").alias("node"), F.col("b").alias("to")).unionByName(
-        wide.select(F.col("b").alias("node"), F.col("a").alias("to")))
-    apart = _across(wide, roots)
-    again = stored(apart.select(F.col("a").alias("node")).unionByName(apart.select(F.col("b").alias("node"))).distinct(),
-                   "reopened")
-    for _ in range(3):  # a set, its batch's first, the signature's first, and down again
-        again = stored(both.join(again, "node", "left_semi").select(F.col("to").alias("node")).unionByName(again).distinct(),
-                       "reopened")
-    if not again.isEmpty():
-        more = join.reopened(nodes, roots, again).join(near.select("a", "b"), ["a", "b"], "left_anti")
-        links = links.unionByName(join.linked(more))
-        roots = components(links)
+    for every in (False, True):  # first as many as would join the components, then all that are left
+        more = join.reopened(members, nodes, roots, every).join(tested, ["a", "b"], "left_anti")
+        more = stored(join.near(more, nodes), "near")
+        if not more.isEmpty():
+            tested, links = tested.unionByName(more), links.unionByName(join.linked(more))
+            roots = components(links)
     root = F.coalesce("root", "node")
     grouped = nodes.select("node", "low").join(roots, "node", "left").select("node", "low", root.alias("root"))
     lows = grouped.groupBy("root").agg(F.min("low").alias("component_id"))

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -10,7 +11,9 @@ from pyspark.sql import functions as F
 from conftest import SMOKE
 from oracle_check import compare, duck
 from quire.llm import queries as Q, set_join as S, sql
-from quire.llm.set_join import Bands, Join, WordHashes, join_similar, node_numbers, shingle_sets, sketches
+from quire.llm.hashing import word_hashes
+from quire.llm import hashing
+from quire.llm.set_join import Bands, Join, join_similar, node_numbers, shingle_sets, sketches
 
 LONG = " ".join(f"w{i % 9973}" for i in range(120_000))
 
@@ -46,14 +49,30 @@ def by_text(rows):
 
 
 def test_sets_of_shingles():
-    texts = [b"A b  c\td e f", None, b"", b" \n ", b"x y", b"X\ny", b"x y z", b"a a a a a a a a", b"a b c d e", b"0"]
-    h, begin = shingle_sets(texts, WordHashes())
+    texts = ["A b  c\td e f", None, "", " \n ", "x y", "X\ny", "x y z", "a a a a a a a a", "a b c d e", "0"]
+    h, begin = shingle_sets(pa.array(texts))
     assert np.diff(begin).tolist() == [2, 0, 0, 0, 1, 1, 1, 1, 1, 1]
     sets = [frozenset(h[a:b].tolist()) for a, b in zip(begin, begin[1:])]
     assert sets[4] == sets[5] != sets[6] and sets[8] < sets[0]
     node = node_numbers(h, begin)
     assert node[4] == node[5] and len({int(x) for x in node[[0, 4, 6, 7, 8, 9]]}) == 6
-    assert shingle_sets([], WordHashes())[0].size == 0 and shingle_sets([None], WordHashes())[1].tolist() == [0, 0]
+    assert shingle_sets(pa.array([], pa.string()))[0].size == 0
+    assert shingle_sets(pa.array([None], pa.string()))[1].tolist() == [0, 0]
+
+
+def test_hashes_of_words_do_not_depend_on_chunks(monkeypatch):
+    rng = random.Random(1)
+    known = {}
+    for chunk in (1, 3, 7, 50, 4 << 20):
+        monkeypatch.setattr(hashing, "CHUNK", chunk)
+        for _ in range(150):
+            texts = [rng.choice([None, "".join(rng.choice("aB \n\té漢") for _ in range(rng.randrange(30)))])
+                     for _ in range(rng.randrange(6))]
+            h, begin = word_hashes(pa.array(["zz", *texts], pa.string()).slice(1))
+            words = [(t or "").encode().lower().split() for t in texts]
+            assert np.diff(begin).tolist() == [len(w) for w in words]
+            assert all(known.setdefault(w, x) == x for w, x in zip(sum(words, []), h.tolist()))
+    assert len(set(known.values())) == len(known) > 100
 
 
 def test_similar_sets_share_a_signature_and_pass_the_sketch():
@@ -71,8 +90,10 @@ def test_similar_sets_share_a_signature_and_pass_the_sketch():
         h, begin = np.array(sum(both, []), np.uint64), np.cumsum([0, len(both[0]), len(both[1])])
         sig, owner = bands.signatures(h, begin)
         assert set(sig[owner == 0].tolist()) & set(sig[owner == 1].tolist()), (n, lost)
-        s = sketches(h, begin)
-        assert np.bitwise_count((s[0] ^ s[1]).view(np.uint64)).sum() <= len(set(base) ^ set(other))
+        for bits in (S.SKETCH, S.SHARP):
+            s = sketches(h, begin, bits)
+            assert s.shape == (2, bits // 64)
+            assert np.bitwise_count((s[0] ^ s[1]).view(np.uint64)).sum() <= len(set(base) ^ set(other))
 
 
 def test_sets_with_many_empty_parts_still_meet():
@@ -120,8 +141,9 @@ def test_components_against_all_pairs(spark, monkeypatch, seed, block):
     assert by_text(got) == by_text(plain_components(rows))
 
 
-def test_reopened_signatures_give_every_pair_across(spark, monkeypatch):
-    """Without any link known, taking up all signatures finds all similar pairs."""
+def test_reopened_signatures_connect_every_similar_pair(spark, monkeypatch):
+    """Without any link known, the forest of each signature connects its similar
+    pairs; pairs that failed are not given again."""
     for block in (2048, 4):
         monkeypatch.setattr(S, "BLOCK", block)
         rows = windows(random.Random(3))
@@ -130,11 +152,22 @@ def test_reopened_signatures_give_every_pair_across(spark, monkeypatch):
         marked = join.marked(["doc_id"]).where("node is not null").cache()
         nodes = marked.groupBy("node").agg(F.first("n_shingles").alias("size"), *(F.first(c).alias(c) for c in S.SKETCH_COLS))
         roots = spark.createDataFrame([], "node bigint, root bigint")
-        pairs = {(r["a"], r["b"]) for r in join.reopened(nodes, roots, nodes.select("node")).collect()}
+        _, members = join.candidates()
+        pairs = {(r["a"], r["b"]) for r in join.reopened(members, nodes, roots, False).collect()}
+        every = {(r["a"], r["b"]) for r in join.reopened(members, nodes, roots, True).collect()}
+        assert pairs <= every
+        top = {}
+
+        def end(v):
+            while top.get(v, v) != v:
+                v = top[v]
+            return v
+        for a, b in pairs:
+            top[end(a)] = end(b)
         node = {r["doc_id"]: r["node"] for r in marked.collect()}
         sets, count = plain_sets([t for _, t in rows]), 0
         per = {}  # signatures of three sets or more only are taken up
-        h, begin = shingle_sets([t.encode() for _, t in rows], WordHashes())
+        h, begin = shingle_sets(pa.array([t for _, t in rows]))
         sig, owner = join.bands.signatures(h, begin)
         numbers = node_numbers(h, begin)
         for s, o in zip(sig.tolist(), owner.tolist()):
@@ -145,12 +178,17 @@ def test_reopened_signatures_give_every_pair_across(spark, monkeypatch):
                 a, b = sorted((node[rows[i][0]], node[rows[j][0]]))
                 if a != b and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]) \
                         and any(a in v and b in v for v in held):
-                    assert (a, b) in pairs
+                    assert end(a) == end(b) and (a, b) in every
                     count += 1
         assert count > 20
         marked.unpersist()
 
 
+def test_forest_of_groups():
+    g, a, b = np.array([1, 1, 1, 2, 2]), np.array([5, 6, 5, 5, 5]), np.array([6, 7, 7, 7, 7])
+    assert S.forest_of(g, a, b) == [0, 1, 3] and S.forest_of(g[:0], a[:0], b[:0]) == []
+
+
 def test_odd_rows(spark):
     rows = [(1, None), (2, ""), (3, " \n\t "), (4, LONG), (5, LONG + " end"), (6, "same text"), (6, "same text"),
             (None, "SAME\ttext"), (None, "lonely one"), (7, "a b c d e"), (8, "a b c d e f"), (9, "a b c d e f g h i j")]
