@@ -28,22 +28,26 @@ def dedup_first(df: DataFrame, keys: list[str] = PAPER_KEY,
     return df.groupBy(*keys).agg(winner).select(*keys, "_w.*").select(*df.columns)
 
 
-def new_vs_ledger(df: DataFrame, ledger: DataFrame, keys: list[str] = PAPER_KEY,
-                  batch_rows: int | None = None, broadcast_max_rows: int = 500_000) -> DataFrame:
+def new_vs_ledger(df: DataFrame, ledger: DataFrame, keys: list[str] = PAPER_KEY) -> DataFrame:
     """Rows of ``df`` whose key is not in ``ledger`` (exact, case-sensitive).
 
-    Default plan: shuffle anti join on the key (AQE may turn it into a
-    broadcast of a small ledger, and splits skewed partitions). When the
-    caller passes the batch size and it is under ``broadcast_max_rows``, the
-    batch keys are broadcast into the ledger scan to find the few hits, and
-    only those hits are broadcast back: the ledger is never shuffled.
+    A sort-merge anti join. Beside a ledger in buckets by its key
+    (``sources.ledger``) only ``df`` is shuffled: each bucket is read by the task
+    that has the rows of its hash. A ledger that is no such table is shuffled too.
     """
-    ledger_keys = ledger.select(*keys)
-    if batch_rows is not None and batch_rows <= broadcast_max_rows:
-        batch_keys = df.select(*keys).distinct()
-        hits = ledger_keys.join(F.broadcast(batch_keys), keys, "left_semi").distinct()
-        return df.join(F.broadcast(hits), keys, "left_anti")
-    return df.join(ledger_keys, keys, "left_anti")
+    return df.join(ledger.select(*keys), keys, "left_anti")
+
+
+def new_vs_ledger_keys(df: DataFrame, ledger: DataFrame, keys: list[str], most_keys: int) -> DataFrame:
+    """The same for a batch of at most ``most_keys`` keys, which the caller vouches
+    for and which is checked: its keys are broadcast into the ledger scan, and
+    the hits among them back, so a ledger in any layout is read where it lies."""
+    batch_keys = df.select(*keys).distinct()
+    n = batch_keys.limit(most_keys + 1).count()
+    if n > most_keys:
+        raise ValueError(f"the batch has more than {most_keys} keys")
+    hits = ledger.select(*keys).join(F.broadcast(batch_keys), keys, "left_semi").distinct()
+    return df.join(F.broadcast(hits), keys, "left_anti")
 
 
 def drop_blank_keys(df: DataFrame, col: str = "paper_number") -> DataFrame:

@@ -17,7 +17,8 @@ from quire.operators.harvest import DEFAULT_MIN_NEW, gate, harvest_summary, sour
 from quire.schemas import PAPER_COLUMNS
 from quire.session import checkpoint_root
 from quire.sources import normalisers as N
-from quire.sources.sinks import append_ledger, write_drop
+from quire.sources.ledger import append_ledger
+from quire.sources.sinks import write_drop
 
 # The shipped harvest configuration (keywords are supplied by
 # the run): rows per task, minimum new rows to write, and the sources.
@@ -85,7 +86,7 @@ def responses_id(payloads: DataFrame) -> str:
 
 
 def harvest(payloads: DataFrame, ledger: DataFrame, config: Mapping = DEFAULT_CONFIG,
-            batch_rows: int | None = None, materialize: bool = False) -> HarvestResult:
+            materialize: bool = False) -> HarvestResult:
     """The run as lazy DataFrames. Every response is parsed once; with
     ``materialize`` the parsed responses are checkpointed first so the rows
     and the per-task status come from one parse even across jobs."""
@@ -96,11 +97,9 @@ def harvest(payloads: DataFrame, ledger: DataFrame, config: Mapping = DEFAULT_CO
     if materialize:
         checkpoint_root(payloads.sparkSession)
         parsed = parsed.checkpoint(eager=True)
-        if batch_rows is None:  # upper bound of the run's rows, no explode needed
-            batch_rows = int(parsed.agg(F.coalesce(F.sum(F.size("papers")), F.lit(0))).first()[0])
     keyed = drop_blank_keys(capped_rows(payloads, config, parsed))
     first = dedup_first(keyed, PAPER_KEY, ["keyword_idx", "item_pos"])
-    new = new_vs_ledger(first, ledger, PAPER_KEY, batch_rows=batch_rows)
+    new = new_vs_ledger(first, ledger, PAPER_KEY)
     status = N.task_status(payloads, parsed=parsed)
     return HarvestResult(gate(new, min_new), harvest_summary(new, status), new, status)
 

@@ -3,6 +3,7 @@ column back-fill, CSV round trip, per-file load results, numbering."""
 
 from __future__ import annotations
 
+from contextlib import contextmanager
 
 from pyspark.sql import functions as F
 
@@ -349,9 +350,12 @@ def _ragged_lines(spark, sf_dir, drops: str) -> None:
     """One file per site, a header and a line per paper in the order of seq;
     every tenth paper lacks its last fields."""
     p = papers_fx(spark, sf_dir)
-    names = ["site_name", "paper_number", "title", "url"]
     line = F.concat_ws(",", "site_name", "paper_number", *[F.when(F.col("seq") % 10 != 0, F.lit(v)) for v in ("t", "u")])
-    rows = p.select("site_name", "seq", line.alias("value"))
+    _sites_as_files(spark, p.select("site_name", "seq", line.alias("value")), ["site_name", "paper_number", "title", "url"], drops)
+
+
+def _sites_as_files(spark, rows, names: list[str], drops: str) -> None:
+    """One file per site with a header and its lines (``value``) in the order of seq."""
     heads = rows.select("site_name").distinct().select("site_name", F.lit(-1).cast("bigint").alias("seq"),
                                                        F.lit(",".join(names)).alias("value"))
     (rows.unionByName(heads).repartitionByRange("site_name").sortWithinPartitions("site_name", "seq")
@@ -393,6 +397,87 @@ def loaded_seq(spark, sf_dir):
     return read_papers(spark, f"{root}/papers").select("site_name", "paper_number", "seq")
 
 
+@contextmanager
+def small_blocks(spark, size: str = "64k"):
+    """Files are split into blocks of ``size`` while the jobs inside run."""
+    names = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    old = {n: spark.conf.get(n) for n in names}
+    try:
+        for n in names:
+            spark.conf.set(n, size)
+        yield
+    finally:
+        for n, v in old.items():
+            spark.conf.set(n, v)
+
+
+def _one_file(spark, papers, path: str) -> None:
+    """All papers, in order of seq, as one file of many lines a record: each
+    part is written by its own task, and the parts are put together."""
+    from quire.sources.drops import file_system
+    tmp = scratch_path(spark, "landing")
+    rows = papers.withColumn("extracted_at", F.lit("2024-01-01 00:00:00")).select(
+        "seq", *[F.col(c).cast("string") for c in PAPER_COLUMNS])
+    fields = [F.concat(F.lit('"'), F.replace(F.coalesce(c, F.lit("")), F.lit('"'), F.lit('""')), F.lit('"')) for c in PAPER_COLUMNS]
+    head = spark.createDataFrame([(0, ",".join(PAPER_COLUMNS))], "seq bigint, value string")
+    lines = rows.select("seq", F.concat_ws(",", *fields).alias("value")).unionByName(head)
+    lines.coalesce(1).sortWithinPartitions("seq").select("value").write.text(tmp)
+    fs, to = file_system(spark, path)
+    fs.mkdirs(to.getParent())
+    part = fs.globStatus(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{tmp}/part-*"))[0].getPath()
+    fs.rename(part, to)
+
+
+@register("load_one_large_file", with_views(PAPERS_FX_SQL) + """
+SELECT row_number() OVER (ORDER BY seq) AS seq, url, left(title, 2000) AS title, abstract, published_date,
+       citation_count, coalesce(journal, '') AS journal FROM papers_fx""")
+def load_one_large_file(spark, sf_dir):
+    """All papers in one file with line feeds inside the fields (J02, J47), read
+    by many tasks: rows and numbers are those of a read by one task."""
+    root = scratch_path(spark, "load")
+    _one_file(spark, papers_fx(spark, sf_dir), f"{root}/drops/all papers.csv")
+    with small_blocks(spark):
+        run_load(spark, f"{root}/drops", f"{root}/papers", f"{root}/log")
+    return read_papers(spark, f"{root}/papers").select("seq", "url", "title", "abstract", "published_date",
+                                                       "citation_count", "journal")
+
+
+@register("load_text_after_quotes", with_views(PAPERS_FX_SQL) + """
+SELECT site_name, paper_number, concat('"T', cast(seq AS varchar), '" and more') AS title, concat('u"', site_name) AS url
+FROM papers_fx""")
+def load_text_after_quotes(spark, sf_dir):
+    """Malformed quotes (J02): text after a closing quote, and a quote inside an
+    unquoted field, stay in their fields; the row loads."""
+    root = scratch_path(spark, "load")
+    p = papers_fx(spark, sf_dir)
+    line = F.concat_ws(",", "site_name", F.concat(F.lit('"T'), F.col("seq"), F.lit('" and more')),
+                       F.concat(F.lit('u"'), F.col("site_name")), "paper_number")
+    _sites_as_files(spark, p.select("site_name", "seq", line.alias("value")), ["site_name", "title", "url", "paper_number"],
+                    f"{root}/drops")
+    run_load(spark, f"{root}/drops", f"{root}/papers", f"{root}/log")
+    return read_papers(spark, f"{root}/papers").select("site_name", "paper_number", "title", "url")
+
+
+@register("load_header_only_files", with_views(PAPERS_FX_SQL) + """
+SELECT site_name AS drop_key, cast(count(*) AS int) AS total_rows, 'SUCCESS' AS status, 1 AS cycles_logged
+FROM papers_fx WHERE site_name <> 'src1' GROUP BY site_name""")
+def load_header_only_files(spark, sf_dir):
+    """Files without data rows (J46) beside others, in two cycles: they get no
+    log row, and load when rows have come."""
+    root = scratch_path(spark, "load")
+    p = papers_fx(spark, sf_dir)
+    line = F.when(F.col("site_name") != "src1", F.concat_ws(",", "site_name", "paper_number", "url"))
+    _sites_as_files(spark, p.select("site_name", "seq", line.alias("value")).where("value is not null").unionByName(
+        p.where("site_name = 'src1'").select("site_name", F.lit(-2).cast("bigint").alias("seq"), F.lit("").alias("value"))
+        .distinct()), ["site_name", "paper_number", "url"], f"{root}/drops")
+    for _ in range(2):
+        run_load(spark, f"{root}/drops", f"{root}/papers", f"{root}/log")
+    log = read_load_log(spark, f"{root}/log")
+    return log.groupBy(F.regexp_extract("file_name", r"drop=([^/]+)[.]csv$", 1).alias("drop_key")).agg(
+        F.sum("total_rows").cast("int").alias("total_rows"), F.max("status").alias("status"),
+        F.count("*").cast("int").alias("cycles_logged"))
+
+
 @register("papers_before_later_columns", with_views(PAPERS_FX_SQL) + """
 SELECT seq, url, title, CASE WHEN seq % 2 = 0 THEN keyword END AS keyword, CASE WHEN seq % 2 = 0 THEN doi END AS doi,
        CASE WHEN seq % 2 = 0 THEN abstract END AS abstract, CASE WHEN seq % 2 = 0 THEN citation_count END AS citation_count

@@ -22,6 +22,7 @@ from quire.operators.clean import cap_widths, conform, load_results, split_bad_r
 from quire.schemas import FAILED, LOAD_LOG_STORED, PAPER_TYPED, PARTIAL, SUCCESS
 from quire.session import drop_scratch, scratch_path
 from quire.sources.drops import DropFile, file_system, list_drops, read_drops
+from quire.sources.records import block_summaries, plain_name
 from quire.sources.sinks import append_load_log, append_papers
 from quire.sources.tables import ensure_tables, max_log_id, read_load_log, read_table, reserve_seq
 
@@ -68,6 +69,7 @@ def _stage(spark: SparkSession, files: list[DropFile], on_ragged: str):
         return [path], []
     except Exception as e:  # noqa: BLE001 - any read failure: isolate the culprit
         drop_scratch(spark, path)
+        _check_workers(spark)
         if len(files) == 1:
             return [], [(files[0], str(e) or type(e).__name__)]
         half = len(files) // 2
@@ -75,6 +77,13 @@ def _stage(spark: SparkSession, files: list[DropFile], on_ragged: str):
         return a[0] + b[0], a[1] + b[1]
 
 
+def _check_workers(spark: SparkSession) -> None:
+    """Raise when this package cannot run on the executors at all: then the
+    cluster is at fault, and no file is to be logged as FAILED for it."""
+    lines = spark.createDataFrame([("file:/x", 0, "a")], "file_name string, block bigint, value string")
+    block_summaries(lines).collect()
+
+
 def load_files(spark: SparkSession, files: list[DropFile], table_path: str, log_path: str,
                on_ragged: str = "load") -> list[DropFile]:
     """Load at most ``FILES_PER_LOAD`` files; returns those whose data is
@@ -89,14 +98,14 @@ def load_files(spark: SparkSession, files: list[DropFile], table_path: str, log_
         if staged:
             rows = spark.read.parquet(*staged)
             results = sorted(load_results(rows).collect(), key=lambda r: r.file_name)  # one per file of this load
-            seen = {_plain(r.file_name) for r in results}
-            empty += [(f, NO_HEADER) for f in files if f.length and _plain(f.path) not in seen
+            seen = {plain_name(r.file_name) for r in results}
+            empty += [(f, NO_HEADER) for f in files if f.length and plain_name(f.path) not in seen
                       and all(f is not g for g, _ in failed)]
-            names = {_plain(p): f for p, f in by_name.items()}
+            names = {plain_name(p): f for p, f in by_name.items()}
             total = sum(r.loaded_rows for r in results)
             places, at = [], reserve_seq(spark, table_path, total) if total else 0
             for r in results:
-                places.append((r.file_name, at, names[_plain(r.file_name)].file_id))
+                places.append((r.file_name, at, names[plain_name(r.file_name)].file_id))
                 at += r.loaded_rows
             if total:
                 offsets = spark.createDataFrame(places, "file_name string, _before bigint, file_id string")
@@ -108,7 +117,7 @@ def load_files(spark: SparkSession, files: list[DropFile], table_path: str, log_
                 if written != total:  # both come from the same staged rows
                     raise RuntimeError(f"wrote {written} rows of {total}")
             for r in results:
-                f = names[_plain(r.file_name)]
+                f = names[plain_name(r.file_name)]
                 if r.total_rows:
                     stored.append(f)
                     log_rows.append((f, r.total_rows, r.loaded_rows, r.failed_rows, r.status, None,
@@ -123,12 +132,6 @@ def load_files(spark: SparkSession, files: list[DropFile], table_path: str, log_
     return stored
 
 
-def _plain(path: str) -> str:
-    """A file's name in one form: listings and scans differ in ``file:///``."""
-    scheme, sep, rest = path.partition(":/")
-    return f"{scheme}:/{rest.lstrip('/')}" if sep else path
-
-
 def _write_log(spark: SparkSession, log_path: str, rows: list[tuple]) -> None:
     try:
         base = max_log_id(spark, log_path)

@@ -1,27 +1,23 @@
 """CSV drops: listing (J03) and a header-aware scan.
 
 Drops come with changing headers (old files lack columns, columns may be
-reordered or many more than ours). One scan reads every record as raw text; a
-multi-line CSV file is read by one task from start to end, so the records of a
-file come in order and its first one is its header. An Arrow pass maps each
-record to the canonical columns by its own file's header. There is no second
-scan, no join on row ids and no limit on the number of columns.
+reordered or many more than ours). ``records`` makes whole records of the files'
+lines, also where many tasks read one file; Spark's CSV parser then takes each
+record apart under the header of its own file. Records of all headers are
+parsed in one pass, and nothing is joined but the headers (one row a file).
 """
 
 from __future__ import annotations
 
 import hashlib
-import re
-from collections.abc import Iterator
-from datetime import datetime, timezone
 from typing import NamedTuple
+from urllib.parse import unquote
 
-import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.types import StructType
 
 from quire.schemas import PAPER_COLUMNS
+from quire.sources.records import ends_inside, plain_name, read_records
 
 
 class DropFile(NamedTuple):
@@ -61,40 +57,82 @@ def list_drops(spark: SparkSession, drop_dir: str, archive_dir: str | None = Non
     return sorted(set(out))
 
 
-def read_records(spark: SparkSession, paths: list[str] | str) -> DataFrame:
-    """``file_name, one, raw``: every record of every file as text. A record
-    with several fields does not fit the one-column schema, so the reader
-    hands over its whole text (``raw``, over several lines where quoted); a
-    record of one field is ``one``."""
-    rows = (spark.read.schema("one string, raw string").option("columnNameOfCorruptRecord", "raw")
-            .option("header", False).option("multiLine", True).option("quote", '"').option("escape", '"')
-            .option("mode", "PERMISSIVE").option("encoding", "UTF-8").option("maxCharsPerColumn", -1)
-            .csv(paths))
-    return rows.select(F.col("_metadata.file_path").alias("file_name"), "one", "raw")
-
-
-_BLANK = "".join(map(chr, range(33)))
-_FIELD = re.compile(r'[\x00-\x20]*"([^"]*(?:""[^"]*)*)"[^,]*(,|\Z)|([^,]*)(,|\Z)')
-
-
-def split_record(raw: str) -> list[str | None]:
-    """The fields of one record: quoted ones as they are (a doubled quote is
-    one), others without outer blanks; an empty unquoted field is None."""
-    out, at = [], 0
-    while True:
-        m = _FIELD.match(raw, at)
-        quoted = m.group(1)
-        if quoted is not None:
-            out.append(quoted.replace('""', '"'))
-        else:
-            out.append(m.group(3).strip(_BLANK) or None)
-        at = m.end()
-        if not (m.group(2) or m.group(4)):
-            return out
-
-
-DROP_FIELDS = ("file_name string, row_no bigint, good_no bigint, ragged boolean, seen_at timestamp_ntz, "
-               "present array<string>, " + ", ".join(f"{c} string" for c in PAPER_COLUMNS))
+def input_files(spark: SparkSession, paths: list[str] | str) -> dict[str, int]:
+    """The files that a scan of ``paths`` reads and their lengths."""
+    out = {}
+    for name in map(unquote, spark.read.text(paths).inputFiles()):
+        fs, p = file_system(spark, name)
+        out[name] = fs.getFileStatus(p).getLen()
+    return out
+
+
+def first_record(spark: SparkSession, path: str) -> str | None:
+    """The text of a file's header, None for a file without records."""
+    fs, p = file_system(spark, path)
+    jvm = spark.sparkContext._jvm
+    reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(fs.open(p), "UTF-8"))
+    try:
+        lines, inside = [], False
+        while (line := reader.readLine()) is not None:
+            if not lines:
+                line = line.removeprefix("\ufeff")
+            if line or lines:
+                lines.append(line)
+                inside = ends_inside(line, inside)
+                if not inside:
+                    break
+        return "\n".join(lines) if lines else None
+    finally:
+        reader.close()
+
+
+#: How a record is read. Blanks around unquoted fields go, an empty unquoted
+#: field is NULL, a doubled quote in a quoted field is one.
+_CSV = {"quote": '"', "escape": '"', "mode": "PERMISSIVE", "ignoreLeadingWhiteSpace": "true",
+        "ignoreTrailingWhiteSpace": "true", "columnNameOfCorruptRecord": "_bad"}
+
+
+def _schema(width: int) -> str:
+    return ", ".join([*(f"_c{i} string" for i in range(width)), "_bad string"])
+
+
+def header_names(spark: SparkSession, headers: list[str]) -> list[list[str]]:
+    """The column names of each header text, in lower case without outer blanks."""
+    if not headers:
+        return []
+    one = spark.range(1)
+    options = {k: v for k, v in _CSV.items() if k != "columnNameOfCorruptRecord"} | {"maxColumns": _most(headers)}
+    found = one.select(*[F.schema_of_csv(F.lit(h), options).alias(f"h{i}") for i, h in enumerate(headers)]).first()
+    widths = [len(StructType.fromDDL(x[7:-1]).fields) for x in found]
+    parsed = one.select(*[F.from_csv(F.lit(h), _schema(w), {**_CSV, **options}).alias(f"h{i}")
+                          for i, (h, w) in enumerate(zip(headers, widths))]).first()
+    return [[(x or "").strip().lower() for x in r[:w]] for r, w in zip(parsed, widths)]
+
+
+def _most(headers: list[str]) -> str:
+    """A limit of columns that no header reaches."""
+    return str(max(20_480, *(h.count(",") + 2 for h in headers)))
+
+
+def _fields(names: list[str], options: dict[str, str]) -> Column:
+    """The canonical fields of a record under one header, parsed once."""
+    width = len(names)
+    record = F.from_csv("raw", _schema(width), options)
+    present = [c for c in PAPER_COLUMNS if c in names]
+
+    def canonical(r: Column) -> Column:
+        # a record of one blank field has no values at all
+        return F.struct((r["_bad"].isNotNull() | r.isNull() & F.lit(width > 1)).alias("ragged"),
+                        F.array(*map(F.lit, present)).cast("array<string>").alias("present"),
+                        *[(r[f"_c{names.index(c)}"] if c in present else F.lit(None).cast("string")).alias(c)
+                          for c in PAPER_COLUMNS])
+    return F.element_at(F.transform(F.array(record), canonical), 1)
+
+
+#: Rows of one file among which rejected ones are counted together.
+BIN = 1000
+#: Headers whose records are parsed by one expression; more go in further scans.
+HEADERS_PER_SCAN = 200
 
 
 def read_drops(spark: SparkSession, paths: list[str] | str, headers: bool = False,
@@ -105,38 +143,43 @@ def read_drops(spark: SparkSession, paths: list[str] | str, headers: bool = Fals
     header), ``seen_at`` and ``present`` (canonical columns of the header).
 
     A column missing from a file's header, and a field missing from a short
-    row, is NULL. With ``headers`` each file's header is a row too, with
-    ``row_no`` 0, so that files without data rows are seen.
+    row, is NULL; text after a closing quote stays in its field. With
+    ``headers`` each file's header is a row too, with ``row_no`` 0, so that
+    files without data rows are seen. A file that the reader splits is read by
+    as many tasks as it has blocks, with the same rows and numbers.
     """
-    schema = to_arrow_schema(StructType.fromDDL(DROP_FIELDS))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        name, width, place, present, row_no, good_no = None, 0, {}, [], 0, 0
-        for b in batches:
-            now = datetime.now(timezone.utc).replace(tzinfo=None)
-            cols: list[list] = [[] for _ in range(6 + len(PAPER_COLUMNS))]
-            for file_name, one, raw in zip(*(c.to_pylist() for c in b.columns)):
-                fields = split_record(raw) if raw is not None else [one]
-                if file_name != name:
-                    names = [(f or "").removeprefix("﻿").strip().strip('"').lower() for f in fields]
-                    name, width, row_no, good_no = file_name, len(fields), 0, 0
-                    place = {c: names.index(c) for c in PAPER_COLUMNS if c in names}
-                    present = [c for c in PAPER_COLUMNS if c in place]
-                    if not headers:
-                        continue
-                    fields, ragged = [], False
-                else:
-                    row_no += 1
-                    ragged = len(fields) != width
-                    good_no += not (ragged and reject_ragged)
-                rejected = ragged and reject_ragged
-                for col, v in zip(cols, (name, row_no, None if rejected or not row_no else good_no, ragged, now,
-                                         present)):
-                    col.append(v)
-                n = len(fields)
-                for col, c in zip(cols[6:], PAPER_COLUMNS):
-                    i = place.get(c, n)
-                    col.append(fields[i] if i < n else None)
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema)], schema=schema)
-
-    return read_records(spark, paths).mapInArrow(run, DROP_FIELDS)
+    files = input_files(spark, paths)
+    conf = spark._jsparkSession.sessionState().conf()
+    whole = min(conf.filesOpenCostInBytes(), conf.filesMaxPartitionBytes())  # never split up to this length
+    records = read_records(spark, paths, [f for f, n in files.items() if n > whole])
+    heads = {plain_name(f): first_record(spark, f) for f, n in files.items() if n}
+    texts = sorted({h for h in heads.values() if h is not None})
+    names, options = header_names(spark, texts), {**_CSV, "maxColumns": _most(texts) if texts else "20480"}
+    number = {h: i for i, h in enumerate(texts)}
+    of_file = spark.createDataFrame([(f, number[h]) for f, h in heads.items() if h is not None],
+                                    "file_name string, _header int")
+    out = None
+    for i in range(0, max(1, len(texts)), HEADERS_PER_SCAN):
+        parsed = F.lit(None)
+        for k in range(i, min(i + HEADERS_PER_SCAN, len(texts))):
+            parsed = F.when(F.col("_header") == k, _fields(names[k], options)).otherwise(parsed)
+        here = of_file.where(F.col("_header").between(i, i + HEADERS_PER_SCAN - 1))
+        if not texts:
+            parsed = _fields(["url"], options)
+        part = (records.join(F.broadcast(here), "file_name").where(F.lit(headers) | (F.col("row_no") > 0))
+                .select("file_name", "row_no", "seen_at", parsed.alias("_f")))
+        out = part if out is None else out.unionByName(part)
+    ragged = F.col("_f.ragged") & (F.col("row_no") > 0)
+    out = out.select("file_name", "row_no", ragged.alias("ragged"), "seen_at", "_f.present",
+                     *[F.col(f"_f.{c}").alias(c) for c in PAPER_COLUMNS])
+    if not reject_ragged:
+        return out.withColumn("good_no", F.when(F.col("row_no") > 0, F.col("row_no")))
+    # rejected rows are counted by bins of rows, and before a row within its bin
+    out = out.withColumn("_bin", F.floor(F.col("row_no") / BIN))
+    bins = out.groupBy("file_name", "_bin").agg(
+        F.collect_list(F.when(F.col("ragged"), F.col("row_no"))).alias("_bad"))
+    earlier = Window.partitionBy("file_name").orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    bins = bins.withColumn("_before", F.coalesce(F.sum(F.size("_bad")).over(earlier), F.lit(0)))
+    bad = F.col("_before") + F.size(F.filter("_bad", lambda n: n < F.col("row_no")))
+    good = F.when((F.col("row_no") > 0) & ~F.col("ragged"), F.col("row_no") - bad)
+    return out.join(bins, ["file_name", "_bin"]).withColumn("good_no", good).drop("_bin", "_bad", "_before")

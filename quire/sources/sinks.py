@@ -1,4 +1,4 @@
-"""Sinks: CSV drops, the key ledger, the paper table and the load log.
+"""Sinks: CSV drops, the paper table and the load log (the ledger has its own module).
 
 Data writes name their own partition (``batch_id`` of a harvest, ``file_id``
 of a loaded file) and overwrite only that, so repeating a run after a crash
@@ -16,8 +16,7 @@ def _overwrite_partitions(df: DataFrame):
     return df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
 
 
-# Records of one drop file: a multi-line CSV file cannot be split, so its size
-# bounds the work of one load task.
+# Records of one drop file.
 DROP_RECORDS = 100_000
 
 
@@ -38,13 +37,6 @@ def write_drop(papers: DataFrame, drop_dir: str, batch_id: str,
     return path
 
 
-def append_ledger(papers: DataFrame, ledger_path: str, batch_id: str) -> None:
-    """Known keys of a run: ``site_name, paper_number, extracted_at``."""
-    keys = papers.select("site_name", "paper_number", "extracted_at",
-                         F.lit(batch_id).alias("batch_id"))
-    _overwrite_partitions(keys).partitionBy("batch_id").parquet(ledger_path)
-
-
 def append_papers(typed: DataFrame, table_path: str, max_records_per_file: int = 0) -> int:
     """Store loaded rows under the partition of their ``file_id``. Loading the
     same file again, in whatever company, replaces its rows. Returns the number
@@ -62,15 +54,3 @@ def append_load_log(log_rows: DataFrame, log_path: str) -> None:
     """Append the per-file log rows of one load (separate write after the
     data); rows of earlier loads are never replaced."""
     log_rows.write.mode("append").parquet(log_path)
-
-
-def append_papers_jdbc(typed: DataFrame, url: str, table: str, properties: dict | None = None,
-                       batch_size: int = 2000) -> None:
-    """Optional target: append typed rows to a database table over JDBC in
-    batches of ``batch_size`` rows (the database assigns its own surrogate
-    key). Not idempotent: callers skip files already in the load log."""
-    w = typed.write.format("jdbc").mode("append").option("url", url) \
-        .option("dbtable", table).option("batchsize", int(batch_size))
-    for k, v in (properties or {}).items():
-        w = w.option(k, v)
-    w.save()

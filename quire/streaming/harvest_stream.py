@@ -14,8 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quire.plans.harvest_run import DEFAULT_CONFIG, harvest, responses_id
 from quire.schemas import PAPER_COLUMNS, PAYLOADS
-from quire.sources.ledger import read_ledger
-from quire.sources.sinks import append_ledger, write_drop
+from quire.sources.ledger import append_ledger, read_ledger
+from quire.sources.sinks import write_drop
 from quire.sources.tables import read_table
 from quire.streaming.common import run_available
 

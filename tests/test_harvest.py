@@ -66,3 +66,53 @@ def test_source_limits_and_grid(spark):
     grid = task_grid(kw, cfg, N.SOURCES).collect()
     assert len(grid) == 6 and {r.source for r in grid} == set(lim)
     assert {(r.source, r.limit) for r in grid} == set(lim.items())
+
+
+def test_ledger_in_buckets(spark, scratch):
+    from pyspark.sql import functions as F
+
+    from quire.sources.ledger import append_ledger, compact_ledger, ledger_buckets, ledger_table
+    path = f"{scratch}/the ledger"
+    keys = spark.range(40).select(F.when(F.col("id") % 9 == 0, "").otherwise(F.lit("hot")).alias("site_name"),
+                                  F.col("id").cast("string").alias("paper_number"), F.lit("t").alias("extracted_at"))
+    assert read_ledger(spark, path).count() == 0
+    append_ledger(keys.where("paper_number < '3'"), path, "a", buckets=3)
+    append_ledger(keys, path, "b's")
+    append_ledger(keys, path, "b's")  # a repeated run replaces itself
+    assert ledger_buckets(spark, path) == 3
+    want = {(r.site_name, r.paper_number) for r in keys.where("site_name <> ''").collect()}
+    got = [tuple(r) for r in read_ledger(spark, path).collect()]
+    assert set(got) == want and len(got) > len(want)
+    compact_ledger(spark, path)
+    assert sorted(map(tuple, read_ledger(spark, path).collect())) == sorted(want)
+    assert spark.sql(f"SHOW PARTITIONS {ledger_table(spark, path)}").count() == 1
+    compact_ledger(spark, path)  # one partition: nothing to do
+    append_ledger(keys.limit(1).withColumn("paper_number", F.lit("new")).withColumn("site_name", F.lit("s")), path, "c")
+    assert ("s", "new") in {tuple(r) for r in read_ledger(spark, path).collect()}
+
+
+def test_compaction_after_a_crash(spark, scratch, monkeypatch):
+    """Old partitions that were not removed only repeat keys."""
+    from pyspark.sql import functions as F
+
+    import quire.sources.ledger as L
+    path = f"{scratch}/ledger"
+    keys = spark.range(20).select(F.lit("s").alias("site_name"), F.col("id").cast("string").alias("paper_number"),
+                                  F.lit("t").alias("extracted_at"))
+    L.append_ledger(keys.where("paper_number < 5"), path, "a", buckets=2)
+    L.append_ledger(keys.where("paper_number >= 4"), path, "b")
+    real = L.file_system
+
+    def crash(s, p):
+        if "batch_id=" in p:
+            raise OSError("gone")
+        return real(s, p)
+    monkeypatch.setattr(L, "file_system", crash)
+    try:
+        L.compact_ledger(spark, path)
+    except OSError:
+        pass
+    monkeypatch.undo()
+    assert {r.paper_number for r in L.read_ledger(spark, path).collect()} == {str(i) for i in range(20)}
+    L.compact_ledger(spark, path)
+    assert sorted(int(r.paper_number) for r in L.read_ledger(spark, path).collect()) == list(range(20))

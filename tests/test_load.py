@@ -7,7 +7,7 @@ import shutil
 from pyspark.sql import functions as F
 
 from quire.plans.load_run import clean_drops, load_files, run_load
-from quire.sources.drops import DropFile, list_drops, split_record
+from quire.sources.drops import DropFile, list_drops
 from quire.sources.tables import read_load_log, read_papers
 
 HERE = os.path.join(os.path.dirname(__file__), "drops")
@@ -164,12 +164,6 @@ def test_wide_drops_and_ragged_rows(spark, scratch):
     assert sorted((p.seq, p.paper_number) for p in read_papers(spark, t).collect()) == [(1, "P1"), (2, "P2")]
 
 
-def test_split_record():
-    assert split_record('a, b ," c ""d"" ",,""') == ["a", "b", ' c "d" ', None, ""]
-    assert split_record("") == [None] and split_record(",") == [None, None]
-    assert split_record('"x\ny" ,2') == ["x\ny", "2"]
-
-
 def test_scratch_needs_a_shared_folder(spark, monkeypatch):
     import pytest
 

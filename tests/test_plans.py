@@ -52,6 +52,21 @@ def test_small_batch_ledger_join_is_broadcast(spark):
     assert "SortMergeJoin" not in p
 
 
+def test_bucketed_ledger_is_not_shuffled(spark):
+    from quire.operators.dedup import new_vs_ledger
+    from quire.plans.harvest_queries import _ledger_of_events
+    batch, ledger = _ledger_of_events(spark, SMOKE)
+    df = new_vs_ledger(batch, ledger.hint("merge"))
+    df.collect()
+    p = plan(df)
+    final = p[:p.index("== Initial Plan ==")] if "== Initial Plan ==" in p else p
+    assert "SortMergeJoin" in final and "LeftAnti" in final
+    # one exchange, that of the batch; the ledger side is a bucketed scan
+    assert final.count("Exchange hashpartitioning") == 1 and "Bucketed: true" in final
+    side = final[final.index("quire_ledger_") - 400:]
+    assert "Exchange" not in side[side.index("FileScan"):]
+
+
 def test_hot_group_spreads_over_range_partitions(spark):
     from pyspark.sql import functions as F
     from quire.operators.seq import assign_seq
