@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from quire.functions.duration import duration_seconds, duration_text
 from quire.schemas import FAILED, PARTIAL, SUCCESS
@@ -61,7 +61,8 @@ def filter_papers(papers: DataFrame, keyword: str | None = None,
 def list_papers(papers: DataFrame, skip: int = DEFAULT_SKIP, take: int = DEFAULT_TAKE,
                 keyword: str | None = None, site: str | None = None,
                 sort: str | None = None, order: str | None = None,
-                columns: list[str] | None = None, after: tuple | None = None) -> DataFrame:
+                columns: list[str] | None = None, after: tuple | None = None,
+                total: Column | None = None) -> DataFrame:
     """One page of papers plus ``total_count`` of all matching rows.
 
     Sort column from the whitelist (else ``seq``), ascending only for exactly
@@ -71,6 +72,7 @@ def list_papers(papers: DataFrame, skip: int = DEFAULT_SKIP, take: int = DEFAULT
     ``after`` pages by key instead of by offset: the (sort value, seq) of the
     last row of the page before. A deep page then costs what the first one
     does, where OFFSET makes every task keep and merge all rows before it.
+    ``total`` stands for the count of matching rows if the caller knows it.
     """
     skip, take = max(int(skip), 0), max(int(take), 0)
     df = filter_papers(papers, keyword, site)
@@ -87,7 +89,7 @@ def list_papers(papers: DataFrame, skip: int = DEFAULT_SKIP, take: int = DEFAULT
     page = rest.orderBy(*keys).select(*proj).offset(skip).limit(take)
     # the total is an uncorrelated scalar subquery: one partial/final count,
     # evaluated once, no join and no window over the rows
-    total = df.agg(F.count(F.lit(1))).scalar()
+    total = df.agg(F.count(F.lit(1))).scalar() if total is None else total
     return page.select(total.alias("total_count"), *cols)
 
 

@@ -16,7 +16,7 @@ from quire.schemas import PAPER_COLUMNS
 from quire.sources import normalisers as N
 from quire.session import scratch_path
 from quire.sources.ledger import append_ledger, compact_ledger, read_ledger
-from quire.sources.payloads import land_payloads, read_payloads
+from quire.sources.payloads import land_payloads, land_raw_responses, read_payloads, read_raw_responses
 
 EVENT_COLS = "event_id, ts, user_id, event_type, value, props"
 LEDGER_CUT = "2024-01-10 00:00:00"
@@ -230,6 +230,35 @@ def harvest_run_summary(spark, sf_dir):
     return H.harvest_summary(res.candidates.checkpoint(eager=True), res.status)
 
 
+def raw_landing(spark, sf_dir, root: str, lang: str | None = None) -> list[str]:
+    """The stand-in responses of all sources as raw files; the keywords."""
+    pay = PF.mixed_payloads(spark, sf_dir, N.SOURCES, lang=lang)
+    # one file a response: they are told apart by a hash of their text
+    land_raw_responses(pay.withColumn("name", F.hex(F.xxhash64("source", "keyword_idx", "body"))), root, "name")
+    found = {r.keyword_idx: r.keyword for r in pay.select("keyword_idx", "keyword").distinct().collect()}  # 20 keywords
+    return [found.get(i, "") for i in range(max(found, default=-1) + 1)]
+
+
+#: A raw file's fetch time is when it was written: no SQL knows it.
+RAW_COLUMNS = [c for c in PAPER_COLUMNS if c != "extracted_at"]
+
+
+@register("harvest_raw_files", HARVEST_SQL + "\nSELECT " + ", ".join(RAW_COLUMNS) + " FROM r2_gated")
+def harvest_raw_files(spark, sf_dir):
+    """The flagship harvest over raw response files of all sources (J01): an
+    earlier run over English documents, then all, against its ledger."""
+    root = scratch_path(spark, "harvest")
+    keywords = raw_landing(spark, sf_dir, f"{root}/raw1", "en")
+    R.run_harvest(read_raw_responses(spark, f"{root}/raw1", keywords), read_ledger(spark, f"{root}/ledger"),
+                  f"{root}/ledger", f"{root}/drops", "run1")
+    keywords = raw_landing(spark, sf_dir, f"{root}/raw2")
+    parts = None  # source by source: each reads its own folders only
+    for s in N.SOURCES:
+        one = read_raw_responses(spark, f"{root}/raw2", keywords, sources=[s])
+        parts = one if parts is None else parts.unionByName(one)
+    return R.gated_batch(R.harvest(parts, read_ledger(spark, f"{root}/ledger"), materialize=True)).select(*RAW_COLUMNS)
+
+
 CAP_SOURCES = ["crossref", "europepmc", "google_scholar"]
 CAP_CONFIG = {"max_results_per_source": 7, "sources": {
     "crossref": {"enabled": True}, "europepmc": {"enabled": True}, "google_scholar": {"enabled": True, "max_results": 5}}}

@@ -23,6 +23,7 @@ from quire.schemas import FAILED, LOAD_LOG_STORED, PAPER_TYPED, PARTIAL, SUCCESS
 from quire.session import drop_scratch, scratch_path
 from quire.sources.drops import DropFile, file_system, list_drops, read_drops
 from quire.sources.records import block_summaries, plain_name
+from quire.sources.serving import write_serving
 from quire.sources.sinks import append_load_log, append_papers
 from quire.sources.tables import ensure_tables, max_log_id, read_load_log, read_table, reserve_seq
 
@@ -85,10 +86,11 @@ def _check_workers(spark: SparkSession) -> None:
 
 
 def load_files(spark: SparkSession, files: list[DropFile], table_path: str, log_path: str,
-               on_ragged: str = "load") -> list[DropFile]:
+               on_ragged: str = "load", serving: bool = False) -> list[DropFile]:
     """Load at most ``FILES_PER_LOAD`` files; returns those whose data is
     stored. Files that cannot be read, or have no header, are logged FAILED
-    with zero counts and the whole error. Header-only files are not logged."""
+    with zero counts and the whole error. Header-only files are not logged.
+    With ``serving`` the tables beside the paper table get these files too."""
     started = dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
     empty = [(f, NO_HEADER) for f in files if not f.length]
     staged, failed = _stage(spark, [f for f in files if f.length], on_ragged) if len(empty) < len(files) else ([], [])
@@ -116,6 +118,8 @@ def load_files(spark: SparkSession, files: list[DropFile], table_path: str, log_
                 written = append_papers(papers, table_path)
                 if written != total:  # both come from the same staged rows
                     raise RuntimeError(f"wrote {written} rows of {total}")
+                if serving:
+                    write_serving(spark, table_path, [file_id for _, _, file_id in places])
             for r in results:
                 f = names[plain_name(r.file_name)]
                 if r.total_rows:
@@ -143,7 +147,7 @@ def _write_log(spark: SparkSession, log_path: str, rows: list[tuple]) -> None:
 
 def run_load(spark: SparkSession, drop_dir: str, table_path: str, log_path: str,
              archive_dir: str | None = None, on_ragged: str = "load",
-             files_per_load: int = FILES_PER_LOAD) -> LoadOutcome:
+             files_per_load: int = FILES_PER_LOAD, serving: bool = False) -> LoadOutcome:
     """List the drop folder, load every file not loaded yet in path order and
     archive the loaded ones; FAILED files stay in place and are tried, and
     logged, again next time. ``on_ragged="reject"`` leaves out rows whose
@@ -156,7 +160,7 @@ def run_load(spark: SparkSession, drop_dir: str, table_path: str, log_path: str,
     files = pending_files(spark, list_drops(spark, drop_dir, archive_dir), log_path) if first is not None \
         else list_drops(spark, drop_dir, archive_dir)
     for i in range(0, len(files), files_per_load):
-        done = load_files(spark, files[i:i + files_per_load], table_path, log_path, on_ragged)
+        done = load_files(spark, files[i:i + files_per_load], table_path, log_path, on_ragged, serving)
         if archive_dir and done:
             archive_files(spark, [f.path for f in done], archive_dir, dt.datetime.now())
     if first is None:

@@ -6,6 +6,13 @@ from pyspark.sql import functions as F
 
 from quire.operators import query as Q
 from quire.plans.catalog import register
+from quire.plans.load_queries import _blocked_path, _drop_rows
+from quire.plans.load_run import run_load
+from quire.schemas import FAILED, PARTIAL, SUCCESS
+from quire.session import scratch_path
+from quire.sources import serving as V
+from quire.sources.serving import write_serving
+from quire.sources.sinks import append_papers, write_drop
 from quire.plans.fixtures import (LOAD_LOG_FX_SQL, PAPERS_FX_SQL, load_log_fx, papers_fx,
                                   with_views)
 
@@ -116,10 +123,32 @@ def load_stats(spark, sf_dir):
     return Q.load_stats(load_log_fx(spark, sf_dir))
 
 
-@register("load_stats_failed_only", LG + _STATS_SQL + """ WHERE status = 'FAILED'""")
+def _stats_by(*statuses: str) -> str:
+    parts = [f"SELECT '{x}' AS status, s.* FROM ({_STATS_SQL} WHERE status = '{x}') s" for x in statuses]
+    return LG + " UNION ALL ".join(parts)
+
+
+def _stats_of(log, *statuses: str):
+    """The statistics of each status, all from one pass over the whole log."""
+    by = log.groupBy("status").agg(F.count(F.lit(1)).alias("total"), F.sum(F.col("loaded_rows").cast("bigint")).alias("loaded_rows"))
+    known = log.sparkSession.createDataFrame([(s, s in (SUCCESS, PARTIAL), s == FAILED) for s in statuses],
+                                             "status string, good boolean, bad boolean")
+    n, zero = F.coalesce("total", F.lit(0)), F.lit(0).cast("bigint")
+    return known.join(by, "status", "left").select(
+        "status", n.alias("total"), F.when(F.col("good"), n).otherwise(zero).alias("success"),
+        F.when(F.col("bad"), n).otherwise(zero).alias("failed"), F.coalesce("loaded_rows", zero).alias("loaded_rows"))
+
+
+@register("load_stats_failed_only", _stats_by("FAILED", "SUCCESS", "PARTIAL"))
 def load_stats_failed_only(spark, sf_dir):
-    """Statistics of the FAILED runs only (zero loaded rows)."""
-    return Q.load_stats(load_log_fx(spark, sf_dir).where(F.col("status") == "FAILED"))
+    """Statistics of the FAILED runs (no loaded rows) beside those of the others."""
+    return _stats_of(load_log_fx(spark, sf_dir), FAILED, SUCCESS, PARTIAL)
+
+
+@register("load_stats_empty", _stats_by("SUCCESS", "PARTIAL", "FAILED", "RUNNING"))
+def load_stats_empty(spark, sf_dir):
+    """Statistics of every status over the whole log, zeros for one without runs."""
+    return _stats_of(load_log_fx(spark, sf_dir), SUCCESS, PARTIAL, FAILED, "RUNNING")
 
 
 @register("load_duration", LG + """
@@ -139,12 +168,6 @@ def load_duration(spark, sf_dir):
         "log_id", "status", "duration_sec", "duration_text")
 
 
-@register("load_stats_empty", LG + _STATS_SQL + """ WHERE status = 'RUNNING'""")
-def load_stats_empty(spark, sf_dir):
-    """Statistics of an empty selection: one row of zeros."""
-    return Q.load_stats(load_log_fx(spark, sf_dir).where(F.col("status") == "RUNNING"))
-
-
 def _by_key(spark, sf_dir, order):
     """The second page of a listing, found from the last row of the first."""
     papers = papers_fx(spark, sf_dir)
@@ -169,10 +192,97 @@ def paper_listing_by_key_desc(spark, sf_dir):
 
 
 @register("paper_listing_past_end", P + f"""
-SELECT count(*) OVER () AS total_count, {_LIST}
-FROM papers_fx WHERE site_name ILIKE '%src2%' ORDER BY journal ASC NULLS FIRST, seq ASC
-LIMIT 20 OFFSET 1000000""")
+SELECT (SELECT count(*) FROM papers_fx) AS total_count, {_LIST} FROM (
+  SELECT *, row_number() OVER (ORDER BY journal ASC NULLS FIRST, seq ASC) AS rn FROM papers_fx)
+WHERE rn > (SELECT count(*) FROM papers_fx) - 7""")
 def paper_listing_past_end(spark, sf_dir):
-    """A page past the last row: no rows (the total is then reported as 0)."""
-    return Q.list_papers(papers_fx(spark, sf_dir), skip=1_000_000, take=20, site="src2",
-                         sort="journal", order="asc")
+    """A page that runs past the last row of the whole table: the rows there are."""
+    papers = papers_fx(spark, sf_dir)
+    return Q.list_papers(papers, skip=papers.count() - 7, take=20, sort="journal", order="asc")
+
+
+def served_papers(spark, sf_dir, files: int = 20) -> str:
+    """A paper table of some files with its serving tables: one file is stored
+    first with other rows, then replaced."""
+    path = f"{scratch_path(spark, 'served')}/papers"
+    rows = papers_fx(spark, sf_dir).withColumns({
+        "file_id": F.format_string("f%02d", F.pmod(F.col("seq"), F.lit(files))),
+        "extracted_at": F.lit(None).cast("timestamp_ntz"), "loaded_at": F.lit("2024-01-01").cast("timestamp_ntz")})
+    wrong = rows.withColumns({"keyword": F.lit("wrong"), "site_name": F.lit("wrong"), "citation_count": F.lit(1)})
+    append_papers(wrong.where("file_id = 'f03'").unionByName(rows.where("file_id <> 'f03'")), path)
+    write_serving(spark, path)
+    append_papers(rows.where("file_id = 'f03'"), path)
+    write_serving(spark, path, ["f03"])
+    return path
+
+
+@register("paper_listing_by_pieces", P + f"""
+SELECT count(*) OVER () AS total_count, {_LIST}
+FROM papers_fx
+WHERE keyword ILIKE '%kw1%' AND site_name ILIKE '%src1%'
+ORDER BY published_date ASC NULLS FIRST, seq ASC
+LIMIT 20 OFFSET 5""")
+def paper_listing_by_pieces(spark, sf_dir):
+    """The filtered listing (J60a) through the table of three-letter pieces."""
+    return V.list_by_pieces(spark, served_papers(spark, sf_dir), " kw1 ", "src1", skip=5, take=20,
+                            sort="published_date", order="asc").drop("extracted_at", "loaded_at")
+
+
+@register("paper_listing_by_pieces_wild", P + f"""
+SELECT count(*) OVER () AS total_count, {_LIST}
+FROM papers_fx WHERE keyword ILIKE '%w1%' AND site_name ILIKE '%SR_1%7%'
+ORDER BY title DESC NULLS LAST, seq DESC LIMIT 50""")
+def paper_listing_by_pieces_wild(spark, sf_dir):
+    """Wildcards in the patterns, whose runs are too short for pieces."""
+    return V.list_by_pieces(spark, served_papers(spark, sf_dir), "w1", "SR_1%7", take=50, sort="title",
+                            order="DESC").drop("extracted_at", "loaded_at")
+
+
+def _deep(sort: str, order: str) -> str:
+    by = f"{sort} {'ASC NULLS FIRST' if order == 'asc' else 'DESC NULLS LAST'}, seq {order}"
+    return P + f"""SELECT (SELECT count(*) FROM papers_fx) AS total_count, {_LIST} FROM (
+  SELECT *, row_number() OVER (ORDER BY {by}) AS rn FROM papers_fx)
+WHERE rn > (SELECT count(*) FROM papers_fx) * 2 // 3 AND rn <= (SELECT count(*) FROM papers_fx) * 2 // 3 + 40"""
+
+
+def _deep_page(spark, sf_dir, sort: str, order: str):
+    path = served_papers(spark, sf_dir)
+    V.write_order(spark, path, sort, range_rows=64)
+    skip = papers_fx(spark, sf_dir).count() * 2 // 3
+    return V.page_by_order(spark, path, sort, order, skip, 40).drop("extracted_at", "loaded_at")
+
+
+@register("paper_page_by_order", _deep("journal", "asc"))
+def paper_page_by_order(spark, sf_dir):
+    """A page far behind (J60): ties and NULLs of the sort column, ranges of 64 rows."""
+    return _deep_page(spark, sf_dir, "journal", "asc")
+
+
+@register("paper_page_by_order_desc", _deep("published_date", "desc"))
+def paper_page_by_order_desc(spark, sf_dir):
+    """The same in descending order, where NULLs come last."""
+    return _deep_page(spark, sf_dir, "published_date", "desc")
+
+
+@register("sites_from_sums", P + """
+SELECT DISTINCT site_name FROM papers_fx WHERE site_name IS NOT NULL ORDER BY site_name""")
+def sites_from_sums(spark, sf_dir):
+    """Site names (J62) from the sums of the files, one of them replaced."""
+    return V.sites_from_sums(spark, served_papers(spark, sf_dir))
+
+
+@register("citations_from_sums", P + """
+SELECT site_name, count(*) AS papers, avg(cast(citation_count AS double)) AS avg_citations
+FROM papers_fx WHERE citation_count IS NOT NULL
+GROUP BY site_name ORDER BY avg_citations DESC""")
+def citations_from_sums(spark, sf_dir):
+    """Papers and mean citations per site (J70) merged from the sums of files
+    that a load cycle wrote, with a log that fails in the first cycle."""
+    root = scratch_path(spark, "served")
+    p = papers_fx(spark, sf_dir)
+    write_drop(_drop_rows(p.where("seq % 2 = 0")), f"{root}/drops", "b0")
+    run_load(spark, f"{root}/drops", f"{root}/papers", _blocked_path(spark, f"{root}/blocked"), serving=True)
+    write_drop(_drop_rows(p.where("seq % 2 = 1")), f"{root}/drops", "b1")
+    for _ in range(2):  # the first files are in no log and load again
+        run_load(spark, f"{root}/drops", f"{root}/papers", f"{root}/log", serving=True)
+    return V.citations_from_sums(spark, f"{root}/papers")

@@ -8,12 +8,13 @@ from pyspark.sql import functions as F
 from quire.plans import payload_fixtures as PF
 from quire.plans.catalog import register
 from quire.plans.fixtures import PAPERS_FX_SQL, papers_fx, table, with_views
-from quire.plans.harvest_queries import _harvest_ctes
-from quire.plans.load_queries import _blocked_path, _land
+from quire.plans.harvest_queries import RAW_COLUMNS, _harvest_ctes
+from quire.plans.load_queries import _blocked_path, _land, _ts_sql, pub_date_sql
 from quire.plans.source_queries import AB_SQL, BASE_SQL
 from quire.schemas import PAPER_COLUMNS
 from quire.session import scratch_path
 from quire.sources import normalisers as N
+from quire.sources.payloads import land_raw_responses, stream_raw_responses
 from quire.sources.sinks import write_drop
 from quire.sources.tables import read_papers
 from quire.streaming.common import run_available
@@ -82,6 +83,22 @@ def stream_harvest(spark, sf_dir):
     return drops.select(*[F.coalesce(c, F.lit("")).alias(c) for c in PAPER_COLUMNS])
 
 
+@register("stream_harvest_raw", BASE_SQL + AB_SQL + _harvest_ctes("s", "TRUE", None) + "\nSELECT "
+          + ", ".join(f"coalesce(cast({c} AS varchar), '') AS {c}" for c in RAW_COLUMNS) + " FROM s_first")
+def stream_harvest_raw(spark, sf_dir):
+    """Harvest stream (J81) over raw response files (J01), started twice: the
+    keywords of a first landing, then the others, which land beside them."""
+    root = scratch_path(spark, "stream-raw")
+    pay = PF.mixed_payloads(spark, sf_dir, N.SOURCES).withColumn("name", F.hex(F.xxhash64("source", "keyword_idx", "body")))
+    keywords = [f"kw{i}" for i in range(20)]
+    for half in (F.col("keyword_idx") < 10, F.col("keyword_idx") >= 10):
+        land_raw_responses(pay.where(half), f"{root}/raw", "name")
+        raw = stream_raw_responses(spark, f"{root}/raw", keywords, N.SOURCES, list(range(20)))
+        harvest_stream(spark, None, f"{root}/ledger", f"{root}/drops", f"{root}/pending", f"{root}/ckpt", stream=raw)
+    drops = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(f"{root}/drops")
+    return drops.select(*[F.coalesce(c, F.lit("")).alias(c) for c in RAW_COLUMNS])
+
+
 @register("stream_cycle", _STREAM_KEYS_SQL)
 def stream_cycle(spark, sf_dir):
     """Full cycle (J83): harvest stream, then the load stream over its drops;
@@ -92,6 +109,21 @@ def stream_cycle(spark, sf_dir):
     return read_papers(spark, f"{root}/papers").select("site_name", "paper_number")
 
 
+@register("stream_cycle_columns", BASE_SQL + AB_SQL + _harvest_ctes("s", "TRUE", None) + f"""
+SELECT left(url, 1000) AS url, left(site_name, 100) AS site_name, left(coalesce(keyword, ''), 500) AS keyword,
+       left(paper_number, 200) AS paper_number, left(title, 2000) AS title, authors,
+       {pub_date_sql("cast(published_date AS varchar)")} AS published_date, left(coalesce(doi, ''), 500) AS doi,
+       coalesce(abstract, '') AS abstract, cast(citation_count AS int) AS citation_count,
+       left(coalesce(journal, ''), 500) AS journal, {_ts_sql("cast(extracted_at AS varchar)")} AS extracted_at
+FROM s_first""")
+def stream_cycle_columns(spark, sf_dir):
+    """Full cycle (J83), all twelve stored columns, after two landings."""
+    root = scratch_path(spark, "stream-cycle")
+    for part in (0, 1):
+        run_cycle(spark, root, _land_payloads(spark, sf_dir, root, part))
+    return read_papers(spark, f"{root}/papers").select(*PAPER_COLUMNS)
+
+
 @register("stream_load_redropped", with_views(PAPERS_FX_SQL) + """
 SELECT url, site_name, keyword, paper_number, title, authors, published_date,
        coalesce(doi, '') AS doi, citation_count, coalesce(journal, '') AS journal

@@ -4,14 +4,16 @@ Two layouts are read:
 
 * a response table (Parquet, PAYLOADS schema, partitioned by ``source``),
   as the fetch side lands it: ``land_payloads`` / ``read_payloads``;
-* raw response files, one per task: ``<root>/source=<s>/keyword_idx=<i>/<name>``
-  read whole (``wholetext``); the fetch time is the file's modification time
-  and the keyword text comes from the run's keyword list.
+* raw response files: ``<root>/source=<s>/keyword_idx=<i>/<name>``, read whole,
+  as a table or as a stream; folders that a run does not ask for are not read;
+  the fetch time is the file's modification time and the keyword text comes
+  from the run's keyword list.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import types as T
 
 from quire.schemas import PAYLOADS
 
@@ -26,14 +28,48 @@ def read_payloads(spark: SparkSession, landing_dir: str) -> DataFrame:
     return spark.read.schema(PAYLOADS).parquet(landing_dir).select(*PAYLOADS.fieldNames())
 
 
-def read_raw_responses(spark: SparkSession, root: str, keywords: list[str]) -> DataFrame:
+#: A raw response file: its text, and the task that its folders name.
+RAW_FILE = T.StructType([T.StructField("value", T.StringType()), T.StructField("source", T.StringType()),
+                         T.StructField("keyword_idx", T.IntegerType())])
+
+
+def read_raw_responses(spark: SparkSession, root: str, keywords: list[str], sources: list[str] | None = None,
+                       keyword_idx: list[int] | None = None) -> DataFrame:
     """Raw response files -> PAYLOADS rows (status 200: only successful
-    responses are landed as files)."""
-    raw = spark.read.text(root, wholetext=True)
-    kw = F.try_element_at(F.array(*[F.lit(k) for k in keywords]), F.col("keyword_idx").cast("int") + 1)
-    return raw.select(
-        F.col("source").cast("string").alias("source"), kw.alias("keyword"),
-        F.col("keyword_idx").cast("int").alias("keyword_idx"),
+    responses are landed as files). ``sources`` and ``keyword_idx`` choose
+    folders: files of others are not listed, let alone opened."""
+    files = spark.read.schema(RAW_FILE).option("wholetext", True).format("text").load(root)
+    return _responses(_chosen(files, sources, keyword_idx), keywords)
+
+
+def stream_raw_responses(spark: SparkSession, root: str, keywords: list[str], sources: list[str] | None = None,
+                         keyword_idx: list[int] | None = None, max_files_per_trigger: int | None = None) -> DataFrame:
+    """The same as a stream: each file is read once, in the micro-batch after it
+    landed; Spark's file log, in the query's checkpoint, holds the offsets."""
+    reader = spark.readStream.schema(RAW_FILE).option("wholetext", True).format("text")
+    if max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+    return _responses(_chosen(reader.load(root), sources, keyword_idx), keywords)
+
+
+def _chosen(files: DataFrame, sources: list[str] | None, keyword_idx: list[int] | None) -> DataFrame:
+    if sources is not None:
+        files = files.where(F.col("source").isin(*sources))
+    return files if keyword_idx is None else files.where(F.col("keyword_idx").isin(*keyword_idx))
+
+
+def _responses(files: DataFrame, keywords: list[str]) -> DataFrame:
+    kw = F.try_element_at(F.array(*[F.lit(k) for k in keywords]).cast("array<string>"), F.col("keyword_idx") + 1)
+    return files.select(
+        "source", kw.alias("keyword"), "keyword_idx",
         F.col("_metadata.file_modification_time").cast("timestamp_ntz").alias("fetched_at"),
-        F.lit(200).alias("status_code"), F.col("value").alias("body"),
-        F.col("_metadata.file_path").alias("file_path"))
+        F.lit(200).alias("status_code"), F.col("value").alias("body"), F.col("_metadata.file_path").alias("file_path"))
+
+
+def land_raw_responses(payloads: DataFrame, root: str, name_col: str) -> str:
+    """Each successful response as a file of its own in the folder of its task;
+    ``name_col`` tells the responses of one task apart. Errors land nothing."""
+    rows = payloads.where(F.coalesce("status_code", F.lit(200)) < 400)
+    rows.select("source", "keyword_idx", F.col(name_col).alias("response"), F.coalesce("body", F.lit("")).alias("value")) \
+        .write.mode("append").partitionBy("source", "keyword_idx", "response").text(root)
+    return root

@@ -20,14 +20,17 @@ from quire.sources.tables import read_table
 from quire.streaming.common import run_available
 
 
-def harvest_stream(spark: SparkSession, landing_dir: str, ledger_path: str, drop_dir: str,
+def harvest_stream(spark: SparkSession, landing_dir: str | None, ledger_path: str, drop_dir: str,
                    pending_path: str, checkpoint: str, config: Mapping = DEFAULT_CONFIG,
                    max_files_per_trigger: int | None = None, available_now: bool = True,
-                   processing_time: str | None = None):
-    reader = spark.readStream.schema(PAYLOADS)
-    if max_files_per_trigger:
-        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    stream = reader.parquet(landing_dir)
+                   processing_time: str | None = None, stream: DataFrame | None = None):
+    """Harvest the response table in ``landing_dir``, or the responses of
+    ``stream`` (such as ``sources.payloads.stream_raw_responses``)."""
+    if stream is None:
+        reader = spark.readStream.schema(PAYLOADS)
+        if max_files_per_trigger:
+            reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+        stream = reader.parquet(landing_dir)
     min_new = int(config.get("min_new_papers", 1))
 
     def each_batch(batch: DataFrame, epoch_id: int) -> None:
