@@ -19,7 +19,7 @@ from quire.sources.sinks import write_drop
 from quire.sources.tables import read_papers
 from quire.streaming.common import run_available
 from quire.streaming.cycle import run_cycle
-from quire.streaming.dedup_stream import dedup_stream
+from quire.streaming.dedup_stream import dedup_stream, first_arrivals, read_first_arrivals
 from quire.streaming.harvest_stream import harvest_stream
 from quire.streaming.load_stream import load_stream
 
@@ -30,13 +30,30 @@ def stream_dedup(spark, sf_dir):
     as several files, one micro-batch each (J82); keys are compared."""
     root = scratch_path(spark, "stream-dedup")
     ev = table(spark, sf_dir, "events")
-    ev.repartition(max(4, spark.sparkContext.defaultParallelism)).write.parquet(f"{root}/landing")
+    ev.repartition(4).write.parquet(f"{root}/landing")
     stream = spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/landing")
     out = dedup_stream(stream, ["event_type", "user_id"])
     run_available(out.writeStream.format("parquet").option("path", f"{root}/out"), f"{root}/ckpt")
     return spark.read.parquet(f"{root}/out").select("event_type", "user_id")
 
 
+@register("stream_first_arrival", """
+SELECT event_id, ts, user_id, event_type, value, props FROM (
+  SELECT *, row_number() OVER (PARTITION BY event_type, user_id ORDER BY ts, event_id) AS rn FROM events) WHERE rn = 1""")
+def stream_first_arrival(spark, sf_dir):
+    """First arrival per key (J82) as a stream, all columns: events land in four
+    files out of order, one micro-batch each, half of them after a restart."""
+    root = scratch_path(spark, "stream-first")
+    ev = table(spark, sf_dir, "events")
+    keys, order = ["event_type", "user_id"], ["ts", "event_id"]
+    for part in (1, 0):
+        (ev.where(F.pmod(F.xxhash64("event_id"), F.lit(2)) == part).repartition(2, "event_id")
+         .write.mode("append").parquet(f"{root}/landing"))
+        stream = spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/landing")
+        first_arrivals(stream, keys, order, f"{root}/out", f"{root}/ckpt")
+    return read_first_arrivals(spark, f"{root}/out", ev.schema, keys, order)
+
+
 @register("stream_load", with_views(PAPERS_FX_SQL) + """
 SELECT url, site_name, keyword, paper_number, title, authors, published_date,
        coalesce(doi, '') AS doi, citation_count, coalesce(journal, '') AS journal

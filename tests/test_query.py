@@ -39,3 +39,84 @@ def test_ensure_tables_idempotent(spark, scratch):
     ensure_tables(spark, t, lg)
     ensure_tables(spark, t, lg)
     assert read_papers(spark, t).count() == 0 and read_load_log(spark, lg).count() == 0
+
+
+def _stored(spark, scratch, n=90):
+    from pyspark.sql import functions as F
+
+    from quire.schemas import PAPER_STORED
+    from quire.sources.sinks import append_papers
+    kw = F.element_at(F.array(*map(F.lit, ["Alpha%one", "ÉCOLE_two", "ab", "", "naïve three", "x\\y", None])),
+                                   (F.col("id") % 7 + 1).cast("int"))
+    rows = spark.range(1, n + 1).select(
+        F.col("id").alias("seq"), *[(kw if f.name == "keyword" else F.concat(F.lit("Site"), F.col("id") % 5) if f.name == "site_name"
+                                     else F.when(F.col("id") % 4 > 0, F.concat(F.lit("t"), F.col("id") % 9)) if f.name == "title"
+                                     else F.lit(None)).cast(f.dataType).alias(f.name) for f in PAPER_STORED.fields[1:-1]],
+        F.lit("2024-01-01").cast("timestamp_ntz").alias("loaded_at"), F.concat(F.lit("f"), F.col("id") % 5).alias("file_id"))
+    path = f"{scratch}/papers"
+    append_papers(rows, path)
+    return path
+
+
+def test_piece_table_answers_like_ilike(spark, scratch):
+    from quire.operators.query import list_papers
+    from quire.sources import serving as V
+    from quire.sources.tables import read_papers
+    path = _stored(spark, scratch)
+    V.write_serving(spark, path)
+    papers = read_papers(spark, path)
+    for kw, site in (("alpha", None), ("ÉCole", "site1"), ("a%o", "SITE_"), ("l_ha%one", "s"), ("ab", "ite2"), (" ", ""),
+                     ("naïve", "nowhere"), ("x\\y", None), ("%", "_____"), (None, "Site%3")):
+        want = list_papers(papers, keyword=kw, site=site, take=100, sort="title", order="asc").collect()
+        got = V.list_by_pieces(spark, path, kw, site, take=100, sort="title", order="asc").collect()
+        assert got == want, (kw, site)
+    assert V.pattern_pieces(spark, "A%bcd_EF") == ["bcd"] and V.pattern_pieces(spark, "ÀBCD") == ["bcd", "àbc"]
+    # one file holds Site3: the others are pruned by their identity
+    spark.conf.set("spark.sql.optimizer.dynamicPartitionPruning.enabled", "true")
+    df = V.list_by_pieces(spark, path, None, "Site3")
+    df.collect()
+    assert "dynamicpruning" in df._jdf.queryExecution().executedPlan().toString().lower()
+    assert V.matching_pairs(spark, path, None, "Site3").select("file_id").distinct().count() == 1
+
+
+def test_pages_by_order_table(spark, scratch):
+    from quire.operators.query import list_papers
+    from quire.sources import serving as V
+    from quire.sources.tables import read_papers
+    path = _stored(spark, scratch)
+    V.write_order(spark, path, "title", range_rows=8)
+    V.write_order(spark, path, "title", range_rows=8)  # built anew
+    papers = read_papers(spark, path)
+    for order in ("asc", "desc"):
+        for skip in (0, 7, 8, 40, 85, 90, 500):
+            want = list_papers(papers, skip, 10, sort="title", order=order).collect()
+            assert V.page_by_order(spark, path, "title", order, skip, 10).collect() == want
+    import pytest
+    with pytest.raises(ValueError):
+        V.write_order(spark, path, "abstract")
+    with pytest.raises(FileNotFoundError):
+        V.page_by_order(spark, path, "journal")
+
+
+def test_sums_of_replaced_files(spark, scratch):
+    from pyspark.sql import functions as F
+
+    from quire.operators.query import citations_by_site, distinct_sites
+    from quire.sources import serving as V
+    from quire.sources.sinks import append_papers
+    from quire.sources.tables import read_papers
+    path = _stored(spark, scratch)
+    V.write_serving(spark, path)
+    changed = V.stored_papers(spark, path).where("file_id = 'f2'").withColumns(
+        {"citation_count": (F.col("seq") % 6).cast("int"), "site_name": F.lit("new")}).checkpoint()
+    append_papers(changed, path)
+    V.write_serving(spark, path, ["f2"])
+    assert V.sites_from_sums(spark, path).collect() == distinct_sites(read_papers(spark, path)).collect()
+    assert V.citations_from_sums(spark, path).collect() == citations_by_site(read_papers(spark, path)).collect()
+    assert V.sites_from_sums(spark, f"{scratch}/none").count() == 0
+
+
+def test_statistics_of_no_runs(spark):
+    from quire.operators.query import load_stats
+    from quire.schemas import LOAD_LOG
+    assert tuple(load_stats(spark.createDataFrame([], LOAD_LOG)).first()) == (0, 0, 0, 0)

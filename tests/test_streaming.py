@@ -51,3 +51,25 @@ def test_gate_holds_then_releases(spark, scratch):
     assert keys.distinct().count() == all_keys.count() - all_keys.subtract(keys).count()
     assert all_keys.subtract(keys).count() == 0
     assert spark.read.parquet(pending).count() == 0
+
+
+def test_first_arrivals_do_not_depend_on_the_batches(spark, scratch):
+    """Late rows that come first in the order win, ties and empty order values
+    included, however the rows are cut into micro-batches."""
+    from pyspark.sql import functions as F
+
+    from quire.operators.dedup import dedup_first
+    from quire.streaming.dedup_stream import first_arrivals, read_first_arrivals
+    rows = [("a", 3, "x"), ("a", 1, "y"), ("b", None, "n"), ("b", 7, "z"), ("a", 2, "w"), (None, 5, "q"), (None, 4, "p"), ("c", None, "o")]
+    df = spark.createDataFrame(rows, "k string, o int, v string")
+    want = {tuple(r) for r in dedup_first(df, ["k"], [F.coalesce("o", F.lit(1 << 62))]).collect()}
+    for n, split in enumerate(([8], [1] * 8, [3, 5])):
+        root, at = f"{scratch}/{n}", 0
+        for size in split:
+            spark.createDataFrame(rows[at:at + size], df.schema).coalesce(1).write.mode("append").parquet(f"{root}/in")
+            at += size
+            stream = spark.readStream.schema(df.schema).parquet(f"{root}/in")
+            first_arrivals(stream, ["k"], ["o"], f"{root}/out", f"{root}/ckpt")
+        got = read_first_arrivals(spark, f"{root}/out", df.schema, ["k"], [F.coalesce("o", F.lit(1 << 62))])
+        assert {tuple(r) for r in got.collect()} == want
+    assert read_first_arrivals(spark, f"{scratch}/none", df.schema, ["k"], ["o"]).count() == 0
