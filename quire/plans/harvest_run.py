@@ -17,6 +17,7 @@ from quire.operators.harvest import DEFAULT_MIN_NEW, gate, harvest_summary, sour
 from quire.schemas import PAPER_COLUMNS
 from quire.session import checkpoint_root
 from quire.sources import normalisers as N
+from quire.sources.dead_letters import settle
 from quire.sources.ledger import append_ledger
 from quire.sources.sinks import write_drop
 
@@ -114,13 +115,17 @@ def gated_batch(result: HarvestResult, config: Mapping = DEFAULT_CONFIG) -> Data
 
 
 def run_harvest(payloads: DataFrame, ledger: DataFrame, ledger_path: str, drop_dir: str,
-                batch_id: str | None = None,
-                config: Mapping = DEFAULT_CONFIG) -> tuple[str | None, DataFrame]:
+                batch_id: str | None = None, config: Mapping = DEFAULT_CONFIG,
+                letters_path: str | None = None) -> tuple[str | None, DataFrame]:
     """Execute a run: the new rows are checkpointed to the shared checkpoint
     folder so the gate and both writes see the same rows; below the gate
     nothing is written (path None), else the drop and the ledger partition of
-    ``batch_id`` (by default from the responses) are written, drop first."""
+    ``batch_id`` (by default from the responses) are written, drop first. With
+    ``letters_path`` failed responses are kept there, and mended ones that are
+    among ``payloads`` are settled (``sources.dead_letters``)."""
     checkpoint_root(payloads.sparkSession)
+    if letters_path:
+        settle(payloads, letters_path, batch_id or responses_id(payloads), list(source_limits(config, N.SOURCES)))
     result = harvest(payloads, ledger, config, materialize=True)
     # the new rows are computed once; the gate is their count, the summary
     # counts them per source

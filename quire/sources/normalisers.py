@@ -20,7 +20,7 @@ from quire.functions.text import (
     first_doi, first_nonempty, join_names, last_segment, left_chars, nz, py_strip,
     remove_all, strip_markup, variant_first_text, variant_text, variant_texts,
 )
-from quire.schemas import PAPER_COLUMNS
+from quire.schemas import PAPER_COLUMNS, PAYLOADS
 
 # Source registry keys, in registry order, and their site names.
 SITE_NAMES = {
@@ -398,6 +398,24 @@ def task_status(payloads: DataFrame, sources: list[str] | None = None,
     return parsed.select("source", "keyword", "keyword_idx", "ok")
 
 
+def judge_payloads(payloads: DataFrame, sources: list[str] | None = None) -> DataFrame:
+    """PAYLOADS rows of the given sources with ``reason``: why the task of a
+    response failed, NULL where it did not. Records are not looked at."""
+    chosen = list(sources or SOURCES)
+    parse_cols, ok, _ = _expressions(payloads.sparkSession, tuple(chosen))
+    code = F.coalesce(F.col("status_code"), F.lit(200))
+    listless = F.col("source").isin("semantic_scholar") & F.col("_p_semantic_scholar").isNotNull() \
+        if "semantic_scholar" in chosen else F.lit(False)
+    reason = (F.when(ok, F.lit(None))
+              .when(F.col("source").isin(*STATUS_CHECKED) & (code >= 400), F.concat(F.lit("status "), code))
+              .when(~F.coalesce(F.col("body").rlike(r"\S"), F.lit(False)), F.lit("blank body"))
+              .when(listless & F.try_parse_json(F.col("body")).isNotNull(), F.lit("no record list"))
+              .otherwise(F.lit("unreadable body")))
+    names = [f.name for f in PAYLOADS.fields]
+    return (payloads.where(F.col("source").isin(*chosen)).select(*names, *parse_cols)
+            .select(*names, reason.cast("string").alias("reason")))
+
+
 def normalise(payloads: DataFrame, source: str) -> DataFrame:
     """PAPER_RAW rows of one source plus task columns ``source, keyword_idx,
     item_pos, sort_date``. Records of a failed task are dropped (task error)."""

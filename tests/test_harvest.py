@@ -116,3 +116,32 @@ def test_compaction_after_a_crash(spark, scratch, monkeypatch):
     assert {r.paper_number for r in L.read_ledger(spark, path).collect()} == {str(i) for i in range(20)}
     L.compact_ledger(spark, path)
     assert sorted(int(r.paper_number) for r in L.read_ledger(spark, path).collect()) == list(range(20))
+
+
+def test_failed_responses_wait_until_they_are_read(spark, scratch):
+    import datetime as dt
+
+    from quire.schemas import PAYLOADS
+    from quire.sources.dead_letters import pending_letters, read_letters, settle
+    at, path = dt.datetime(2024, 1, 1), f"{scratch}/letters"
+
+    def given(*rows):
+        return spark.createDataFrame([(s, "kw", 1, at, code, body, f) for s, code, body, f in rows], PAYLOADS)
+    first = given(("crossref", 200, "{", "a"), ("crossref", 500, "{}", "b"), ("core", 500, '{"results": []}', "c"),
+                  ("semantic_scholar", 200, '{"x": 1}', "d"), ("arxiv", 200, "  ", "e"), ("plos", 200, None, "f"),
+                  ("google_scholar", 200, "x", "g"), ("doaj", 200, '{"results": []}', "h"))
+    settle(first, path, "r1")
+    settle(first, path, "r1")  # a repeated run replaces itself
+    waiting = {r.file_path: (r.reason, r.attempt) for r in pending_letters(spark, path).collect()}
+    from quire.sources.normalisers import STATUS_CHECKED
+    assert waiting["a"] == ("unreadable body", 1) and waiting["d"] == ("no record list", 1)
+    assert waiting["e"] == waiting["f"] == ("blank body", 1) and "g" not in waiting and "h" not in waiting
+    for f, s in (("b", "crossref"), ("c", "core")):
+        assert waiting.get(f) == (("status 500", 1) if s in STATUS_CHECKED else None)
+    settle(given(("crossref", 200, '{"message": {"items": []}}', "a"), ("arxiv", 200, "", "e"),
+                 ("doaj", 200, '{"results": []}', "new")), path, "r2")
+    waiting = {r.file_path: r.attempt for r in pending_letters(spark, path).collect()}
+    assert "a" not in waiting and waiting["e"] == 2 and "new" not in waiting and waiting["d"] == 1
+    assert pending_letters(spark, path, most_attempts=2).where("file_path = 'e'").count() == 0
+    assert read_letters(spark, path).where("run_id = 'r2'").count() == 2
+    assert pending_letters(spark, f"{scratch}/none").count() == 0
