@@ -149,6 +149,46 @@ def _bucket_edges(level: int, radius: int, bucket: int, last: bool):
     return run
 
 
+def _masked(radius: int):
+    """Arrow step over rows (held, x): x under each covering mask of the bits
+    that ``held`` leaves free, joined with it."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        masks: dict[int, np.ndarray] = {}
+        for b in batches:
+            held, x = (c.to_numpy().view(np.uint64) for c in b.columns)
+            for h in np.unique(held):
+                if int(h) not in masks:
+                    if len(masks) > 10_000:
+                        masks.clear()
+                    masks[int(h)] = np.array([int(h) | m for m in covering_masks(radius, ~int(h) & ((1 << 64) - 1))], np.uint64)
+                at = x[held == h]
+                m = np.tile(masks[int(h)], len(at))
+                v = np.repeat(at, len(masks[int(h)]))
+                yield pa.RecordBatch.from_arrays([pa.array(c.view(np.int64)) for c in (m, m & v, v)], names=["held", "key", "x"])
+    return run
+
+
+#: Parts over which the members of one component are dealt when they learn its id.
+SALTS = 32
+
+
+def lowest_ids(values: DataFrame, roots: DataFrame) -> DataFrame:
+    """(x, component_id): the smallest ``low`` in the component of each value
+    (x, low), given (node, root) of the values in larger components. A large
+    component is spread over ``SALTS`` parts."""
+    members = values.join(roots, values["x"] == roots["node"]).select("x", "low", "root")
+    lows = members.groupBy("root").agg(F.min("low").alias("m"))
+    ends = values.join(lows, values["x"] == lows["root"]).select(
+        F.col("x").alias("root"), F.coalesce(F.least("low", "m"), "low", "m").alias("component_id"))
+    spread = ends.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = members.withColumn("salt", F.pmod(F.xxhash64("x"), F.lit(SALTS)).cast("int"))
+    of_members = salted.join(spread, ["root", "salt"]).select("x", "component_id")
+    of_ends = ends.select(F.col("root").alias("x"), "component_id")
+    inside = of_members.unionByName(of_ends)
+    alone = values.join(inside.select("x"), "x", "left_anti").select("x", F.col("low").alias("component_id"))
+    return inside.unionByName(alone)
+
+
 def near_edges(values: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:
     """Edges (a, b) between distinct values (column ``x``, bigint) whose
     components are those of all pairs within ``radius`` bits.
@@ -157,20 +197,9 @@ def near_edges(values: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) ->
     bits that its mask leaves free; on the fourth level at most 8 bits are
     free, so a bucket has at most 256 values. Nothing is dropped.
     """
-    signed = lambda v: v - (1 << 64) if v >> 63 else v
-    rows, found, held_masks = values.select("x"), None, [0]
+    rows, found = values.select(F.lit(0).cast("bigint").alias("held"), "x"), None
     for level in range(4):
-        keyed = None
-        pairs = [(h, h | m) for h in held_masks for m in covering_masks(radius, ~h & ((1 << 64) - 1))]
-        if level == 0:
-            masks = F.array(*[F.lit(signed(m)).cast("bigint") for _, m in pairs])
-            keyed = rows.select(F.explode(masks).alias("held"), "x")
-        else:
-            per = F.create_map(*[v for h in held_masks for v in (
-                F.lit(signed(h)).cast("bigint"),
-                F.array(*[F.lit(signed(m)).cast("bigint") for g, m in pairs if g == h]))])
-            keyed = rows.select(F.explode(per[F.col("held")]).alias("held"), "x")
-        keyed = keyed.select("held", F.col("held").bitwiseAND(F.col("x")).alias("key"), "x")
+        keyed = rows.mapInArrow(_masked(radius), "held bigint, key bigint, x bigint")
         if level:
             keyed = keyed.distinct()
         step = (keyed.repartition("held", "key").sortWithinPartitions("held", "key", "x")
@@ -180,8 +209,7 @@ def near_edges(values: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) ->
         edges = step.where("a is not null").select("a", "b")
         found = edges if found is None else found.unionByName(edges)
         rows = step.where("a is null").select("held", "x").distinct()
-        held_masks = [r["held"] & ((1 << 64) - 1) for r in rows.select("held").distinct().collect()]
-        if not held_masks:  # at most one value for each mask of this level
+        if rows.isEmpty():
             break
     return found.distinct()
 
@@ -227,10 +255,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     marked = stored(marked.drop("component_id"), "simhash")
     values = stored(marked.groupBy(F.col("simhash").alias("x")).agg(F.min(quoted(id_col)).alias("low")), "values")
     root = components(near_edges(values, radius))
-    linked = values.join(root, values["x"] == root["node"], "left").select(
-        "x", "low", F.coalesce("root", "x").alias("root"))
-    lows = linked.groupBy("root").agg(F.min("low").alias("component_id"))
-    by_value = linked.join(lows, "root").select("x", "component_id")
+    by_value = lowest_ids(values, root)
     out = marked.join(by_value, marked["simhash"] == by_value["x"])
     cols = [c for c in (docs.columns if keep is None else keep) if c.lower() not in ("simhash", "component_id")]
     return out.select(*[marked[quoted(c)] for c in cols], marked["simhash"], by_value["component_id"])

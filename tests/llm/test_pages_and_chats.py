@@ -190,6 +190,20 @@ def test_stages_one_by_one(spark):
         assert out.columns == extra.columns, name
         assert 0 < out.count() <= repeated.count()
         assert stage(spark, extra.limit(0), SMOKE).count() == 0
+    pieces = corpus_pipeline.packing(spark, repeated, SMOKE).collect()
+    assert corpus_pipeline.packing(spark, extra.limit(0), SMOKE).count() == 0
+    per = {}
+    for r in pieces:
+        per.setdefault(r["doc_id"], []).append(r)
+    twice = {r["doc_id"] for r in extra.limit(5).collect()}
+    for d, rows in per.items():  # each copy of a repeated row is packed whole
+        assert sum(r["length"] for r in rows) == rows[0]["doc_tokens"] * (2 if d in twice else 1)
+    assert set(per) == {r["doc_id"] for r in repeated.select("doc_id").collect()}
+    odd = spark.createDataFrame([(1, None), (2, ""), (3, " "), (None, None)], "doc_id bigint, text string")
+    assert corpus_pipeline.quality_rules(spark, odd, SMOKE).count() == 0
+    assert corpus_pipeline.decontaminate(spark, odd, SMOKE).count() == 4
+    assert [r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, odd, SMOKE).collect()] == [1]
+    assert corpus_pipeline.packing(spark, odd, SMOKE).agg(F.sum("length")).first()[0] == 5
     groups = {r["doc_id"]: r["component_id"] for r in Q.op8_simhash_groups(spark, SMOKE).collect()}
     left = [r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, repeated, SMOKE).collect()]
     assert sorted(left) == sorted(set(groups.values()))
