@@ -10,9 +10,11 @@ from quire.plans.load_queries import _blocked_path, _drop_rows
 from quire.plans.load_run import run_load
 from quire.schemas import FAILED, PARTIAL, SUCCESS
 from quire.session import scratch_path
+from quire.sources import segments as G
 from quire.sources import serving as V
 from quire.sources.serving import write_serving
 from quire.sources.sinks import append_papers, write_drop
+from quire.sources.tables import read_papers
 from quire.plans.fixtures import (LOAD_LOG_FX_SQL, PAPERS_FX_SQL, load_log_fx, papers_fx,
                                   with_views)
 
@@ -286,3 +288,34 @@ def citations_from_sums(spark, sf_dir):
     for _ in range(2):  # the first files are in no log and load again
         run_load(spark, f"{root}/drops", f"{root}/papers", f"{root}/log", serving=True)
     return V.citations_from_sums(spark, f"{root}/papers")
+
+
+def compacted_papers(spark, sf_dir, crash: bool = False) -> str:
+    """The served paper table compacted, one old file loaded again with other
+    rows and compacted, and once more with its own rows; with ``crash`` the last
+    compaction ends before it removes what it took in."""
+    path = served_papers(spark, sf_dir)
+    G.compact_papers(spark, path, segment_rows=64)
+    own = G.read_stored(spark, path).where("file_id = 'f07'").checkpoint(eager=True)
+    append_papers(own.withColumn("title", F.lit("other")), path)
+    G.compact_papers(spark, path, segment_rows=64)
+    append_papers(own, path)
+    if crash:
+        G.compact_papers(spark, path, segment_rows=64, clean=False)
+    return path
+
+
+@register("papers_compacted", P + """
+SELECT seq, url, site_name, keyword, paper_number, title, authors, published_date, doi, abstract, citation_count, journal FROM papers_fx""")
+def papers_compacted(spark, sf_dir):
+    """The whole stored table (J05, J08) after compactions, a file loaded again
+    after them, and a crash between the steps."""
+    return read_papers(spark, compacted_papers(spark, sf_dir, crash=True)).drop("extracted_at", "loaded_at")
+
+
+@register("paper_by_seq_compacted", P + """
+SELECT seq, url, site_name, keyword, paper_number, title, authors, published_date, journal
+FROM papers_fx WHERE seq = 42""")
+def paper_by_seq_compacted(spark, sf_dir):
+    """A paper (J63) from the segment whose range holds it."""
+    return G.stored_paper_by_seq(spark, compacted_papers(spark, sf_dir), 42).drop("extracted_at", "loaded_at")

@@ -27,14 +27,14 @@ from quire.operators.query import AUTHORS_CUT, LISTING_COLUMNS, SORTABLE, _prese
 from quire.schemas import PAPER_STORED
 from quire.session import scratch_path
 from quire.sources.drops import file_system
-from quire.sources.tables import exists, read_table
+from quire.sources.segments import read_stored
+from quire.sources.tables import exists, read_papers, read_table
 
 S, L = T.StringType(), T.LongType()
 GRAMS = T.StructType([T.StructField("col", S), T.StructField("gram", S), T.StructField("keyword", S),
                       T.StructField("site_name", S), T.StructField("n", L), T.StructField("file_id", S)])
 SUMS = T.StructType([T.StructField("site_name", S), T.StructField("papers", L), T.StructField("cited", L),
                      T.StructField("citations", L), T.StructField("file_id", S)])
-STORED = T.StructType([*PAPER_STORED.fields, T.StructField("file_id", S)])
 #: Rows of one range of the order table.
 RANGE_ROWS = 100_000
 
@@ -44,8 +44,8 @@ def _beside(table_path: str, name: str) -> str:
 
 
 def stored_papers(spark: SparkSession, table_path: str) -> DataFrame:
-    """The papers with the identity of their file, the partition column."""
-    return read_table(spark, table_path, STORED)
+    """The papers with the identity of their file, which prunes partitions."""
+    return read_stored(spark, table_path)
 
 
 def pieces(text: Column) -> Column:
@@ -161,7 +161,7 @@ def write_order(spark: SparkSession, table_path: str, sort: str, range_rows: int
     rows of each range."""
     if sort not in SORTABLE:
         raise ValueError(f"not a sort column: {sort}")
-    papers = read_table(spark, table_path, PAPER_STORED)
+    papers = read_papers(spark, table_path)
     rows = papers.select(F.col(sort).alias("key"), "seq")
     n = max(1, -(-rows.count() // range_rows))
     path, fresh = f"{_beside(table_path, 'order')}/{sort}", scratch_path(spark, "order")
@@ -186,7 +186,7 @@ def page_by_order(spark: SparkSession, table_path: str, sort: str, order: str |
     their keys which papers, and these are read by their numbers. Rows and order
     are those of ``list_papers``; what is read does not grow with ``skip``."""
     path, asc = f"{_beside(table_path, 'order')}/{sort}", order == "asc"
-    papers = read_table(spark, table_path, PAPER_STORED)
+    papers = read_papers(spark, table_path)
     if not exists(spark, path):
         raise FileNotFoundError(f"no order table at {path}: write_order makes it")
     skip, take = max(int(skip), 0), max(int(take), 0)

@@ -23,7 +23,9 @@ def read_table(spark: SparkSession, path: str, schema) -> DataFrame:
 
 
 def read_papers(spark: SparkSession, path: str) -> DataFrame:
-    return read_table(spark, path, PAPER_STORED)
+    """The papers of loaded files and of segments (``sources.segments``)."""
+    from quire.sources.segments import read_stored
+    return read_stored(spark, path).select(*PAPER_STORED.fieldNames())
 
 
 def read_load_log(spark: SparkSession, path: str) -> DataFrame:

@@ -120,3 +120,50 @@ def test_statistics_of_no_runs(spark):
     from quire.operators.query import load_stats
     from quire.schemas import LOAD_LOG
     assert tuple(load_stats(spark.createDataFrame([], LOAD_LOG)).first()) == (0, 0, 0, 0)
+
+
+def test_segments_hold_the_table(spark, scratch, monkeypatch):
+    """Content stays over compactions, reloads and a crash after every step."""
+    import pytest
+
+    from quire.sources import segments as G
+    from quire.sources.sinks import append_papers
+    from quire.sources.tables import read_papers
+    path = _stored(spark, scratch)
+    want = sorted(map(str, read_papers(spark, path).collect()))
+
+    def same():
+        return sorted(map(str, read_papers(spark, path).collect())) == want
+    real = spark.createDataFrame
+
+    def no_list(data, schema=None, *a, **k):
+        if schema is G.LIVE:
+            raise OSError("crash")
+        return real(data, schema, *a, **k)
+    monkeypatch.setattr(spark, "createDataFrame", no_list)
+    with pytest.raises(OSError):
+        G.compact_papers(spark, path, segment_rows=20)  # segments without a list
+    monkeypatch.undo()
+    assert same() and G.live_segments(spark, path) == []
+    monkeypatch.setattr(G, "drop_partitions", lambda *a: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        G.compact_papers(spark, path, segment_rows=20)  # a list, and all partitions
+    monkeypatch.undo()
+    assert same() and len(G.live_segments(spark, path)) >= 4
+    assert G.compact_papers(spark, path, segment_rows=20) == 5 and same()
+    assert G.compact_papers(spark, path) == 0
+    live = G.live_segments(spark, path)
+    assert sum(r["n"] for r in live) == 90 and len(live) >= 4
+    assert G._names(spark, G._segments(path), "segment") == sorted(r["segment"] for r in live)
+    # a lookup opens the one segment that can hold the row
+    one = G.read_stored(spark, path, 33)
+    assert len(one.inputFiles()) == 1 and G.stored_paper_by_seq(spark, path, 33).first()["seq"] == 33
+    assert G.stored_paper_by_seq(spark, path, 5000).count() == 0
+    # an old identity loaded again, with fewer rows, hides what segments hold of it
+    rows = G.read_stored(spark, path).where("file_id = 'f3' and seq < 50").checkpoint()
+    append_papers(rows, path)
+    left = {r["seq"] for r in G.read_stored(spark, path).collect()}
+    assert left == {i for i in range(1, 91) if i % 5 != 3 or i < 50}
+    assert G.compact_papers(spark, path, segment_rows=20) == 1
+    assert {r["seq"] for r in G.read_stored(spark, path).collect()} == left
+    assert read_papers(spark, path).count() == len(left)
