@@ -18,6 +18,17 @@ def line_quality(rules: Rules = Rules(), table: str = "documents") -> str:
     mark = "[" + SENTENCE.replace("؟", "\\x{61F}") + "]"
     seps = ", ".join(_lit(s) for s in SEPARATORS)
     n = f"len({words.format('l')})"
+    # a long line's sentences, each with what phrases hold of it; a character marks
+    # where one ends, another lets the next begin with the white space behind it
+    low = f"translate(l, '{_UP}', '{_LOW}')"
+    space = r"[\x20\x09-\x0D]"
+    ends = "|".join("…。！？।") + "|\\x{61F}"
+    sentences = (f"string_split(replace(regexp_replace(regexp_replace({low}, '({space})', '\\1' || chr(2), 'g'), "
+                 f"'(?s)(.)([.!?]+)({space})|(.)({ends})', '\\1\\2\\4\\5' || chr(1) || '\\3', 'g'), chr(2), ''), chr(1))")
+    size = "strlen(regexp_replace({}, '" + space + "', '', 'g'))"
+    held = f"coalesce(list_sum(list_transform(regexp_extract_all(s, '{boiler}'), lambda x: {size.format('x')})), 0)"
+    framed = (f"list_sum(list_transform({sentences}, lambda s: CASE WHEN {held} > 0 AND (len({words.format('s')}) <= "
+              f"{rules.short_line} OR 2 * {held} > {size.format('s')}) THEN {size.format('s')} ELSE 0 END))")
     return fr"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM {table}),
 w AS (SELECT *, {words.format('t')} AS w FROM d),
@@ -28,7 +39,8 @@ lw AS (SELECT rid, l, {n} AS n,
   len(regexp_extract_all(l || ' ', '!![\x20\x09-\x0D]')) AS shout,
   len(list_filter({words.format('l')}, lambda x: x IN ({seps}))) AS sep,
   regexp_matches(l, '{mark}') AS mark,
-  regexp_matches(translate(l, '{_UP}', '{_LOW}'), '{boiler}') AS boiler FROM l),
+  CASE WHEN NOT regexp_matches({low}, '{boiler}') THEN false WHEN {n} <= {rules.short_line} THEN true
+    ELSE 2 * {framed} > {size.format(low)} END AS boiler FROM l),
 lf AS (SELECT rid, l, n, letters, n > 0 AND (
    (sym >= {rules.min_marked} AND 100 * sym >= {rules.symbol_pct} * n)
    OR (shout >= {rules.min_marked} AND 100 * shout >= {rules.shout_pct} * n)

@@ -75,6 +75,35 @@ def test_long_lines_may_mention_a_phrase():
     assert line_fault(("w " * 21 + "privacy policy " * 60 + ".").encode()) == "boilerplate"
 
 
+def test_sql_judges_lines_like_the_operator():
+    """Lines of many sentences that mention, and that consist of, phrases."""
+    import duckdb
+    import pandas as pd
+
+    from quire.llm.sql import line_quality
+    r = random.Random(4)
+    words, ends = [f"w{i}" for i in range(300)], [". ", "! ", "… ", "。", "؟ ", ", ", "... ", " . ", "?? ", "……", "! . "]
+    rows = []
+    for i in range(700):
+        lines = []
+        for _ in range(r.randint(1, 4)):
+            line = ""
+            for _ in range(r.randint(1, 7)):
+                s = r.sample(words, r.randint(1, 30))
+                if r.random() < .5:
+                    s.insert(r.randrange(len(s) + 1), r.choice(BOILERPLATE).title())
+                line += " ".join(s) + r.choice(ends)
+            lines.append(line)
+        rows.append((i, "\n".join(lines)))
+    rows += [(9000, "One " + "word " * 70 + "with our privacy policy in it."), (9001, "Privacy policy. " * 30), (9002, "")]
+    con = duckdb.connect()
+    con.register("documents", pd.DataFrame(rows, columns=["doc_id", "text"]))
+    got = {x[0]: x[1:] for x in con.execute(line_quality()).fetchall()}
+    want = {i: judge(t.encode())[:8] for i, t in rows}
+    assert got == {i: tuple(x) for i, x in want.items()}
+    assert sum(0 < x[6] < x[1] for x in want.values()) > 100
+
+
 def test_clean_lines_odd_rows(odd, none):
     got = clean_lines(odd).collect()
     assert len(got) == len(ODD)
