@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import html
 import re
+import zlib
 from collections import defaultdict
 
 from pyspark.sql import DataFrame, Window
@@ -37,7 +38,7 @@ MAYBE = frozenset({"form"})
 #: Names in class, id or role of what is not the article.
 OUTSIDE = frozenset(
     "ad ads adsense advert advertisement advertising adverts aside banner breadcrumb breadcrumbs byline "
-    "comment comments complementary consent contentinfo cookie cookies copyright dialog disqus discussion footer "
+    "comment commentlist comments complementary consent contentinfo cookie cookies copyright dialog disqus discussion footer "
     "form gdpr header login masthead menu modal nav navbar navigation newsletter notice notices notification "
     "outbrain overlay pager pagination paywall popup promo promoted promotion recommended related replies reply "
     "respond share sharebar sharing sidebar signup skip social sponsor sponsored subscribe subscription taboola "
@@ -48,6 +49,9 @@ FRAME = frozenset(
     "links list main mobile outer panel placeholder posts primary right row secondary section site slot stories top "
     "unit wrap wrapper".split())
 INSIDE = frozenset("article body content entry main post story text".split())
+#: First words of names that tell what an element has or lacks, not what it is.
+DESCRIBES = frozenset("has have hide is no non not show with without".split())
+HEADINGS = frozenset("h1 h2 h3".split())
 
 #: Hosts up to which their paths go to every task; beyond it Spark joins by host.
 BROADCAST_HOSTS = 100_000
@@ -62,22 +66,25 @@ _HIDDEN = re.compile(r"""(?<![\w-])(?:hidden(?=[\s/=]|\Z)(?!\s*=\s*["']?until)|a
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 
-#: Steps of a path: of a deeper container the path holds the last ones.
+#: Steps that a path shows; the path of a deeper container begins with a hash of all its steps.
 DEPTH = 12
 
 
 class Node:
-    """A container: its parent, the last steps of its path, whether an article
-    or main element is around it, and the factor of its score."""
-    __slots__ = ("parent", "steps", "in_main", "factor")
+    """A container: its parent, the last steps of its path and a hash of all of
+    them, whether an article or main element is around it, whether the page
+    itself ends here, and the factor of its score."""
+    __slots__ = ("parent", "steps", "depth", "hash", "in_main", "page", "factor")
 
-    def __init__(self, parent, step, in_main, factor=1.0):
-        self.parent, self.in_main, self.factor = parent, in_main, factor
+    def __init__(self, parent, step, in_main, factor=1.0, page=False):
+        self.parent, self.in_main, self.factor, self.page = parent, in_main, factor, page
         self.steps = (*parent.steps, step)[-DEPTH:] if parent else ()
+        self.depth = parent.depth + 1 if parent else 0
+        self.hash = zlib.crc32(step.encode(), parent.hash) if parent else 0
 
     @property
     def path(self):
-        return ">".join(self.steps)
+        return (f"{self.hash:08x}:" if self.depth > DEPTH else "") + ">".join(self.steps)
 
 
 class Doubt:
@@ -91,12 +98,18 @@ class Doubt:
 
 
 def _outside(name: str, tag: str) -> bool:
-    """Whether a name, or a compound of such names and of frame words, stands
-    for what is not the article. A header may be called so."""
-    parts = {w.lower() for w in _WORD.findall(name) if len(w) > 1}
+    """Whether a name stands for what is not the article: one of these names, a
+    compound of them and of frame words, or a name that begins or ends with one
+    (user-comments, ad-label). A header may be called so, and an article's part
+    may be its header (entry-header)."""
+    words = [w.lower() for w in _WORD.findall(name) if len(w) > 1]
+    parts = set(words)
     known = {name.lower()} & OUTSIDE or parts & OUTSIDE
-    return bool(known - {"header"} if tag == "header" else known) and (
-        name.lower() in OUTSIDE or parts <= OUTSIDE | FRAME)
+    if tag == "header" or parts & INSIDE:
+        known = known - {"header"}
+    if not known or words and words[0] in DESCRIBES:
+        return False
+    return name.lower() in OUTSIDE or parts <= OUTSIDE | FRAME or bool({words[0], words[-1]} & known)
 
 
 def _classes(attrs: str, tag: str) -> tuple[list[str], set[str], bool]:
@@ -112,13 +125,13 @@ def _classes(attrs: str, tag: str) -> tuple[list[str], set[str], bool]:
     return classes, words, outside
 
 
-def settled(containers: list[tuple[Node, Doubt | None]], blocks: list[tuple[Node, str, int, Doubt | None]]):
+def settled(containers: list[tuple[Node, Doubt | None]], blocks: list[tuple[Node, str, int, Doubt | None, bool]]):
     """Containers and blocks without the doubtful elements. One stays in if it
     holds an article or main element and lies in none, or if it holds most of
     the page's text outside links, unless it lies beside an article or main
     element with text. All stay in when no text would be left."""
     total, in_main = sum(b[2] for b in blocks), sum(b[2] for b in blocks if b[0].in_main)
-    for node, _, plain, doubt in blocks:
+    for node, _, plain, doubt, _ in blocks:
         while doubt:
             doubt.plain += plain
             doubt.plain_main += plain if node.in_main else 0
@@ -137,13 +150,14 @@ def settled(containers: list[tuple[Node, Doubt | None]], blocks: list[tuple[Node
     kept = [b for b in blocks if stays(b[3])]
     if sum(b[2] for b in kept) or not total:
         containers, blocks = [c for c in containers if stays(c[1])], kept
-    return [c[0] for c in containers], [b[:3] for b in blocks]
+    return [c[0] for c in containers], [(b[0], b[1], b[2], b[4]) for b in blocks]
 
 
-def parse(page: str) -> tuple[list[Node], list[tuple[Node, str, int]]]:
+def parse(page: str) -> tuple[list[Node], list[tuple[Node, str, int, bool]]]:
     """The page's containers and its blocks: (container, text, characters
-    outside links) in page order. Blocks outside the article are left out."""
-    root = Node(None, "", False)
+    outside links, whether it is a heading) in page order. Blocks outside the
+    article are left out."""
+    root = Node(None, "", False, page=True)
     containers, blocks = [(root, None)], []
     stack: list[tuple[str, Node, bool, Doubt | None]] = []  # open elements with what is around them
     node, dropped, links = root, 0, 0  # dropped: open elements that are no article
@@ -157,7 +171,7 @@ def parse(page: str) -> tuple[list[Node], list[tuple[Node, str, int]]]:
         if text:
             t = " ".join("".join(text).split())
             if t:
-                blocks.append((node, t, plain, doubt))
+                blocks.append((node, t, plain, doubt, any(opened[h] for h in HEADINGS)))
             text, plain = [], 0
 
     def close(k):
@@ -226,7 +240,7 @@ def parse(page: str) -> tuple[list[Node], list[tuple[Node, str, int]]]:
             doubt = Doubt(doubt, node.in_main)
         if tag in CONTAINERS:
             node = Node(node, ".".join([tag, *classes]), node.in_main or main,
-                        1.25 if main else 1.15 if words & INSIDE else 1.0)
+                        1.25 if main else 1.15 if words & INSIDE else 1.0, node.page and tag == "body")
             if not out and not dropped:
                 containers.append((node, doubt))
         stack.append((tag, before, out, around))
@@ -241,11 +255,11 @@ def parse(page: str) -> tuple[list[Node], list[tuple[Node, str, int]]]:
     return settled(containers, blocks)
 
 
-def best_container(containers: list[Node], blocks: list[tuple[Node, str, int]]) -> Node | None:
+def best_container(containers: list[Node], blocks: list[tuple[Node, str, int, bool]]) -> Node | None:
     """The container with the most text outside links; each level above a
     block counts it for less. The first of equal ones; None without text."""
     held: dict[Node, float] = {}
-    for node, _, plain in blocks:
+    for node, _, plain, _ in blocks:
         weight = float(plain)
         while node is not None and weight > .01:
             held[node] = held.get(node, 0.0) + weight
@@ -277,12 +291,36 @@ def extract(page: str | None, paths: list[str] | None) -> tuple[str, str | None]
             break
     top = top or best_container(containers, blocks)
     if top is None:  # no container holds text outside links
-        return "\n".join(t for _, t, _ in blocks), None
+        return "\n".join(b[1] for b in blocks), None
+    return "\n".join(blocks[k][1] for k in article_blocks(containers, blocks, top)), top.path
+
+
+def article_blocks(containers: list[Node], blocks: list[tuple[Node, str, int, bool]], top: Node) -> list[int]:
+    """The places of the blocks of the article whose main container is ``top``:
+    those inside it; up to the page's body, also the texts beside it and its
+    parents, such as a title, a lead or a continuation, that are no links; and a
+    heading that stands in the body itself before it."""
     inside = {top}
     for c in containers:  # parents come first
         if c.parent in inside:
             inside.add(c)
-    return "\n".join(t for n, t, _ in blocks if n in inside), top.path
+    kept = {k for k, b in enumerate(blocks) if b[0] in inside}
+    around = top
+    while around.parent is not None and not around.parent.page:
+        around = around.parent
+        beside: dict[Node, list[int]] = defaultdict(list)  # by the child of ``around`` that holds them
+        for k, (node, _, _, _) in enumerate(blocks):
+            child = node
+            while child is not None and child is not around and child.parent is not around:
+                child = child.parent
+            if child is not None and k not in kept:
+                beside[child].append(k)
+        for places in beside.values():
+            if 2 * sum(blocks[k][2] for k in places) > sum(len(blocks[k][1]) for k in places):
+                kept.update(places)
+    first = min(kept, default=0)
+    kept.update(k for k in range(first) if blocks[k][3] and blocks[k][0] is around.parent and 2 * blocks[k][2] > len(blocks[k][1]))
+    return sorted(kept)
 
 
 def host_of(url: F.Column) -> F.Column:
@@ -296,7 +334,8 @@ def extract_pages(pages: DataFrame, url_col: str = "url", html_col: str = "html"
     Votes are counted by (host, path) with partial sums, so a host of any size
     is a few rows after the first step; a host's winning paths are those with
     at least ``share`` of its votes (at most 1 / ``share``), most votes first,
-    then by name. Cases: a null or empty page has empty text and no path; a
+    then by name: on a host of more templates than that a page whose path does
+    not win is read by its own best container. Cases: a null or empty page has empty text and no path; a
     null url, or one without a host, votes in the host ''; a page whose host
     has no winning path on it uses its own best container; repeated rows vote
     and are read alike; extra columns stay, and those named like an output

@@ -2,6 +2,7 @@
 
 import hashlib
 import html
+import random
 import re
 
 import pytest
@@ -70,6 +71,75 @@ def test_names_still_drop_what_is_no_article():
     assert extract(f"<body><article>{art}{teasers}</article></body>", None)[0] == want
 
 
+def test_titles_and_parts_beside_the_main_container():
+    one = " ".join(("The article goes on. " * 20).split())
+    art, part = f"<p>{one}</p>", "<p>A shorter part of it stands here.</p>"
+    want = "Title\n" + one
+    for page in (f"<article><h1>Title</h1><div class='entry-content'>{art}</div></article>",
+                 f"<div class=page><h1>Title</h1><div class=content>{art}</div></div>",
+                 f"<h1>Title</h1><div class=content>{art}</div>",
+                 f"<div class=page><div class='page-title'><h2>Title</h2></div><div class=content>{art}</div></div>"):
+        assert extract(f"<body><nav><a href=/>Home</a></nav>{page}<footer>f</footer></body>", None)[0] == want, page
+    three = f"<div><div class=lead>{part}</div><div class=body>{art}</div><div class=cont>{part}</div></div>"
+    links = "<div class=list><p><a href=/1>one more page</a> <a href=/2>and another</a></p></div>"
+    got = extract(f"<body><div class=page>{links}{three}{links}</div></body>", None)[0]
+    assert got == f"A shorter part of it stands here.\n{one}\nA shorter part of it stands here."
+    # beside the article in the body nothing but a heading is taken
+    assert extract(f"<body><h1>Title</h1><p>Some notice.</p><article>{art}</article><p>Legal text.</p></body>", None)[0] == want
+
+
+@pytest.mark.parametrize("name", "user-comments reader-comments post-comments article-comments author-comments comment-thread "
+                         "commentlist related-content sponsored-content cookie-policy page-header promo-card advert-label "
+                         "ad-label".split())
+def test_telling_words_at_either_end_of_a_name(name):
+    one = " ".join(("The article goes on. " * 20).split())
+    body = f"<p>{one}</p><div class='{name}'><p>Something else is said here.</p></div><p>End.</p>"
+    assert extract(f"<body><article>{body}</article></body>", None)[0] == one + "\nEnd."
+    assert extract(f"<body><div class='{name}'><article><p>{one}</p></article></div></body>", None)[0] == one
+    assert extract(f"<body><article><p class='no-share has-ads'>{one}</p></article></body>", None)[0] == one
+    assert extract(f"<body><article><div class='entry-header'><h1>T</h1></div><p>{one}</p></article></body>", None)[0] == "T\n" + one
+
+
+def test_deep_containers_keep_their_own_paths():
+    a, b = vote("<body>" + "<div class=x>" + "<div>" * 14 + "<p>text</p>"), vote("<body>" + "<div class=y>" + "<div>" * 14 + "<p>text</p>")
+    assert a != b and a.split(":")[1] == b.split(":")[1]
+
+
+def plain_host_paths(rows, share):
+    """Votes counted and pages read again with Python dictionaries."""
+    votes = {}
+    for _, url, page in rows:
+        m = re.search(r"://([^/?#]*)", url or "")
+        host, path = (m[1].lower() if m else ""), vote(page)
+        if path is not None:
+            votes.setdefault(host, {}).setdefault(path, 0)
+            votes[host][path] += 1
+    out = []
+    for i, url, page in rows:
+        m = re.search(r"://([^/?#]*)", url or "")
+        v = votes.get(m[1].lower() if m else "", {})
+        paths = [p for p in sorted(v, key=lambda p: (-v[p], p)) if v[p] >= share * sum(v.values())]
+        out.append((i, *extract(page, paths)))
+    return sorted(out, key=str)
+
+
+def test_votes_against_brute_force(spark):
+    r = random.Random(11)
+    words = "the article goes on with some words and then ends here".split()
+
+    def page(i):
+        text = lambda n: " ".join(r.choices(words, k=n)) + "."
+        main, side = r.choice(["content", "story", "box"]), r.choice(["box", "aux", "story"])
+        return (f"<body><div class='{main} p-{i}'><h2>{text(3)}</h2><p>{text(r.randint(1, 40))}</p></div>"
+                f"<div class={side}><p>{text(r.randint(1, 30))}</p></div></body>")
+    rows = [(i, r.choice(["http://A.com/x", "https://a.com/y?z", "http://b.org", None, "no host"]), r.choice([page(i)] * 9 + [None, ""]))
+            for i in range(150)]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    for share in (.05, .3):
+        got = [(x["page_id"], x["text"], x["main_path"]) for x in extract_pages(df, share=share).collect()]
+        assert sorted(got, key=str) == plain_host_paths(rows, share)
+
+
 def test_votes_decide_by_host(spark):
     rows = [(i, f"http://h/{i}", "<body><div class=a><p>" + "long text " * 30 + "</div><div class=b><p>small</div>")
             for i in range(5)]
