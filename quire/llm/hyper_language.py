@@ -1,6 +1,7 @@
 """Language identification with hyperdimensional profiles.
 
-Each letter has a random vector of +1 and -1. A letter trigram is the product
+Each letter of any script has a random vector of +1 and -1, which a hash of its
+code point gives. A letter trigram is the product
 (binding) of its letters' vectors, the first rolled by two places and the
 second by one, so order matters. The sum (bundle) of its trigrams' vectors is
 a text's vector, and that of all texts of a language its prototype. A text
@@ -17,134 +18,158 @@ from pyspark.sql import functions as F
 
 from quire.llm.common import fold, pieces, quoted, with_columns
 
-SIZE = 512
+SIZE = 1024
 SEED = 11
-#: Symbols: 0 is the space between words, 1 to 26 the letters a to z; other
-#: letters share 37 more by their code point (an alphabet's letters follow
-#: each other, so those of one alphabet mostly keep symbols of their own).
-SYMBOLS = 64
-OTHERS = 37
-CODES = SYMBOLS ** 3
+#: Bits of a letter in a trigram's code; 0 is the space between words.
+BITS = 21
 UNKNOWN = "und"
 #: Prototypes that a task holds; they are the only thing sent to all tasks.
 MOST_LANGUAGES = 4096
+#: Trigram vectors that are held at once.
+BLOCK = 1 << 14
+#: Cells of a table by which trigrams of a few letters are numbered without sorting.
+CELLS = 1 << 24
 
 
 def symbol(cp: int) -> int:
-    c = chr(cp).lower()
-    if len(c) != 1 or not c.isalpha():
-        return 27 + cp % OTHERS if chr(cp).isalpha() else 0
-    return ord(c) - 96 if "a" <= c <= "z" else 27 + ord(c) % OTHERS
+    """A letter's code point in lower case, 0 for what is no letter."""
+    if not chr(cp).isalpha():
+        return 0
+    low = chr(cp).lower()
+    return ord(low) if len(low) == 1 else cp
 
 
 def symbol_table() -> np.ndarray:
-    return np.array([symbol(i) if not 0xD800 <= i < 0xE000 else 0 for i in range(0x10000)], np.int32)
+    return np.array([symbol(i) if not 0xD800 <= i < 0xE000 else 0 for i in range(0x10000)], np.int64)
 
 
 def trigrams(texts: list[str | None], table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(code, text number) of each letter trigram: three symbols in a row, runs
-    of anything but letters counting as one space, the middle one a letter."""
+    """(letters, text number) of each letter trigram: three symbols in a row,
+    runs of anything but letters counting as one space, the middle one a letter."""
     joined = "\n".join([t or "" for t in texts]) + "\n"
-    cp = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
+    cp = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
     high = cp >= 0x10000
     sym = table[np.where(high, 0, cp)]
     if high.any():
         kinds, at = np.unique(cp[high], return_inverse=True)
-        sym[high] = np.array([symbol(int(k)) for k in kinds], np.int32)[at]
+        sym[high] = np.array([symbol(int(k)) for k in kinds], np.int64)[at]
     letter = sym > 0
     keep = letter.copy()
     keep[1:] |= letter[:-1]
     owner = np.repeat(np.arange(len(texts), dtype=np.int32), [len(t or "") + 1 for t in texts])
     x = np.concatenate([[0], sym[keep]])
     owner = np.concatenate([[0], owner[keep]])
-    mid = x[1:-1] > 0
-    code = (x[:-2] << 12) | (x[1:-1] << 6) | x[2:]
-    return code[mid], owner[1:-1][mid]
-
-
-def letter_vectors(size: int = SIZE) -> np.ndarray:
-    return np.random.default_rng(SEED).choice(np.array([-1, 1], np.int8), (SYMBOLS, size))
-
-
-def bind(codes: np.ndarray, letters: np.ndarray) -> np.ndarray:
+    mid = np.flatnonzero(x[1:-1] > 0)
+    return np.stack([x[mid], x[mid + 1], x[mid + 2]]), owner[mid + 1]
+
+
+def numbered(letters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct trigrams as codes, and the place of each trigram among them."""
+    kinds = np.flatnonzero(np.bincount(letters.ravel(), minlength=1))
+    n = len(kinds)
+    if n ** 3 > CELLS:
+        return np.unique((letters[0] << 2 * BITS) | (letters[1] << BITS) | letters[2], return_inverse=True)
+    place = np.zeros(int(kinds[-1]) + 1 if n else 1, np.int64)
+    place[kinds] = np.arange(n)
+    key = (place[letters[0]] * n + place[letters[1]]) * n + place[letters[2]]
+    found = np.flatnonzero(np.bincount(key, minlength=1))
+    at = np.zeros(int(found[-1]) + 1 if len(found) else 1, np.int64)
+    at[found] = np.arange(len(found))
+    a, rest = np.divmod(found, n * n or 1)
+    b, c = np.divmod(rest, n or 1)
+    return (kinds[a] << 2 * BITS) | (kinds[b] << BITS) | kinds[c], at[key]
+
+
+def letter_vectors(letters: np.ndarray, size: int = SIZE) -> np.ndarray:
+    """A vector of +1 and -1 for each code point, from a hash of it alone."""
+    word = np.arange(-(-size // 64), dtype=np.uint64)
+    h = (letters.astype(np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15) + np.uint64(SEED)) ^ (word * np.uint64(0xD6E8FEB86659FD93))
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB), (31, 0x9E3779B97F4A7C15)):
+        h = (h ^ (h >> np.uint64(shift))) * np.uint64(factor)
+    h ^= h >> np.uint64(29)
+    bits = np.unpackbits(np.ascontiguousarray(h).view(np.uint8), axis=1)[:, :size]
+    return (2 * bits.astype(np.int8) - 1).astype(np.int8)
+
+
+def bind(codes: np.ndarray, size: int = SIZE) -> np.ndarray:
     """The vector of each trigram."""
-    a, b, c = codes >> 12, codes >> 6 & 63, codes & 63
-    return np.roll(letters, 2, 1)[a] * np.roll(letters, 1, 1)[b] * letters[c]
-
-
-class Encoder:
-    """Trigram vectors by code, bound when a code is first seen."""
-
-    def __init__(self, size: int = SIZE):
-        self.letters = letter_vectors(size)
-        self.row = np.full(CODES, -1, np.int32)
-        self.vectors = np.empty((0, size), np.int8)
-        self.n = 0
-
-    def rows(self, codes: np.ndarray) -> np.ndarray:
-        new = np.flatnonzero(np.bincount(codes[self.row[codes] < 0], minlength=1))
-        if new.size:
-            if self.n + new.size > len(self.vectors):
-                more = max(self.n + new.size - len(self.vectors), 2048)
-                self.vectors = np.concatenate([self.vectors, np.empty((more, self.letters.shape[1]), np.int8)])
-            self.vectors[self.n:self.n + new.size] = bind(new, self.letters)
-            self.row[new] = np.arange(self.n, self.n + new.size)
-            self.n += new.size
-        return self.row[codes]
-
-    def bundle(self, rows: np.ndarray) -> np.ndarray:
-        counts = np.bincount(rows)
+    mask = (1 << BITS) - 1
+    parts = np.stack([codes >> 2 * BITS, codes >> BITS & mask, codes & mask])
+    kinds, at = np.unique(parts, return_inverse=True)
+    v, at = letter_vectors(kinds, size), at.reshape(parts.shape)
+    return np.roll(v, 2, 1)[at[0]] * np.roll(v, 1, 1)[at[1]] * v[at[2]]
+
+
+def bundle(codes: np.ndarray, counts: np.ndarray, size: int = SIZE) -> np.ndarray:
+    """The sum of trigram vectors, each so many times."""
+    v = np.zeros(size)
+    for i in range(0, len(codes), BLOCK):
+        v += counts[i:i + BLOCK].astype(np.float64) @ bind(codes[i:i + BLOCK], size).astype(np.float64)
+    return v
+
+
+def text_vectors(texts: list[str | None], table: np.ndarray, size: int = SIZE) -> np.ndarray:
+    """The bundle of each text; zeros for a text without letters."""
+    letters, owner = trigrams(texts, table)
+    codes, place = numbered(letters)
+    if len(codes) > BLOCK and len(texts) > 1:
+        half = len(texts) // 2
+        return np.concatenate([text_vectors(texts[:half], table, size), text_vectors(texts[half:], table, size)])
+    out = np.zeros((len(texts), size), np.float32)
+    if len(texts) == 1:
+        out[0] = bundle(codes, np.bincount(place, minlength=len(codes)), size)
+        return out
+    vectors = bind(codes, size).astype(np.float32)
+    cut = np.searchsorted(owner, np.arange(len(texts) + 1))
+    for i in np.flatnonzero(np.diff(cut)).tolist():
+        counts = np.bincount(place[cut[i]:cut[i + 1]])
         at = np.flatnonzero(counts)
-        return counts[at].astype(np.float32) @ self.vectors[at].astype(np.float32)
+        out[i] = counts[at].astype(np.float32) @ vectors[at]
+    return out
 
 
 def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", size: int = SIZE) -> dict[str, np.ndarray]:
     """Unit prototypes by language, from all rows with a language. Tasks send
-    trigram counts; each language is bundled in a task of its own from at most
-    ``SYMBOLS ** 3`` counts, and the driver gets one vector for each."""
+    trigram counts, which Spark sums; parts of them are bundled where they lie
+    and the parts of a language added up. The driver gets one vector for each
+    language; more than ``MOST_LANGUAGES`` raise a ValueError."""
     src = docs.select(F.col(quoted(lang_col)).cast("string").alias("lang"),
                       F.col(quoted(text_col)).alias("t")).where("lang is not null and t is not null")
 
     def count(batches):
-        table, sums = symbol_table(), {}
-
-        def rows():
-            at = {k: np.flatnonzero(v) for k, v in sums.items()}
-            out = pa.RecordBatch.from_arrays([
-                pa.array([k for k, v in at.items() for _ in range(len(v))], pa.string()),
-                pa.array(np.concatenate([*at.values(), np.empty(0, np.int64)]), pa.int64()),
-                pa.array(np.concatenate([sums[k][v] for k, v in at.items()] + [np.empty(0, np.int64)]), pa.int64()),
-            ], names=["lang", "code", "n"])
-            sums.clear()
-            return out
+        table = symbol_table()
         for whole in batches:
             for b in pieces(whole, [1]):
-                langs = b.column(0).to_pylist()
-                names, at = np.unique(np.array(langs, object).astype(str), return_inverse=True)
-                code, owner = trigrams(b.column(1).to_pylist(), table)
-                lang = at[owner]
-                for k, name in enumerate(names.tolist()):
-                    got = np.bincount(code[lang == k], minlength=CODES)
-                    sums[name] = sums[name] + got if name in sums else got
-                    if len(sums) >= 32:
-                        yield rows()
-        yield rows()
-
-    def bundle(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        v = np.zeros(size, np.float64)
-        letters = letter_vectors(size)
-        for i in range(0, len(pdf), 8192):
-            part = pdf.iloc[i:i + 8192]
-            v += part["n"].to_numpy(np.float64) @ bind(part["code"].to_numpy(), letters).astype(np.float64)
-        return pd.DataFrame({"lang": [key[0]], "v": [v.astype("<f4").tobytes()]})
-
-    counts = src.mapInArrow(count, "lang string, code bigint, n bigint")
-    counts = counts.groupBy("lang", "code").agg(F.sum("n").alias("n"))
-    got = counts.groupBy("lang").applyInPandas(bundle, "lang string, v binary").limit(MOST_LANGUAGES + 1).collect()
+                names, at = np.unique(np.array(b.column(0).to_pylist(), object).astype(str), return_inverse=True)
+                letters, owner = trigrams(b.column(1).to_pylist(), table)
+                codes, place = numbered(letters)
+                key, n = np.unique(at[owner] * max(1, len(codes)) + place, return_counts=True)
+                lang, code = np.divmod(key, max(1, len(codes)))
+                yield pa.RecordBatch.from_arrays([pa.array(names.tolist(), pa.string()).take(pa.array(lang)), pa.array(codes[code]),
+                                                  pa.array(n)], names=["lang", "code", "n"])
+
+    def partly(batches):
+        sums: dict[str, np.ndarray] = {}
+        for b in batches:
+            lang = np.array(b.column(0).to_pylist(), object).astype(str)
+            code, n = b.column(1).to_numpy(), b.column(2).to_numpy()
+            for k in np.unique(lang).tolist():
+                at = lang == k
+                sums[k] = sums.get(k, 0) + bundle(code[at], n[at], size)
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array([v.tobytes() for v in sums.values()], pa.binary())],
+                                         names=["lang", "v"])
+
+    def added(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        v = sum(np.frombuffer(x, np.float64) for x in pdf["v"])
+        return pd.DataFrame({"lang": [key[0]], "v": [v.astype("<f8").tobytes()]})
+
+    counts = src.mapInArrow(count, "lang string, code bigint, n bigint").groupBy("lang", "code").agg(F.sum("n").alias("n"))
+    parts = counts.mapInArrow(partly, "lang string, v binary")
+    got = parts.groupBy("lang").applyInPandas(added, "lang string, v binary").limit(MOST_LANGUAGES + 1).collect()
     if len(got) > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} languages: lang does not hold languages")
-    out = {r["lang"]: np.frombuffer(r["v"], "<f4") for r in got}
-    return {k: v / np.linalg.norm(v) for k, v in sorted(out.items()) if v.any()}
+    out = {r["lang"]: np.frombuffer(r["v"], "<f8") for r in got}
+    return {k: (v / np.linalg.norm(v)).astype(np.float32) for k, v in sorted(out.items()) if v.any()}
 
 
 def predict_language(docs: DataFrame, prototypes: dict[str, np.ndarray], text_col: str = "text",
@@ -163,21 +188,17 @@ def predict_language(docs: DataFrame, prototypes: dict[str, np.ndarray], text_co
 
     def start():
         langs, protos = sent.value
-        table, enc = symbol_table(), Encoder(size)
+        table = symbol_table()
 
         def f(col):
-            texts = col.to_pylist()
-            code, owner = trigrams(texts, table)
-            rows = enc.rows(code)
-            cut = np.searchsorted(owner, np.arange(len(texts) + 1))
-            pred, score = [UNKNOWN] * len(texts), [0.0] * len(texts)
-            for i in np.flatnonzero(np.diff(cut)).tolist() if langs else ():
-                v = enc.bundle(rows[cut[i]:cut[i + 1]])
-                length = float(np.linalg.norm(v))
-                if length:
-                    cos = protos @ v / length
-                    k = int(cos.argmax())
-                    pred[i], score[i] = langs[k], min(1.0, max(0.0, float(cos[k])))
+            pred, score = [UNKNOWN] * len(col), [0.0] * len(col)
+            if langs:
+                v = text_vectors(col.to_pylist(), table, size)
+                length = np.linalg.norm(v, axis=1)
+                cos = v @ protos.T
+                for i in np.flatnonzero(length).tolist():
+                    k = int(cos[i].argmax())
+                    pred[i], score[i] = langs[k], min(1.0, max(0.0, float(cos[i, k] / length[i])))
             return [pred, score]
         return f
     return with_columns(docs, [text_col], "lang_pred string, score double", start, keep)

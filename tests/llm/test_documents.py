@@ -15,7 +15,7 @@ from quire.llm import queries as Q
 from quire.llm.byte_cnn import CHUNK, ByteNet, Training, fit, in_fold, score_quality, train, training_chunks
 from quire.llm.common import table
 from quire.llm.decontaminate import Matcher, mark_contaminated
-from quire.llm.hyper_language import learn, predict_language, symbol_table, trigrams
+from quire.llm.hyper_language import SIZE, learn, letter_vectors, numbered, predict_language, symbol_table, trigrams
 from quire.llm.line_quality import BOILERPLATE, clean_lines, judge, line_fault
 from quire.llm.packing import (B, GRAM, K1, SHARE, SLACK, ByteBpe, cut_at_powers, default_files, fill, finished, neighbours,
                                pack, posting_lists, run_terms, scored_pairs, token_table)
@@ -436,9 +436,62 @@ def test_text_without_spaces_is_linear():
 # 6, language
 
 def test_trigrams_of_letters():
-    code, owner = trigrams(["Ab1c", None, "é"], symbol_table())
-    e = 27 + ord("é") % 37
-    assert code.tolist() == [1 << 6 | 2, 1 << 12 | 2 << 6, 3 << 6, e << 6] and owner.tolist() == [0, 0, 0, 2]
+    letters, owner = trigrams(["Ab1c", None, "é"], symbol_table())
+    a, b, c, e = map(ord, "abcé")
+    assert letters.T.tolist() == [[0, a, b], [a, b, 0], [0, c, 0], [0, e, 0]] and owner.tolist() == [0, 0, 0, 2]
+    r = np.random.default_rng(2)
+    for kinds in (3, 400):  # numbered by a table and by sorting
+        x = r.integers(0, kinds, (3, 500)) * 7
+        codes, place = numbered(x)
+        assert (codes[place] == (x[0] << 42 | x[1] << 21 | x[2])).all() and len(set(codes.tolist())) == len(codes)
+
+
+def plain_vector(text, size=SIZE):
+    """Bind and bundle letter by letter."""
+    words = re.findall(r"[^\W\d_]+", (text or "").lower())
+    letter = {c: letter_vectors(np.array([ord(c) if c else 0]), size)[0].astype(int) for c in {"", *"".join(words)}}
+    v = np.zeros(size)
+    for w in words:
+        x = ["", *w, ""]
+        for p, q, r in zip(x, x[1:], x[2:]):
+            v += np.roll(letter[p], 2) * np.roll(letter[q], 1) * letter[r]
+    return v
+
+
+def test_languages_against_plain_vectors(spark, monkeypatch):
+    import quire.llm.hyper_language as H
+    rows = [(i, t, lang) for i, (t, lang) in enumerate([
+        ("the cat and the dog", "en"), ("das haus und der hund", "de"), ("猫 と 犬 が いる", "ja"), ("кот и собака", "ru"),
+        ("and the house", "en"), ("犬 が いる", None), ("собака", None), ("42 !", None), (None, "en"), ("hund der 𝒶𝒷", "de")])]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    protos = learn(df)
+    want = {}
+    for _, t, lang in rows:
+        if lang:
+            want[lang] = want.get(lang, 0) + plain_vector(t)
+    assert sorted(want) == list(protos)
+    want = {k: v / np.linalg.norm(v) for k, v in want.items()}
+    assert all(np.allclose(protos[k], want[k], atol=1e-6) for k in want)
+    for block in (H.BLOCK, 4):  # texts and their trigrams in parts
+        monkeypatch.setattr(H, "BLOCK", block)
+        got = H.text_vectors([t for _, t, _ in rows], symbol_table())
+        assert np.allclose(got, [plain_vector(t) for _, t, _ in rows])
+    for r, (_, t, _) in zip(predict_language(df, protos).orderBy("doc_id").collect(), rows):
+        v = plain_vector(t)
+        cos = {k: v @ p / np.linalg.norm(v) for k, p in want.items()} if v.any() else {"und": 0.0}
+        assert r["lang_pred"] == max(sorted(cos), key=cos.get) and abs(r["score"] - max(0, max(cos.values()))) < 1e-6
+
+
+def test_short_texts_of_other_scripts(spark):
+    r = random.Random(5)
+    letters = [chr(0x4E00 + i) for i in range(3000)]
+    r.shuffle(letters)
+    lists = {f"l{k}": ["".join(r.choices(letters, k=r.randint(1, 3))) for _ in range(400)] for k in range(3)}
+    make = lambda k, n: " ".join(r.choices(lists[k], k=n))
+    train = spark.createDataFrame([(make(k, 200), k) for k in lists for _ in range(40)], "text string, lang string")
+    rows = [(make(k, 6), k) for k in lists for _ in range(100)]
+    got = predict_language(spark.createDataFrame(rows, "text string, lang string"), learn(train)).collect()
+    assert np.mean([x["lang_pred"] == x["lang"] for x in got]) >= .95
 
 
 def test_held_out_languages(spark, odd, none):
