@@ -25,9 +25,8 @@ CHUNK = 256
 @dataclass(frozen=True)
 class Training:
     """``rows``: labelled documents that the fit reads at most, half for each
-    label; ``chunks``: chunks of each at most, spread over the whole text."""
+    label; their texts are read whole."""
     rows: int = 4000
-    chunks: int = 10
     filters: int = 24
     width: int = 6
     embedding: int = 8
@@ -107,44 +106,55 @@ def tables(w: dict[str, np.ndarray]) -> np.ndarray:
     return np.einsum("bd,jdf->jbf", w["e"], w["k"]).astype(np.float32)
 
 
-def fit(chunks: np.ndarray, labels: np.ndarray, t: Training = Training()) -> ByteNet:
-    """Train on (n, CHUNK) bytes with one 0/1 label each, by Adam on the
-    logistic loss, each label with half of the weight."""
+def gradients(w: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, share: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
+    """The logistic loss of (n, CHUNK) bytes with 0/1 labels, each with its
+    share, and its gradient. A filter's maximum passes it on to the place where
+    it was taken."""
+    tab = tables(w)
+    width, _, filters = tab.shape
+    n = CHUNK - width + 1
+    a = tab[0][x[:, :n]]
+    for j in range(1, width):
+        a += tab[j][x[:, j:n + j]]
+    place = a.argmax(axis=1)  # (chunks, filters)
+    pooled = np.take_along_axis(a, place[:, None], 1)[:, 0].astype(np.float64)
+    h = np.tanh(pooled @ w["d1"] + w["b1"])
+    z = h @ w["d2"] + w["b2"][0]
+    loss = float((share * (np.logaddexp(0, z) - y * z)).sum())
+    dz = share * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y)
+    dh = dz[:, None] * w["d2"] * (1 - h * h)
+    g = {"d2": h.T @ dz, "b2": np.array([dz.sum()]), "d1": pooled.T @ dh, "b1": dh.sum(0),
+         "e": np.zeros_like(w["e"]), "k": np.zeros_like(w["k"])}
+    da = dh @ w["d1"].T
+    for j in range(width):
+        under = x[np.arange(len(x))[:, None], place + j]
+        gt = np.zeros((256, filters))
+        np.add.at(gt, (under, np.arange(filters)[None, :]), da)
+        g["e"] += gt @ w["k"][j].T
+        g["k"][j] = w["e"].T @ gt
+    return loss, g
+
+
+def fit(chunks: np.ndarray, labels: np.ndarray, share: np.ndarray, t: Training = Training()) -> ByteNet:
+    """Train on (n, CHUNK) bytes with one 0/1 label and one share each (a
+    document's chunks share its weight), by Adam on the logistic loss; each label
+    has half of the weight."""
     r = np.random.default_rng(t.seed)
     w = {"e": r.normal(0, .5, (256, t.embedding)), "k": r.normal(0, .35, (t.width, t.embedding, t.filters)),
          "d1": r.normal(0, .3, (t.filters, t.hidden)), "b1": np.zeros(t.hidden),
          "d2": r.normal(0, .3, t.hidden), "b2": np.zeros(1)}
     m, v = ({k: np.zeros_like(x) for k, x in w.items()} for _ in range(2))
-    weight = np.where(labels == 1, .5 / max((labels == 1).mean(), 1e-9), .5 / max((labels == 0).mean(), 1e-9))
+    total = {y: max(share[labels == y].sum(), 1e-9) for y in (0, 1)}
     n, steps = len(chunks), 0
-    cols = np.arange(t.filters)
-    total = max(1, t.epochs * -(-n // t.batch))
+    weight = share * np.where(labels == 1, .5 / total[1], .5 / total[0]) * n  # 1 on average
+    all_steps = max(1, t.epochs * -(-n // t.batch))
     for _ in range(t.epochs):
         order = r.permutation(n)
         for i in range(0, n, t.batch):
             pick = order[i:i + t.batch]
-            x, y, s = chunks[pick], labels[pick], weight[pick]
-            tab = tables(w)
-            a = tab[0][x[:, :CHUNK - t.width + 1]]
-            for j in range(1, t.width):
-                a += tab[j][x[:, j:CHUNK - t.width + 1 + j]]
-            place = a.argmax(axis=1)  # (batch, filters)
-            pooled = np.take_along_axis(a, place[:, None], 1)[:, 0].astype(np.float64)
-            h = np.tanh(pooled @ w["d1"] + w["b1"])
-            z = h @ w["d2"] + w["b2"][0]
-            dz = s * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) / len(pick)
-            dh = dz[:, None] * w["d2"] * (1 - h * h)
-            g = {"d2": h.T @ dz, "b2": np.array([dz.sum()]), "d1": pooled.T @ dh, "b1": dh.sum(0)}
-            da = dh @ w["d1"].T
-            g["e"], g["k"] = np.zeros_like(w["e"]), np.zeros_like(w["k"])
-            for j in range(t.width):
-                under = x[np.arange(len(pick))[:, None], place + j]
-                gt = np.zeros((256, t.filters))
-                np.add.at(gt, (under, cols[None, :]), da)
-                g["e"] += gt @ w["k"][j].T
-                g["k"][j] = w["e"].T @ gt
+            _, g = gradients(w, chunks[pick], labels[pick], weight[pick] / len(pick))
             steps += 1
-            rate = t.rate * (1 - .9 * steps / total)
+            rate = t.rate * (1 - .9 * steps / all_steps)
             for k in w:
                 m[k] = .9 * m[k] + .1 * g[k]
                 v[k] = .999 * v[k] + .001 * g[k] ** 2
@@ -152,12 +162,10 @@ def fit(chunks: np.ndarray, labels: np.ndarray, t: Training = Training()) -> Byt
     return ByteNet({k: x.astype(np.float32) for k, x in w.items()})
 
 
-def training_chunks(text: bytes | None, most: int) -> list[bytes]:
-    """At most ``most`` chunks, evenly spread over the whole text."""
+def training_chunks(text: bytes | None) -> list[bytes]:
+    """Chunks that cover the whole text."""
     t = text or b""
-    n = max(1, -(-len(t) // CHUNK))
-    at = range(n) if n <= most else [int(i * (n - 1) / (most - 1)) for i in range(most)]
-    return [t[i * CHUNK:(i + 1) * CHUNK].ljust(CHUNK, b"\0") for i in at]
+    return [t[i:i + CHUNK].ljust(CHUNK, b"\0") for i in range(0, max(1, len(t)), CHUNK)]
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -165,8 +173,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
           settings: Training = Training()) -> ByteNet | None:
     """Fit on labelled rows outside the held-out fold (crc32 of the id as text,
     modulo ``parts``, is ``held``). At most ``settings.rows`` ids, half for
-    each label and in the order of a hash, and ``settings.chunks`` chunks of
-    each go to the driver. None if either label is missing."""
+    each label and in the order of a hash, go to the driver with their whole
+    texts; of rows with one id that with the smallest hash of its text is read.
+    None if either label is missing."""
     lab = (labels.select(F.col(quoted(id_col)).alias("id"), F.col(quoted(label_col)).alias("y"))
            .where("id is not null and y in (0, 1)").where(fold("id", parts) != held)
            .groupBy("id").agg(F.max("y").alias("y")))
@@ -177,18 +186,14 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         picked = one if picked is None else picked.unionByName(one)
     rows = docs.select(F.col(quoted(id_col)).alias("id"), F.col(quoted(text_col)).alias("t")).where("t is not null")
     rows = rows.join(F.broadcast(picked), "id")  # at most settings.rows ids
-    most = settings.chunks
-
-    def start():
-        return lambda col: [pa.array([training_chunks(t, most) for t in utf8(col)], pa.list_(pa.binary()))]
-    cut = with_columns(rows, ["t"], "parts array<binary>", start, keep=["id", "y"])
-    got = cut.orderBy(F.xxhash64("id"), "id").limit(2 * settings.rows).collect()
-    x = [(c, r["y"]) for r in got for c in r["parts"]]
-    y = np.array([v for _, v in x], np.float64)
+    got = rows.groupBy("id", "y").agg(F.min_by("t", F.xxhash64("t")).alias("t")).orderBy(F.xxhash64("id"), "id").collect()
+    cut = [(training_chunks(r["t"].encode()), r["y"]) for r in got]
+    y = np.array([v for c, v in cut for _ in c], np.float64)
     if len(set(y.tolist())) < 2:
         return None
-    data = np.frombuffer(b"".join(bytes(c) for c, _ in x), np.uint8).reshape(-1, CHUNK)
-    return fit(data, y, settings)
+    share = np.array([1 / len(c) for c, _ in cut for _ in c])
+    data = np.frombuffer(b"".join(x for c, _ in cut for x in c), np.uint8).reshape(-1, CHUNK)
+    return fit(data, y, share, settings)
 
 
 def score_quality(docs: DataFrame, net: ByteNet | None, text_col: str = "text",

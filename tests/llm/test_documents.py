@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from conftest import SMOKE
 from quire.llm import queries as Q
-from quire.llm.byte_cnn import CHUNK, ByteNet, Training, fit, in_fold, score_quality, train, training_chunks
+from quire.llm.byte_cnn import CHUNK, ByteNet, Training, fit, gradients, in_fold, score_quality, train, training_chunks
 from quire.llm.common import table
 from quire.llm.decontaminate import Matcher, mark_contaminated
 from quire.llm.hyper_language import SIZE, learn, letter_vectors, numbered, predict_language, symbol_table, trigrams
@@ -510,17 +510,84 @@ def test_held_out_languages(spark, odd, none):
 
 # 9, quality classifier
 
-def test_network_gradient_and_cover():
+def plain_logit(w, text):
+    """Every filter at every place of every chunk, then the dense layer."""
+    width, _, filters = w["k"].shape
+    step, t = CHUNK - width + 1, text or b""
+    chunks = max(1, -(-(len(t) - width + 1) // step))
+    t = t.ljust(chunks * step + width - 1, b"\0")
+    logits = []
+    for c in range(chunks):
+        x = t[c * step:c * step + CHUNK]
+        pooled = np.full(filters, -np.inf)
+        for i in range(step):
+            pooled = np.maximum(pooled, sum(w["e"][x[i + j]] @ w["k"][j] for j in range(width)))
+        logits.append(np.clip(np.tanh(pooled @ w["d1"] + w["b1"]) @ w["d2"] + w["b2"][0], -8, 8))
+    return float(np.mean(logits))
+
+
+def small_weights(seed=3, filters=4, width=3, embedding=3, hidden=5):
+    r = np.random.default_rng(seed)
+    return {"e": r.normal(0, .5, (256, embedding)), "k": r.normal(0, .5, (width, embedding, filters)),
+            "d1": r.normal(0, .5, (filters, hidden)), "b1": r.normal(0, .5, hidden), "d2": r.normal(0, .5, hidden), "b2": np.array([.1])}
+
+
+def test_network_against_plain_convolution():
+    w = small_weights()
+    r = np.random.default_rng(4)
+    texts = [None, b"", b"a", b"x" * 253, b"x" * 254, b"y" * 256, *(r.integers(0, 256, n, np.uint8).tobytes() for n in (255, 600, 1500, 70))]
+    net = ByteNet({k: v.astype(np.float32) for k, v in w.items()})
+    want = [plain_logit(w, t) for t in texts]
+    for block in (1 << 17, 300, 600):
+        assert np.allclose(net.logits(texts, block), want, atol=1e-4)
+    assert b"".join(training_chunks(b"ab" * 1000))[:2000] == b"ab" * 1000 and training_chunks(None) == [bytes(CHUNK)]
+
+
+def test_gradient_against_differences():
+    w = small_weights()
+    r = np.random.default_rng(6)
+    x = r.integers(0, 256, (5, CHUNK), np.uint8)
+    y, share = np.array([0, 1, 1, 0, 1.]), r.random(5)
+    _, g = gradients(w, x, y, share)
+    for k, v in w.items():
+        for at in [tuple(r.integers(0, n) for n in v.shape) for _ in range(6)] + ([(int(x[0, 9]), 1)] if k == "e" else []):
+            near = []
+            for d in (1e-4, -1e-4):
+                moved = {n: a.copy() for n, a in w.items()}
+                moved[k][at] += d
+                near.append(exact_loss(moved, x, y, share))
+            assert abs((near[0] - near[1]) / 2e-4 - g[k][at]) < 1e-3, (k, at)
+
+
+def exact_loss(w, x, y, share):
+    z = np.array([plain_chunk(w, c) for c in x])
+    return float((share * (np.logaddexp(0, z) - y * z)).sum())
+
+
+def plain_chunk(w, c):
+    width = w["k"].shape[0]
+    pooled = np.max([sum(w["e"][c[i + j]] @ w["k"][j] for j in range(width)) for i in range(CHUNK - width + 1)], axis=0)
+    return np.tanh(pooled @ w["d1"] + w["b1"]) @ w["d2"] + w["b2"][0]
+
+
+def test_network_learns_and_covers_every_byte():
     r = np.random.default_rng(0)
     x = np.array([[97 + i % 2] * CHUNK for i in range(64)], np.uint8) + r.integers(0, 1, (64, CHUNK)).astype(np.uint8)
-    net = fit(x, np.arange(64) % 2, Training(epochs=20, batch=16))
+    net = fit(x, np.arange(64) % 2, np.ones(64), Training(epochs=20, batch=16))
     assert net.scores([b"b" * 3000])[0] > .9 and net.scores([b"a" * 3000])[0] < .1
-    # every byte counts, wherever it lies
     base = net.logits([b"a" * 5000])[0]
     assert all(net.logits([b"a" * k + b"b" * 8 + b"a" * (4992 - k)])[0] != base for k in (0, 251, 2500, 4992))
     many = [b"a" * n for n in (0, 1, 5, 250, 256, 257, 300_000)] + [None]
     assert np.allclose(net.logits(many), [net.logits([t])[0] for t in many], atol=1e-5)
-    assert [len(c) for c in training_chunks(b"x" * 3000, 4)] == [CHUNK] * 4
+
+
+def test_repeated_rows_are_learnt_once(spark):
+    rows = [(i, ("good text " if i % 2 else "bad!!! ") * 30) for i in range(12)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(12)], "doc_id bigint, quality int")
+    few = Training(epochs=1, rows=8)
+    once = train(spark.createDataFrame(rows, "doc_id bigint, text string"), labels, settings=few)
+    twice = train(spark.createDataFrame(rows + rows[:7] * 3, "doc_id bigint, text string"), labels, settings=few)
+    assert all((once.w[k] == twice.w[k]).all() for k in once.w)
 
 
 def test_held_out_quality(spark, odd, none):
@@ -533,7 +600,7 @@ def test_held_out_quality(spark, odd, none):
     labels = spark.createDataFrame([], "doc_id bigint, quality int")
     assert train(odd, labels) is None
     assert {r["score"] for r in score_quality(odd, None).collect()} == {.5}
-    net = ByteNet(fit(np.zeros((4, CHUNK), np.uint8), np.array([0, 1, 0, 1]), Training(epochs=1)).w)
+    net = ByteNet(fit(np.zeros((4, CHUNK), np.uint8), np.array([0, 1, 0, 1]), np.ones(4), Training(epochs=1)).w)
     assert score_quality(odd, net).count() == len(ODD) and score_quality(none, net).count() == 0
 
 
