@@ -398,7 +398,7 @@ def loaded_seq(spark, sf_dir):
 
 
 @contextmanager
-def small_blocks(spark, size: str = "64k"):
+def small_blocks(spark, size: str = "128k"):
     """Files are split into blocks of ``size`` while the jobs inside run."""
     names = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
     old = {n: spark.conf.get(n) for n in names}
