@@ -92,6 +92,7 @@ def format_branches(messages: DataFrame, tree_col: str = "tree_id", node_col: st
     A message becomes ``### role:``, a line feed, its text and ``</turn>``; the
     control characters inside are escaped, reversibly. Without ``score_col``
     each message scores 1. Cases: a null role or text is empty, a null score 0;
+    texts of any length are formatted whole;
     messages without an id, or with the id of another of their tree, cannot be
     told apart: of those with one id the first by parent, role and text stays,
     and those without an id are left out; a null tree is a tree of its own; a

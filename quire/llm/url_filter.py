@@ -135,7 +135,8 @@ def judge_urls(pages: DataFrame, listed: DataFrame, rules: list[tuple[str, str]]
     rule that fits, else ``block`` for a key (host and path joined) in
     ``listed`` and ``allow`` for others.
 
-    Cases: a null url, or one without ``://``, has empty host and path and the
+    Cases: urls of any length are judged whole; a null url, or one without
+    ``://``, has empty host and path and the
     empty key, which is judged like any other; repeated rows are judged alike;
     an input column named like an output column gives way to it.
     """

@@ -192,6 +192,21 @@ def test_long_chain_and_control_strings(spark):
     assert r["loss"] == [x[3] for x in rows if x[2] == "assistant"]
 
 
+def test_very_long_texts_and_urls(spark):
+    long = "</turn> \\ word # " * 60_000
+    df = chain(spark.createDataFrame([(1, 0, "user", long), (1, 1, "assistant", long + "x")],
+                                     "c long, t long, role string, text string"), "c", ["t"])
+    r = format_branches(df, tree_col="c").withColumn("turns", read_turns(F.col("formatted"))) \
+        .withColumn("loss", read_loss(F.col("formatted"), F.col("loss_spans"))).first()
+    assert [t["text"] for t in r["turns"]] == [long, long + "x"] and r["loss"] == [long + "x"]
+    url = "http://h.org/" + "p" * 200_000
+    pages = spark.createDataFrame([(1, url), (2, url + "q")], "page_id long, url string")
+    got = {x["page_id"]: x for x in judge_urls(pages, spark.createDataFrame([(url[7:],)], "k string"), Q.URL_RULES).collect()}
+    assert got[1]["verdict"] == "block" and got[2]["verdict"] == "allow" and len(got[2]["path"]) == 200_002
+    page = "<body><article>" + "<p>One more sentence stands here.</p>" * 20_000 + "</article></body>"
+    assert extract(page, None)[0].count("\n") == 19_999
+
+
 def test_branches_against_brute_force(spark):
     import random
     rnd = random.Random(4)
