@@ -234,8 +234,7 @@ def harvest_run_summary(spark, sf_dir):
 def raw_landing(spark, sf_dir, root: str, lang: str | None = None) -> list[str]:
     """The stand-in responses of all sources as raw files; the keywords."""
     pay = PF.mixed_payloads(spark, sf_dir, N.SOURCES, lang=lang)
-    # one file a response: they are told apart by a hash of their text
-    land_raw_responses(pay.withColumn("name", F.hex(F.xxhash64("source", "keyword_idx", "body"))), root, "name")
+    land_raw_responses(pay, root)
     found = {r.keyword_idx: r.keyword for r in pay.select("keyword_idx", "keyword").distinct().collect()}  # 20 keywords
     return [found.get(i, "") for i in range(max(found, default=-1) + 1)]
 

@@ -106,10 +106,10 @@ def stream_harvest_raw(spark, sf_dir):
     """Harvest stream (J81) over raw response files (J01), started twice: the
     keywords of a first landing, then the others, which land beside them."""
     root = scratch_path(spark, "stream-raw")
-    pay = PF.mixed_payloads(spark, sf_dir, N.SOURCES).withColumn("name", F.hex(F.xxhash64("source", "keyword_idx", "body")))
+    pay = PF.mixed_payloads(spark, sf_dir, N.SOURCES)
     keywords = [f"kw{i}" for i in range(20)]
     for half in (F.col("keyword_idx") < 10, F.col("keyword_idx") >= 10):
-        land_raw_responses(pay.where(half), f"{root}/raw", "name")
+        land_raw_responses(pay.where(half), f"{root}/raw")
         raw = stream_raw_responses(spark, f"{root}/raw", keywords, N.SOURCES, list(range(20)))
         harvest_stream(spark, None, f"{root}/ledger", f"{root}/drops", f"{root}/pending", f"{root}/ckpt", stream=raw)
     drops = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(f"{root}/drops")

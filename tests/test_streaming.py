@@ -27,6 +27,27 @@ def test_raw_response_files(spark, scratch):
         ("CrossRef", "first keyword", 3), ("DOAJ", "second keyword", 2), ("arXiv", "second keyword", 2)}
 
 
+def test_responses_of_a_task_share_raw_files(spark, scratch):
+    """Many responses land in few files, beside a file of one response; texts,
+    repeated and blank ones included, come back one by one, each known by its place."""
+    from quire.sources.payloads import land_raw_responses
+    bodies = [f'{{"n":{i},\\n"x":"é"}}\n' for i in range(300)] + ["", "same", "same", " \n"]
+    rows = [(s, 3, b, code) for s in ("plos", "core") for b in bodies for code in (200, None)] + [("plos", 3, "gone", 404)]
+    pay = spark.createDataFrame(rows, "source string, keyword_idx int, body string, status_code int")
+    land_raw_responses(pay.repartition(16), scratch)
+    land_raw_responses(pay.where("source = 'core'").limit(1), scratch)
+    names = [os.path.join(d, n) for d, _, ns in os.walk(scratch) for n in ns if n.startswith("part-")]
+    assert len(names) < 20  # 1217 responses
+    alone = os.path.join(scratch, "source=plos", "keyword_idx=3", "one.json")
+    shutil.copy(os.path.join(HERE, "plos.json"), alone)
+    got = read_raw_responses(spark, scratch, [], sources=["plos"]).collect()
+    assert sorted(r.body for r in got if not r.file_path.endswith("one.json")) == sorted(2 * bodies)
+    assert [r.body for r in got if r.file_path.endswith("one.json")] == [open(alone, encoding="utf-8").read()]
+    assert len({r.file_path for r in got}) == len(got) == 609 and {r.source for r in got} == {"plos"}
+    assert read_raw_responses(spark, scratch, []).count() == 609 + 609
+    assert read_raw_responses(spark, scratch, [], sources=["doaj"]).count() == 0
+
+
 def test_gate_holds_then_releases(spark, scratch):
     landing = os.path.join(scratch, "landing")
     pay = PF.mixed_payloads(spark, SMOKE, N.SOURCES, broken=False)
