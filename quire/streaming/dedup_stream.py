@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 from quire.operators.dedup import dedup_first
 from quire.sources.tables import exists
@@ -23,52 +19,19 @@ def dedup_stream(stream: DataFrame, keys: list[str]) -> DataFrame:
     return stream.dropDuplicates(keys)
 
 
-class _First(StatefulProcessor):
-    """Keeps the order values of a key's winning row, and gives a row whenever
-    it comes before all that its key has shown."""
-
-    def __init__(self, order: list[str], state: StructType):
-        self.order, self.state = order, state
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.best = handle.getValueState("best", self.state)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
-        first = None
-        for part in rows:
-            if part.empty:
-                continue
-            row = part.sort_values(self.order, kind="stable").iloc[:1]
-            if first is None or self._rank(row) < self._rank(first):
-                first = row
-        if first is not None:
-            rank = self._rank(first)
-            if not self.best.exists() or rank < tuple(self.best.get()):
-                self.best.update(rank)
-                yield first.drop(columns=self.order)
-
-    def _rank(self, row: pd.DataFrame) -> tuple[int, ...]:
-        return tuple(int(row[c].iloc[0]) for c in self.order)
-
-    def close(self) -> None:
-        pass
-
-
 def first_updates(stream: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """Rows, all columns, that come before every earlier row of their key in the
-    order (whole numbers and times); the last one of a key is its winner. The
-    state holds a key's order values, not its row, in RocksDB."""
+    """For each key of a micro-batch the row, all columns, that comes before all
+    rows that the key has shown, in the order (whole numbers and times); the last
+    one of a key is its winner. The state holds a key's first row, in RocksDB."""
     use_rocksdb_state(stream.sparkSession)
     kinds = {f.name: f.dataType.simpleString() for f in stream.schema}
-    ranks = [f"order_rank_{i}" for i in range(len(order))]
-    ranked = stream
-    for name, c in zip(ranks, order):
+
+    def rank(c: str) -> Column:
         value = F.unix_micros(F.col(c).cast("timestamp_ltz")) if kinds[c].startswith("timestamp") else F.col(c).cast("bigint")
         # a row without a value comes after all others
-        ranked = ranked.withColumn(name, F.coalesce(value, F.lit((1 << 63) - 1)))
-    state = StructType([StructField(r, LongType()) for r in ranks])
-    return ranked.groupBy(*keys).transformWithStateInPandas(
-        statefulProcessor=_First(ranks, state), outputStructType=stream.schema, outputMode="Update", timeMode="None")
+        return F.coalesce(value, F.lit((1 << 63) - 1)).alias(c)
+    first = F.min_by(F.struct(*stream.columns), F.struct(*map(rank, order))).alias("first_row")
+    return stream.groupBy(*keys).agg(first).select("first_row.*")
 
 
 def first_arrivals(stream: DataFrame, keys: list[str], order: list[str], path: str, checkpoint: str, **trigger):

@@ -94,3 +94,13 @@ def test_first_arrivals_do_not_depend_on_the_batches(spark, scratch):
         got = read_first_arrivals(spark, f"{root}/out", df.schema, ["k"], [F.coalesce("o", F.lit(1 << 62))])
         assert {tuple(r) for r in got.collect()} == want
     assert read_first_arrivals(spark, f"{scratch}/none", df.schema, ["k"], ["o"]).count() == 0
+
+
+def test_first_updates_run_without_python(spark, scratch):
+    """The key state is Spark's own: no key is handed to a Python worker."""
+    from quire.streaming.dedup_stream import first_updates
+    schema = "k string, o timestamp_ntz, v map<string,int>"
+    spark.createDataFrame([], schema).write.parquet(f"{scratch}/in")
+    out = first_updates(spark.readStream.schema(schema).parquet(f"{scratch}/in"), ["k"], ["o"])
+    plan = out._jdf.queryExecution().analyzed().toString()
+    assert "Python" not in plan and "Pandas" not in plan and out.columns == ["k", "o", "v"]
