@@ -3,7 +3,7 @@
 A load stores each file's papers as a partition of their own, so that loading
 the file again replaces them. Compaction rewrites those small partitions as
 segments: files of about ``SEGMENT_ROWS`` rows, each a range of ``seq``, that
-keep every row's file identity. A list of the live segments with their ranges is
+keep every row's file identity. Smaller segments are only made of small tables. A list of the live segments with their ranges is
 written as a new version after them, so readers see the old segments or the new
 ones, never both.
 
@@ -25,13 +25,21 @@ from quire.schemas import PAPER_STORED
 from quire.sources.drops import file_system
 from quire.sources.tables import exists, read_table
 
-#: Rows of one segment.
-SEGMENT_ROWS = 1_000_000
+#: Rows of one segment, and ranges that a table is cut into at most while they stay below their usual size.
+SEGMENT_ROWS, MOST_RANGES = 1_000_000, 256
 STORED = T.StructType([*PAPER_STORED.fields, T.StructField("file_id", T.StringType())])
 LIVE = T.StructType([T.StructField("segment", T.StringType()), T.StructField("lo", T.LongType()),
                      T.StructField("hi", T.LongType()), T.StructField("n", T.LongType())])
 
 
+def range_count(rows: int, asked: int, usual: int) -> int:
+    """Into how many ranges a table is cut: of ``asked`` rows each, or, where
+    that makes more than ``MOST_RANGES``, of more rows up to the ``usual`` size.
+    Each range is a folder and a row of a list, whose cost would outgrow the rows'."""
+    size = max(asked, min(-(-rows // MOST_RANGES), usual))
+    return max(1, -(-rows // size))
+
+
 def _segments(table_path: str) -> str:
     return f"{table_path.rstrip('/')}_segments"
 
@@ -114,7 +122,7 @@ def compact_papers(spark: SparkSession, table_path: str, segment_rows: int = SEG
     version = f"{int(last[:8]) + 1:08d}-{uuid.uuid4().hex[:8]}"
     kept = [tuple(r) for r in live if r["segment"] not in touched]
     if n:
-        (rows.repartitionByRange(max(1, -(-n // segment_rows)), "seq").sortWithinPartitions("seq")
+        (rows.repartitionByRange(range_count(n, segment_rows, SEGMENT_ROWS), "seq").sortWithinPartitions("seq")
          .withColumn("segment", F.concat(F.lit(f"{version}-"), F.lpad(F.spark_partition_id().cast("string"), 6, "0")))
          .write.mode("append").partitionBy("segment").parquet(_segments(table_path)))
         made = spark.read.schema(T.StructType([*STORED.fields, T.StructField("segment", T.StringType())])).parquet(

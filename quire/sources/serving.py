@@ -27,7 +27,7 @@ from quire.operators.query import AUTHORS_CUT, LISTING_COLUMNS, SORTABLE, _prese
 from quire.schemas import PAPER_STORED
 from quire.session import scratch_path
 from quire.sources.drops import file_system
-from quire.sources.segments import read_stored
+from quire.sources.segments import range_count, read_stored
 from quire.sources.tables import exists, read_papers, read_table
 
 S, L = T.StringType(), T.LongType()
@@ -163,7 +163,7 @@ def write_order(spark: SparkSession, table_path: str, sort: str, range_rows: int
         raise ValueError(f"not a sort column: {sort}")
     papers = read_papers(spark, table_path)
     rows = papers.select(F.col(sort).alias("key"), "seq")
-    n = max(1, -(-rows.count() // range_rows))
+    n = range_count(rows.count(), range_rows, RANGE_ROWS)
     path, fresh = f"{_beside(table_path, 'order')}/{sort}", scratch_path(spark, "order")
     (rows.repartitionByRange(n, *_order_keys(sort, True)).sortWithinPartitions(*_order_keys(sort, True))
      .withColumn("part", F.spark_partition_id()).write.partitionBy("part").parquet(f"{fresh}/keys"))

@@ -167,3 +167,26 @@ def test_segments_hold_the_table(spark, scratch, monkeypatch):
     assert G.compact_papers(spark, path, segment_rows=20) == 1
     assert {r["seq"] for r in G.read_stored(spark, path).collect()} == left
     assert read_papers(spark, path).count() == len(left)
+
+
+def test_ranges_stay_few_over_a_large_table(spark, scratch, monkeypatch):
+    """Small ranges asked of a large table: few folders, the same rows and pages."""
+    import os
+
+    from quire.operators.query import list_papers
+    from quire.sources import segments as G
+    from quire.sources import serving as V
+    from quire.sources.tables import read_papers
+    assert [G.range_count(n, 64, 1000) for n in (0, 64, 65, 64 * 256, 10 ** 5, 10 ** 6)] == [1, 1, 2, 256, 256, 1000]
+    monkeypatch.setattr(G, "MOST_RANGES", 6)
+    path = _stored(spark, scratch)
+    want = sorted(map(str, read_papers(spark, path).collect()))
+    assert G.compact_papers(spark, path, segment_rows=2) == 5
+    assert sorted(map(str, read_papers(spark, path).collect())) == want
+    assert 3 <= len(G.live_segments(spark, path)) <= 6
+    V.write_order(spark, path, "title", range_rows=2)
+    assert 3 <= sum(n.startswith("part=") for n in os.listdir(f"{path}_order/title/keys")) <= 6
+    papers = read_papers(spark, path)
+    for order, skip in (("asc", 0), ("desc", 41), ("asc", 85)):
+        assert V.page_by_order(spark, path, "title", order, skip, 10).collect() \
+            == list_papers(papers, skip, 10, sort="title", order=order).collect()
