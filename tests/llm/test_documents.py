@@ -364,6 +364,22 @@ def test_neighbours_against_brute_force(spark):
     assert all(abs(x["score"] - max(got[x["seed"]].values())) < 1e-9 for x in top) and len(top) == len(got)
 
 
+def test_short_common_passages_are_found(spark):
+    """Two documents that share nothing but a dozen words are neighbours."""
+    r = random.Random(17)
+    word = lambda: "".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=7))
+    rows = []
+    for k in range(30):
+        passage = [word() for _ in range(12)]
+        for i in (2 * k, 2 * k + 1):
+            rows.append((i, " ".join([*(word() for _ in range(40)), *passage, *(word() for _ in range(40))])))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    tokens, _ = token_table(df, "doc_id", "text", *default_files(), 1024)
+    name = {x["row"]: x["doc_id"] for x in tokens.select("row", "doc_id").collect()}
+    best = {name[x["seed"]]: name[x["cand"]] for x in neighbours(tokens, tokens.select("row"), 1).collect()}
+    assert best == {i: i ^ 1 for i in range(60)}
+
+
 def test_long_posting_lists_go_in_ranges(spark, monkeypatch):
     import quire.llm.packing as P
     monkeypatch.setattr(P, "RANGE", 64)
