@@ -3,6 +3,8 @@ column back-fill, CSV round trip, per-file load results, numbering."""
 
 from __future__ import annotations
 
+import os
+import shutil
 from contextlib import contextmanager
 
 from pyspark.sql import functions as F
@@ -15,7 +17,7 @@ from quire.plans.catalog import register
 from quire.plans.fixtures import PAPERS_FX_SQL, papers_fx, table, with_views
 from quire.plans.load_run import clean_drops, run_load
 from quire.schemas import PAPER_COLUMNS, WIDTHS
-from quire.session import scratch_path
+from quire.session import drop_scratch, scratch_path
 from quire.sources.sinks import write_drop
 from quire.sources.tables import read_load_log, read_papers
 
@@ -413,7 +415,8 @@ def small_blocks(spark, size: str = "128k"):
 
 def _one_file(spark, papers, path: str) -> None:
     """All papers, in order of seq, as one file of many lines a record: each
-    part is written by its own task, and the parts are put together."""
+    part is written by its own task and put in its place in the file, in a
+    folder that executors share by its own task, else by the store (``concat``)."""
     from quire.sources.drops import file_system
     tmp = scratch_path(spark, "landing")
     rows = papers.withColumn("extracted_at", F.lit("2024-01-01 00:00:00")).select(
@@ -421,11 +424,31 @@ def _one_file(spark, papers, path: str) -> None:
     fields = [F.concat(F.lit('"'), F.replace(F.coalesce(c, F.lit("")), F.lit('"'), F.lit('""')), F.lit('"')) for c in PAPER_COLUMNS]
     head = spark.createDataFrame([(0, ",".join(PAPER_COLUMNS))], "seq bigint, value string")
     lines = rows.select("seq", F.concat_ws(",", *fields).alias("value")).unionByName(head)
-    lines.coalesce(1).sortWithinPartitions("seq").select("value").write.text(tmp)
+    lines.repartitionByRange("seq").sortWithinPartitions("seq").select("value").write.text(tmp)
     fs, to = file_system(spark, path)
     fs.mkdirs(to.getParent())
-    part = fs.globStatus(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{tmp}/part-*"))[0].getPath()
-    fs.rename(part, to)
+    new_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    parts = sorted((s.getPath().toString(), s.getLen()) for s in fs.globStatus(new_path(f"{tmp}/part-*")) if s.getLen())
+    if fs.getUri().getScheme() != "file":  # the store puts files together itself
+        first, *rest = (new_path(p) for p, _ in parts)
+        fs.rename(first, to)
+        array = spark.sparkContext._gateway.new_array(new_path, len(rest))
+        for i, p in enumerate(rest):
+            array[i] = p
+        if rest:
+            fs.concat(to, array)
+    else:
+        given, at, target = [], 0, to.toUri().getPath()
+        for p, size in parts:
+            given.append((new_path(p).toUri().getPath(), at))
+            at += size
+
+        def put(part):
+            with open(part[0], "rb") as src, open(os.open(target, os.O_WRONLY | os.O_CREAT), "wb") as out:
+                out.seek(part[1])
+                shutil.copyfileobj(src, out, 1 << 23)
+        spark.sparkContext.parallelize(given, len(given)).foreach(put)
+    drop_scratch(spark, tmp)
 
 
 @register("load_one_large_file", with_views(PAPERS_FX_SQL) + """

@@ -177,3 +177,27 @@ def test_scratch_needs_a_shared_folder(spark, monkeypatch):
             getCheckpointDir = staticmethod(lambda: None)
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         session.scratch_path(Bare, "x")
+
+
+def test_one_file_is_written_by_many_tasks(spark, scratch):
+    """The parts of a large file have tasks of their own; none handles all rows."""
+    from pyspark.sql import functions as F
+    from quire.plans.load_queries import _one_file
+    from quire.schemas import PAPER_COLUMNS
+    papers = spark.range(1, 2001, numPartitions=4).select(
+        F.col("id").alias("seq"), *[F.concat(F.lit(f'{c} "'), F.col("id"), F.lit('"\nx')).alias(c) for c in PAPER_COLUMNS if c != "extracted_at"])
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.sparkContext.setJobGroup("one-file", "")
+    try:
+        _one_file(spark, papers.repartition(3), f"{scratch}/drops/all papers.csv")
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    status = spark.sparkContext.statusTracker()
+    tasks = [status.getStageInfo(s).numTasks for j in status.getJobIdsForGroup("one-file") for s in status.getJobInfo(j).stageIds
+             if status.getStageInfo(s)]
+    assert min(tasks) > 1
+    with open(f"{scratch}/drops/all papers.csv", encoding="utf-8", newline="") as f:
+        text = f.read()
+    row = lambda i: ",".join('"2024-01-01 00:00:00"' if c == "extracted_at" else f'"{c} ""{i}""\nx"' for c in PAPER_COLUMNS)
+    assert text == "\n".join([",".join(PAPER_COLUMNS), *map(row, range(1, 2001))]) + "\n"
