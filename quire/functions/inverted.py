@@ -12,10 +12,7 @@ def text_from_inverted_index(m) -> Column:
     NULL or empty index -> ''.
     """
     m = F.col(m) if isinstance(m, str) else m
-    pairs = F.transform(
-        F.map_entries(m),
-        lambda e: F.struct(F.array_min(e["value"]).alias("p"), e["key"].alias("w")),
-    )
+    first = F.transform(F.map_values(m), lambda v: F.array_min(v))
     # sort_array's natural ordering is cheaper than array_sort's comparator
-    ordered = F.sort_array(pairs)
-    return F.coalesce(F.array_join(F.transform(ordered, lambda x: x["w"]), " "), F.lit(""))
+    ordered = F.sort_array(F.arrays_zip(first.alias("p"), F.map_keys(m).alias("w")))
+    return F.coalesce(F.array_join(ordered["w"], " "), F.lit(""))

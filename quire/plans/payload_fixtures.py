@@ -9,6 +9,9 @@ test, in ``quire.sources.normalisers``.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from quire.plans.fixtures import table
@@ -76,28 +79,36 @@ def _rec_semantic_scholar(d):
         .alias("journal"))
 
 
+@F.arrow_udf("map<string,array<int>>")
+def _positions(texts: pa.Array) -> pa.Array:
+    split = pc.split_pattern(texts, " ")
+    size = pc.fill_null(pc.list_value_length(split), 0).to_numpy().astype(np.int64)
+    begin = np.concatenate([[0], np.cumsum(size)])
+    words = pc.list_flatten(split).dictionary_encode()
+    order = pc.array_sort_indices(words.dictionary)  # by UTF-8 bytes, as Spark sorts
+    rank = np.empty(len(order), np.int64)
+    rank[order.to_numpy()] = np.arange(len(order))
+    owner = np.repeat(np.arange(len(size)), size)
+    key = owner * max(len(order), 1) + rank[words.indices.to_numpy()]
+    at = np.argsort(key, kind="stable")  # by text, word and position
+    new = np.ones(len(at), bool)
+    new[1:] = key[at][1:] != key[at][:-1]
+    first = np.flatnonzero(new)
+    ends = np.append(first, len(at)).astype(np.int32)
+    lists = pa.ListArray.from_arrays(pa.array(ends), pa.array((at - begin[owner[at]]).astype(np.int32)))
+    keys = words.dictionary.take(words.indices.take(pa.array(at[first])))
+    starts = np.searchsorted(owner[at[first]], np.arange(len(size) + 1)).astype(np.int32)
+    none = np.append(texts.is_null().to_numpy(zero_copy_only=False), False)
+    return pa.MapArray.from_arrays(pa.array(starts, mask=none), keys, lists)
+
+
 def with_inverted_index(df: DataFrame, text: str = "text", out: str = "inv",
                         when: Column | None = None) -> DataFrame:
     """Adds map(word -> ascending positions) of ``text`` split on single
-    spaces, built inside the row: sort (word, position) pairs, find where each
-    word's run starts, slice the runs. O(n log n) per document, no shuffle.
-    Intermediate arrays are real columns (a lambda re-evaluates any
-    expression it references)."""
-    cond = F.lit(True) if when is None else when
-    words = F.split(F.col(text), " ")
-    df = df.withColumn("_pairs", F.when(cond, F.sort_array(
-        F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("p"))))))
-    n = F.size("_pairs")
-    pairs = F.col("_pairs")
-    df = df.withColumn("_starts", F.filter(
-        F.sequence(F.lit(1), n),
-        lambda i: (i == 1) | (F.element_at(pairs, i)["w"] != F.element_at(pairs, i - 1)["w"])))
-    starts = F.col("_starts")
-    df = df.withColumn("_ends", F.concat(F.slice(starts, 2, n), F.array(n + 1)))
-    keys = F.transform(starts, lambda st: F.element_at(pairs, st)["w"])
-    vals = F.transform(F.arrays_zip(starts.alias("s"), F.col("_ends").alias("e")),
-                       lambda z: F.transform(F.slice(pairs, z["s"], z["e"] - z["s"]), lambda x: x["p"]))
-    return df.withColumn(out, F.when(cond, F.map_from_arrays(keys, vals))).drop("_pairs", "_starts", "_ends")
+    spaces, words in order, built inside the row: no shuffle. Only the texts
+    that meet ``when`` go through Python."""
+    given = F.col(text) if when is None else F.when(when, F.col(text))
+    return df.withColumn(out, _positions(given))
 
 
 def _inverted_index(docs: DataFrame) -> DataFrame:

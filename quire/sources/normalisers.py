@@ -374,8 +374,10 @@ def rows_of(parsed: DataFrame) -> DataFrame:
     of the successful responses; records without a required id are skipped."""
     site = F.element_at(F.create_map(*[x for k, v in SITE_NAMES.items()
                                        for x in (F.lit(k), F.lit(v))]), F.col("source"))
-    rows = (parsed.where(F.col("ok"))
-            .select("source", "keyword", "keyword_idx", "fetched_at", F.explode("papers").alias("r"))
+    # one generator that no condition on its input precedes: a filter would be
+    # pushed below the parser, and every response parsed again for it
+    rows = (parsed.select("source", "keyword", "keyword_idx", "fetched_at",
+                          F.explode_outer(F.when(F.col("ok"), F.col("papers"))).alias("r"))
             .where(F.col("r.keep")))
     cols = []
     for c in PAPER_COLUMNS:

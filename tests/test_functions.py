@@ -85,3 +85,16 @@ def test_duration_text(spark):
              3600.0: "1.0시간", 5400.0: "1.5시간"}
     df = spark.createDataFrame([(k,) for k in cases], "v double")
     assert dict(df.select("v", duration_text(F.col("v"))).collect()) == cases
+
+
+def test_index_of_texts(spark):
+    from quire.plans.payload_fixtures import with_inverted_index
+    texts = ["b a  b", "", None, "é z\U0001f642 é ￮", " ", "a"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string").coalesce(1)
+    got = {r["i"]: r for r in with_inverted_index(df, when=F.col("i") < 5).withColumn("j", F.to_json("inv")).collect()}
+    for i, t in enumerate(texts):
+        want = None if t is None or i == 5 else {w: [k for k, x in enumerate(t.split(" ")) if x == w] for w in t.split(" ")}
+        assert got[i]["inv"] == want
+    assert got[0]["j"] == '{"":[2],"a":[1],"b":[0,3]}'  # words in order
+    df = spark.createDataFrame([({"a": [5, 1], "b": None, "c": [3]},), ({},), (None,)], "v map<string,array<int>>")
+    assert [r[0] for r in df.select(text_from_inverted_index(F.col("v"))).collect()] == ["b a c", "", ""]

@@ -163,3 +163,11 @@ def test_a_mistyped_field_costs_only_itself(spark):
     got = body_rows(spark, "plos", '{"response":{"docs":[{"id":"a","author_display":"Al"},'
                                    '{"id":"b","author_display":["X","Y"]}]}}')
     assert [(r.paper_number, r.authors) for r in got] == [("a", "A, l"), ("b", "X, Y")]
+
+
+def test_a_response_is_parsed_once(spark):
+    """No filter below the generator repeats the parser (it took most of the time)."""
+    from quire.plans import payload_fixtures as PF
+    rows = N.normalise(PF.payloads(spark, "/root/testdata/sf0.001", "openalex"), "openalex")
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("from_json") == 1 and plan.count("sort_array") == 1
