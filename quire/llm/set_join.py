@@ -36,6 +36,8 @@ from quire.llm.simhash import components
 WIDTH, PERCENT = 5, 80
 #: Bits of a parity sketch and the columns that hold them; bits of the sharper one for single pairs.
 SKETCH, SHARP = 512, 4096
+#: Sets with more elements than this are told apart by the sharper one wherever pairs are compared.
+SHARP_FROM = 256
 SKETCH_COLS = [f"s{i}" for i in range(SKETCH // 64)]
 #: Bits of the bounded table that stands for a set of nodes; false hits cost time only.
 TABLE_BITS = 26
@@ -328,18 +330,21 @@ class Join:
         signature (or each pair of its blocks) a forest that would join all the
         components that such pairs connect."""
         percent = self.bands.percent
+        sharp = "sharp" in nodes.columns  # single pairs of large sets are told apart here, before they are rows
         root = members.join(roots, "node", "left").select("sig", "node", F.coalesce("root", "node").alias("root"))
         mixed_sigs = (root.groupBy("sig").agg(F.count("*").alias("m"), F.min("root").alias("lo"), F.max("root").alias("hi"))
                       .where("lo <> hi and m > 2").select("sig", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")))
-        info = nodes.select("node", "size", *SKETCH_COLS)
+        info = nodes.select("node", "size", *SKETCH_COLS, *([F.when(F.col("size") > SHARP_FROM, F.col("sharp")).alias("sharp")] if sharp else []))
         dealt = (root.join(mixed_sigs, "sig").join(info, "node")
                  .withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
                  .withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
                  .select("sig", F.least("own", "with").alias("x"), F.greatest("own", "with").alias("y"), "own",
-                         "node", "root", "size", *SKETCH_COLS))
+                         "node", "root", "size", *SKETCH_COLS, *(["sharp"] if sharp else [])))
+        last_sketch = 7 + len(SKETCH_COLS)
 
         def compare(t: np.ndarray) -> np.ndarray:
-            """Pairs of rows (sig, x, y, own, node, root, size, sketch...), whole groups."""
+            """Pairs of rows (sig, x, y, own, node, root, size, sketch..., sharp
+            sketch...), whole groups. Only large sets have a sharp sketch."""
             group = np.concatenate([[0], np.cumsum((np.diff(t[:3], axis=1) != 0).any(0))])
             i, d, near = np.arange(t.shape[1]), 0, [np.zeros((0, 2), np.int64)]
             while True:
@@ -353,10 +358,17 @@ class Join:
                 a, b = i[ok], j[ok]
                 small, large = np.minimum(t[6][a], t[6][b]), np.maximum(t[6][a], t[6][b])
                 ok = 100 * small >= percent * large
-                a, b, total = a[ok], b[ok], (small + large)[ok]
-                far = np.bitwise_count((t[7:, a] ^ t[7:, b]).view(np.uint64)).sum(0, dtype=np.int64)
+                a, b, small, total = a[ok], b[ok], small[ok], (small + large)[ok]
+                far = np.bitwise_count((t[7:last_sketch, a] ^ t[7:last_sketch, b]).view(np.uint64)).sum(0, dtype=np.int64)
                 ok = far * (100 + percent) <= total * (100 - percent)
-                near.append(np.stack([a[ok], b[ok]], 1))
+                a, b, small, total = a[ok], b[ok], small[ok], total[ok]
+                if sharp:
+                    large = np.flatnonzero(small > SHARP_FROM)
+                    for k in range(0, len(large), 4096):
+                        part = large[k:k + 4096]
+                        far = np.bitwise_count((t[last_sketch:, a[part]] ^ t[last_sketch:, b[part]]).view(np.uint64)).sum(0, dtype=np.int64)
+                        total[part[far * (100 + percent) > total[part] * (100 - percent)]] = -1
+                near.append(np.stack([a, b], 1)[total >= 0])
             near = np.concatenate(near)
             if not every:
                 near = near[forest_of(group[near[:, 0]], t[5][near[:, 0]], t[5][near[:, 1]])]
@@ -371,7 +383,10 @@ class Join:
                 p = compare(t)
                 return pa.RecordBatch.from_arrays([pa.array(p[:, 0].copy()), pa.array(p[:, 1].copy())], names=["a", "b"])
             for b in batches:
-                t = np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in b.columns])
+                t = np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in b.columns[:last_sketch]])
+                if sharp:
+                    wide = b"".join(b.columns[last_sketch].fill_null(bytes(SHARP // 8)).to_pylist())
+                    t = np.concatenate([t, np.frombuffer(wide, np.int64).reshape(-1, SHARP // 64).T])
                 t = t if rest is None else np.concatenate([rest, t], axis=1)
                 if not t.shape[1]:
                     continue

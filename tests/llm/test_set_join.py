@@ -184,6 +184,21 @@ def test_reopened_signatures_connect_every_similar_pair(spark, monkeypatch):
         marked.unpersist()
 
 
+def test_large_sets_around_one_passage_make_no_pairs(spark):
+    """Sets of a thousand shingles and more share signatures by a long passage;
+    the short sketch cannot tell them apart, so each pair was a row."""
+    passage = " ".join(f"p{i}" for i in range(700))
+    rows = [(i, passage + " " + " ".join(f"u{i}x{k}" for k in range(800))) for i in range(20)]
+    join = Join(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3), "text", 5, 80)
+    marked = join.marked(["doc_id"])
+    nodes = marked.select("node", F.col("n_shingles").alias("size"), *S.SKETCH_COLS, "sharp")
+    members = join.candidates()[1].cache()
+    roots = spark.createDataFrame([], "node bigint, root bigint")
+    assert join.reopened(members, nodes.drop("sharp"), roots, True).count() > 100
+    assert join.reopened(members, nodes, roots, True).count() == 0
+    members.unpersist()
+
+
 def test_forest_of_groups():
     g, a, b = np.array([1, 1, 1, 2, 2]), np.array([5, 6, 5, 5, 5]), np.array([6, 7, 7, 7, 7])
     assert S.forest_of(g, a, b) == [0, 1, 3] and S.forest_of(g[:0], a[:0], b[:0]) == []
