@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import types as T
 
 from quire.plans.fixtures import table
 from quire.session import scratch_path
@@ -79,7 +80,7 @@ def _rec_semantic_scholar(d):
         .alias("journal"))
 
 
-@F.arrow_udf("map<string,array<int>>")
+@F.arrow_udf(T.MapType(T.StringType(), T.ArrayType(T.IntegerType())))
 def _positions(texts: pa.Array) -> pa.Array:
     split = pc.split_pattern(texts, " ")
     size = pc.fill_null(pc.list_value_length(split), 0).to_numpy().astype(np.int64)
