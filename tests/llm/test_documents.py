@@ -396,6 +396,26 @@ def test_long_posting_lists_go_in_ranges(spark, monkeypatch):
     assert pairs.groupBy("cand").count().agg(F.max("count")).first()[0] <= 31 * len(tokens.first()["terms"])
 
 
+def test_postings_are_shuffled_in_parts(spark, monkeypatch):
+    """Parts hold whole lists, no part most of them, and pairs come out as from one part."""
+    import quire.llm.packing as P
+    r = random.Random(11)
+    base = [" ".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=200)) for _ in range(4)]
+    df = spark.createDataFrame([(i, base[i % 4][r.randrange(100):]) for i in range(16)], "doc_id bigint, text string").repartition(2)
+    tokens, _ = token_table(df, "doc_id", "text", *default_files(), 1024)
+    tokens = tokens.persist()
+    lists = lambda x: sorted(tuple(r) for r in x.collect())
+    whole, parts = lists(posting_lists(tokens)), [lists(posting_lists(tokens, k, 4)) for k in range(4)]
+    assert sorted(x for p in parts for x in p) == whole and max(map(len, parts)) < len(whole) / 2
+    plain = lists(neighbours(tokens, tokens.select("row"), 1000))
+    monkeypatch.setattr(P, "PART_IDS", 1)
+    monkeypatch.setattr(P, "PARTS", 4)
+    monkeypatch.setattr(P, "HELD", 50)
+    in_parts = lists(neighbours(tokens, tokens.select("row"), 1000))
+    assert [x[:2] for x in in_parts] == [x[:2] for x in plain] and len(plain) > 16
+    assert np.allclose([x[2] for x in in_parts], [x[2] for x in plain])
+
+
 def test_copies_share_windows_across_partitions(spark):
     r = random.Random(7)
     topics = [[f"{a}{b}" for a in r.sample("bcdfghjklmnpqrstvwxz", 6) for b in r.sample("aeiouy", 5)] for _ in range(24)]
