@@ -1,6 +1,7 @@
 """Operators on documents against plain versions on small tables and odd rows."""
 
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -13,12 +14,12 @@ from pyspark.sql import functions as F
 from conftest import SMOKE
 from quire.llm import queries as Q
 from quire.llm.byte_cnn import CHUNK, ByteNet, Training, fit, gradients, in_fold, score_quality, train, training_chunks
-from quire.llm.common import table
+from quire.llm.common import scratch, table
 from quire.llm.decontaminate import Matcher, mark_contaminated
 from quire.llm.hyper_language import SIZE, learn, letter_vectors, numbered, predict_language, symbol_table, trigrams
 from quire.llm.line_quality import BOILERPLATE, clean_lines, judge, line_fault
 from quire.llm.packing import (B, GRAM, K1, SHARE, SLACK, ByteBpe, cut_at_powers, default_files, fill, finished, neighbours,
-                               pack, posting_lists, run_terms, scored_pairs, token_table)
+                               pack, part_hashes, posting_lists, run_hashes, run_terms, scored_pairs, spark_hash, token_table)
 from quire.llm.simhash import components, covering_masks, fingerprint, forest, near_edges, near_groups
 from quire.llm.token_counts import PrefixCounts, count_tokens, default_model, longest_prefix, prefix_counts
 
@@ -416,6 +417,76 @@ def test_postings_are_shuffled_in_parts(spark, monkeypatch):
     assert np.allclose([x[2] for x in in_parts], [x[2] for x in plain])
 
 
+def test_sums_of_pairs_are_added_again(spark, monkeypatch):
+    """Pairs are summed several times in a task, first those of some batches, then with further ones."""
+    import quire.llm.packing as P
+    df = spark.createDataFrame([(t, 0, r, r, 1.0) for t in range(300) for r in range(8)],
+                               "term bigint, block bigint, mark bigint, row bigint, weight float").coalesce(1)
+    monkeypatch.setattr(P, "HELD", 500)
+    keys = ["spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.shuffle.partitions"]
+    before = [spark.conf.get(k) for k in keys]
+    for k, v in zip(keys, ("100", "1")):
+        spark.conf.set(k, v)
+    try:
+        got = {(x["seed"], x["cand"]): x["score"] for x in scored_pairs(df, F.lit(True), F.lit(True)).collect()}
+    finally:
+        for k, v in zip(keys, before):
+            spark.conf.set(k, v)
+    assert got == {(a, b): 300.0 for a in range(8) for b in range(8) if a != b}
+
+
+def test_hashes_of_parts_are_those_of_all_runs():
+    r = np.random.default_rng(4)
+    for sizes in ((1,), (5, 3), (6,), (0, 1, 5, 6, 7, 400, 0, 30, 2), (2, 900)):
+        docs = [r.integers(0, 9, n).astype("<u2") for n in sizes]
+        ids, begin = np.concatenate(docs), np.concatenate([[0], np.cumsum(sizes)])
+        h, n = run_hashes(ids, begin)
+        want = sorted(zip(np.repeat(np.arange(len(sizes)), n).tolist(), h.tolist()))
+        for parts in (1, 2, 8):
+            got, terms = [], []
+            for part in range(parts):
+                h, at = part_hashes(ids, begin, part, parts)
+                got += zip(np.repeat(np.arange(len(sizes)), np.diff(at)).tolist(), h.tolist())
+                terms.append(set(h.tolist()))
+            assert sorted(got) == want and sum(map(len, terms)) == len(set.union(*terms))
+
+
+def test_blocks_are_those_of_the_rows_hash(spark):
+    values = [0, 1, -1, 5 << 40, (7 << 40) + 123456, -(1 << 63), (1 << 63) - 1]
+    df = spark.createDataFrame([(v,) for v in values], "v bigint").select("v", F.xxhash64("v").alias("h"))
+    assert all(spark_hash(np.array([x["v"]], np.int64))[0] == x["h"] for x in df.collect())
+
+
+def test_long_lists_of_a_bucket_are_handed_on(spark, monkeypatch):
+    """Pairs are the same when a task holds few runs; sums of earlier parts are held once."""
+    import quire.llm.packing as P
+    r = random.Random(21)
+    words = ["".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for _ in range(60)]
+    df = spark.createDataFrame([(i, " ".join([*words[:40], *r.choices(words, k=30)])) for i in range(60)],
+                               "doc_id bigint, text string").repartition(12)
+    tokens, _ = token_table(df, "doc_id", "text", *default_files(), 1024)
+    tokens = tokens.persist()
+    pairs = lambda: sorted(tuple(x) for x in neighbours(tokens, tokens.select("row"), 1000).collect())
+    plain = pairs()
+    for name, value in (("FULL", 200), ("HELD", 50), ("PART_IDS", 1), ("PARTS", 4), ("BUCKET", 1500)):
+        monkeypatch.setattr(P, name, value)
+    made, met, long = [], P.met_cells, P.long_pairs
+    root = os.path.dirname(scratch(spark, "x"))
+    before = set(os.listdir(root))
+    monkeypatch.setattr(P, "long_pairs", lambda *a: made.append("long") or long(*a))
+
+    def watched(*a):
+        out = met(*a)
+        made.append([x.split("-")[0] for x in set(os.listdir(root)) - before])
+        return out
+    monkeypatch.setattr(P, "met_cells", watched)
+    in_parts = pairs()
+    assert "long" in made and [x[:2] for x in in_parts] == [x[:2] for x in plain] and len(plain) > 1000
+    assert np.allclose([x[2] for x in in_parts], [x[2] for x in plain])
+    parts = [x for x in made if x != "long"]
+    assert len(parts) == 4 and all(x.count("met") == 1 and x.count("sums") <= 1 for x in parts)
+
+
 def test_copies_share_windows_across_partitions(spark):
     r = random.Random(7)
     topics = [[f"{a}{b}" for a in r.sample("bcdfghjklmnpqrstvwxz", 6) for b in r.sample("aeiouy", 5)] for _ in range(24)]
