@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -487,6 +488,65 @@ def test_long_lists_of_a_bucket_are_handed_on(spark, monkeypatch):
     assert len(parts) == 4 and all(x.count("met") == 1 and x.count("sums") <= 1 for x in parts)
 
 
+def test_every_pair_of_a_long_list_is_scored(spark, monkeypatch):
+    """All documents of a passage meet, in one cell or in many, with the sums that plain rows give."""
+    import quire.llm.packing as P
+    r = random.Random(31)
+    passage = " ".join("".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for _ in range(8))
+    word = lambda: "".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=6))
+    df = spark.createDataFrame([(i, " ".join([*(word() for _ in range(10)), passage, word()])) for i in range(150)],
+                               "doc_id bigint, text string").repartition(5)
+    tokens, _ = token_table(df, "doc_id", "text", *default_files(), 1024)
+    tokens = tokens.persist()
+    want = {(x["seed"], x["cand"]): x["score"] for x in scored_pairs(posting_lists(tokens), F.lit(True), F.lit(True)).collect()}
+    assert len(want) == 150 * 149
+    for values in ({}, {"CELL_POSTS": 700, "DEALT": 4000, "DENSE": 500, "SHORT": 2}):
+        for name, value in values.items():
+            monkeypatch.setattr(P, name, value)
+        got = {(x["seed"], x["cand"]): x["score"] for x in neighbours(tokens, tokens.select("row"), 1000).collect()}
+        assert set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-3 for k in want)
+
+
+def test_candidates_look_beyond_the_best_they_were_given(spark, monkeypatch):
+    """Windows are filled alike when a candidate gets one seed at a time."""
+    import quire.llm.packing as P
+    r = random.Random(33)
+    words = ["".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for _ in range(120)]
+    rows = [(i, " ".join(words[(j := r.randrange(60)):j + r.randint(20, 60)])) for i in range(90)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    tokens, _ = P.id_table(df, "doc_id", "text", *default_files(), 256)
+    made, asked, best = [], [], P.best_of
+    monkeypatch.setattr(P, "best_of", lambda *a: asked.append(len(a)) or best(*a))
+    for top, least in ((1000, 0.), (1, 1.)):
+        monkeypatch.setattr(P, "TOP", top)
+        monkeypatch.setattr(P, "LEAST", least)
+        made.append(sorted((x["row"], x["seed"], x["length"]) for x in P.seeded_windows(tokens, 256)[0].collect()))
+    assert made[0] == made[1] and len(made[0]) > 20
+    assert asked[0] == 4 and 5 in asked[1:]  # asked again only where the given seeds ran out
+
+
+def test_lots_are_the_hashes_of_both_rows(spark):
+    r = np.random.default_rng(2)
+    values = [(int(a), int(b)) for a, b in r.integers(-(1 << 62), 1 << 62, (50, 2))]
+    df = spark.createDataFrame(values, "v bigint, w bigint").withColumn("h", F.xxhash64("v", "w"))
+    v, w, h = (np.array(x, np.int64) for x in zip(*df.collect()))
+    assert (spark_hash(w, spark_hash(v)) == h).all()
+
+
+def test_tasks_of_the_index_are_handed_small_batches(spark, monkeypatch):
+    import quire.llm.packing as P
+    monkeypatch.setattr(P, "BATCH", 20_000)
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name, None)
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], names=["n"])
+    big = spark.createDataFrame([(bytes(5000),)] * 64, "x binary").coalesce(1)
+    got = [x["n"] for x in P.held_as(big.mapInArrow(sizes, "n bigint"), "x").collect()]
+    assert len(got) > 8 and max(got) < 40_000 and spark.conf.get(name, None) == before
+
+
 def test_copies_share_windows_across_partitions(spark):
     r = random.Random(7)
     topics = [[f"{a}{b}" for a in r.sample("bcdfghjklmnpqrstvwxz", 6) for b in r.sample("aeiouy", 5)] for _ in range(24)]
