@@ -18,6 +18,7 @@ from quire.plans.fixtures import PAPERS_FX_SQL, papers_fx, table, with_views
 from quire.plans.load_run import clean_drops, run_load
 from quire.schemas import PAPER_COLUMNS, WIDTHS
 from quire.session import drop_scratch, scratch_path
+from quire.sources.drops import list_drops
 from quire.sources.sinks import write_drop
 from quire.sources.tables import read_load_log, read_papers
 
@@ -399,14 +400,24 @@ def loaded_seq(spark, sf_dir):
     return read_papers(spark, f"{root}/papers").select("site_name", "paper_number", "seq")
 
 
+#: Bytes of the smallest block of a file that many tasks read, and the most such blocks.
+BLOCK, MOST_BLOCKS = 128 << 10, 1024
+
+
+def block_size(length: int) -> int:
+    """The block of a file of so many bytes. Each block is a task, read twice, with a
+    row for the driver: small ones show that a file is split, but a large file gets larger ones."""
+    return max(BLOCK, -(-length // MOST_BLOCKS))
+
+
 @contextmanager
-def small_blocks(spark, size: str = "128k"):
-    """Files are split into blocks of ``size`` while the jobs inside run."""
+def small_blocks(spark, size: int | str = BLOCK):
+    """Files are split into blocks of ``size`` bytes while the jobs inside run."""
     names = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
     old = {n: spark.conf.get(n) for n in names}
     try:
         for n in names:
-            spark.conf.set(n, size)
+            spark.conf.set(n, str(size))
         yield
     finally:
         for n, v in old.items():
@@ -459,7 +470,7 @@ def load_one_large_file(spark, sf_dir):
     by many tasks: rows and numbers are those of a read by one task."""
     root = scratch_path(spark, "load")
     _one_file(spark, papers_fx(spark, sf_dir), f"{root}/drops/all papers.csv")
-    with small_blocks(spark):
+    with small_blocks(spark, block_size(sum(f.length for f in list_drops(spark, f"{root}/drops")))):
         run_load(spark, f"{root}/drops", f"{root}/papers", f"{root}/log")
     return read_papers(spark, f"{root}/papers").select("seq", "url", "title", "abstract", "published_date",
                                                        "citation_count", "journal")

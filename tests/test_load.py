@@ -201,3 +201,10 @@ def test_one_file_is_written_by_many_tasks(spark, scratch):
         text = f.read()
     row = lambda i: ",".join('"2024-01-01 00:00:00"' if c == "extracted_at" else f'"{c} ""{i}""\nx"' for c in PAPER_COLUMNS)
     assert text == "\n".join([",".join(PAPER_COLUMNS), *map(row, range(1, 2001))]) + "\n"
+
+
+def test_blocks_of_a_large_file_are_no_more_than_tasks_can_take():
+    from quire.plans.load_queries import BLOCK, MOST_BLOCKS, block_size
+    assert block_size(0) == block_size(BLOCK * MOST_BLOCKS) == BLOCK
+    for length in (1 << 30, 10 << 30, (60 << 30) + 1):
+        assert -(-length // block_size(length)) <= MOST_BLOCKS < length // BLOCK
